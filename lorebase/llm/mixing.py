@@ -97,7 +97,8 @@ def schedule(targets: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     spark = targets.sparkSession
     n = -(-total // block)
     line = targets.where("target > 0 and source_size > 0").withColumn("need", F.round("target").cast("long"))
-    line = line.withColumn("slots", F.ceil(F.col("need") / block))
+    rounds, blocks = F.floor(F.col("need") / F.col("source_size")), F.ceil(F.col("source_size") / block)
+    line = line.withColumn("slots", rounds * blocks + F.ceil((F.col("need") % F.col("source_size")) / block))
     cum = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     share = F.sum("target").over(Window.partitionBy())
     line = line.withColumn("hi", F.sum("target").over(cum) / share).withColumn("lo", F.coalesce(F.lag("hi").over(cum), F.lit(0.0)))
