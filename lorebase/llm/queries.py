@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_rules
+from . import line_dedup, mixing, quality_rules, toxicity
 from .common import read
 
 
@@ -16,9 +16,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op8_report(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op8_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op8_line_dedup, op9_toxicity, op10_quality_rules)}
 SQL = {"op1_mixing": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
