@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_rules, toxicity
+from . import line_dedup, mixing, quality_gam, quality_rules, toxicity, url_filter
 from .common import read
 
 
@@ -12,6 +12,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.op3_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op8_report(read(spark, sf_dir, "documents"))
 
@@ -24,5 +32,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op8_line_dedup, op9_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality_gam, op5_url_filter, op8_line_dedup, op9_toxicity, op10_quality_rules)}
 SQL = {"op1_mixing": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
