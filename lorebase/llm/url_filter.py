@@ -38,7 +38,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 ORDER, CELLS, PRIOR = 5, 1 << 17, 4.0
-#: Character classes: bytes, and one mark in front of the url.
+VERDICTS = ("allow", "block")
+#: Symbols: bytes, and one mark in front of the url.
 _ALPHABET = 257
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -107,7 +108,7 @@ def count_cells(urls: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             said = np.array(b.column(1).to_pylist(), dtype=object)
-            for verdict in ("allow", "block"):
+            for verdict in VERDICTS:
                 own = [u for u, s in zip(_urls(b.column(0)), said) if s == verdict]
                 if not own or not any(own):
                     continue
@@ -127,17 +128,22 @@ class Model:
     def __init__(self, counts: np.ndarray):
         self.counts = counts
 
-    def difference(self, urls: list[bytes]) -> np.ndarray:
-        """(log P(url | allowed) - log P(url | blocked)) / characters; 0 for the empty url."""
+    def difference(self, urls: list[bytes], said: list[str] | None = None) -> np.ndarray:
+        """(log P(url | allowed) - log P(url | blocked)) / characters; 0 for the empty url.
+
+        said: the verdict that each url was counted under; its own counts are then left out.
+        """
         if not any(urls):
             return np.zeros(len(urls))
         cells, of = _cells(urls)
         contexts = _contexts(urls)
         log = []
-        for c in self.counts:
+        for name, c in zip(VERDICTS, self.counts):
+            own = 0 if said is None else np.array([x == name for x in said], dtype=np.float32)[of]
             p = np.full(cells.shape[1], 1 / _ALPHABET)
             for k in range(ORDER + 1):
-                p = (c[0, k][cells[k]] + PRIOR * p) / (np.maximum(c[1, k][contexts[k]], c[0, k][cells[k]]) + PRIOR)
+                n = np.maximum(c[0, k][cells[k]] - own, 0)
+                p = (n + PRIOR * p) / (np.maximum(c[1, k][contexts[k]] - own, n) + PRIOR)
             log.append(np.bincount(of, np.log(p), len(urls)))
         return (log[0] - log[1]) / np.maximum(1, [len(u) for u in urls])
 
@@ -154,7 +160,7 @@ def train(ruled: DataFrame) -> Model | None:
 
 
 def scored(rows: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and the score of rows with a url."""
+    """The columns ``keep`` and the score of rows with a url; with ``said`` among them, not counting the url itself."""
     if model is None:
         return rows.select(*keep, F.lit(0.0).alias("score"))
     held = rows.sparkSession.sparkContext.broadcast(model)
@@ -162,7 +168,8 @@ def scored(rows: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            d = held.value.difference(_urls(b.column(len(keep)))) if b.num_rows else np.zeros(0)
+            said = b.column(keep.index("said")).to_pylist() if "said" in keep else None
+            d = held.value.difference(_urls(b.column(len(keep))), said) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(d)], names=[*keep, "score"])
 
     return rows.select(*keep, F.col("url").alias("_url")).mapInArrow(run, schema)
@@ -175,14 +182,15 @@ def cut_off(ruled: DataFrame, model: Model | None, step: float = 0.01) -> float:
     s = scored(ruled, model, ["said"])
     cell = F.greatest(F.least(F.floor(F.col("score") / step), F.lit(2000)), F.lit(-2000)).cast("int")
     rows = s.groupBy(cell.alias("cell"), "said").count().collect()  # at most 2 * 4001
-    total = {v: sum(r["count"] for r in rows if r.said == v) for v in ("allow", "block")}
-    best, at, wrong = None, 0.0, 1.0  # cutting below everything: all blocked ones pass
+    total = {v: sum(r["count"] for r in rows if r.said == v) for v in VERDICTS}
+    best, at, wrong, last = None, 0.0, 1.0, None  # cutting below everything: all blocked ones pass
     for c in sorted({r.cell for r in rows}):
-        if best is None or wrong < best:
-            best, at = wrong, c * step
+        if best is None or wrong < best - 1e-12:  # the middle of the gap below
+            best, at = wrong, step * (c if last is None else (last + 1 + c) / 2)
         for r in rows:
             if r.cell == c:
                 wrong += r["count"] / max(1, total[r.said]) * (1 if r.said == "allow" else -1)
+        last = c
     return at
 
 
