@@ -74,17 +74,17 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def shuffled_line(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, at: where each document starts on its source's line."""
-    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
+    """doc_id, source, size, text_hash, at: where each document starts on its source's line."""
+    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     rows = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     rows = rows.withColumn("bucket", F.substring("key", 1, 3))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("off", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return out.select("doc_id", "source", "size", (F.col("base") + F.col("off")).alias("at"))
+    return out.select("doc_id", "source", "size", "text_hash", (F.col("base") + F.col("off")).alias("at"))
 
 
 def schedule(targets: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
@@ -130,14 +130,14 @@ def schedule(targets: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
 
 
 def spans(line: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """slot, round, doc_id, source, at, size, first, n: the stretch of words that a slot takes of a document."""
+    """slot, round, doc_id, source, text_hash, at, size, first, n: the stretch of words that a slot takes of a document."""
     pieces = line.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
     s = slots.select("slot", F.col("source").alias("s"), F.col("block").alias("b"), "round", "words")
     both = pieces.join(s, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     lo = F.greatest(F.col("at"), F.col("block") * block)
     hi = F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("words"))
     both = both.withColumn("first", lo - F.col("at")).withColumn("n", hi - lo)
-    return both.where("n > 0").select("slot", "round", "doc_id", "source", "at", "size", "first", "n")
+    return both.where("n > 0").select("slot", "round", "doc_id", "source", "text_hash", "at", "size", "first", "n")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: str = "mix") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -162,6 +162,23 @@ def mix_report(docs: DataFrame, block: int = BLOCK, seed: str = "mix") -> DataFr
     return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: str = "mix") -> DataFrame:
+    """The mix as documents: a row of ``docs`` for each round in which the mix takes of it.
+
+    The blocks of a round follow each other, so only the last document of a
+    source's last round is cut; its text is then the words taken, joined by
+    spaces.
+    """
+    _, _, _, taken = mix(docs, block, seed)
+    took = taken.groupBy("doc_id", "source", "text_hash", "at", "size", "round").agg(F.sum("n").alias("n"))
+    took = took.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "size", "n")
+    every = docs.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_hash"])
+    rows = every.join(took, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & F.col("_hash").eqNullSafe(F.col("_h")))
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("n").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("n") < F.col("size"), words).otherwise(F.col("text")))
+    return rows.select(*docs.columns)
+
+
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
              md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, line_dedup, mixing, ngram_join, quality_gam, quality_rules, toxicity, url_filter
+from . import embed_dedup, line_dedup, mixing, ngram_join, quality_gam, quality_rules, sentencepiece, toxicity, url_filter
 from .common import read
 
 
@@ -12,6 +12,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.op2_report(read(spark, sf_dir, "documents"), sentencepiece.read_model())
+
+
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.op3_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -40,5 +44,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality_gam, op4_embed_dedup, op5_url_filter, op6_ngram_join, op8_line_dedup, op9_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_quality_gam, op4_embed_dedup, op5_url_filter, op6_ngram_join, op8_line_dedup, op9_toxicity, op10_quality_rules)}
 SQL = {"op1_mixing": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

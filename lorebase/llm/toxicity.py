@@ -274,7 +274,8 @@ def greedy_cover(toxic: list[set[str]], clean: list[set[str]]) -> list[tuple[str
 def fit(texts: list[tuple[str, int, bool]], share: float, counts: tuple[int, int]) -> Model:
     """texts: (text, label, for calibration); share: of toxic labels; counts: of clean and toxic labels."""
     model = Model(base=share)
-    words = [words_of(t) for t, _, _ in texts]
+    pool: dict[str, str] = {}
+    words = [[pool.setdefault(w, w) for w in words_of(t)] for t, _, _ in texts]
     bare = [{w.strip(".,;:!?\"'()[]{}*#&%~_-|<>+=/\\") for w in ws} - {""} for ws in words]
     toxic = [b for b, (_, y, c) in zip(bare, texts) if y == 1 and not c]
     clean = [b for b, (_, y, c) in zip(bare, texts) if y == 0 and not c]
@@ -353,15 +354,16 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", *keep]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", score double"
-    slim = docs.select(*names, F.col("text").alias("_text"))
+    read = [*names, *({"text"} - {*names})]
+    at = read.index("text")
 
     def run(batches):
         m = held.value
-        for b in slices(batches, "_text"):
-            s = m.score(b.column(len(names)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], names=[*names, "score"])
+        for b in slices(batches, "text"):
+            s = m.score(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(s)], names=[*names, "score"])
 
-    return slim.mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(run, schema)
 
 
 def not_held_out():
