@@ -12,6 +12,10 @@ common to all (here: rare tokens first, see ``frequent_tokens``).
 * Bound: a class meets the groups whose union has one of its first tokens and
   whose sizes are in reach; of two groups that meet, only the smaller one's
   members ask.
+* Sketch: each set has the numbers of its tokens in 256 ranges of the hash.
+  The smaller ones of two sketches, summed, bound the intersection from above;
+  classes that no other one in their group, or in a group that they ask, can
+  reach the threshold with are left out before any set is moved.
 * Open: members are compared exactly inside their group, then against the
   groups that they ask, unless group and asker are already one component.
 
@@ -91,15 +95,21 @@ def _signed(x) -> pa.Array:
     return pa.array(np.asarray(x, dtype=np.uint64).view(np.int64))
 
 
+def sketch(tokens: np.ndarray) -> bytes | None:
+    """How many tokens lie in each 256th of the hash range; None where a byte cannot hold it."""
+    n = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256)
+    return n.astype(np.uint8).tobytes() if n.max() < 255 else None
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n, key of every row: its set's size and hash."""
+    """doc_id, n, key, sketch of every row: its set's size, hash and sketch."""
 
     def run(batches):
         for b in slices(batches, "text"):
             sets = token_sets(byte_texts(b.column(1)), shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], type=pa.int64()), _signed([set_key(s) for s in sets])], names=["doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], type=pa.int64()), _signed([set_key(s) for s in sets]), pa.array([sketch(s) for s in sets], type=pa.binary())], names=["doc_id", "n", "key", "sketch"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n long, key long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, sketch binary")
 
 
 def frequent_tokens(docs: DataFrame, shingle: int = SHINGLE) -> dict[int, int]:
@@ -275,6 +285,50 @@ def group_edges(rows: DataFrame, threshold: Fraction) -> DataFrame:
     return parts.mapInArrow(run, "a long, b long").where("a <> b")
 
 
+def within_reach(rows: DataFrame, threshold: Fraction) -> DataFrame:
+    """g, key, asks of the rows (g, block, key, n, sketch, asks) whose sketch admits a link with another row of the block.
+
+    asks is as in ``group_edges``.
+    """
+    num, den = threshold.numerator, threshold.denominator
+
+    def run(batches):
+        for (g, _), t in runs_of(batches, ["g", "block"]):
+            key, n, asks = (np.array(t.column(c).to_pylist(), dtype=np.int64) for c in ("key", "n", "asks"))
+            raw = t.column("sketch").to_pylist()
+            free = np.array([x is None for x in raw])
+            m = np.frombuffer(b"".join(x or bytes(256) for x in raw), dtype=np.uint8).reshape(-1, 256)
+            good = np.zeros(len(key), dtype=bool)
+            member = asks <= 0
+            for i in np.flatnonzero(asks != 0):
+                most = np.where(free | free[i], np.minimum(n, n[i]), np.minimum(m, m[i]).sum(axis=1, dtype=np.int64))
+                ok = member & ((den + num) * most >= num * (n + n[i])) & (key != key[i])
+                if ok.any():
+                    good |= ok
+                    good[i] = True
+            if good.any():
+                k = int(good.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, g, dtype=np.int64)), pa.array(key[good]), pa.array(asks[good].astype(np.int32))], names=["g", "key", "asks"])
+
+    parts = rows.select("g", "block", "key", "n", "sketch", F.col("asks").cast("int").alias("asks")).repartition("g", "block").sortWithinPartitions("g", "block")
+    return parts.mapInArrow(run, "g long, key long, asks int").distinct()
+
+
+def _grid(members: DataFrame, asks: DataFrame, block: int, *columns: str) -> DataFrame:
+    """g, block, key, columns, asks: each block of a group's members with each block of its askers.
+
+    members: g, key, columns; asks: g, key, columns.
+    """
+    many = lambda d, n: d.groupBy("g").agg(F.ceil(F.count("*") / block).alias(n))
+    size = many(asks, "qs").join(many(members, "ms"), "g")
+    part = lambda n: F.when(F.col(n) > 1, F.pmod(F.xxhash64("key"), F.col(n))).otherwise(F.lit(0).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = members.join(size, "g").withColumn("m", part("ms")).withColumn("q", every("qs")).withColumn("asks", F.lit(0))
+    right = asks.join(size, "g").withColumn("q", part("qs")).withColumn("m", every("ms")).withColumn("asks", F.lit(1))
+    cols = ["g", (F.col("m") * (1 << 32) + F.col("q")).alias("block"), "key", *columns, "asks"]
+    return left.select(*cols).unionByName(right.select(*cols))
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     s = Scratch(docs.sparkSession)
@@ -284,51 +338,55 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: Fract
     # tokens of two classes or more: the least and the greatest key differ
     shared = s.save(first.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token"))
     met = s.save(first.join(shared, "token").distinct())
-    home = s.save(met.groupBy("key").agg(F.min("token").alias("g"), F.first("n").alias("n")))
+    home = met.groupBy("key").agg(F.min("token").alias("g"), F.first("n").alias("n"))
+    sketches = rows.groupBy("key").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+    home = s.save(home.join(sketches, "key"))
     groups = s.save(home.groupBy("g").agg(F.count("*").alias("size"), F.min("key").alias("pivot"), F.min("n").alias("n_min"), F.max("n").alias("n_max")))
-    # the sets of one row of each class that shares a token
-    one = rows.join(home.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    text = docs.join(s.save(one.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = full_sets(text, shingle).join(home, "key").dropDuplicates(["key"])
-    blocks = F.ceil(F.col("size") / block)
-    members = sets.join(groups, "g").withColumn("block", F.when(F.col("size") > block, F.pmod(F.xxhash64("key"), blocks)).otherwise(F.lit(0).cast("long")))
-    members = s.save(members.select("g", "block", "key", "n", "tokens", "size", "pivot"))
-    # inside the groups: every block has the group's pivot
-    alone = members.where("size > 1")
-    pivots = alone.where(f"size > {block} and key = pivot").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / block) - 1)).alias("at"), "key", "tokens", F.col("block").alias("own"))
-    pivots = pivots.where("at <> own").select("g", F.col("at").alias("block"), "key", "tokens")
-    inside = alone.select("g", "block", "key", "tokens").unionByName(pivots)
-    inside = s.save(group_edges(inside.withColumn("label", F.col("key")).withColumn("asks", F.lit(-1)), threshold))
-    now = s.save(components(inside, s))
-    label = s.save(home.join(now.withColumnRenamed("node", "key"), "key", "left").select("key", "g", "n", F.coalesce("root", "key").alias("label")))
-    state = groups.join(label.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "g")
-    state = s.save(state.join(label.select(F.col("key").alias("pivot"), F.col("label").alias("pivot_label")), "pivot"))
+    num, den = threshold.numerator, threshold.denominator
     # the matrix, and who asks which group
     matrix = s.save(met.join(home.select("key", "g"), "key").select("token", "g").distinct())
     asks = met.select("token", "key").join(matrix, "token").select("key", "g").distinct()
-    own = label.join(groups.select("g", F.col("size").alias("own_size")), "g").select("key", "n", "label", F.col("g").alias("own"), "own_size")
-    asks = asks.join(s.save(own), "key").join(state, "g")
-    num, den = threshold.numerator, threshold.denominator
+    own = home.join(groups.select("g", F.col("size").alias("own_size")), "g").select("key", "n", "sketch", F.col("g").alias("own"), "own_size")
+    asks = asks.join(s.save(own), "key").join(groups, "g")
     reach = (F.col("n") * den >= num * F.col("n_min")) & (F.col("n_max") * den >= num * F.col("n"))
-    elsewhere = (F.col("g") != F.col("own")) & (F.struct("size", "g") > F.struct(F.col("own_size").alias("size"), F.col("own").alias("g")))
-    again = (F.col("g") == F.col("own")) & (F.col("size") > block) & (F.col("label") != F.col("pivot_label"))
-    known = (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("label"))
-    asks = s.save(asks.where(reach & (elsewhere | again) & ~known).select("g", "key", "label", "size"))
-    opened = s.save(asks.groupBy("g").agg(F.count("*").alias("askers")))
-    if opened.limit(1).count():
-        n_ask = F.ceil(F.col("askers") / block)
-        n_mem = F.ceil(F.col("size") / block)
-        side = lambda k, n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias(k)
-        labelled = members.join(opened, "g").join(label.select("key", "label"), "key")
-        left = labelled.select("g", F.col("block").alias("m"), side("q", n_ask), "key", "tokens", "label", F.lit(0).alias("asks"))
-        right = asks.join(opened, "g").withColumn("q", F.when(F.col("askers") > block, F.pmod(F.xxhash64("key"), n_ask)).otherwise(F.lit(0).cast("long")))
-        right = right.join(members.select("key", "tokens"), "key").select("g", side("m", n_mem), "q", "key", "tokens", "label", F.lit(1).alias("asks"))
-        both = left.unionByName(right).withColumn("block", (F.col("m") * (1 << 32) + F.col("q")))
-        across = s.save(group_edges(both, threshold).unionByName(inside))
-        now = s.save(components(across, s))
+    larger = (F.col("g") != F.col("own")) & (F.struct("size", "g") > F.struct(F.col("own_size").alias("size"), F.col("own").alias("g")))
+    asks = s.save(asks.where(reach & larger).select("g", "key", "n", "sketch"))
+    blocks = F.ceil(F.col("size") / block)
+    part = F.when(F.col("size") > block, F.pmod(F.xxhash64("key"), blocks)).otherwise(F.lit(0).cast("long"))
+    members = home.join(groups, "g").withColumn("block", part)
+    # who can have a link at all; in groups of several blocks, everyone
+    inside = within_reach(members.where(f"size between 2 and {block}").withColumn("asks", F.lit(-1)), threshold)
+    large = members.where(f"size > {block}").select("g", "key", F.lit(-1).alias("asks"))
+    outside = within_reach(_grid(home.select("g", "key", "n", "sketch"), asks, block, "n", "sketch"), threshold)
+    live = s.save(inside.unionByName(large).unionByName(outside))
+    # the sets of one row of each such class
+    keys = live.select("key").distinct()
+    wanted = s.save(home.join(keys, "key").select("key", "doc_id"))
+    text = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = s.save(full_sets(text, shingle).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    # inside the groups: every block has the group's pivot
+    near = live.where("asks = -1").select("g", "key").join(groups.select("g", "size", "pivot"), "g").withColumn("block", part)
+    pivots = near.where(f"size > {block} and key = pivot").select("g", "key", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    near = near.select("g", "block", "key").unionByName(pivots.where("block <> own").select("g", "block", "key")).join(sets, "key")
+    found = s.save(group_edges(near.withColumn("label", F.col("key")).withColumn("asks", F.lit(-1)), threshold))
+    now = s.save(components(found, s))
+    label = s.save(keys.join(now.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("label")))
+    # across groups, and from what the pivot of a large group does not link to all of its blocks
+    member = live.where("asks <= 0").select("g", "key").distinct().join(label, "key")
+    asker = live.where("asks = 1").select("g", "key").join(label, "key")
+    of_pivot = label.select(F.col("key").alias("pivot"), F.col("label").alias("pivot_label"))
+    alone = member.join(groups.where(f"size > {block}").select("g", "pivot"), "g").join(of_pivot, "pivot").where("label <> pivot_label")
+    asker = s.save(asker.unionByName(alone.select("g", "key", "label")))
+    member = s.save(member)
+    one = member.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    asker = s.save(asker.join(one, "g").where("not (lo = hi and lo = label)").select("g", "key", "label"))
+    if asker.limit(1).count():
+        both = _grid(member, asker, block, "label").join(sets, "key")
+        found = s.save(group_edges(both, threshold).unionByName(found))
+        now = s.save(components(found, s))
     root = rows.groupBy("key").agg(F.min("doc_id").alias("least")).join(now.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     root = s.save(root)
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = s.save(root.join(least, "root").select("key", "component_id"))
-    out = rows.join(found, "key", "left")
+    final = s.save(root.join(least, "root").select("key", "component_id"))
+    out = rows.join(final, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
