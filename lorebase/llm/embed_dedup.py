@@ -8,7 +8,8 @@ d, home c, a partner in cell d implies ``x . (c - d) <= |c - d| * sin(angle)``.
 That makes the cells exact: no linked pair is missed, whatever the centres.
 
 In a cell, blocks of members meet blocks of askers in one matrix product each
-(single precision, what comes near the threshold again in double).  A block
+(single precision, what comes near the threshold again in double).  Vectors
+travel as the bytes they are stored in.  A block
 pair gives one count per asker and a spanning forest of its links, never the
 pairs, so a group of close vectors costs rows in its size.
 
@@ -33,41 +34,53 @@ from .ngram_join import runs_of
 
 THRESHOLD = 0.95
 #: Vectors that centres are fitted on, at most; rows of a block; centres, at most.
-SAMPLE, BLOCK, CENTRES = 20_000, 2048, 512
+SAMPLE, BLOCK, CENTRES = 20_000, 8192, 1024
 #: Vectors for each centre, about.
-PER_CELL = 1000
-
-
-def _matrix(column: pa.Array) -> list[np.ndarray | None]:
-    """For each row its vector in double precision, or None if it links with nothing."""
-    out = []
-    for v in column.to_pylist():
-        x = None
-        if v and None not in v:
-            x = np.array(v, dtype=np.float64)
-            if not np.isfinite(x).all() or not x.any():
-                x = None
-        out.append(x)
+PER_CELL = 8192
+
+
+def _rows(column: pa.Array, kind: str) -> list[np.ndarray | None]:
+    """Each row's vector, or None if it links with nothing."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)  # null components become NaN
+    missing = column.is_null().to_numpy(zero_copy_only=False)
+    out: list[np.ndarray | None] = []
+    for a, b, none in zip(offsets[:-1], offsets[1:], missing):
+        x = values[a:b]
+        out.append(None if none or not np.isfinite(x).all() or not x.any() else x + 0)
     return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max()  # squares neither overflow nor vanish
-    return x / np.sqrt((x * x).sum())
+    """The rows of x in double precision with length 1."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def vector_classes(rows: DataFrame, name: str = "vec_id") -> DataFrame:
-    """vec_id, key (null: links with nothing), unit of every row."""
+def _stack(column: pa.Array, kind: str) -> np.ndarray:
+    """Rows of equal length, from their bytes."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1)
+
+
+def kind_of(rows: DataFrame) -> str:
+    """How vectors travel: as float32 where they are stored so."""
+    return "<f4" if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
+def vector_classes(rows: DataFrame, kind: str) -> DataFrame:
+    """vec_id, key (null: links with nothing), raw (the vector's bytes) of every row."""
 
     def run(batches):
         for b in batches:
-            keys, units = [], []
-            for x in _matrix(b.column(1)):
-                keys.append(None if x is None else hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest())
-                units.append(None if x is None else _unit(x))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, type=pa.binary()), pa.array(units, type=pa.list_(pa.float64()))], names=["vec_id", "key", "unit"])
+            raw = [None if x is None else x.tobytes() for x in _rows(b.column(1), kind)]
+            keys = [None if x is None else hashlib.blake2b(x, digest_size=16).digest() for x in raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, type=pa.binary()), pa.array(raw, type=pa.binary())], names=["vec_id", "key", "raw"])
 
-    return rows.select(F.col(name).cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).mapInArrow(run, "vec_id long, key binary, unit array<double>")
+    element = "float" if kind == "<f4" else "double"
+    slim = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{element}>").alias("embedding"))
+    return slim.mapInArrow(run, "vec_id long, key binary, raw binary")
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -82,30 +95,29 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return np.unique(c, axis=0)
 
 
-def centres_of(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """For each length of vectors, its centres; fitted on at most SAMPLE classes, taken by least key."""
-    rows = classes.orderBy("key").limit(SAMPLE).select("unit").toArrow().column(0).to_pylist()
+def centres_of(classes: DataFrame, n: int, kind: str) -> dict[int, np.ndarray]:
+    """For each length of vectors in bytes, its centres; fitted on at most SAMPLE classes, taken by least key."""
+    rows = classes.orderBy("key").limit(SAMPLE).select("raw").toArrow().column(0).to_pylist()
     out = {}
     for d in {len(r) for r in rows}:
-        x = np.array([r for r in rows if len(r) == d], dtype=np.float64)
+        x = _unit(np.array([np.frombuffer(r, dtype=kind) for r in rows if len(r) == d]))
         k = int(min(CENTRES, max(1, n * len(x) / len(rows) / PER_CELL), len(x)))
         out[d] = spherical_kmeans(x, k)
     return out
 
 
-def placed(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """cell, home, key, weight, unit: every class in its own cell (home) and in those that it asks."""
+def placed(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float, kind: str) -> DataFrame:
+    """cell, home, key, weight, raw: every class in its own cell (home) and in those that it asks."""
     held = classes.sparkSession.sparkContext.broadcast(centres)
     sine = float(np.sqrt(1 - threshold**2)) + 1e-6
 
     def run(batches):
         for b in batches:
-            lens = np.array([len(u) for u in b.column(2).to_pylist()]) if b.num_rows else np.zeros(0)
-            for d in np.unique(lens):
-                idx = np.flatnonzero(lens == d)
-                part = b.take(pa.array(idx))
-                x = np.array(part.column(2).to_pylist(), dtype=np.float64)
-                c = held.value.get(int(d), np.zeros((1, int(d))))
+            lens = pa.compute.binary_length(b.column(2)).to_numpy(zero_copy_only=False)
+            for d in np.unique(lens).tolist():
+                part = b.take(pa.array(np.flatnonzero(lens == d)))
+                x = _unit(_stack(part.column(2), kind))
+                c = held.value.get(d, np.zeros((1, x.shape[1])))
                 dots = x @ c.T
                 own = np.argmax(dots, axis=1)
                 apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
@@ -113,12 +125,12 @@ def placed(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float)
                 near[np.arange(len(x)), own] = True
                 row, cell = np.nonzero(near)
                 out = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array([f"{int(d)}:{i}" for i in cell]), pa.array(cell == own[row]), *out.columns], names=["cell", "home", "key", "weight", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{d}:{i}" for i in cell]), pa.array(cell == own[row]), *out.columns], names=["cell", "home", "key", "weight", "raw"])
 
-    return classes.select("key", "weight", "unit").mapInArrow(run, "cell string, home boolean, key binary, weight long, unit array<double>")
+    return classes.select("key", "weight", "raw").mapInArrow(run, "cell string, home boolean, key binary, weight long, raw binary")
 
 
-def cell_links(rows: DataFrame, threshold: float) -> DataFrame:
+def cell_links(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
     """key, links (weights of linked members), to (the root of a spanning forest) of askers and members in each (cell, block)."""
 
     def run(batches):
@@ -126,7 +138,7 @@ def cell_links(rows: DataFrame, threshold: float) -> DataFrame:
             member = np.array(t.column("member").to_pylist())
             keys = t.column("key").to_pylist()
             weight = np.array(t.column("weight").to_pylist(), dtype=np.int64)
-            x = np.array(t.column("unit").to_pylist(), dtype=np.float64)
+            x = _unit(_stack(t.column("raw"), kind))
             m, a = np.flatnonzero(member), np.flatnonzero(~member)
             if not len(m) or not len(a):
                 continue
@@ -138,13 +150,17 @@ def cell_links(rows: DataFrame, threshold: float) -> DataFrame:
             for lo in range(0, len(a), 256):
                 rows = a[lo : lo + 256]
                 cos = x[rows].astype(np.float32) @ xm
+                some = np.flatnonzero(cos.max(axis=1) >= threshold - 1e-4)
+                if not len(some):
+                    continue
+                cos, rows = cos[some], rows[some]
                 hit = cos >= threshold + 1e-4
                 r, c = np.nonzero(~hit & (cos >= threshold - 1e-4))
                 for f in range(0, len(r), 65_536):
                     g = slice(f, f + 65_536)
                     hit[r[g], c[g]] = np.einsum("ij,ij->i", x[rows[r[g]]], x[m[c[g]]]) >= threshold
                 hit &= node[rows][:, None] != node[m]
-                links[lo : lo + 256] = hit @ weight[m]
+                links[lo + some] = hit @ weight[m]
                 for i in np.flatnonzero(hit.any(axis=1)):
                     met = np.unique(root[np.append(node[m[hit[i]]], node[rows[i]])])
                     if len(met) > 1:
@@ -163,19 +179,20 @@ def cell_links(rows: DataFrame, threshold: float) -> DataFrame:
 def near_copies(rows: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``rows`` (vec_id, embedding)."""
     s = Scratch(rows.sparkSession)
-    every = s.save(vector_classes(rows))
-    classes = every.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"))
+    kind = kind_of(rows)
+    every = s.save(vector_classes(rows, kind))
+    classes = every.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("raw").alias("raw"))
     classes = s.save(classes)
-    here = s.save(placed(classes, centres_of(classes, classes.count()), threshold))
+    here = s.save(placed(classes, centres_of(classes, classes.count(), kind), threshold, kind))
     sizes = here.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("members"), F.count("*").alias("askers"))
     sizes = s.save(sizes.where("members > 0").select("cell", F.ceil(F.col("members") / block).alias("bm"), F.ceil(F.col("askers") / block).alias("ba")))
     both = here.join(sizes, "cell")
     every_block = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     m = both.where("home").withColumn("x", F.pmod(F.xxhash64("key"), F.col("bm"))).withColumn("y", every_block(F.col("ba")))
     a = both.withColumn("y", F.pmod(F.xxhash64("key"), F.col("ba"))).withColumn("x", every_block(F.col("bm")))
-    cols = ["cell", (F.col("x") * (1 << 31) + F.col("y")).alias("block"), "key", "weight", "unit"]
+    cols = ["cell", (F.col("x") * (1 << 31) + F.col("y")).alias("block"), "key", "weight", "raw"]
     pairs = m.select(*cols, F.lit(True).alias("member")).unionByName(a.select(*cols, F.lit(False).alias("member")))
-    found = s.save(cell_links(pairs, threshold))
+    found = s.save(cell_links(pairs, threshold, kind))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.where("to is not null").select(F.col("key").alias("a"), F.col("to").alias("b")), s)
     state = classes.select("key", "weight", "least").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
