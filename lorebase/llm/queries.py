@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, line_dedup, mixing, ngram_join, quality_gam, quality_rules, sentencepiece, toxicity, url_filter
+from . import embed_dedup, line_dedup, mixing, ngram_join, quality_gam, quality_rules, sentencepiece, suffix_dedup, toxicity, url_filter
 from .common import read
 
 
@@ -32,6 +32,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op7_report(read(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op8_report(read(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_quality_gam, op4_embed_dedup, op5_url_filter, op6_ngram_join, op8_line_dedup, op9_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_quality_gam, op4_embed_dedup, op5_url_filter, op6_ngram_join, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_quality_rules)}
 SQL = {"op1_mixing": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
