@@ -5,13 +5,12 @@ Two classes whose Jaccard similarity reaches the threshold share a token among
 the first ``n - ceil(threshold * n) + 1`` of each one's tokens, in any order
 common to all (here: rare tokens first, see ``frequent_tokens``).
 
-* Groups: a class belongs to the group of the least of its shared first
-  tokens, so close copies mostly land in one group.
+* Groups: a class belongs to the group of the least of all its tokens, so two
+  classes are in one group as often as they are similar.
 * Matrix: (token, group) holds the union of the members' first tokens, and
   each group the range of its members' sizes.
-* Bound: a class meets the groups whose union has one of its first tokens and
-  whose sizes are in reach; of two groups that meet, only the smaller one's
-  members ask.
+* Bound: two groups meet if their unions share a first token and their sizes
+  are in reach; the smaller one's members in reach ask the larger group.
 * Sketch: each set has the numbers of its tokens in 256 ranges of the hash.
   The smaller ones of two sketches, summed, bound the intersection from above;
   classes that no other one in their group, or in a group that they ask, can
@@ -46,8 +45,8 @@ from .components import components
 SHINGLE, THRESHOLD = 4, Fraction(85, 100)
 #: Members of a group that one task holds.
 BLOCK = 256
-#: Tokens in so many documents count as frequent; so many of them are known to all tasks (1.5 MB).
-FREQUENT, KNOWN = 32, 100_000
+#: Tokens in so many documents count as frequent; so many of them are known to all tasks (5 MB).
+FREQUENT, KNOWN = 32, 300_000
 #: Only tokens below this share of the hash range are counted: first tokens rarely lie above it.
 COUNTED = 0.25
 
@@ -102,14 +101,14 @@ def sketch(tokens: np.ndarray) -> bytes | None:
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n, key, sketch of every row: its set's size, hash and sketch."""
+    """doc_id, n, key, least, sketch of every row: its set's size, hash, least token and sketch."""
 
     def run(batches):
         for b in slices(batches, "text"):
             sets = token_sets(byte_texts(b.column(1)), shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], type=pa.int64()), _signed([set_key(s) for s in sets]), pa.array([sketch(s) for s in sets], type=pa.binary())], names=["doc_id", "n", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], type=pa.int64()), _signed([set_key(s) for s in sets]), _signed([s[0] if len(s) else 0 for s in sets]), pa.array([sketch(s) for s in sets], type=pa.binary())], names=["doc_id", "n", "key", "least", "sketch"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, sketch binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, least long, sketch binary")
 
 
 def frequent_tokens(docs: DataFrame, shingle: int = SHINGLE) -> dict[int, int]:
@@ -338,19 +337,20 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: Fract
     # tokens of two classes or more: the least and the greatest key differ
     shared = s.save(first.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token"))
     met = s.save(first.join(shared, "token").distinct())
-    home = met.groupBy("key").agg(F.min("token").alias("g"), F.first("n").alias("n"))
-    sketches = rows.groupBy("key").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
-    home = s.save(home.join(sketches, "key"))
+    own = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("least").alias("g"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+    home = s.save(own.join(met.select("key").distinct(), "key", "left_semi"))
     groups = s.save(home.groupBy("g").agg(F.count("*").alias("size"), F.min("key").alias("pivot"), F.min("n").alias("n_min"), F.max("n").alias("n_max")))
     num, den = threshold.numerator, threshold.denominator
-    # the matrix, and who asks which group
-    matrix = s.save(met.join(home.select("key", "g"), "key").select("token", "g").distinct())
-    asks = met.select("token", "key").join(matrix, "token").select("key", "g").distinct()
-    own = home.join(groups.select("g", F.col("size").alias("own_size")), "g").select("key", "n", "sketch", F.col("g").alias("own"), "own_size")
-    asks = asks.join(s.save(own), "key").join(groups, "g")
+    # the matrix, which groups meet, and who asks which group
+    matrix = met.join(home.select("key", "g"), "key").select("token", "g").distinct()
+    matrix = s.save(matrix.join(groups.select("g", "size", "n_min", "n_max"), "g"))
+    one, two = matrix.alias("one"), matrix.alias("two")
+    order = F.struct(F.col("one.size").alias("size"), F.col("one.g").alias("g")) < F.struct(F.col("two.size").alias("size"), F.col("two.g").alias("g"))
+    near = (F.col("one.n_max") * den >= num * F.col("two.n_min")) & (F.col("two.n_max") * den >= num * F.col("one.n_min"))
+    meet = one.join(two, (F.col("one.token") == F.col("two.token")) & order & near)
+    meet = s.save(meet.select(F.col("one.g").alias("own"), F.col("two.g").alias("g"), F.col("two.n_min").alias("n_min"), F.col("two.n_max").alias("n_max")).distinct())
     reach = (F.col("n") * den >= num * F.col("n_min")) & (F.col("n_max") * den >= num * F.col("n"))
-    larger = (F.col("g") != F.col("own")) & (F.struct("size", "g") > F.struct(F.col("own_size").alias("size"), F.col("own").alias("g")))
-    asks = s.save(asks.where(reach & larger).select("g", "key", "n", "sketch"))
+    asks = meet.join(home.select(F.col("g").alias("own"), "key", "n", "sketch"), "own").where(reach).select("g", "key", "n", "sketch")
     blocks = F.ceil(F.col("size") / block)
     part = F.when(F.col("size") > block, F.pmod(F.xxhash64("key"), blocks)).otherwise(F.lit(0).cast("long"))
     members = home.join(groups, "g").withColumn("block", part)
