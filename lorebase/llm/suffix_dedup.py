@@ -19,8 +19,11 @@ A byte goes if a string of LENGTH bytes that covers it also starts elsewhere.
   instead of being sorted.  Classes come from a shuffle with map-side counts,
   which has no hot range, where a global suffix order would have one.
 
-Hashes are 64 bits of a polynomial over random byte values; windows are
-compared under their trigger string's hash as well.
+Hashes are 64 bits of a polynomial over random byte values; a window's hash is
+mixed with its trigger string's.
+
+Tasks get filters of FILTER_BITS bits that tell them which phrases and windows
+cannot matter.  They only save shuffles: whatever passes is joined exactly.
 
 Texts are UTF-8 bytes; null is empty; texts shorter than LENGTH keep all.
 Equal texts have equal results, which is how spans find their rows, whatever
@@ -120,53 +123,66 @@ def phrase_keys(docs: DataFrame, length: int) -> DataFrame:
     return _parse(docs, length, lambda p, _: [_signed(p.anchor), _signed(p.phrase)], "anchor long, phrase long")
 
 
-def phrases(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, phrase, text_hash, lo, hi of every phrase; its windows start from lo to hi in the text."""
+def _bit(h: np.ndarray) -> np.ndarray:
+    return (mix64(h.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-    def emit(p, text_hash):
-        begin = p.begin[p.doc]
-        return [_signed(p.anchor), _signed(p.phrase), pa.array(text_hash[p.doc]), pa.array(p.lo - begin), pa.array(p.hi - begin)]
 
-    return _parse(docs, length, emit, "anchor long, phrase long, text_hash long, lo long, hi long")
+def _place(phrase: np.ndarray, text_hash: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """A hash of a phrase at a place."""
+    return phrase.view(np.uint64) ^ mix64(text_hash.view(np.uint64) + np.uint64(3)) + mix64(lo.astype(np.uint64))
 
 
-def _place(phrase: np.ndarray, text_hash: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """The bit of the filter for a phrase at a place."""
-    h = mix64(phrase.view(np.uint64) ^ mix64(text_hash.view(np.uint64) + np.uint64(3)) + mix64(lo.astype(np.uint64)))
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _passes(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = _bit(h)
+    return ((known[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1).astype(bool)
 
 
-def filter_of(rows: DataFrame) -> np.ndarray:
-    """A filter of the places of ``rows`` (phrase, text_hash, lo): 2**FILTER_BITS bits, however many rows."""
+def filter_of(rows: DataFrame, *columns: str) -> np.ndarray:
+    """A filter of one hash (or of the places: phrase, text_hash, lo) of ``rows``: 2**FILTER_BITS bits, however many rows."""
 
     def run(batches):
         for b in batches:
-            bit = _place(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+            v = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+            bit = _bit(v[0] if len(v) == 1 else _place(*v))
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 5), pa.array(np.int64(1) << (bit & 31))], names=["word", "bits"])
 
-    words = rows.select("phrase", "text_hash", "lo").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = rows.select(*columns).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
     out[np.array(words.column(0), dtype=np.int64)] = np.array(words.column(1), dtype=np.int64).astype(np.uint32)
     return out
 
 
-def windows(docs: DataFrame, wanted: np.ndarray, length: int) -> DataFrame:
-    """anchor, window, phrase, text_hash, lo, at of the windows of phrases at places in the filter."""
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
+def phrases(docs: DataFrame, anchors: np.ndarray, length: int) -> DataFrame:
+    """anchor, phrase, text_hash, lo, hi of the phrases whose anchor passes a filter; their windows start from lo to hi in the text."""
+    held = docs.sparkSession.sparkContext.broadcast(anchors)
+
+    def emit(p, text_hash):
+        own = np.flatnonzero(_passes(held.value, p.anchor))
+        begin = p.begin[p.doc[own]]
+        return [_signed(p.anchor[own]), _signed(p.phrase[own]), pa.array(text_hash[p.doc[own]]), pa.array(p.lo[own] - begin), pa.array(p.hi[own] - begin)]
+
+    return _parse(docs, length, emit, "anchor long, phrase long, text_hash long, lo long, hi long")
+
+
+def windows(docs: DataFrame, places: np.ndarray, length: int, known: np.ndarray | None = None) -> DataFrame:
+    """window, text_hash, at of the windows of phrases at places in a filter; of those in the filter ``known`` if given."""
+    held = docs.sparkSession.sparkContext.broadcast((places, known))
 
     def emit(p, text_hash):
-        begin = p.begin[p.doc]
-        bit = _place(p.phrase.view(np.int64), text_hash[p.doc], p.lo - begin)
-        own = np.flatnonzero((held.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1)
+        places, known = held.value
+        own = np.flatnonzero(_passes(places, _place(p.phrase, text_hash[p.doc], p.lo - p.begin[p.doc])))
         if not len(own):
             return None
         many = p.hi[own] - p.lo[own] + 1
         i = np.repeat(own, many)
         at = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + p.lo[i]
-        w = mix64(p.hash(at, at + length))
-        return [_signed(p.anchor[i]), _signed(w), _signed(p.phrase[i]), pa.array(text_hash[p.doc[i]]), pa.array((p.lo - begin)[i]), pa.array(at - begin[i])]
+        w = mix64(p.hash(at, at + length) ^ mix64(p.anchor[i]))
+        if known is not None:
+            ok = _passes(known, w)
+            i, at, w = i[ok], at[ok], w[ok]
+        return [_signed(w), pa.array(text_hash[p.doc[i]]), pa.array(at - p.begin[p.doc[i]])]
 
-    return _parse(docs, length, emit, "anchor long, window long, phrase long, text_hash long, lo long, at long")
+    return _parse(docs, length, emit, "window long, text_hash long, at long")
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -177,20 +193,19 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     s = Scratch(docs.sparkSession)
     by = phrase_keys(docs, length).groupBy("anchor").agg(F.count("*").alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi"))
     again = s.save(by.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")))
-    rows = s.save(phrases(docs, length).join(again, "anchor"))
+    rows = s.save(phrases(docs, filter_of(again, "anchor"), length).join(again, "anchor"))
     whole = rows.where("not mixed").select("text_hash", "lo", "hi")
     # groups of phrases that share a trigger string: what each phrase is and how often it is found
     kinds = s.save(rows.where("mixed").groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("text_hash", "lo", "hi")).alias("at")))
-    twice = kinds.where("n > 1").select(F.col("phrase").alias("p"))
-    twice = s.save(twice.distinct())
+    twice = s.save(kinds.where("n > 1").select(F.col("phrase").alias("p")).distinct())
     whole = whole.unionByName(rows.where("mixed").join(twice, F.col("phrase") == F.col("p"), "left_semi").select("text_hash", "lo", "hi"))
     edges = s.save(kinds.where("n = 1").select("anchor").distinct())
-    apart = s.save(kinds.join(edges, "anchor", "left_semi").select("anchor", "phrase", "n", "at.text_hash", "at.lo"))
-    found = windows(docs, filter_of(apart), length)
-    key = apart.select(F.col("phrase").alias("p"), F.col("text_hash").alias("t"), F.col("lo").alias("l"), "n")
-    found = s.save(found.join(key, (F.col("phrase") == F.col("p")) & (F.col("text_hash") == F.col("t")) & (F.col("lo") == F.col("l"))).select("anchor", "window", "text_hash", "at", "n"))
-    same = s.save(found.groupBy("anchor", "window").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("a"), F.col("window").alias("w")))
-    edge = found.where("n = 1").join(same, (F.col("anchor") == F.col("a")) & (F.col("window") == F.col("w")), "left_semi").select("text_hash", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    apart = s.save(kinds.join(edges, "anchor", "left_semi").select("phrase", "at.text_hash", "at.lo"))
+    places = filter_of(apart, "phrase", "text_hash", "lo")
+    # every row is a window of the corpus, so two of a kind are a repeat, whatever else passed the filter
+    same = s.save(windows(docs, places, length).groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select(F.col("window").alias("w")))
+    found = windows(docs, places, length, filter_of(same, "w"))
+    edge = found.join(same, F.col("window") == F.col("w"), "left_semi").select("text_hash", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return whole.unionByName(edge).distinct().groupBy("text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
 
