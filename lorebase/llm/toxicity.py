@@ -245,7 +245,12 @@ def greedy_cover(toxic: list[set[str]], clean: list[set[str]]) -> list[tuple[str
             texts[p].add(i)
     least = max(3, len(toxic) // 100)
     texts = {p: s for p, s in texts.items() if len(s) >= least}
-    marks = [tuple(min((zlib.crc32(f"{k}{w}".encode()) for w in t if w not in had), default=0) for k in "abcd") for t in toxic]
+    marks = []
+    for t in toxic:
+        own = [w for w in t if w not in had]
+        if len(own) < 5:  # too few words to tell copies by
+            own = [" ".join(sorted(t))]
+        marks.append([min(zlib.crc32(f"{k}{w}".encode()) for w in own) for k in "abcd"])
     texts = {p: s for p, s in texts.items() if max(len({marks[i][k] for i in s}) for k in range(4)) >= max(least, 0.5 * len(s))}
     against, firsts = Counter(), {p[1:4] for p in texts}
     for t in clean:
