@@ -56,7 +56,7 @@ def engine(spark, tmp_path):
 
 
 def test_store_search_and_history(spark, engine):
-    rows = [("1", "Python Programming", "a guide", ["work", "code"], [1.0, 0.0]), ("2", "JavaScript Guide", "for the web", ["code"], [0.0, 1.0]), ("3", "Apple", "Fruit content", ["Personal"], None)]
+    rows = [("1", "Python Programming", "a guide", ["work", "code"], [1.0, 0.0]), ("2", "JavaScript Guide", "for the web", ["code"], [0.0, 1.0]), ("3", "Apple", "Fruit content", [], None)]
     df = spark.createDataFrame(rows, "id string, title string, summary string, tags array<string>, embedding array<float>")
     assert {r.action for r in engine.store(df, NOW).collect()} == {"StoredNew"}
     assert [r.id for r in engine.search("Python programming", NOW, reinforce=False)][0] == "1"
@@ -75,7 +75,7 @@ def test_store_search_and_history(spark, engine):
     assert v[0].action == "StoredNew" or v[0].action == "ReinforcedExisting"
     engine.update(spark.createDataFrame([("2", "TypeScript Guide")], "id string, title string"))
     assert engine.get("2", NOW, reinforce=False).title == "TypeScript Guide"
-    assert engine.tag_history("personal", NOW).first().status == "CURRENT"
+    assert engine.tag_history("WORK", NOW).first().status == "CURRENT"
     assert engine.delete(["3", "none"]) == 1 and engine.get("3", NOW) is None
     with pytest.raises(ValueError):
         engine.store(spark.createDataFrame([("", "x")], "title string, summary string"), NOW)
