@@ -16,7 +16,8 @@ common to all (here: rare tokens first, see ``frequent_tokens``).
   classes that no other one in their group, or in a group that they ask, can
   reach the threshold with are left out before any set is moved.
 * Open: members are compared exactly inside their group, then against the
-  groups that they ask, unless group and asker are already one component.
+  largest group that theirs meets, then against the others -- but not where
+  asker and group, or both groups, are already one component.
 
 Large groups are cut into blocks of BLOCK members, each with the group's
 pivot; members that the pivot does not link ask all blocks of their group.
@@ -348,42 +349,66 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: Fract
     order = F.struct(F.col("one.size").alias("size"), F.col("one.g").alias("g")) < F.struct(F.col("two.size").alias("size"), F.col("two.g").alias("g"))
     near = (F.col("one.n_max") * den >= num * F.col("two.n_min")) & (F.col("two.n_max") * den >= num * F.col("one.n_min"))
     meet = one.join(two, (F.col("one.token") == F.col("two.token")) & order & near)
-    meet = s.save(meet.select(F.col("one.g").alias("own"), F.col("two.g").alias("g"), F.col("two.n_min").alias("n_min"), F.col("two.n_max").alias("n_max")).distinct())
+    meet = s.save(meet.select(F.col("one.g").alias("own"), F.col("two.g").alias("g"), F.col("two.size").alias("size"), F.col("two.n_min").alias("n_min"), F.col("two.n_max").alias("n_max")).distinct())
     reach = (F.col("n") * den >= num * F.col("n_min")) & (F.col("n_max") * den >= num * F.col("n"))
-    asks = meet.join(home.select(F.col("g").alias("own"), "key", "n", "sketch"), "own").where(reach).select("g", "key", "n", "sketch")
+    first_choice = meet.groupBy("own").agg(F.max(F.struct("size", "g"))["g"].alias("g"))
     blocks = F.ceil(F.col("size") / block)
     part = F.when(F.col("size") > block, F.pmod(F.xxhash64("key"), blocks)).otherwise(F.lit(0).cast("long"))
     members = home.join(groups, "g").withColumn("block", part)
+
+    def asked(meets: DataFrame) -> DataFrame:
+        """g, key, asks of the members and askers of the groups in ``meets`` that can link."""
+        asks = meets.join(home.select(F.col("g").alias("own"), "key", "n", "sketch"), "own").where(reach).select("g", "key", "n", "sketch")
+        return within_reach(_grid(home.select("g", "key", "n", "sketch"), asks, block, "n", "sketch"), threshold)
+
+    def with_sets(live: DataFrame) -> DataFrame:
+        """key, tokens of the classes in ``live``, from one row of each."""
+        wanted = s.save(home.join(live.select("key").distinct(), "key").select("key", "doc_id"))
+        text = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+        return s.save(full_sets(text, shingle).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+
+    def labels(now: DataFrame) -> DataFrame:
+        return s.save(home.select("key", "g").join(now.withColumnRenamed("node", "key"), "key", "left").select("key", "g", F.coalesce("root", "key").alias("label")))
+
+    def across(live: DataFrame, sets: DataFrame, label: DataFrame, more: DataFrame | None, found: DataFrame, now: DataFrame):
+        """Links of askers with the groups that they ask; ``more`` are further askers (g, key, label)."""
+        label = label.select("key", "label")
+        member = live.where("asks <= 0").select("g", "key").distinct().join(label, "key")
+        asker = live.where("asks = 1").select("g", "key").join(label, "key")
+        if more is not None:
+            asker = asker.unionByName(more)
+        state = member.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        asker = s.save(asker.join(state, "g").where("not (lo = hi and lo = label)").select("g", "key", "label"))
+        if not asker.limit(1).count():
+            return found, now
+        both = _grid(s.save(member), asker, block, "label").join(sets, "key")
+        found = s.save(group_edges(both, threshold).unionByName(found))
+        return found, s.save(components(found, s))
+
     # who can have a link at all; in groups of several blocks, everyone
     inside = within_reach(members.where(f"size between 2 and {block}").withColumn("asks", F.lit(-1)), threshold)
     large = members.where(f"size > {block}").select("g", "key", F.lit(-1).alias("asks"))
-    outside = within_reach(_grid(home.select("g", "key", "n", "sketch"), asks, block, "n", "sketch"), threshold)
-    live = s.save(inside.unionByName(large).unionByName(outside))
-    # the sets of one row of each such class
-    keys = live.select("key").distinct()
-    wanted = s.save(home.join(keys, "key").select("key", "doc_id"))
-    text = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = s.save(full_sets(text, shingle).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    live = s.save(inside.unionByName(large).unionByName(asked(meet.join(first_choice, ["own", "g"], "left_semi"))))
+    sets = with_sets(live)
     # inside the groups: every block has the group's pivot
     near = live.where("asks = -1").select("g", "key").join(groups.select("g", "size", "pivot"), "g").withColumn("block", part)
     pivots = near.where(f"size > {block} and key = pivot").select("g", "key", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
     near = near.select("g", "block", "key").unionByName(pivots.where("block <> own").select("g", "block", "key")).join(sets, "key")
     found = s.save(group_edges(near.withColumn("label", F.col("key")).withColumn("asks", F.lit(-1)), threshold))
     now = s.save(components(found, s))
-    label = s.save(keys.join(now.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("label")))
-    # across groups, and from what the pivot of a large group does not link to all of its blocks
-    member = live.where("asks <= 0").select("g", "key").distinct().join(label, "key")
-    asker = live.where("asks = 1").select("g", "key").join(label, "key")
+    label = labels(now)
+    # what the pivot of a large group does not link asks all of the group's blocks
     of_pivot = label.select(F.col("key").alias("pivot"), F.col("label").alias("pivot_label"))
-    alone = member.join(groups.where(f"size > {block}").select("g", "pivot"), "g").join(of_pivot, "pivot").where("label <> pivot_label")
-    asker = s.save(asker.unionByName(alone.select("g", "key", "label")))
-    member = s.save(member)
-    one = member.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    asker = s.save(asker.join(one, "g").where("not (lo = hi and lo = label)").select("g", "key", "label"))
-    if asker.limit(1).count():
-        both = _grid(member, asker, block, "label").join(sets, "key")
-        found = s.save(group_edges(both, threshold).unionByName(found))
-        now = s.save(components(found, s))
+    apart = label.join(groups.where(f"size > {block}").select("g", "pivot"), "g").join(of_pivot, "pivot").where("label <> pivot_label").select("g", "key", "label")
+    found, now = across(live, sets, label, apart, found, now)
+    # the other groups, unless both are one component
+    label = labels(now)
+    state = s.save(label.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
+    mine = state.select(F.col("g").alias("own"), F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi"))
+    rest = meet.join(first_choice, ["own", "g"], "left_anti").join(state, "g").join(mine, "own").where("not (lo = hi and own_lo = own_hi and lo = own_lo)")
+    live = s.save(asked(rest.select(*meet.columns)))
+    if live.limit(1).count():
+        found, now = across(live, with_sets(live), label, None, found, now)
     root = rows.groupBy("key").agg(F.min("doc_id").alias("least")).join(now.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     root = s.save(root)
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
