@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts go through Python in pieces of about so many bytes.
 CHUNK_BYTES = 8 << 20
+#: Makes Spark delete an execution's shuffle files at its end, and not when the driver collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,10 +46,21 @@ class Scratch:
         self._n = 0
 
     def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it back; ``table.path`` on the result is where it lies."""
+        """Write ``df`` and read it back; ``table.path`` on the result is where it lies.
+
+        Nothing reads the shuffle files of a written table, so they go at once.
+        """
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN_UP, None)
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEAN_UP)
+            else:
+                self.spark.conf.set(CLEAN_UP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.path = path
         return out
