@@ -42,8 +42,10 @@ from .common import Scratch, byte_texts, mix64, slices
 LENGTH = 200
 #: A trigger is found among so many positions, by the hash of so many bytes.
 REACH, GRAM = 128, 16
-#: Texts are parsed in pieces of about so many bytes.
+#: Texts are parsed in pieces of about so many bytes; a longer text is cut, and no window is lost or found twice.
 PIECE = 2 << 20
+#: A trigger's position in a piece is packed below its hash; a piece holds fewer bytes than these bits count.
+POSITION_BITS = 24
 #: Bits of the filter that tells tasks which phrases to take apart (16 MB).
 FILTER_BITS = 27
 
@@ -55,13 +57,18 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 class Parsed:
     """The phrases of a piece of the corpus."""
 
-    def __init__(self, texts: list[bytes], length: int = LENGTH):
+    def __init__(self, texts: list[bytes], length: int = LENGTH, offsets: np.ndarray | int = 0):
+        """offsets: where in its whole text each of ``texts`` starts."""
         reach = min(REACH, length // 2)
         gram = min(GRAM, length - reach)
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         lens = np.array([len(t) for t in texts], dtype=np.int64)
         self.begin = np.cumsum(lens) - lens
+        #: Where each whole text would start, so that places are counted from there.
+        self.origin = self.begin - offsets
         n = len(data)
+        if n > 1 << POSITION_BITS:
+            raise ValueError(f"{n} bytes at once, but positions have {POSITION_BITS} bits")
         power = np.full(n + 1, _BASE)
         power[0] = 1
         np.cumprod(power, out=power)
@@ -80,7 +87,7 @@ class Parsed:
         at = np.arange(len(doc)) - np.repeat(np.cumsum(starts) - starts, starts) + self.begin[doc]
         grams = np.arange(max(0, n - gram + 1))
         key = mix64(self.hash(grams, grams + gram))
-        mask = np.uint64((1 << 24) - 1)
+        mask = np.uint64((1 << POSITION_BITS) - 1)
         least = (key & ~mask) | (mask - grams.astype(np.uint64))
         width = 1
         while width < reach:  # the least of each ``reach`` positions, by doubling
@@ -101,6 +108,28 @@ class Parsed:
         return (self.sums[b] - self.sums[a]) * self.back[a]
 
 
+def pieces(texts: list[bytes], length: int = LENGTH, limit: int | None = None):
+    """(parts, number of each one's text, offset in it), each of at most ``limit`` + ``length`` bytes.
+
+    Parts of one text overlap by length - 1 bytes: every window starts in exactly one of them.
+    A run of starts that is cut gives two phrases with one trigger string, whose windows are then compared one by one.
+    """
+    limit = max(limit or PIECE, 1)
+    parts, of, offsets, size = [], [], [], 0
+    for i, t in enumerate(texts):
+        for a in range(0, max(1, len(t) - length + 1), limit):
+            part = t[a : a + limit + length - 1]
+            if parts and size + len(part) > limit + length:
+                yield parts, np.array(of), np.array(offsets, dtype=np.int64)
+                parts, of, offsets, size = [], [], [], 0
+            parts.append(part)
+            of.append(i)
+            offsets.append(a)
+            size += len(part)
+    if parts:
+        yield parts, np.array(of), np.array(offsets, dtype=np.int64)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -110,10 +139,10 @@ def _parse(docs: DataFrame, length: int, emit, schema: str) -> DataFrame:
 
     def run(batches):
         for b in slices(batches, "text", PIECE):
-            texts = byte_texts(b.column(0))
-            p = Parsed(texts, length)
-            if not p.empty and (out := emit(p, b.column(1).to_numpy())) is not None:
-                yield pa.RecordBatch.from_arrays(out, names=names)
+            for texts, of, offsets in pieces(byte_texts(b.column(0)), length):
+                p = Parsed(texts, length, offsets)
+                if not p.empty and (out := emit(p, b.column(1).to_numpy()[of])) is not None:
+                    yield pa.RecordBatch.from_arrays(out, names=names)
 
     return docs.select("text", "text_hash").mapInArrow(run, schema)
 
@@ -158,7 +187,7 @@ def phrases(docs: DataFrame, anchors: np.ndarray, length: int) -> DataFrame:
 
     def emit(p, text_hash):
         own = np.flatnonzero(_passes(held.value, p.anchor))
-        begin = p.begin[p.doc[own]]
+        begin = p.origin[p.doc[own]]
         return [_signed(p.anchor[own]), _signed(p.phrase[own]), pa.array(text_hash[p.doc[own]]), pa.array(p.lo[own] - begin), pa.array(p.hi[own] - begin)]
 
     return _parse(docs, length, emit, "anchor long, phrase long, text_hash long, lo long, hi long")
@@ -170,7 +199,7 @@ def windows(docs: DataFrame, places: np.ndarray, length: int, known: np.ndarray
 
     def emit(p, text_hash):
         places, known = held.value
-        own = np.flatnonzero(_passes(places, _place(p.phrase, text_hash[p.doc], p.lo - p.begin[p.doc])))
+        own = np.flatnonzero(_passes(places, _place(p.phrase, text_hash[p.doc], p.lo - p.origin[p.doc])))
         if not len(own):
             return None
         many = p.hi[own] - p.lo[own] + 1
@@ -180,7 +209,7 @@ def windows(docs: DataFrame, places: np.ndarray, length: int, known: np.ndarray
         if known is not None:
             ok = _passes(known, w)
             i, at, w = i[ok], at[ok], w[ok]
-        return [_signed(w), pa.array(text_hash[p.doc[i]]), pa.array(at - p.begin[p.doc[i]])]
+        return [_signed(w), pa.array(text_hash[p.doc[i]]), pa.array(at - p.origin[p.doc[i]])]
 
     return _parse(docs, length, emit, "window long, text_hash long, at long")
 

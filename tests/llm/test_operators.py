@@ -112,6 +112,29 @@ def test_suffix_dedup(spark, docs):
     assert suffix_dedup.op7_report(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_long_text(spark):
+    rng = np.random.default_rng(8)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    shared = [letters(700) for _ in range(3)]
+    # one copy lies across the first cut, the others behind 2**24; capitals keep the neighbours of copies apart
+    head = letters((2 << 20) - 301) + "A" + shared[0] + "B"
+    long = head + letters((1 << 24) + 5_000 - len(head)) + "C" + shared[0] + "D" + letters(900) + "E" + shared[1] + "F" + letters(900) + "G" + shared[1]
+    rows = [(1, long), (2, letters(400) + "H" + shared[0] + "I" + letters(300)), (3, letters(500) + shared[2])]
+    got = {r.doc_id: r for r in suffix_dedup.op7_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in (1, 2, 3)] == [(2800, 4), (700, 1), (0, 0)]
+
+
+def test_suffix_dedup_pieces(spark):
+    rng = random.Random(9)
+    whole = [words(rng, 80).encode(), b"", b"x" * 50, words(rng, 400).encode()]
+    for limit in (1, 37, 250, 10_000):
+        seen = []
+        for parts, of, offsets in suffix_dedup.pieces(whole, 200, limit):
+            assert sum(map(len, parts)) <= limit + 200
+            seen += [(i, a + k, p[k : k + 200]) for p, i, a in zip(parts, of, offsets) for k in range(len(p) - 199)]
+        assert sorted(seen) == [(i, k, t[k : k + 200]) for i, t in enumerate(whole) for k in range(len(t) - 199)]
+
+
 def test_line_dedup(spark):
     rows = [(i, f"shared line\nown {i} {'text ' * 10}\n\n", f"s{i}") for i in range(10)] + [(50, "shared line", "s1"), (51, None, "s2"), (52, "", None), (53, "few\nfew " + "y" * 20, "s1")]
     got = {r.doc_id: r for r in line_dedup.remove_spread_lines(table(spark, rows)).collect()}
