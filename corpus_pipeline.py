@@ -6,6 +6,8 @@ rows are written as Parquet and read again, which also cuts lineage.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from lorebase.llm import line_dedup, mixing, ngram_join, sentencepiece, toxicity
 from lorebase.llm.common import Scratch, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies share this much of their five-word shingles; op6's own values are for op6 alone.
+NEAR_WORDS, NEAR_SHARE = 5, Fraction(80, 100)
 
 
 def _documents(rows: DataFrame) -> DataFrame:
@@ -36,7 +40,7 @@ def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of similar ones."""
     docs = docs.select(COLUMNS)
-    stays = ngram_join.jaccard_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    stays = ngram_join.jaccard_components(docs, shingle=NEAR_WORDS, threshold=NEAR_SHARE).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
     rows = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi").withColumn("_hash", F.xxhash64("text"))
     return rows.dropDuplicates(["doc_id", "_hash"]).select(COLUMNS)
 

@@ -217,3 +217,16 @@ def test_pipeline_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and "ids" in out.columns
     assert out.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def edited(ws, *at):
+    return " ".join(f"edit{k}" if k in at else w for k, w in enumerate(ws))
+
+
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    ws = [f"n{k}" for k in range(100)]
+    # two edits: 86 of 106 shingles of five words (0.81), 89 of 105 of four (0.848); three: 81 of 111 (0.73)
+    rows = [(1, " ".join(ws), "s"), (2, edited(ws, 30, 60), "s"), (3, edited(ws, 20, 45, 70), "s")]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()) == [1, 3]
