@@ -9,10 +9,11 @@ so a context that was never seen gives way to a shorter one.  The score is the
 difference of the log-likelihoods per character; the cut-off is the one that
 separates the ruled urls best (balanced).
 
-Counts cover all ruled urls: tasks count into hashed cells, a shuffle adds the
-cells up.  A model has ORDER + 1 tables of CELLS cells whatever the input, so
-what goes to the executors is bounded by that (and colliding rare contexts
-share a cell).
+Counts cover all ruled urls and are exact.  A character and the ORDER before it
+are one number (9 bits a symbol, no hashing), and the table of these grams
+grows with the input.  What a character adds to the score depends on its gram
+alone, so it is worked out once per distinct gram, by joins with the sums of
+the shorter ones; the grams of distinct urls are then joined to it.
 
 Null or malformed urls have empty host and path, fit no rule, and are judged
 like other texts (null as the empty one, score 0).  Ties go to allow.  Without
@@ -22,12 +23,14 @@ allowed.  Repeated rows each get a result; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import Scratch
 
 #: (host, beginning of the path, verdict)
 RULES = (
@@ -37,10 +40,12 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-ORDER, CELLS, PRIOR = 5, 1 << 17, 4.0
+ORDER, PRIOR = 5, 4.0
 VERDICTS = ("allow", "block")
-#: Symbols: bytes, and one mark in front of the url.
-_ALPHABET = 257
+#: Symbols: bytes, and one mark in front of the url; so many bits hold one.
+_ALPHABET, _BITS = 257, 9
+#: Scores are added up as whole numbers of this part, so that no order of adding matters.
+_PART = 1e-12
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,122 +71,102 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumn("rule", none if rule is None else rule).withColumn("ruled", none if verdict is None else verdict)
 
 
-def _cells(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(ORDER + 1 x characters) cells of each character with its k characters of context, and each one's url."""
+def _grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each character (lowest bits) with the ORDER before it (nearest first), and each one's url."""
     lens = np.array([len(u) for u in urls], dtype=np.int64)
     of = np.repeat(np.arange(len(urls)), lens)
-    chars = np.frombuffer(b"".join(urls), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+    chars = np.frombuffer(b"".join(urls), dtype=np.uint8).astype(np.int64) + 1
     first = np.repeat(np.cumsum(lens) - lens, lens)
     at = np.arange(len(chars))
-    out = np.empty((ORDER + 1, len(chars)), dtype=np.int64)
-    h = chars.copy()
-    for k in range(ORDER + 1):
-        if k:
-            before = np.where(at - k >= first, chars[np.maximum(at - k, 0)], 0)
-            h = h * np.uint64(0x9E3779B97F4A7C15) + before.astype(np.uint64) + np.uint64(k)
-        out[k] = (mix64(h + np.uint64(k)) & np.uint64(CELLS - 1)).astype(np.int64)
-    return out, of
-
-
-def _contexts(urls: list[bytes]) -> np.ndarray:
-    """(ORDER + 1 x characters) cells of each character's context alone."""
-    lens = np.array([len(u) for u in urls], dtype=np.int64)
-    chars = np.frombuffer(b"".join(urls), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-    first = np.repeat(np.cumsum(lens) - lens, lens)
-    at = np.arange(len(chars))
-    out = np.zeros((ORDER + 1, len(chars)), dtype=np.int64)
-    h = np.zeros(len(chars), dtype=np.uint64)
+    out = chars.copy()
     for k in range(1, ORDER + 1):
-        before = np.where(at - k >= first, chars[np.maximum(at - k, 0)], 0)
-        h = h * np.uint64(0x9E3779B97F4A7C15) + before.astype(np.uint64) + np.uint64(k)
-        out[k] = (mix64(h ^ np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(CELLS - 1)).astype(np.int64)
-    return out
+        out |= np.where(at - k >= first, chars[np.maximum(at - k, 0)], 0) << (_BITS * k)
+    return out, of
 
 
 def _urls(column: pa.Array) -> list[bytes]:
     return [(u or "").lower().encode() for u in column.to_pylist()]
 
 
-def count_cells(urls: DataFrame) -> DataFrame:
-    """said, kind (0: with the character, 1: context), k, cell, n over rows (url, said)."""
+def count_grams(urls: DataFrame) -> DataFrame:
+    """gram, a, b: every gram of ``urls`` (url, n_allow, n_block), and how often allowed and blocked ones have it."""
 
     def run(batches):
-        for b in batches:
-            said = np.array(b.column(1).to_pylist(), dtype=object)
-            for verdict in VERDICTS:
-                own = [u for u, s in zip(_urls(b.column(0)), said) if s == verdict]
-                if not own or not any(own):
-                    continue
-                for kind, cells in ((0, _cells(own)[0]), (1, _contexts(own))):
-                    for k in range(ORDER + 1):
-                        cell, n = np.unique(cells[k], return_counts=True)
-                        m = len(cell)
-                        yield pa.RecordBatch.from_arrays([pa.array([verdict] * m), pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, k, np.int32)), pa.array(cell), pa.array(n.astype(np.int64))], names=["said", "kind", "k", "cell", "n"])
-
-    part = urls.mapInArrow(run, "said string, kind int, k int, cell long, n long")
-    return part.groupBy("said", "kind", "k", "cell").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Both models' counts: [verdict][kind][k][cell]."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-
-    def difference(self, urls: list[bytes], said: list[str] | None = None) -> np.ndarray:
-        """(log P(url | allowed) - log P(url | blocked)) / characters; 0 for the empty url.
-
-        said: the verdict that each url was counted under; its own counts are then left out.
-        """
-        if not any(urls):
-            return np.zeros(len(urls))
-        cells, of = _cells(urls)
-        contexts = _contexts(urls)
-        log = []
-        for name, c in zip(VERDICTS, self.counts):
-            own = 0 if said is None else np.array([x == name for x in said], dtype=np.float32)[of]
-            p = np.full(cells.shape[1], 1 / _ALPHABET)
-            for k in range(ORDER + 1):
-                n = np.maximum(c[0, k][cells[k]] - own, 0)
-                p = (n + PRIOR * p) / (np.maximum(c[1, k][contexts[k]] - own, n) + PRIOR)
-            log.append(np.bincount(of, np.log(p), len(urls)))
-        return (log[0] - log[1]) / np.maximum(1, [len(u) for u in urls])
-
-
-def train(ruled: DataFrame) -> Model | None:
-    """The two models of rows (url, said); None unless there are both kinds."""
-    counts = np.zeros((2, 2, ORDER + 1, CELLS), dtype=np.float32)
-    # at most 2 * 2 * (ORDER + 1) * CELLS rows, whatever the input
-    for b in count_cells(ruled).toArrow().to_batches():
-        said, kind, k, cell, n = (b.column(i) for i in range(5))
-        side = np.array(said.to_pylist()) == "block"
-        counts[side.astype(int), kind.to_numpy(), k.to_numpy(), cell.to_numpy()] = n.to_numpy()
-    return Model(counts) if counts[0].any() and counts[1].any() else None
-
-
-def scored(rows: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and the score of rows with a url; with ``said`` among them, not counting the url itself."""
-    if model is None:
-        return rows.select(*keep, F.lit(0.0).alias("score"))
-    held = rows.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram, of = _grams(_urls(batch.column(0)))
+            seen, place = np.unique(gram, return_inverse=True)
+            n = [np.zeros(len(seen), dtype=np.int64) for _ in VERDICTS]
+            for i, sums in enumerate(n):
+                np.add.at(sums, place, batch.column(1 + i).to_numpy()[of])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, *n)], names=["gram", "a", "b"])
+
+    part = urls.select("url", "n_allow", "n_block").mapInArrow(run, "gram long, a long, b long")
+    return part.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def gram_values(grams: DataFrame) -> DataFrame:
+    """gram and what it adds to log P(url | allowed) - log P(url | blocked), in _PARTs.
+
+    d: by all counts; d_allow, d_block: for a url counted under that verdict, its own count left out.
+    """
+    rows = grams
+    for k in range(ORDER + 1):
+        of_gram = F.col("gram").bitwiseAND(F.lit((1 << (_BITS * (k + 1))) - 1))
+        for kind, key, symbols in (("n", of_gram, k + 1), ("c", F.shiftright(of_gram, _BITS), k)):
+            name = f"{kind}{k}"
+            if kind == "n" and k == ORDER:
+                rows = rows.withColumn(f"{name}a", F.col("a")).withColumn(f"{name}b", F.col("b"))
+                continue
+            sums = grams.groupBy(key.alias(name)).agg(F.sum("a").alias(f"{name}a"), F.sum("b").alias(f"{name}b"))
+            if symbols <= 2:  # at most 257**2 rows, whatever the input
+                sums = F.broadcast(sums)
+            rows = rows.withColumn(name, key).join(sums, name).drop(name)
+
+    def log_p(side: str, own: int) -> Column:
+        p = F.lit(1 / _ALPHABET)
+        for k in range(ORDER + 1):
+            n, c = (F.greatest(F.col(f"{kind}{k}{side}") - own, F.lit(0)) for kind in "nc")
+            p = (n + PRIOR * p) / (c + PRIOR)
+        return F.log(p)
+
+    rows = rows.select("gram", *(log_p(side, own).alias(f"{side}{own}") for side in "ab" for own in (0, 1)))
+    held = {"d": ("a0", "b0"), "d_allow": ("a1", "b0"), "d_block": ("a0", "b1")}
+    return rows.select("gram", *(F.round((F.col(x) - F.col(y)) / _PART).cast("long").alias(name) for name, (x, y) in held.items()))
+
+
+def grams_of(urls: DataFrame) -> DataFrame:
+    """uid, gram, n, size of each gram of ``urls`` (uid, url); size: characters of the url."""
 
     def run(batches):
-        for b in batches:
-            said = b.column(keep.index("said")).to_pylist() if "said" in keep else None
-            d = held.value.difference(_urls(b.column(len(keep))), said) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(d)], names=[*keep, "score"])
-
-    return rows.select(*keep, F.col("url").alias("_url")).mapInArrow(run, schema)
-
-
-def cut_off(ruled: DataFrame, model: Model | None, step: float = 0.01) -> float:
-    """The score that separates allowed from blocked urls with the fewest errors, both kinds weighing the same."""
-    if model is None:
-        return 0.0
-    s = scored(ruled, model, ["said"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = _urls(batch.column(1))
+            gram, of = _grams(texts)
+            order = np.lexsort((gram, of))
+            gram, of = gram[order], of[order]
+            new = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])][: len(gram)])
+            n = np.diff(np.r_[new, len(gram)])
+            size = np.array([len(t) for t in texts], dtype=np.int64)
+            uid = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid[of[new]], gram[new], n.astype(np.int64), size[of[new]])], names=["uid", "gram", "n", "size"])
+
+    return urls.select("uid", "url").mapInArrow(run, "uid long, gram long, n long, size long")
+
+
+def url_scores(urls: DataFrame, scratch: Scratch) -> DataFrame:
+    """uid, score and own (the score without the url's own count) of ``urls`` (uid, url, n_allow, n_block) that are not empty."""
+    values = scratch.save(gram_values(scratch.save(count_grams(urls))))
+    sums = grams_of(urls).join(values, "gram").groupBy("uid").agg(F.max("size").alias("size"), *(F.sum(F.col("n") * F.col(c)).alias(c) for c in ("d", "d_allow", "d_block")))
+    return sums.select("uid", *((F.col(c) * _PART / F.col("size")).alias(name) for c, name in (("d", "score"), ("d_allow", "own_allow"), ("d_block", "own_block"))))
+
+
+def cut_off(ruled: DataFrame, step: float = 0.01) -> float:
+    """The score that separates allowed from blocked urls (score, said, n) with the fewest errors, both kinds weighing the same."""
     cell = F.greatest(F.least(F.floor(F.col("score") / step), F.lit(2000)), F.lit(-2000)).cast("int")
-    rows = s.groupBy(cell.alias("cell"), "said").count().collect()  # at most 2 * 4001
+    rows = ruled.groupBy(cell.alias("cell"), "said").agg(F.sum("n").alias("count")).collect()  # at most 2 * 4001
     total = {v: sum(r["count"] for r in rows if r.said == v) for v in VERDICTS}
     best, at, wrong, last = None, 0.0, 1.0, None  # cutting below everything: all blocked ones pass
     for c in sorted({r.cell for r in rows}):
@@ -196,10 +181,18 @@ def cut_off(ruled: DataFrame, model: Model | None, step: float = 0.01) -> float:
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every page."""
+    scratch = Scratch(pages.sparkSession)
     rows = with_rules(pages.selectExpr("cast(page_id as long) page_id", "url"), rules)
-    ruled = rows.where("ruled is not null").select("url", F.col("ruled").alias("said"))
-    model = train(ruled)
-    at = cut_off(ruled, model)
-    out = scored(rows, model, ["page_id", "host", "path", "rule", "ruled"])
-    verdict = F.coalesce("ruled", F.when(F.lit(model is None) | (F.col("score") >= at), "allow").otherwise("block"))
+    is_said = [F.sum((F.col("ruled") == v).cast("long")) for v in VERDICTS]
+    urls = rows.groupBy(F.coalesce("url", F.lit("")).alias("url")).agg(*(F.coalesce(n, F.lit(0)).alias(f"n_{v}") for v, n in zip(VERDICTS, is_said)))
+    urls = scratch.save(urls.withColumn("uid", F.monotonically_increasing_id()))
+    counts = urls.where("url <> ''").agg(*(F.coalesce(F.sum(f"n_{v}"), F.lit(0)) for v in VERDICTS)).first()
+    if not all(counts):
+        return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
+    scored = urls.join(url_scores(urls, scratch), "uid", "left").na.fill(0.0, ["score", "own_allow", "own_block"])
+    scored = scratch.save(scored.drop("uid"))
+    ruled = reduce(DataFrame.unionByName, (scored.where(f"n_{v} > 0").select(F.col(f"own_{v}").alias("score"), F.lit(v).alias("said"), F.col(f"n_{v}").alias("n")) for v in VERDICTS))
+    at = cut_off(ruled)
+    out = rows.join(scored.select(F.col("url").alias("_url"), "score"), F.coalesce("url", F.lit("")) == F.col("_url"))
+    verdict = F.coalesce("ruled", F.when(F.col("score") >= at, "allow").otherwise("block"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -181,6 +181,29 @@ def test_urls(spark):
     assert all(g[3] in ("allow", "block") for g in got)
 
 
+def test_urls_exact_counts(spark):
+    rng = random.Random(11)
+    urls = [f"http://h{i}.{('org/', 'com/de/', 'net/')[i % 3]}" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60)) for i in range(3000)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame([*enumerate(urls), (5000, urls[0]), (5001, None)], "page_id long, url string")).collect()}
+    assert len(got) == 3002 and got[5000].score == got[0].score and got[5001].score == 0
+    n = {"allow": {}, "block": {}}
+    grams = lambda u: [(("\0" * 5 + u)[i : i + 6]) for i in range(len(u))]
+    for u, v in [*((u, ("allow", "block")[i % 3]) for i, u in enumerate(urls) if i % 3 < 2), (urls[0], "allow")]:
+        for g in grams(u):
+            for k in range(6):
+                for key in ((k, 0, g[5 - k :]), (k, 1, g[5 - k : 5])):
+                    n[v][key] = n[v].get(key, 0) + 1
+    for i, u in enumerate(urls):
+        total = 0.0
+        for g in grams(u):
+            for v, sign in (("allow", 1), ("block", -1)):
+                p = 1 / 257
+                for k in range(6):
+                    p = (n[v].get((k, 0, g[5 - k :]), 0) + 4 * p) / (n[v].get((k, 1, g[5 - k : 5]), 0) + 4)
+                total += sign * math.log(p)
+        assert got[i].score == pytest.approx(total / len(u), abs=1e-9)
+
+
 def labelled(spark, n, bad):
     rng = random.Random(7)
     rows = [(i, words(rng, 60) + (bad if i % 4 == 0 else ""), "s") for i in range(n)]
