@@ -365,6 +365,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: Fract
         """key, tokens of the classes in ``live``, from one row of each."""
         wanted = s.save(home.join(live.select("key").distinct(), "key").select("key", "doc_id"))
         text = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+        # a class whose rows all have a null doc_id: no id finds them, their key does
+        text = text.unionByName(docs.where("doc_id is null"))
         return s.save(full_sets(text, shingle).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
 
     def labels(now: DataFrame) -> DataFrame:

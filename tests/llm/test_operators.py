@@ -73,6 +73,14 @@ def test_jaccard_components(spark, docs):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
 
 
+def test_jaccard_null_id_links(spark):
+    ws = [f"n{k}" for k in range(200)]
+    # 185 of 209 shingles with the row without an id (0.885), 173 of 221 with each other (0.78)
+    rows = [(1, " ".join(ws), "s"), (None, edited(ws, 20, 60, 100), "s"), (2, edited(ws, 20, 60, 100, 120, 150, 180).replace("edit120", "other"), "s")]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(table(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, None: 1}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 8))
