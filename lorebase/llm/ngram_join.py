@@ -1,29 +1,32 @@
 """N-gram Jaccard join by a token-group matrix.
 
 A document is the set of its word shingles' hashes; equal sets are one class.
-Two classes whose Jaccard similarity reaches the threshold share a token among
-the first ``n - ceil(threshold * n) + 1`` of each one's tokens, in any order
-common to all (here: rare tokens first, see ``frequent_tokens``).
-
-* Groups: a class belongs to the group of the least of all its tokens, so two
-  classes are in one group as often as they are similar.
-* Matrix: (token, group) holds the union of the members' first tokens, and
-  each group the range of its members' sizes.
-* Bound: two groups meet if their unions share a first token and their sizes
-  are in reach; the smaller one's members in reach ask the larger group.
-* Sketch: each set has the numbers of its tokens in 256 ranges of the hash.
-  The smaller ones of two sketches, summed, bound the intersection from above;
-  classes that no other one in their group, or in a group that they ask, can
-  reach the threshold with are left out before any set is moved.
-* Open: members are compared exactly inside their group, then against the
-  largest group that theirs meets, then against the others -- but not where
-  asker and group, or both groups, are already one component.
-
-Large groups are cut into blocks of BLOCK members, each with the group's
-pivot; members that the pivot does not link ask all blocks of their group.
-So no task gets more than two blocks of sets, and pairs that are already
-connected are not compared: copies cost a comparison each, not one per pair.
-Every comparison that could connect two components is made, so no link is lost.
+
+* Parts: the hash range is cut into ``k`` parts, and a set's tokens in one part
+  are a token of the matrix.  Two sets that reach the threshold differ in at
+  most ``H`` tokens, so of ``k = H + 1 + slack`` parts at least ``1 + slack``
+  are equal.  H and k belong to a level, a range of set sizes; a set whose
+  partner may be of the next level takes part in both.  Empty parts are left
+  out, but by sets with more than ``slack`` of them: two such sets have them in
+  common, any other pair has an equal part that is not empty.
+* Groups: classes with one least token are one group, so two classes are in one
+  group as often as they are similar.  Members are compared exactly in blocks;
+  what that connects are the groups of the matrix.
+* Matrix: (part, group).  A part held by one group alone is settled.
+* First choice: in parts that several groups hold, each class is compared with
+  the leader that it meets most often.  Copies need a comparison each, not one
+  per pair, and merged groups settle their parts.
+* Bound: in what is left, each group is stored as the union of its members that
+  hold the part: the greatest number of tokens in each of 256 hash ranges.  The
+  smaller ones of a class's numbers and the union's, summed, bound the
+  intersection with every member from above.
+* Open: only groups that can reach the threshold are opened; members that
+  pass the same bound one by one are compared exactly.
+
+Every pair of classes in different groups that shares a part is bounded or
+compared, so no link is lost.  Parts that many classes hold are cut into blocks
+of BLOCK members by BLOCK askers, the members of the largest group never ask,
+and pairs are only emitted where the bound admits them.
 
 Null or blank text: empty set, linked with nothing.  Rows with the same set
 are linked; ties and repeated rows need no rule.  A null doc_id takes part
@@ -32,6 +35,7 @@ like any other but is no component_id unless all of its component are null.
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -46,10 +50,12 @@ from .components import components
 SHINGLE, THRESHOLD = 4, Fraction(85, 100)
 #: Members of a group that one task holds.
 BLOCK = 256
-#: Tokens in so many documents count as frequent; so many of them are known to all tasks (5 MB).
-FREQUENT, KNOWN = 32, 300_000
-#: Only tokens below this share of the hash range are counted: first tokens rarely lie above it.
-COUNTED = 0.25
+#: Rounds of first choices before groups are opened; they save comparisons and lose none.
+CHOICES = 3
+#: Set keys that a task remembers, to give each set's parts once.
+SEEN = 500_000
+#: The rows of a component's hot key are spread over so many.
+SALTS = 16
 
 
 class _Codes(dict):
@@ -101,63 +107,69 @@ def sketch(tokens: np.ndarray) -> bytes | None:
     return n.astype(np.uint8).tobytes() if n.max() < 255 else None
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n, key, least, sketch of every row: its set's size, hash, least token and sketch."""
-
-    def run(batches):
-        for b in slices(batches, "text"):
-            sets = token_sets(byte_texts(b.column(1)), shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], type=pa.int64()), _signed([set_key(s) for s in sets]), _signed([s[0] if len(s) else 0 for s in sets]), pa.array([sketch(s) for s in sets], type=pa.binary())], names=["doc_id", "n", "key", "least", "sketch"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, least long, sketch binary")
-
-
-def frequent_tokens(docs: DataFrame, shingle: int = SHINGLE) -> dict[int, int]:
-    """The most frequent tokens and their numbers of documents, at most KNOWN of them.
-
-    Only the order of tokens rests on it, and any order gives the same links.
+class Levels:
+    """Ranges of set sizes, and into how many parts each one's sets are cut."""
+
+    def __init__(self, threshold: Fraction):
+        num, den = threshold.numerator, threshold.denominator
+        self.threshold, self.lows, self.parts, self.slack = threshold, [1], [], []
+        growth = max(Fraction(3, 2), 1 / threshold)
+        while self.lows[-1] < 1 << 40:
+            low = self.lows[-1]
+            self.lows.append(max(low + 1, math.ceil(low * growth)))
+            differ = 2 * (self.lows[-1] - 1) * (den - num) // (den + num)
+            empty = math.exp(-num * low / den / (1.1 * differ)) if differ else 0
+            slack = 2 + math.ceil(1.5 * differ * empty)
+            self.slack.append(slack)
+            self.parts.append(differ + 1 + slack if differ else 0)  # no difference: equal sets only, one class
+
+    def of(self, n: int) -> list[int]:
+        """The levels at which a set of n tokens takes part."""
+        i = int(np.searchsorted(self.lows, n, side="right")) - 1
+        both = n * self.threshold.denominator >= self.threshold.numerator * self.lows[i + 1]
+        return [x for x in ((i, i + 1) if both else (i,)) if self.parts[x]]
+
+
+def part_keys(tokens: np.ndarray, levels: Levels) -> np.ndarray:
+    """A 64-bit hash of the tokens in each part, for each of the set's levels."""
+    sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
+    np.cumsum(mix64(tokens), out=sums[1:])
+    out = []
+    for i in levels.of(len(tokens)):
+        k = levels.parts[i]
+        edges = np.arange(1, k, dtype=np.uint64) * np.uint64((1 << 64) // k)
+        at = np.r_[0, np.searchsorted(tokens, edges), len(tokens)]
+        count = np.diff(at)
+        held = np.arange(k) if np.count_nonzero(count == 0) > levels.slack[i] else np.flatnonzero(count)
+        content = sums[at[1:]] - sums[at[:-1]] + count.astype(np.uint64)
+        place = np.arange(k, dtype=np.uint64) + np.uint64(i << 40)
+        out.append(mix64(mix64(content[held]) + mix64(place[held] + np.uint64(1))))
+    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """doc_id, n, key, least, sketch, parts of every row: its set's size, hash, least token, sketch and parts.
+
+    Parts are null where the task has already given those of the same set.
     """
-    below = np.uint64(int(COUNTED * 2**64))
 
     def run(batches):
+        levels, seen = Levels(threshold), set()
         for b in slices(batches, "text"):
-            every = [s[: np.searchsorted(s, below)] for s in token_sets(byte_texts(b.column(0)), shingle)]
-            t, n = np.unique(np.concatenate(every) if every else np.empty(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(t), pa.array(n.astype(np.int64))], names=["token", "n"])
-
-    part = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = part.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(KNOWN).toArrow()
-    return dict(zip(np.array(top.column(0), dtype=np.int64).view(np.uint64).tolist(), top.column(1).to_pylist()))
-
+            sets = token_sets(byte_texts(b.column(1)), shingle)
+            keys = [set_key(s) for s in sets]
+            parts = []
+            for s, key in zip(sets, keys):
+                new = len(s) > 0 and key not in seen
+                parts.append(part_keys(s, levels).view(np.int64) if new else None)
+                if new and len(seen) < SEEN:
+                    seen.add(key)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in sets], type=pa.int64()), _signed(keys), _signed([s[0] if len(s) else 0 for s in sets]), pa.array([sketch(s) for s in sets], type=pa.binary()), pa.array(parts, type=pa.list_(pa.int64()))],
+                names=["doc_id", "n", "key", "least", "sketch", "parts"],
+            )
 
-def first_tokens(docs: DataFrame, frequent: dict[int, int], shingle: int, threshold: Fraction) -> DataFrame:
-    """token, key, n: the first tokens of every set."""
-    known = np.array(sorted(frequent), dtype=np.uint64)
-    held = docs.sparkSession.sparkContext.broadcast((known, np.array([frequent[int(t)] for t in known], dtype=np.int64)))
-    num, den = threshold.numerator, threshold.denominator
-
-    def run(batches):
-        known, count = held.value
-        for b in slices(batches, "text"):
-            tokens, keys, sizes = [], [], []
-            for s in token_sets(byte_texts(b.column(0)), shingle):
-                n = len(s)
-                if not n:
-                    continue
-                p = n - -(-num * n // den) + 1
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = np.where(known[at] == s, count[at], 0)
-                    s_first = s[np.argsort(often, kind="stable")[:p]]
-                else:
-                    s_first = s[:p]
-                tokens.append(s_first)
-                keys.append(np.full(len(s_first), set_key(s), dtype=np.uint64))
-                sizes.append(np.full(len(s_first), n, dtype=np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), _signed(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["token", "key", "n"])
-
-    return docs.select("text").mapInArrow(run, "token long, key long, n long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, least long, sketch binary, parts array<long>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -256,164 +268,187 @@ def _lists(column) -> list[np.ndarray]:
 
 
 def group_edges(rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b): a spanning forest of the links in each block of rows (g, block, key, tokens, label, asks).
-
-    label: rows with equal labels are known to be connected; asks: -1 for a
-    member that all members meet, 0 for one that only askers meet, 1 for an asker.
-    """
+    """(a, b): a spanning forest of the links in each block of rows (g, block, key, tokens)."""
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches):
         for _, t in runs_of(batches, ["g", "block"]):
-            keys, label, asks = (np.array(t.column(c).to_pylist(), dtype=np.int64) for c in ("key", "label", "asks"))
-            tokens = _lists(t.column("tokens"))
+            keys, tokens = t.column("key").to_numpy(), _lists(t.column("tokens"))
             forest, edges = Forest(len(keys)), []
-            seen: dict[int, int] = {}
-            for i, x in enumerate(label.tolist()):
-                forest.join(i, seen.setdefault(x, i))
-            members = np.flatnonzero(asks <= 0)
-            for i in range(len(keys)):
-                if asks[i] == 1:
-                    edges += connect(tokens, forest, i, members, num, den)
-                elif asks[i] == -1:
-                    edges += connect(tokens, forest, i, members[members < i], num, den)
+            for i in range(1, len(keys)):
+                edges += connect(tokens, forest, i, np.arange(i), num, den)
             if edges:
                 a, b = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(keys[b])], names=["a", "b"])
 
-    parts = rows.select("g", "block", "key", "tokens", "label", "asks").repartition("g", "block").sortWithinPartitions("g", "block", "asks", "key")
+    parts = rows.select("g", "block", "key", "tokens").repartition("g", "block").sortWithinPartitions("g", "block", "key")
     return parts.mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def within_reach(rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """g, key, asks of the rows (g, block, key, n, sketch, asks) whose sketch admits a link with another row of the block.
+class Sketches:
+    """The sketches of a block's rows, and the bound that they give."""
+
+    def __init__(self, table: pa.Table, threshold: Fraction):
+        raw = table.column("sketch").to_pylist()
+        self.n = table.column("n").to_numpy()
+        self.free = np.array([x is None for x in raw], dtype=bool)
+        self.m = np.frombuffer(b"".join(x or bytes(256) for x in raw), dtype=np.uint8).reshape(-1, 256)
+        self.num, self.den = threshold.numerator, threshold.denominator
+
+    def admits(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` may reach the threshold with row i."""
+        n = self.n[others]
+        most = np.minimum(self.m[others], self.m[i]).sum(axis=1, dtype=np.int64)
+        most = np.where(self.free[others] | self.free[i], np.minimum(n, self.n[i]), most)
+        return others[(self.den + self.num) * most >= self.num * (n + self.n[i])]
+
+    def opens(self, i: int, union: np.ndarray, lo: int, hi: int, free: bool) -> bool:
+        """Whether row i may reach the threshold with a member of a group of that union and those sizes."""
+        n = self.n[i]
+        if n * self.den < self.num * lo or hi * self.den < self.num * n:
+            return False
+        if free or self.free[i]:
+            return True
+        most = int(np.minimum(union, self.m[i]).sum(dtype=np.int64))
+        return self.den * most >= self.num * max(n, lo)
 
-    asks is as in ``group_edges``.
-    """
-    num, den = threshold.numerator, threshold.denominator
+
+def within_reach(rows: DataFrame, threshold: Fraction) -> DataFrame:
+    """g, key of the rows (g, block, key, n, sketch) whose sketch admits a link with another row of the block."""
 
     def run(batches):
         for (g, _), t in runs_of(batches, ["g", "block"]):
-            key, n, asks = (np.array(t.column(c).to_pylist(), dtype=np.int64) for c in ("key", "n", "asks"))
-            raw = t.column("sketch").to_pylist()
-            free = np.array([x is None for x in raw])
-            m = np.frombuffer(b"".join(x or bytes(256) for x in raw), dtype=np.uint8).reshape(-1, 256)
+            key, s = t.column("key").to_numpy(), Sketches(t, threshold)
             good = np.zeros(len(key), dtype=bool)
-            member = asks <= 0
-            for i in np.flatnonzero(asks != 0):
-                most = np.where(free | free[i], np.minimum(n, n[i]), np.minimum(m, m[i]).sum(axis=1, dtype=np.int64))
-                ok = member & ((den + num) * most >= num * (n + n[i])) & (key != key[i])
-                if ok.any():
-                    good |= ok
-                    good[i] = True
+            for i in range(1, len(key)):
+                if len(ok := s.admits(i, np.arange(i))):
+                    good[ok] = good[i] = True
             if good.any():
-                k = int(good.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, g, dtype=np.int64)), pa.array(key[good]), pa.array(asks[good].astype(np.int32))], names=["g", "key", "asks"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(good.sum()), g, dtype=np.int64)), pa.array(key[good])], names=["g", "key"])
 
-    parts = rows.select("g", "block", "key", "n", "sketch", F.col("asks").cast("int").alias("asks")).repartition("g", "block").sortWithinPartitions("g", "block")
-    return parts.mapInArrow(run, "g long, key long, asks int").distinct()
+    parts = rows.select("g", "block", "key", "n", "sketch").repartition("g", "block").sortWithinPartitions("g", "block")
+    return parts.mapInArrow(run, "g long, key long").distinct()
 
 
-def _grid(members: DataFrame, asks: DataFrame, block: int, *columns: str) -> DataFrame:
-    """g, block, key, columns, asks: each block of a group's members with each block of its askers.
+def open_groups(rows: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b): pairs of classes of two groups that the bounds admit, in each block of rows (part, block, key, label, n, sketch, asks).
 
-    members: g, key, columns; asks: g, key, columns.
+    asks is 1 for the classes that ask and 0 for those that are asked.
     """
-    many = lambda d, n: d.groupBy("g").agg(F.ceil(F.count("*") / block).alias(n))
-    size = many(asks, "qs").join(many(members, "ms"), "g")
-    part = lambda n: F.when(F.col(n) > 1, F.pmod(F.xxhash64("key"), F.col(n))).otherwise(F.lit(0).cast("long"))
+
+    def run(batches):
+        for _, t in runs_of(batches, ["part", "block"]):
+            key, label, asks = (t.column(c).to_numpy() for c in ("key", "label", "asks"))
+            s = Sketches(t, threshold)
+            member = np.flatnonzero(asks == 0)
+            groups = []
+            for x in np.unique(label[member]):
+                own = member[label[member] == x]
+                groups.append((x, own, s.m[own].max(axis=0), s.n[own].min(), s.n[own].max(), bool(s.free[own].any())))
+            a, b = [], []
+            for i in np.flatnonzero(asks == 1):
+                for x, own, union, lo, hi, free in groups:
+                    if x != label[i] and s.opens(i, union, lo, hi, free):
+                        for j in s.admits(i, own):
+                            a.append(min(key[i], key[j]))
+                            b.append(max(key[i], key[j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, dtype=np.int64)), pa.array(np.array(b, dtype=np.int64))], names=["a", "b"])
+
+    cols = ["part", "block", "key", "label", "n", "sketch", F.col("asks").cast("int").alias("asks")]
+    return rows.select(*cols).repartition("part", "block").sortWithinPartitions("part", "block").mapInArrow(run, "a long, b long").distinct()
+
+
+def _grid(members: DataFrame, asks: DataFrame, block: int, columns: list[str]) -> DataFrame:
+    """part, block, columns, asks: each block of a part's members with each block of its askers."""
+    many = lambda d, n: d.groupBy("part").agg(F.ceil(F.count("*") / block).alias(n))
+    size = many(asks, "qs").join(many(members, "ms"), "part")
+    cut = lambda n: F.when(F.col(n) > 1, F.pmod(F.xxhash64("key"), F.col(n))).otherwise(F.lit(0).cast("long"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = members.join(size, "g").withColumn("m", part("ms")).withColumn("q", every("qs")).withColumn("asks", F.lit(0))
-    right = asks.join(size, "g").withColumn("q", part("qs")).withColumn("m", every("ms")).withColumn("asks", F.lit(1))
-    cols = ["g", (F.col("m") * (1 << 32) + F.col("q")).alias("block"), "key", *columns, "asks"]
+    left = members.join(size, "part").withColumn("m", cut("ms")).withColumn("q", every("qs")).withColumn("asks", F.lit(0))
+    right = asks.join(size, "part").withColumn("q", cut("qs")).withColumn("m", every("ms")).withColumn("asks", F.lit(1))
+    cols = ["part", (F.col("m") * (1 << 32) + F.col("q")).alias("block"), *columns, "asks"]
     return left.select(*cols).unionByName(right.select(*cols))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, key of every row of ``docs`` (doc_id, text); equal keys are equal sets."""
     s = Scratch(docs.sparkSession)
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    rows = s.save(classes(docs, shingle))
-    first = first_tokens(docs, frequent_tokens(docs, shingle), shingle, threshold)
-    # tokens of two classes or more: the least and the greatest key differ
-    shared = s.save(first.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token"))
-    met = s.save(first.join(shared, "token").distinct())
-    own = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("least").alias("g"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
-    home = s.save(own.join(met.select("key").distinct(), "key", "left_semi"))
-    groups = s.save(home.groupBy("g").agg(F.count("*").alias("size"), F.min("key").alias("pivot"), F.min("n").alias("n_min"), F.max("n").alias("n_max")))
     num, den = threshold.numerator, threshold.denominator
-    # the matrix, which groups meet, and who asks which group
-    matrix = met.join(home.select("key", "g"), "key").select("token", "g").distinct()
-    matrix = s.save(matrix.join(groups.select("g", "size", "n_min", "n_max"), "g"))
-    one, two = matrix.alias("one"), matrix.alias("two")
-    order = F.struct(F.col("one.size").alias("size"), F.col("one.g").alias("g")) < F.struct(F.col("two.size").alias("size"), F.col("two.g").alias("g"))
-    near = (F.col("one.n_max") * den >= num * F.col("two.n_min")) & (F.col("two.n_max") * den >= num * F.col("one.n_min"))
-    meet = one.join(two, (F.col("one.token") == F.col("two.token")) & order & near)
-    meet = s.save(meet.select(F.col("one.g").alias("own"), F.col("two.g").alias("g"), F.col("two.size").alias("size"), F.col("two.n_min").alias("n_min"), F.col("two.n_max").alias("n_max")).distinct())
-    reach = (F.col("n") * den >= num * F.col("n_min")) & (F.col("n_max") * den >= num * F.col("n"))
-    first_choice = meet.groupBy("own").agg(F.max(F.struct("size", "g"))["g"].alias("g"))
-    blocks = F.ceil(F.col("size") / block)
-    part = F.when(F.col("size") > block, F.pmod(F.xxhash64("key"), blocks)).otherwise(F.lit(0).cast("long"))
-    members = home.join(groups, "g").withColumn("block", part)
-
-    def asked(meets: DataFrame) -> DataFrame:
-        """g, key, asks of the members and askers of the groups in ``meets`` that can link."""
-        asks = meets.join(home.select(F.col("g").alias("own"), "key", "n", "sketch"), "own").where(reach).select("g", "key", "n", "sketch")
-        return within_reach(_grid(home.select("g", "key", "n", "sketch"), asks, block, "n", "sketch"), threshold)
-
-    def with_sets(live: DataFrame) -> DataFrame:
-        """key, tokens of the classes in ``live``, from one row of each."""
-        wanted = s.save(home.join(live.select("key").distinct(), "key").select("key", "doc_id"))
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    rows = s.save(classes(docs, shingle, threshold))
+    held = rows.where("parts is not null").select(F.explode("parts").alias("part"), "key")
+    # parts of two classes or more: the least and the greatest key differ
+    shared = held.groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("part")
+    met = s.save(held.join(s.save(shared), "part").distinct())
+    home = rows.select("key", "n", F.col("least").alias("g"), "sketch", "doc_id").join(met.select("key").distinct(), "key", "left_semi")
+    home = s.save(home.groupBy("key").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")))
+
+    def sets_of(live: DataFrame) -> DataFrame:
+        """key, tokens of the classes in ``live``, from the rows that have the least doc_id of one."""
+        wanted = s.save(home.join(live.select("key").distinct(), "key", "left_semi").select("key", "doc_id"))
         text = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
         # a class whose rows all have a null doc_id: no id finds them, their key does
         text = text.unionByName(docs.where("doc_id is null"))
         return s.save(full_sets(text, shingle).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
 
+    def linked_pairs(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that reach the threshold."""
+        sets = sets_of(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))))
+        side = lambda c: sets.select(F.col("key").alias(c), F.col("tokens").alias(f"{c}_tokens"))
+        both = F.size(F.array_intersect("a_tokens", "b_tokens"))
+        exact = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("both"), (F.size("a_tokens") + F.size("b_tokens")).alias("n"))
+        return exact.where(F.col("both") * (den + num) >= F.col("n") * num).select("a", "b")
+
     def labels(now: DataFrame) -> DataFrame:
-        return s.save(home.select("key", "g").join(now.withColumnRenamed("node", "key"), "key", "left").select("key", "g", F.coalesce("root", "key").alias("label")))
-
-    def across(live: DataFrame, sets: DataFrame, label: DataFrame, more: DataFrame | None, found: DataFrame, now: DataFrame):
-        """Links of askers with the groups that they ask; ``more`` are further askers (g, key, label)."""
-        label = label.select("key", "label")
-        member = live.where("asks <= 0").select("g", "key").distinct().join(label, "key")
-        asker = live.where("asks = 1").select("g", "key").join(label, "key")
-        if more is not None:
-            asker = asker.unionByName(more)
-        state = member.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        asker = s.save(asker.join(state, "g").where("not (lo = hi and lo = label)").select("g", "key", "label"))
-        if not asker.limit(1).count():
-            return found, now
-        both = _grid(s.save(member), asker, block, "label").join(sets, "key")
-        found = s.save(group_edges(both, threshold).unionByName(found))
-        return found, s.save(components(found, s))
-
-    # who can have a link at all; in groups of several blocks, everyone
-    inside = within_reach(members.where(f"size between 2 and {block}").withColumn("asks", F.lit(-1)), threshold)
-    large = members.where(f"size > {block}").select("g", "key", F.lit(-1).alias("asks"))
-    live = s.save(inside.unionByName(large).unionByName(asked(meet.join(first_choice, ["own", "g"], "left_semi"))))
-    sets = with_sets(live)
-    # inside the groups: every block has the group's pivot
-    near = live.where("asks = -1").select("g", "key").join(groups.select("g", "size", "pivot"), "g").withColumn("block", part)
-    pivots = near.where(f"size > {block} and key = pivot").select("g", "key", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
-    near = near.select("g", "block", "key").unionByName(pivots.where("block <> own").select("g", "block", "key")).join(sets, "key")
-    found = s.save(group_edges(near.withColumn("label", F.col("key")).withColumn("asks", F.lit(-1)), threshold))
+        return home.select("key").join(now.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("label"))
+
+    def unsettled(matrix: DataFrame, now: DataFrame) -> DataFrame:
+        """part, key, label of the parts that several groups hold."""
+        matrix = s.save(matrix.select("part", "key").join(labels(now), "key"))
+        several = matrix.groupBy("part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("part")
+        return s.save(matrix.join(several, "part", "left_semi"))
+
+    # groups: classes with the same least token
+    size = home.groupBy("g").agg(F.count("*").alias("size"), F.min("key").alias("pivot")).where("size > 1")
+    blocks = F.ceil(F.col("size") / block)
+    members = home.join(size, "g").withColumn("block", F.when(F.col("size") > block, F.pmod(F.xxhash64("key"), blocks)).otherwise(F.lit(0).cast("long")))
+    # every block of a large group has the group's pivot
+    pivots = members.where(f"size > {block} and key = pivot").withColumn("own", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).where("block <> own").drop("own")
+    members = s.save(members.unionByName(pivots).select("g", "block", "key", "n", "sketch"))
+    live = s.save(within_reach(members, threshold))
+    near = members.select("g", "block", "key").join(live, ["g", "key"], "left_semi").join(sets_of(live), "key")
+    found = s.save(group_edges(near, threshold))
     now = s.save(components(found, s))
-    label = labels(now)
-    # what the pivot of a large group does not link asks all of the group's blocks
-    of_pivot = label.select(F.col("key").alias("pivot"), F.col("label").alias("pivot_label"))
-    apart = label.join(groups.where(f"size > {block}").select("g", "pivot"), "g").join(of_pivot, "pivot").where("label <> pivot_label").select("g", "key", "label")
-    found, now = across(live, sets, label, apart, found, now)
-    # the other groups, unless both are one component
-    label = labels(now)
-    state = s.save(label.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
-    mine = state.select(F.col("g").alias("own"), F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi"))
-    rest = meet.join(first_choice, ["own", "g"], "left_anti").join(state, "g").join(mine, "own").where("not (lo = hi and own_lo = own_hi and lo = own_lo)")
-    live = s.save(asked(rest.select(*meet.columns)))
-    if live.limit(1).count():
-        found, now = across(live, with_sets(live), label, None, found, now)
-    root = rows.groupBy("key").agg(F.min("doc_id").alias("least")).join(now.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    root = s.save(root)
-    least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = s.save(root.join(least, "root").select("key", "component_id"))
-    out = rows.join(final, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    matrix = unsettled(met, now)
+
+    # first choices: the leader that a class meets in most parts
+    for turn in range(CHOICES):
+        order = F.xxhash64("label", F.lit(turn))
+        leader = matrix.groupBy("part").agg(F.min(F.struct(order.alias("x"), "label", "key")).alias("first")).select("part", F.col("first.label").alias("of"), F.col("first.key").alias("leader"))
+        asks = matrix.join(leader, "part").where("label <> of").groupBy("key", "leader").agg(F.count("*").alias("times"))
+        pairs = s.save(asks.groupBy("key").agg(F.max(F.struct("times", "leader"))["leader"].alias("leader")).select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct())
+        new = s.save(linked_pairs(pairs))
+        if not new.limit(1).count():
+            break
+        found = s.save(found.unionByName(new))
+        now = s.save(components(found, s))
+        matrix = unsettled(matrix, now)
+
+    # bound and open: the largest group of a part only answers
+    per = matrix.groupBy("part", "label").agg(F.count("*").alias("c")).groupBy("part").agg(F.max(F.struct("c", "label"))["label"].alias("largest"))
+    wide = s.save(matrix.join(per, "part").join(home.select("key", "n", "sketch"), "key"))
+    columns = ["key", "label", "n", "sketch"]
+    pairs = s.save(open_groups(_grid(wide.select("part", *columns), wide.where("label <> largest").select("part", *columns), block, columns), threshold))
+    new = s.save(linked_pairs(pairs))
+    if new.limit(1).count():
+        now = s.save(components(s.save(found.unionByName(new)), s))
+
+    # the least doc_id of each component; a component may have a large share of all classes, so its key is salted
+    root = rows.groupBy("key").agg(F.min("doc_id").alias("least")).join(now.withColumnRenamed("node", "key"), "key", "left")
+    root = s.save(root.select("key", "least", F.coalesce("root", "key").alias("root"), F.pmod("key", F.lit(SALTS)).alias("salt")))
+    least = root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many")).where("many > 1")
+    least = least.select("root", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    final = s.save(root.join(least, ["root", "salt"], "left").select("key", F.coalesce("component_id", "least").alias("component_id")))
+    out = rows.select("doc_id", "n", "key").join(final, "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key")
