@@ -6,16 +6,24 @@ they share; a subsequence that is spread over ``s`` characters weighs
 are windows of WINDOW characters over a word (its ends marked), and the
 normalised kernel is raised to POWER.
 
-Training takes labelled texts, a bounded sample, and goes from texts to
-sentences to words: a greedy cover finds the word beginnings and words that
-explain the toxic texts while (almost) no clean text has them; sentences of
-toxic texts that hold one are the positive sentences, and the windows at that
-place the positive examples.  Windows of words in clean texts are the negative
-ones, those closest to the landmarks first.  Landmarks are taken from the
-positive windows; a linear SVM on the Nystroem features is one weight per
-landmark.  A text's score is a logistic function of its highest window and
-the number of words above HIT, fitted on labelled texts that the cover did
-not see.
+Training takes labelled texts, a bounded sample, apart into sentences.  Only
+whole texts have labels, so sentences get theirs by a greedy cover: it finds
+the word beginnings and words that explain the toxic texts while (almost) no
+clean text has them.  A piece explains a text either by being there (an
+insult that clean texts do not use) or by being dense there (at least twice
+and in DENSE of the words: clean texts have the same beginnings now and then).
+Sentences of toxic texts that hold a piece which explains their text are
+positive, all sentences of clean texts negative, the others have no label.
+Words that stand at a piece in a positive sentence are positive examples,
+words of negative sentences negative ones, those closest to the landmarks
+first.  Landmarks are taken from the positive windows; two linear SVMs on the
+Nystroem features, one for each way to explain, are a weight per landmark.  A
+text's score is a logistic function of its highest insult value, the number
+of words above HIT, and the share of dense words, all over the words as they
+stand in the text, fitted on labelled texts that the cover did not see.
+
+The sample is fitted in one task and comes back as a model of bounded size, so
+the driver holds no texts.
 
 Scoring is one pass without a shuffle.  A word is scored once per worker (a
 bounded cache); texts are read whole.  Runs of single characters
@@ -30,6 +38,7 @@ from; a null doc_id counts as held out.
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -41,16 +50,20 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, slices
 
-#: Toxic and clean labelled texts that are learned from, at most: the bound of the sample.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 6000
+#: Toxic and clean labelled texts that are learned from, and their characters, at most: the bound of the sample.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 6000, 48 << 20
 THRESHOLD = 0.7
 WINDOW, DECAY, POWER, MAX_GAP = 10, 0.6, 2, 4
 MAX_LANDMARKS = 64
 #: Pieces that the cover may choose, and how many of them explain a text.
 MAX_PIECES, NEED = 48, 5
 CACHE_WORDS = 600_000
-#: SVM value from which a word counts.
-HIT = 0.9
+#: SVM values: from which a word counts, as an insult and as one of a dense piece; beyond which it is no more toxic.
+HIT, DENSE_HIT, TOP = 1.0, 0.0, 2.0
+#: The share of words from which a piece is dense.
+DENSE = 0.01
+#: Examples: the most frequent words of a piece, words of clean sentences before and after the closest are chosen.
+PIECE_WORDS, CLEAN_WORDS, CLEAN_EXAMPLES = 200, 250_000, 20_000
 
 _STEPS = [(a, b) for b in range(2, MAX_GAP + 1) for a in range(1, b)]
 _CODES = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
@@ -174,7 +187,7 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2)
     return v
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     x = np.c_[x, np.ones(len(x))]
     v = np.zeros(x.shape[1])
     weight = weight / weight.sum()
@@ -189,34 +202,49 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return v
 
 
+_OUTER = ".,;:!?\"'()[]{}*#&%~_-|<>+=/\\"
+
+
 @dataclass
 class Model:
     base: float
     kernel: Kernel | None = None
+    #: (landmarks x 2) weights and two biases: insults, dense words.
     alpha: np.ndarray | None = None
-    bias: float = 0.0
+    bias: np.ndarray | None = None
     link: np.ndarray | None = None
-    cache: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.value = np.empty((0, 2), dtype=np.float32)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """The highest SVM value of each word's windows."""
+        """(words x 2) the highest SVM values of each word's windows."""
         win, of = windows(words)
         f = self.kernel(win) @ self.alpha + self.bias
-        return np.maximum.reduceat(f, np.flatnonzero(np.r_[True, of[1:] != of[:-1]]))
+        return np.maximum.reduceat(f, np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), axis=0)
 
     def features(self, texts: list[list[str]]) -> np.ndarray:
-        """For each text, given as words: highest value, log of the words above HIT."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list({w for t in texts for w in t}.difference(self.cache))
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
-            self.cache.update(zip(part, self.word_scores(part).tolist()))
-        get, out = self.cache.__getitem__, np.empty((len(texts), 2))
+        """For each text, given as words: highest insult value, log of the words above HIT, log of the share of dense words after the first."""
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
+        new = list({w for t in texts for w in t}.difference(self.known))
+        if new:
+            parts = [self.word_scores(new[a : a + 50_000]) for a in range(0, len(new), 50_000)]
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.value = np.concatenate([self.value, *(p.astype(np.float32) for p in parts)])
+        out = np.zeros((len(texts), 3))
         for i, t in enumerate(texts):
-            values = list(map(get, t))
-            top = min(1.0, max(values, default=self.bias))
-            out[i] = top, math.log1p(sum(v > HIT for v in values)) if top > HIT else 0.0  # beyond the margin is no more toxic
+            if not t:
+                out[i, 0] = min(TOP, float(self.bias[0]))
+                continue
+            v = self.value[np.fromiter(map(self.known.__getitem__, t), dtype=np.int64, count=len(t))]
+            top = min(TOP, float(v[:, 0].max()))  # far beyond the margin is no more toxic
+            dense = np.count_nonzero((v[:, 1] > DENSE_HIT) & (v[:, 0] <= HIT))
+            out[i] = top, math.log1p(np.count_nonzero(v[:, 0] > HIT)) if top > HIT else 0.0, math.log1p(max(0, dense - 1) / len(t) / DENSE)
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -226,25 +254,59 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.link[:-1] + self.link[-1], -30, 30)))
 
 
+def bare(word: str) -> str:
+    return word.strip(_OUTER)
+
+
+def sentences(text: str) -> list[list[str]]:
+    """The words of each sentence without outer punctuation; a line's end also ends a sentence."""
+    out = []
+    for line in text.split("\n"):
+        held: list[str] = []
+        for w in words_of(line):
+            if x := bare(w):
+                held.append(x)
+            if w[-1] in ".!?" and held:
+                out.append(held)
+                held = []
+        if held:
+            out.append(held)
+    return out
+
+
 def _pieces(word: str) -> list[str]:
     """What the cover can choose: a word's beginnings, and the word itself."""
     return [*("^" + word[:n] for n in range(3, 8) if len(word) >= n), "^" + word + "$"]
 
 
-def greedy_cover(toxic: list[set[str]], clean: list[set[str]]) -> list[tuple[str, set[int]]]:
-    """Pieces that explain toxic texts, with the texts that each one helps to explain.
+def dense_pieces(words: Counter, among: set[str] | None = None) -> set[str]:
+    """The beginnings that a text has twice or more and in DENSE of its words."""
+    total = sum(words.values())
+    count = Counter()
+    for w, n in words.items():
+        if among is None or w[:4] in among:
+            for k in range(4, 8):
+                if len(w) > k:
+                    count["^" + w[:k]] += n
+    return {p for p, n in count.items() if n >= 2 and n >= DENSE * total}
+
+
+def greedy_cover(toxic: list[Counter], clean: list[Counter]) -> list[tuple[str, bool, set[int]]]:
+    """(piece, dense, texts) of pieces that explain toxic texts, with all texts that each one explains.
 
     A text is explained by NEED pieces.  Copies of a text count once: a piece
     must be found in several texts that differ in their least hashed words.
     Of pieces that explain nearly as much, the longest is taken.
     """
-    had = Counter(w for t in clean for w in t)
+    had = {w for t in clean for w in t}
     texts = defaultdict(set)
     for i, t in enumerate(toxic):
         for p in {p for w in t if w not in had for p in _pieces(w)}:
-            texts[p].add(i)
+            texts[p, False].add(i)
+        for p in dense_pieces(t):
+            texts[p, True].add(i)
     least = max(3, len(toxic) // 100)
-    texts = {p: s for p, s in texts.items() if len(s) >= least}
+    texts = {p: s for p, s in texts.items() if len(s) >= (max(4, 3 * least) if p[1] else least)}
     marks = []
     for t in toxic:
         own = [w for w in t if w not in had]
@@ -252,9 +314,11 @@ def greedy_cover(toxic: list[set[str]], clean: list[set[str]]) -> list[tuple[str
             own = [" ".join(sorted(t))]
         marks.append([min(zlib.crc32(f"{k}{w}".encode()) for w in own) for k in "abcd"])
     texts = {p: s for p, s in texts.items() if max(len({marks[i][k] for i in s}) for k in range(4)) >= max(least, 0.5 * len(s))}
-    against, firsts = Counter(), {p[1:4] for p in texts}
+    against = Counter()
+    firsts, dense = {p[1:4] for p, d in texts if not d}, {p[1:5] for p, d in texts if d}
     for t in clean:
-        against.update({p for w in t if w[:3] in firsts for p in _pieces(w) if p in texts})
+        against.update({(p, False) for w in t if w[:3] in firsts for p in _pieces(w) if (p, False) in texts})
+        against.update({(p, True) for p in dense_pieces(t, dense) if (p, True) in texts})
     scale = len(toxic) / max(1, len(clean))
     texts = {p: s for p, s in texts.items() if against[p] * scale <= 0.1 * len(s)}
     need = dict.fromkeys(range(len(toxic)), NEED)
@@ -264,45 +328,61 @@ def greedy_cover(toxic: list[set[str]], clean: list[set[str]]) -> list[tuple[str
         most = max(gain.values())
         if most < least:
             break
-        best = max(gain, key=lambda p: (gain[p], len(p), p))
+        order = lambda p: (not p[1], len(p[0]), gain[p], p[0])
+        best = max(gain, key=lambda p: (gain[p], *order(p)))
         like = [p for p in gain if gain[p] >= 0.9 * most and len(texts[p] & texts[best]) >= 0.9 * len(texts[p])]
-        best = max(like, key=lambda p: (len(p), gain[p], p))
-        new = {i for i in texts[best] if need[i] > 0}
-        out.append((best, new))
-        for i in new:
-            need[i] -= 1
+        best = max(like, key=order)
+        out.append((*best, texts[best]))
+        for i in texts[best]:
+            need[i] -= need[i] > 0
         gone = texts[best]
-        texts = {p: s for p, s in texts.items() if gain[p] >= least and not (p[:3] == best[:3] and len(s & gone) >= 0.8 * len(s))}
+        texts = {p: s for p, s in texts.items() if gain[p] >= least and not (p[0][:3] == best[0][:3] and len(s & gone) >= 0.8 * len(s))}
     return out
 
 
+def _first_windows(words: list[str]) -> np.ndarray:
+    win, of = windows(words)
+    return win[np.r_[True, of[1:] != of[:-1]]]
+
+
+def _svm_of(positive: np.ndarray, negative: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights per landmark and the bias; positive, negative: kernel values of the examples."""
+    y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
+    weight = np.r_[np.full(len(positive), 1 / max(1, len(positive))), np.full(len(negative), 30 / max(1, len(negative)))] * 1000
+    v = _svm(np.concatenate([positive, negative]) @ root, y, weight)
+    return root @ v[:-1], float(v[-1])
+
+
 def fit(texts: list[tuple[str, int, bool]], share: float, counts: tuple[int, int]) -> Model:
     """texts: (text, label, for calibration); share: of toxic labels; counts: of clean and toxic labels."""
     model = Model(base=share)
     pool: dict[str, str] = {}
-    words = [[pool.setdefault(w, w) for w in words_of(t)] for t, _, _ in texts]
-    bare = [{w.strip(".,;:!?\"'()[]{}*#&%~_-|<>+=/\\") for w in ws} - {""} for ws in words]
-    toxic = [b for b, (_, y, c) in zip(bare, texts) if y == 1 and not c]
-    clean = [b for b, (_, y, c) in zip(bare, texts) if y == 0 and not c]
-    cover = greedy_cover(toxic, clean) if toxic and clean else []
+    split = {y: [[[pool.setdefault(w, w) for w in s] for s in sentences(t)] for t, label, later in texts if label == y and not later] for y in (0, 1)}
+    count = {y: [Counter(w for s in t for w in s) for t in split[y]] for y in (0, 1)}
+    cover = greedy_cover(count[1], count[0]) if count[0] and count[1] else []
     if not cover:
         return model
-    # positive windows: where a chosen piece stands in a word of a toxic text
-    pieces = {p for p, _ in cover}
+    # positive sentences: those with a piece that explains their text; the words at the piece are the examples
+    explains = defaultdict(set)
+    for p, dense, of in cover:
+        for i in of:
+            explains[i].add((p, dense))
     found = Counter()
-    for t in toxic:
-        found.update({(p, w) for w in t for p in _pieces(w) if p in pieces})
+    for i, t in enumerate(split[1]):
+        own = explains[i]
+        for s in t:
+            found.update({(p, w) for w in s for x in _pieces(w) for p in ((x, False), (x, True)) if p in own})
     per = defaultdict(list)
-    for (p, w), n in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+    for (p, w), _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
         per[p].append(w)
-    positive = [w for p in per for w in per[p][:200]]
+    insults = [w for p in per if not p[1] for w in per[p][:PIECE_WORDS]]
+    thick = [w for p in per if p[1] for w in per[p][:PIECE_WORDS]]
     # insults with a character put in, so that gaps are tolerated
-    whole = [p[1:-1] for p, _ in cover if p.endswith("$") and len(p) >= 6]
+    whole = [p[1:-1] for p, dense, _ in cover if not dense and p.endswith("$") and len(p) >= 6]
     gapped = [w[:i] + c + w[i:] for w in whole for i in range(1, len(w)) for c in ".xe"] + ["-".join(w) for w in whole]
-    first = lambda ws: (lambda win, of: win[np.r_[True, of[1:] != of[:-1]]])(*windows(ws))
     each = max(1, MAX_LANDMARKS // len(cover))
-    marks = first([w for p, _ in cover for w in per[p][:each]])
-    for p, _ in cover:  # the bare beginning itself
+    marks = _first_windows([w for p, dense, _ in cover for w in per[p, dense][:each]])
+    for p, _, _ in cover:  # the bare beginning itself
         if not p.endswith("$"):
             stem = np.zeros((1, WINDOW), dtype=np.int64)
             c = char_codes(p[1:])[:-1][:WINDOW]
@@ -310,30 +390,34 @@ def fit(texts: list[tuple[str, int, bool]], share: float, counts: tuple[int, int
             marks = np.concatenate([marks, stem])
     marks = np.unique(marks, axis=0)
     model.kernel = Kernel(marks)
-    negative = sorted({w for t in clean for w in t} - set(positive))
-    stride = max(1, len(negative) // 250_000)
-    xn = model.kernel(windows(negative[::stride])[0])
-    xn = xn[np.argsort(-xn.max(axis=1), kind="stable")[:20_000]]
-    xp = model.kernel(first(positive + gapped))
+    stems = tuple({p[1:] for p, dense, _ in cover if dense})
+    negative = sorted({w for t in count[0] for w in t if not w.startswith(stems)} - set(insults) if stems else {w for t in count[0] for w in t} - set(insults))
+    xn = model.kernel(windows(negative[:: max(1, len(negative) // CLEAN_WORDS)])[0])
+    xn = xn[np.argsort(-xn.max(axis=1), kind="stable")[:CLEAN_EXAMPLES]]
     gram = model.kernel(marks)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     ok = value > 1e-6 * value.max()
     root = vector[:, ok] / np.sqrt(value[ok])
-    y = np.r_[np.ones(len(xp)), -np.ones(len(xn))]
-    weight = np.r_[np.full(len(xp), 1 / len(xp)), np.full(len(xn), 30 / len(xn))] * 1000
-    v = _svm(np.concatenate([xp, xn]) @ root, y, weight)
-    model.alpha, model.bias = root @ v[:-1], float(v[-1])
-    rest = [i for i, (_, _, c) in enumerate(texts) if c] or list(range(len(texts)))
-    x = model.features([words[i] for i in rest])
-    y = np.array([texts[i][1] for i in rest], dtype=float)
+    empty = np.empty((0, len(marks)))
+    strong = model.kernel(_first_windows(insults + gapped)) if insults else empty
+    weak = model.kernel(_first_windows(thick)) if thick else empty
+    a0, b0 = _svm_of(strong, np.concatenate([xn, weak]), root) if insults else (np.zeros(len(marks)), -1.0)
+    a1, b1 = _svm_of(weak, xn, root) if thick else (np.zeros(len(marks)), -1.0)
+    model.alpha, model.bias = np.c_[a0, a1], np.array([b0, b1])
+    rest = [x for x in texts if x[2]] or texts
+    x = model.features([words_of(t) for t, _, _ in rest])
+    y = np.array([label for _, label, _ in rest], dtype=float)
     n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
     model.link = _logistic(x, y, np.where(y == 1, counts[1] / n1, counts[0] / n0))
-    model.cache = {}
+    model.forget()
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, usable, at_most: tuple[int, int] = (SAMPLE_CLEAN, SAMPLE_TOXIC)) -> Model:
-    """Learn from the labelled rows that ``usable`` (a condition on doc_id) admits."""
+    """Learn from the labelled rows that ``usable`` (a condition on doc_id) admits, the first ones by hash.
+
+    Of a doc_id that repeats, the least text counts.
+    """
     ok = labels.where("doc_id is not null and toxic in (0, 1)").where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = dict(ok.groupBy("toxic").count().collect())
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
@@ -341,17 +425,26 @@ def train(docs: DataFrame, labels: DataFrame, usable, at_most: tuple[int, int] =
     if not n0 or not n1:
         return Model(base=share)
     ids = [r for y in (0, 1) for r in ok.where(F.col("toxic") == y).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(at_most[y]).collect()]
-    chosen = docs.sparkSession.createDataFrame([(r.doc_id, int(r.toxic), r.h % 3 == 0) for r in ids], "doc_id long, toxic int, later boolean")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
-    # texts as their distinct words: enough for the cover, and the number of words is bounded by the sample
-    def only_words(batches):
-        for b in batches:
-            t = [list(dict.fromkeys(words_of(x))) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(x) for x in t]), b.column(2), b.column(3)], names=["doc_id", "text", "toxic", "later"])
+    chosen = docs.sparkSession.createDataFrame([(r.doc_id, int(r.toxic), r.h, r.h % 3 == 0) for r in ids], "doc_id long, toxic int, h long, later boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    rows = rows.groupBy("doc_id", "toxic", "h", "later").agg(F.min("text").alias("text")).select("h", "doc_id", "text", "toxic", "later")
 
-    got = rows.select("doc_id", "text", "toxic", "later").mapInArrow(only_words, "doc_id long, text string, toxic int, later boolean").collect()
-    got = sorted(got, key=lambda r: (r.doc_id, r.text))
-    return fit([(r.text, r.toxic, r.later) for r in got], share, (n0, n1))
+    def fitted(batches):
+        got, size = [], 0
+        for b in batches:
+            for text, toxic, later in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
+                size += len(text)
+                if size <= SAMPLE_CHARS:
+                    got.append((text, toxic, later))
+        m = fit(got, share, (n0, n1))
+        if m.kernel is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((m.kernel.landmarks, m.alpha, m.bias, m.link))], type=pa.binary())], names=["model"])
+
+    made = rows.repartition(1).sortWithinPartitions("h", "doc_id").mapInArrow(fitted, "model binary").collect()
+    if not made:
+        return Model(base=share)
+    landmarks, alpha, bias, link = pickle.loads(made[0].model)
+    return Model(share, Kernel(landmarks), alpha, bias, link)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
