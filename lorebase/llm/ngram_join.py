@@ -148,7 +148,7 @@ def part_keys(tokens: np.ndarray, levels: Levels) -> np.ndarray:
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """doc_id, n, key, least, sketch, parts of every row: its set's size, hash, least token, sketch and parts.
+    """doc_id, text_hash, n, key, least, sketch, parts of every row: its set's size, hash, least token, sketch and parts.
 
     Parts are null where the task has already given those of the same set.
     """
@@ -156,7 +156,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRES
     def run(batches):
         levels, seen = Levels(threshold), set()
         for b in slices(batches, "text"):
-            sets = token_sets(byte_texts(b.column(1)), shingle)
+            sets = token_sets(byte_texts(b.column(2)), shingle)
             keys = [set_key(s) for s in sets]
             parts = []
             for s, key in zip(sets, keys):
@@ -165,11 +165,11 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRES
                 if new and len(seen) < SEEN:
                     seen.add(key)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], type=pa.int64()), _signed(keys), _signed([s[0] if len(s) else 0 for s in sets]), pa.array([sketch(s) for s in sets], type=pa.binary()), pa.array(parts, type=pa.list_(pa.int64()))],
-                names=["doc_id", "n", "key", "least", "sketch", "parts"],
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], type=pa.int64()), _signed(keys), _signed([s[0] if len(s) else 0 for s in sets]), pa.array([sketch(s) for s in sets], type=pa.binary()), pa.array(parts, type=pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n", "key", "least", "sketch", "parts"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, least long, sketch binary, parts array<long>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, n long, key long, least long, sketch binary, parts array<long>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -372,7 +372,10 @@ def _grid(members: DataFrame, asks: DataFrame, block: int, columns: list[str]) -
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, key of every row of ``docs`` (doc_id, text); equal keys are equal sets."""
+    """doc_id, n_shingles, component_id, component, text_hash of every row of ``docs`` (doc_id, text).
+
+    component is a hash that names the component whatever doc_ids repeat or are null; text_hash is xxhash64 of the text.
+    """
     s = Scratch(docs.sparkSession)
     num, den = threshold.numerator, threshold.denominator
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
@@ -449,6 +452,6 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: Fract
     root = s.save(root.select("key", "least", F.coalesce("root", "key").alias("root"), F.pmod("key", F.lit(SALTS)).alias("salt")))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many")).where("many > 1")
     least = least.select("root", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    final = s.save(root.join(least, ["root", "salt"], "left").select("key", F.coalesce("component_id", "least").alias("component_id")))
-    out = rows.select("doc_id", "n", "key").join(final, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key")
+    final = s.save(root.join(least, ["root", "salt"], "left").select("key", F.coalesce("component_id", "least").alias("component_id"), F.col("root").alias("component")))
+    out = rows.select("doc_id", "text_hash", "n", "key").join(final, "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "text_hash")

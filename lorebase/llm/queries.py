@@ -29,7 +29,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(read(spark, sf_dir, "documents")).drop("key")
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents")).drop("component", "text_hash")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

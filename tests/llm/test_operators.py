@@ -261,3 +261,7 @@ def test_pipeline_near_copies(spark):
     # two edits: 86 of 106 shingles of five words (0.81), 89 of 105 of four (0.848); three: 81 of 111 (0.73)
     rows = [(1, " ".join(ws), "s"), (2, edited(ws, 30, 60), "s"), (3, edited(ws, 20, 45, 70), "s")]
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()) == [1, 3]
+    # rows are told apart by doc_id and text: equal or null ids hide no copy, and texts without words stay
+    rows = [(1, " ".join(ws), "s"), (5, " ".join(ws), "t"), (5, "quite another text of six words", "s"), (None, edited(ws, 30), "s"), (5, "quite another text of six words", "s"), (7, "", "s"), (8, None, "s"), (None, " ", "s")]
+    kept = corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:5]) for r in kept) == [("1", "n0 n1"), ("5", "quite"), ("7", ""), ("8", ""), ("None", " ")]
