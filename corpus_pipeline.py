@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm import line_dedup, mixing, ngram_join, sentencepiece, toxicity
-from lorebase.llm.common import Scratch, read
+from lorebase.llm.common import WORD, Scratch, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies share this much of their five-word shingles; op6's own values are for op6 alone.
@@ -38,11 +38,19 @@ def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of similar ones."""
+    """One row of each group of similar documents: the least doc_id, null last, then the least text hash.
+
+    Rows are told apart by doc_id and text, so repeated or null doc_ids hide no
+    copy; texts without words have no copies and stay.
+    """
     docs = docs.select(COLUMNS)
-    stays = ngram_join.jaccard_components(docs, shingle=NEAR_WORDS, threshold=NEAR_SHARE).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    rows = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi").withColumn("_hash", F.xxhash64("text"))
-    return rows.dropDuplicates(["doc_id", "_hash"]).select(COLUMNS)
+    found = ngram_join.jaccard_components(docs, shingle=NEAR_WORDS, threshold=NEAR_SHARE).where("n_shingles > 0")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_h"))
+    wordy = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rows = docs.where(wordy).withColumn("_hash", F.xxhash64("text"))
+    rows = rows.join(first, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_hash"] == F.col("_h")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_hash"]).select(COLUMNS).unionByName(docs.where(~wordy))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
