@@ -7,20 +7,26 @@ A byte goes if a string of LENGTH bytes that covers it also starts elsewhere.
   last one of equals).  A trigger so depends on the window's own bytes alone,
   equal windows have equal triggers, and the starts with one trigger are a
   run.  A phrase is the bytes that the windows of such a run span.
-* Dictionary.  Phrases are counted by hash.  A phrase found twice settles all
-  its windows; a phrase whose trigger string (the bytes that all its windows
-  share) is found once settles them too: none repeats.
-* Order.  What is left are phrases at the edges of repeated passages: found
-  once, but with a trigger string that others have.  Only their windows, and
-  those of one copy of each other phrase with that trigger string, are compared
-  one by one.  A suffix array of dictionary and parse would give the order of
-  all of these; for repeats of at least LENGTH bytes only equality at that
-  depth counts, so windows are put into classes by hash of their LENGTH bytes
-  instead of being sorted.  Classes come from a shuffle with map-side counts,
-  which has no hot range, where a global suffix order would have one.
-
-Hashes are 64 bits of a polynomial over random byte values; a window's hash is
-mixed with its trigger string's.
+* Dictionary.  Distinct phrases, with the number of times that the parse has
+  each.  A phrase found twice settles all its windows; a phrase whose trigger
+  string (the bytes that all its windows share) is found once settles them
+  too: none repeats.
+* Suffix arrays.  What is left are phrases at the edges of repeated passages:
+  found once, but with a trigger string that others have.  They and one copy of
+  each other phrase with that trigger string go to one task, which sorts the
+  suffixes of their bytes to depth LENGTH by doubling ranks.  Equal windows
+  have one trigger string, so these buckets together hold the part of the
+  corpus order that matters: suffixes of one rank, each as often as the parse
+  has its phrase, are the windows that repeat.  Ranks compare bytes, not
+  hashes.
+* A trigger string with more than BUCKET distinct phrases (the edges of a
+  passage that very many texts share) is one range of the order that no task
+  should hold.  Its windows are counted by two hashes of 64 bits each, in a
+  shuffle with map-side counts.
+
+Trigger strings and phrases are told apart by a hash of 64 bits each, of
+different bytes, so two phrases are confused only if both agree; the hash is a
+polynomial over random byte values.
 
 Tasks get filters of FILTER_BITS bits that tell them which phrases and windows
 cannot matter.  They only save shuffles: whatever passes is joined exactly.
@@ -43,7 +49,13 @@ LENGTH = 200
 #: A trigger is found among so many positions, by the hash of so many bytes.
 REACH, GRAM = 128, 16
 #: Texts are parsed in pieces of about so many bytes; a longer text is cut, and no window is lost or found twice.
-PIECE = 2 << 20
+PIECE = 1 << 19
+#: Distinct phrases with one trigger string that one task sorts.
+BUCKET = 4096
+#: Places that a task remembers, so that copies of a text are not sent again.
+SEEN = 500_000
+#: Bytes of phrases that are sorted at a time, unless one trigger string has more.
+SORTED_BYTES = 1 << 20
 #: A trigger's position in a piece is packed below its hash; a piece holds fewer bytes than these bits count.
 POSITION_BITS = 24
 #: Bits of the filter that tells tasks which phrases to take apart (16 MB).
@@ -99,6 +111,7 @@ class Parsed:
         last = np.r_[first[1:], len(doc)] - 1
         self.doc, self.lo, self.hi = doc[first], at[first], at[last]
         trigger = trigger[first]
+        self.data = data
         self.anchor = mix64(self.hash(trigger, trigger + length - reach + 1) + np.uint64(1))
         self.phrase = mix64(self.hash(self.lo, self.hi + length) ^ mix64((trigger - self.lo).astype(np.uint64) + np.uint64(7)) + (self.hi - self.lo).astype(np.uint64))
         self.length = length
@@ -138,10 +151,11 @@ def _parse(docs: DataFrame, length: int, emit, schema: str) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
+        seen: set = set()
         for b in slices(batches, "text", PIECE):
             for texts, of, offsets in pieces(byte_texts(b.column(0)), length):
                 p = Parsed(texts, length, offsets)
-                if not p.empty and (out := emit(p, b.column(1).to_numpy()[of])) is not None:
+                if not p.empty and (out := emit(p, b.column(1).to_numpy()[of], seen)) is not None:
                     yield pa.RecordBatch.from_arrays(out, names=names)
 
     return docs.select("text", "text_hash").mapInArrow(run, schema)
@@ -149,7 +163,7 @@ def _parse(docs: DataFrame, length: int, emit, schema: str) -> DataFrame:
 
 def phrase_keys(docs: DataFrame, length: int) -> DataFrame:
     """anchor, phrase of every phrase."""
-    return _parse(docs, length, lambda p, _: [_signed(p.anchor), _signed(p.phrase)], "anchor long, phrase long")
+    return _parse(docs, length, lambda p, *_: [_signed(p.anchor), _signed(p.phrase)], "anchor long, phrase long")
 
 
 def _bit(h: np.ndarray) -> np.ndarray:
@@ -185,7 +199,7 @@ def phrases(docs: DataFrame, anchors: np.ndarray, length: int) -> DataFrame:
     """anchor, phrase, text_hash, lo, hi of the phrases whose anchor passes a filter; their windows start from lo to hi in the text."""
     held = docs.sparkSession.sparkContext.broadcast(anchors)
 
-    def emit(p, text_hash):
+    def emit(p, text_hash, _):
         own = np.flatnonzero(_passes(held.value, p.anchor))
         begin = p.origin[p.doc[own]]
         return [_signed(p.anchor[own]), _signed(p.phrase[own]), pa.array(text_hash[p.doc[own]]), pa.array(p.lo[own] - begin), pa.array(p.hi[own] - begin)]
@@ -193,28 +207,121 @@ def phrases(docs: DataFrame, anchors: np.ndarray, length: int) -> DataFrame:
     return _parse(docs, length, emit, "anchor long, phrase long, text_hash long, lo long, hi long")
 
 
-def windows(docs: DataFrame, places: np.ndarray, length: int, known: np.ndarray | None = None) -> DataFrame:
-    """window, text_hash, at of the windows of phrases at places in a filter; of those in the filter ``known`` if given."""
-    held = docs.sparkSession.sparkContext.broadcast((places, known))
+def bodies(docs: DataFrame, places: np.ndarray, length: int) -> DataFrame:
+    """anchor, text_hash, lo, body of the phrases at places in a filter: the bytes that their windows span.
 
-    def emit(p, text_hash):
-        places, known = held.value
-        own = np.flatnonzero(_passes(places, _place(p.phrase, text_hash[p.doc], p.lo - p.origin[p.doc])))
+    Copies of a text have equal places; a task gives most of them once.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(places)
+
+    def emit(p, text_hash, seen):
+        place = _place(p.phrase, text_hash[p.doc], p.lo - p.origin[p.doc])
+        own = np.flatnonzero(_passes(held.value, place))
+        own = own[[x not in seen for x in place[own].tolist()]] if len(own) else own
         if not len(own):
             return None
-        many = p.hi[own] - p.lo[own] + 1
-        i = np.repeat(own, many)
-        at = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + p.lo[i]
-        w = mix64(p.hash(at, at + length) ^ mix64(p.anchor[i]))
-        if known is not None:
-            ok = _passes(known, w)
-            i, at, w = i[ok], at[ok], w[ok]
-        return [_signed(w), pa.array(text_hash[p.doc[i]]), pa.array(at - p.origin[p.doc[i]])]
+        if len(seen) < SEEN:
+            seen.update(place[own].tolist())
+        body = [p.data[x : y + length].tobytes() for x, y in zip(p.lo[own].tolist(), p.hi[own].tolist())]
+        return [_signed(p.anchor[own]), pa.array(text_hash[p.doc[own]]), pa.array(p.lo[own] - p.origin[p.doc[own]]), pa.array(body, type=pa.binary())]
+
+    return _parse(docs, length, emit, "anchor long, text_hash long, lo long, body binary")
+
+
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Rank of each position of ``data`` (bytes) by the ``length`` bytes from it; equal ranks are equal bytes.
+
+    A suffix array to that depth, by doubling; positions less than ``length`` from the end read zeros there.
+    """
+    n = len(data)
+    data = np.concatenate([data, np.zeros(length, dtype=np.uint8)]).astype(np.uint64)
+    depth = 1
+    while depth * 2 <= min(length, 8):
+        depth *= 2
+    first = np.zeros(n + length - depth + 1, dtype=np.uint64)
+    for k in range(depth):
+        first = (first << np.uint64(8)) | data[k : len(first) + k]
+    _, rank = np.unique(first, return_inverse=True)
+    while depth < length:
+        step = min(depth, length - depth)
+        both = (rank[: len(rank) - step].astype(np.uint64) << np.uint64(32)) | rank[step:].astype(np.uint64)
+        _, rank = np.unique(both, return_inverse=True)
+        depth += step
+    return rank[:n]
+
+
+def repeated_starts(body: list[bytes], length: int) -> list[np.ndarray]:
+    """For each phrase's bytes, which of its windows start elsewhere too."""
+    size = np.array([len(x) for x in body], dtype=np.int64)
+    begin = np.cumsum(size) - size
+    many = size - length + 1
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
+    rank = suffix_ranks(np.frombuffer(b"".join(body), dtype=np.uint8), length)[at]
+    return np.split(np.bincount(rank)[rank] > 1, np.cumsum(many)[:-1])
+
+
+def _runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last positions of the runs of true."""
+    edge = np.diff(np.r_[0, on.astype(np.int8), 0])
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+
+
+def sorted_edges(rows: DataFrame, length: int) -> DataFrame:
+    """text_hash, lo, hi: runs of windows that repeat, among the phrases (anchor, text_hash, lo, body) of each trigger string."""
 
-    return _parse(docs, length, emit, "window long, text_hash long, at long")
+    def run(batches):
+        held, size, last = [], 0, None
+
+        def out():
+            text_hash, lo, hi = [], [], []
+            for (h, first, _), on in zip(held, repeated_starts([x for _, _, x in held], length)):
+                x, y = _runs(on)
+                text_hash.append(np.full(len(x), h))
+                lo.append(x + first)
+                hi.append(y + first)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (text_hash, lo, hi)], names=["text_hash", "lo", "hi"])
+
+        for b in batches:
+            for anchor, *row in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if held and row[:2] == held[-1][:2]:
+                    continue  # the same place, in a copy of the text
+                if anchor != last and size >= SORTED_BYTES:
+                    yield out()
+                    held, size = [], 0
+                last = anchor
+                held.append(row)
+                size += len(row[2])
+        if held:
+            yield out()
 
+    return rows.select("anchor", "text_hash", "lo", "body").repartition("anchor").sortWithinPartitions("anchor", "text_hash", "lo").mapInArrow(run, "text_hash long, lo long, hi long")
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+
+def counted_edges(rows: DataFrame, length: int, s: Scratch) -> DataFrame:
+    """As ``sorted_edges``, by counts of window hashes: no task holds a trigger string's phrases."""
+
+    def run(batches):
+        for b in slices(batches, "body", SORTED_BYTES):
+            body = b.column(2).to_pylist()
+            data = np.frombuffer(b"".join(body), dtype=np.uint8)
+            size = np.array([len(x) for x in body], dtype=np.int64)
+            many = size - length + 1
+            inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at = inner + np.repeat(np.cumsum(size) - size, many)
+            w = []
+            for base in (_BASE, mix64(np.array([_BASE]))[0] | np.uint64(1)):
+                h, x = np.zeros(len(at), dtype=np.uint64), _VALUE[data]
+                for k in range(length):
+                    h = h * base + x[at + k]
+                w.append(_signed(mix64(h)))
+            yield pa.RecordBatch.from_arrays([*w, pa.array(np.repeat(b.column(0).to_numpy(), many)), pa.array(inner + np.repeat(b.column(1).to_numpy(), many))], names=["w1", "w2", "text_hash", "at"])
+
+    found = s.save(rows.select("text_hash", "lo", "body").mapInArrow(run, "w1 long, w2 long, text_hash long, at long"))
+    same = found.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
+    return found.join(same, ["w1", "w2"], "left_semi").select("text_hash", F.col("at").alias("lo"), F.col("at").alias("hi"))
+
+
+def repeated_runs(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
     """text_hash, runs: for each text with repeats, the starts (from, to) of windows that also start elsewhere.
 
     docs: text, text_hash.
@@ -226,15 +333,18 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = rows.where("not mixed").select("text_hash", "lo", "hi")
     # groups of phrases that share a trigger string: what each phrase is and how often it is found
     kinds = s.save(rows.where("mixed").groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("text_hash", "lo", "hi")).alias("at")))
-    twice = s.save(kinds.where("n > 1").select(F.col("phrase").alias("p")).distinct())
-    whole = whole.unionByName(rows.where("mixed").join(twice, F.col("phrase") == F.col("p"), "left_semi").select("text_hash", "lo", "hi"))
-    edges = s.save(kinds.where("n = 1").select("anchor").distinct())
-    apart = s.save(kinds.join(edges, "anchor", "left_semi").select("phrase", "at.text_hash", "at.lo"))
-    places = filter_of(apart, "phrase", "text_hash", "lo")
-    # every row is a window of the corpus, so two of a kind are a repeat, whatever else passed the filter
-    same = s.save(windows(docs, places, length).groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select(F.col("window").alias("w")))
-    found = windows(docs, places, length, filter_of(same, "w"))
-    edge = found.join(same, F.col("window") == F.col("w"), "left_semi").select("text_hash", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    twice = kinds.where("n > 1").select("anchor", "phrase")
+    whole = whole.unionByName(rows.where("mixed").join(twice, ["anchor", "phrase"], "left_semi").select("text_hash", "lo", "hi"))
+    edges = s.save(kinds.groupBy("anchor").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("least = 1").select("anchor", (F.col("many") > bucket).alias("large")))
+    apart = kinds.join(edges.select("anchor"), "anchor", "left_semi").select("phrase", "at.text_hash", "at.lo")
+    # every row is a phrase of the corpus at its place, so equal windows of two places are a repeat, whatever else
+    # passed the filter; two rows of one place are of a text with copies, whose phrases all repeat
+    body = s.save(bodies(docs, filter_of(apart, "phrase", "text_hash", "lo"), length))
+    large = edges.where("large").select("anchor")
+    if large.limit(1).count():
+        edge = sorted_edges(body.join(large, "anchor", "left_anti"), length).unionByName(counted_edges(body.join(large, "anchor", "left_semi"), length, s))
+    else:
+        edge = sorted_edges(body, length)
     return whole.unionByName(edge).distinct().groupBy("text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
 

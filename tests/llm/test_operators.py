@@ -118,6 +118,19 @@ def test_suffix_dedup(spark, docs):
     got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op7_report(docs).collect()]
     assert sorted(got) == sorted(want)
     assert suffix_dedup.op7_report(empty(spark)).count() == 0
+    # trigger strings with many phrases take the other way, with the same result
+    runs = lambda bucket: sorted((r.text_hash, suffix_dedup.spans_of(r.runs, 1 << 20)) for r in suffix_dedup.repeated_runs(docs.select("text", F.xxhash64("text").alias("text_hash")).where("text is not null"), bucket=bucket).collect())
+    assert runs(4096) == runs(0) != []
+
+
+def test_suffix_ranks():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 99, 300, dtype=np.uint8)
+    for length in (1, 3, 8, 13, 40):
+        rank = suffix_dedup.suffix_ranks(data, length)
+        own = [data[i : i + length].tobytes().ljust(length, b"\0") for i in range(300)]
+        order = {x: k for k, x in enumerate(sorted(set(own)))}
+        assert np.argsort(rank, kind="stable").tolist() == sorted(range(300), key=lambda i: order[own[i]])
 
 
 def test_suffix_dedup_long_text(spark):
