@@ -302,15 +302,12 @@ class Sketches:
         most = np.where(self.free[others] | self.free[i], np.minimum(n, self.n[i]), most)
         return others[(self.den + self.num) * most >= self.num * (n + self.n[i])]
 
-    def opens(self, i: int, union: np.ndarray, lo: int, hi: int, free: bool) -> bool:
-        """Whether row i may reach the threshold with a member of a group of that union and those sizes."""
+    def opens(self, i: int, union: np.ndarray, lo: np.ndarray, hi: np.ndarray, free: np.ndarray) -> np.ndarray:
+        """For groups of these unions and sizes, whether row i may reach the threshold with a member."""
         n = self.n[i]
-        if n * self.den < self.num * lo or hi * self.den < self.num * n:
-            return False
-        if free or self.free[i]:
-            return True
-        most = int(np.minimum(union, self.m[i]).sum(dtype=np.int64))
-        return self.den * most >= self.num * max(n, lo)
+        most = np.minimum(union, self.m[i]).sum(axis=1, dtype=np.int64)
+        near = (n * self.den >= self.num * lo) & (hi * self.den >= self.num * n)
+        return near & (free | self.free[i] | (self.den * most >= self.num * np.maximum(n, lo)))
 
 
 def within_reach(rows: DataFrame, threshold: Fraction) -> DataFrame:
@@ -341,17 +338,23 @@ def open_groups(rows: DataFrame, threshold: Fraction) -> DataFrame:
             key, label, asks = (t.column(c).to_numpy() for c in ("key", "label", "asks"))
             s = Sketches(t, threshold)
             member = np.flatnonzero(asks == 0)
-            groups = []
-            for x in np.unique(label[member]):
-                own = member[label[member] == x]
-                groups.append((x, own, s.m[own].max(axis=0), s.n[own].min(), s.n[own].max(), bool(s.free[own].any())))
+            member = member[np.argsort(label[member], kind="stable")]
+            first = np.flatnonzero(np.r_[True, label[member[1:]] != label[member[:-1]]]) if len(member) else member
+            last = np.r_[first[1:], len(member)]
+            if not len(first):
+                continue
+            of = label[member[first]]
+            union = np.maximum.reduceat(s.m[member], first, axis=0)
+            lo, hi, free = np.minimum.reduceat(s.n[member], first), np.maximum.reduceat(s.n[member], first), np.logical_or.reduceat(s.free[member], first)
             a, b = [], []
             for i in np.flatnonzero(asks == 1):
-                for x, own, union, lo, hi, free in groups:
-                    if x != label[i] and s.opens(i, union, lo, hi, free):
-                        for j in s.admits(i, own):
-                            a.append(min(key[i], key[j]))
-                            b.append(max(key[i], key[j]))
+                opened = np.flatnonzero(s.opens(i, union, lo, hi, free) & (of != label[i]))
+                if not len(opened):
+                    continue
+                others = np.concatenate([member[first[g] : last[g]] for g in opened])
+                for j in s.admits(i, others):
+                    a.append(min(key[i], key[j]))
+                    b.append(max(key[i], key[j]))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(a, dtype=np.int64)), pa.array(np.array(b, dtype=np.int64))], names=["a", "b"])
 
