@@ -9,19 +9,25 @@ A document is the set of its word shingles' hashes; equal sets are one class.
   partner may be of the next level takes part in both.  Empty parts are left
   out, but by sets with more than ``slack`` of them: two such sets have them in
   common, any other pair has an equal part that is not empty.
+* Common parts: a pair shares at least one part more than either set can spare
+  (by its own size, its partner can only differ in so many).  So each set
+  leaves out as many of its parts as it can spare, the most frequent first, in
+  one order for all: the rarest common part stays on both sides.  A passage that
+  very many documents share brings only those together that consist of little
+  else.
 * Groups: classes with one least token are one group, so two classes are in one
   group as often as they are similar.  Members are compared exactly in blocks;
   what that connects are the groups of the matrix.
 * Matrix: (part, group).  A part held by one group alone is settled.
-* First choice: in parts that several groups hold, each class is compared with
-  the leader that it meets most often.  Copies need a comparison each, not one
-  per pair, and merged groups settle their parts.
-* Bound: in what is left, each group is stored as the union of its members that
-  hold the part: the greatest number of tokens in each of 256 hash ranges.  The
-  smaller ones of a class's numbers and the union's, summed, bound the
-  intersection with every member from above.
-* Open: only groups that can reach the threshold are opened; members that
-  pass the same bound one by one are compared exactly.
+* Bound: in parts that several groups hold, each group is stored as the union
+  of its members that hold the part: the greatest number of tokens in each of
+  256 hash ranges.  The smaller ones of a class's numbers and the union's,
+  summed, bound the intersection with every member from above.
+* Open: only groups that can reach the threshold are opened, and members are
+  bounded in the same way one by one.  First only the best pair of each two
+  groups is compared exactly, in rounds: copies then need a comparison for each
+  merge, not one per pair.  Pairs of groups that stay apart are compared pair
+  by pair, as far as the bound admits them.
 
 Every pair of classes in different groups that shares a part is bounded or
 compared, so no link is lost.  Parts that many classes hold are cut into blocks
@@ -41,7 +47,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, byte_texts, mix64, slices
@@ -50,8 +56,10 @@ from .components import components
 SHINGLE, THRESHOLD = 4, Fraction(85, 100)
 #: Members of a group that one task holds.
 BLOCK = 256
-#: Rounds of first choices before groups are opened; they save comparisons and lose none.
-CHOICES = 3
+#: Rounds that compare the best pair of two groups before all pairs are; they save comparisons and lose none.
+MERGES = 6
+#: Parts of at most so many classes are compared many at a time.
+SMALL = 24
 #: Set keys that a task remembers, to give each set's parts once.
 SEEN = 500_000
 #: The rows of a component's hot key are spread over so many.
@@ -122,6 +130,21 @@ class Levels:
             slack = 2 + math.ceil(1.5 * differ * empty)
             self.slack.append(slack)
             self.parts.append(differ + 1 + slack if differ else 0)  # no difference: equal sets only, one class
+        self._known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def cut(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the parts of level i begin in the hash range, but the first, and a hash of each part's place."""
+        if i not in self._known:
+            k = np.uint64(self.parts[i])
+            at = np.arange(self.parts[i], dtype=np.uint64)
+            self._known[i] = at[1:] * (np.uint64(2**64 - 1) // k), mix64(at + np.uint64((i << 40) + 1))
+        return self._known[i]
+
+    def spare(self, i: int, n: int) -> int:
+        """How many more parts than one a set of n tokens has in common with any partner at level i, if it has no empty ones."""
+        num, den = self.threshold.numerator, self.threshold.denominator
+        partner = min(n * den // num, self.lows[i + 1] - 1)
+        return self.parts[i] - 1 - (n + partner) * (den - num) // (den + num)
 
     def of(self, n: int) -> list[int]:
         """The levels at which a set of n tokens takes part."""
@@ -130,27 +153,33 @@ class Levels:
         return [x for x in ((i, i + 1) if both else (i,)) if self.parts[x]]
 
 
-def part_keys(tokens: np.ndarray, levels: Levels) -> np.ndarray:
-    """A 64-bit hash of the tokens in each part, for each of the set's levels."""
+def part_keys(tokens: np.ndarray, levels: Levels) -> list[tuple[np.ndarray, int]]:
+    """For each of the set's levels: a 64-bit hash of the tokens in each part, and how many of them it can spare."""
     sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
-    np.cumsum(mix64(tokens), out=sums[1:])
+    np.cumsum(tokens, out=sums[1:])
     out = []
     for i in levels.of(len(tokens)):
-        k = levels.parts[i]
-        edges = np.arange(1, k, dtype=np.uint64) * np.uint64((1 << 64) // k)
-        at = np.r_[0, np.searchsorted(tokens, edges), len(tokens)]
+        edges, place = levels.cut(i)
+        at = np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
         count = np.diff(at)
-        held = np.arange(k) if np.count_nonzero(count == 0) > levels.slack[i] else np.flatnonzero(count)
-        content = sums[at[1:]] - sums[at[:-1]] + count.astype(np.uint64)
-        place = np.arange(k, dtype=np.uint64) + np.uint64(i << 40)
-        out.append(mix64(mix64(content[held]) + mix64(place[held] + np.uint64(1))))
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+        total = sums[at]
+        content = total[1:] - total[:-1] + count.astype(np.uint64)
+        empty = len(count) - int(np.count_nonzero(count))
+        spare = 0
+        if empty <= levels.slack[i]:
+            spare = levels.spare(i, len(tokens)) - empty
+            held = count > 0
+            content, place = content[held], place[held]
+        out.append((mix64(content * np.uint64(0x9E3779B97F4A7C15) ^ place), spare))
+    return out
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash, n, key, least, sketch, parts of every row: its set's size, hash, least token, sketch and parts.
+    """doc_id, text_hash, n, key, least, sketch, parts, spare, second of every row: its set's size, hash, least token, sketch and parts.
 
-    Parts are null where the task has already given those of the same set.
+    spare: how many parts of each level the set can leave out; second: where
+    those of the second level begin.  Parts are null where the task has
+    already given those of the same set.
     """
 
     def run(batches):
@@ -158,18 +187,27 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRES
         for b in slices(batches, "text"):
             sets = token_sets(byte_texts(b.column(2)), shingle)
             keys = [set_key(s) for s in sets]
-            parts = []
+            parts, spare, second = [], [], []
             for s, key in zip(sets, keys):
-                new = len(s) > 0 and key not in seen
-                parts.append(part_keys(s, levels).view(np.int64) if new else None)
-                if new and len(seen) < SEEN:
+                if not len(s) or key in seen:
+                    parts.append(None)
+                    spare.append(None)
+                    second.append(None)
+                    continue
+                if len(seen) < SEEN:
                     seen.add(key)
+                own = part_keys(s, levels)
+                parts.append(np.concatenate([x for x, _ in own]).view(np.int64) if own else np.empty(0, dtype=np.int64))
+                spare.append([x for _, x in own])
+                second.append(len(own[0][0]) if own else 0)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], type=pa.int64()), _signed(keys), _signed([s[0] if len(s) else 0 for s in sets]), pa.array([sketch(s) for s in sets], type=pa.binary()), pa.array(parts, type=pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "n", "key", "least", "sketch", "parts"],
-            )
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], type=pa.int64()), _signed(keys), _signed([s[0] if len(s) else 0 for s in sets]), pa.array([sketch(s) for s in sets], type=pa.binary()),
+                 pa.array(parts, type=pa.list_(pa.int64())), pa.array(spare, type=pa.list_(pa.int32())), pa.array(second, type=pa.int32())],
+                names=["doc_id", "text_hash", "n", "key", "least", "sketch", "parts", "spare", "second"],
+            )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, n long, key long, least long, sketch binary, parts array<long>")
+    schema = "doc_id long, text_hash long, n long, key long, least long, sketch binary, parts array<long>, spare array<int>, second int"
+    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_hash", "text").mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -295,12 +333,14 @@ class Sketches:
         self.m = np.frombuffer(b"".join(x or bytes(256) for x in raw), dtype=np.uint8).reshape(-1, 256)
         self.num, self.den = threshold.numerator, threshold.denominator
 
+    def most(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The bound on the tokens that row i shares with each of ``others``."""
+        most = np.minimum(self.m[others], self.m[i]).sum(axis=1, dtype=np.int64)
+        return np.where(self.free[others] | self.free[i], np.minimum(self.n[others], self.n[i]), most)
+
     def admits(self, i: int, others: np.ndarray) -> np.ndarray:
         """Which of ``others`` may reach the threshold with row i."""
-        n = self.n[others]
-        most = np.minimum(self.m[others], self.m[i]).sum(axis=1, dtype=np.int64)
-        most = np.where(self.free[others] | self.free[i], np.minimum(n, self.n[i]), most)
-        return others[(self.den + self.num) * most >= self.num * (n + self.n[i])]
+        return others[(self.den + self.num) * self.most(i, others) >= self.num * (self.n[others] + self.n[i])]
 
     def opens(self, i: int, union: np.ndarray, lo: np.ndarray, hi: np.ndarray, free: np.ndarray) -> np.ndarray:
         """For groups of these unions and sizes, whether row i may reach the threshold with a member."""
@@ -327,51 +367,114 @@ def within_reach(rows: DataFrame, threshold: Fraction) -> DataFrame:
     return parts.mapInArrow(run, "g long, key long").distinct()
 
 
-def open_groups(rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b): pairs of classes of two groups that the bounds admit, in each block of rows (part, block, key, label, n, sketch, asks).
+def whole_runs(batches, columns: list[str]):
+    """Tables of whole runs of equal values in ``columns``, and where each run begins."""
+    held: list[pa.RecordBatch] = []
+    for b in (b for b in batches if b.num_rows):
+        v = [b.column(b.schema.get_field_index(c)).to_numpy() for c in columns]
+        new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in v])) + 1
+        if held:
+            last = held[-1]
+            if any(last.column(last.schema.get_field_index(c))[last.num_rows - 1].as_py() != x[0] for c, x in zip(columns, v)):
+                yield _with_runs(held, columns)
+                held = []
+        if not len(new):
+            held.append(b)
+            continue
+        yield _with_runs([*held, b.slice(0, int(new[-1]))], columns)
+        held = [b.slice(int(new[-1]))]
+    if held:
+        yield _with_runs(held, columns)
+
 
-    asks is 1 for the classes that ask and 0 for those that are asked.
+def _with_runs(held: list[pa.RecordBatch], columns: list[str]):
+    t = pa.Table.from_batches(held)
+    v = [t.column(c).to_numpy() for c in columns]
+    return t, np.r_[0, np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in v])) + 1]
+
+
+def open_groups(rows: DataFrame, threshold: Fraction, best: bool) -> DataFrame:
+    """part, one, two, share, a, b: pairs of classes of the groups one and two that the bounds admit, in each block of rows (part, block, key, label, n, sketch, asks).
+
+    asks is 0 for classes that are asked, 2 for those that ask, 1 for both.
+    With ``best``, only the pair of each two groups with the greatest bound on
+    its share of common tokens.
     """
 
+    def few(s: Sketches, label, begin, size):
+        """Admitted pairs of rows in runs of few rows, all at once."""
+        at, many = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), np.repeat(size, size)
+        row = at + np.repeat(begin, size)
+        later = many - 1 - at
+        i = np.repeat(row, later)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+        ok = (label[i] != label[j]) & (np.minimum(s.n[i], s.n[j]) * s.den >= s.num * np.maximum(s.n[i], s.n[j]))
+        i, j = i[ok], j[ok]
+        most = np.concatenate([np.empty(0, np.int64), *(np.minimum(s.m[i[a : a + 8192]], s.m[j[a : a + 8192]]).sum(axis=1, dtype=np.int64) for a in range(0, len(i), 8192))])
+        most = np.where(s.free[i] | s.free[j], np.minimum(s.n[i], s.n[j]), most)
+        ok = (s.den + s.num) * most >= s.num * (s.n[i] + s.n[j])
+        return i[ok], j[ok], most[ok] / (s.n[i[ok]] + s.n[j[ok]])
+
+    def many(s: Sketches, label, asks, rows):
+        """Admitted pairs of an asker and a member of a group that can reach the threshold, in one run."""
+        member = rows[asks[rows] < 2]
+        member = member[np.argsort(label[member], kind="stable")]
+        if not len(member):
+            return
+        first = np.flatnonzero(np.r_[True, label[member[1:]] != label[member[:-1]]])
+        size = np.diff(np.r_[first, len(member)])
+        of, union = label[member[first]], np.maximum.reduceat(s.m[member], first, axis=0)
+        lo, hi, free = np.minimum.reduceat(s.n[member], first), np.maximum.reduceat(s.n[member], first), np.logical_or.reduceat(s.free[member], first)
+        for i in rows[asks[rows] > 0]:
+            opened = s.opens(i, union, lo, hi, free) & (of != label[i])
+            if opened.any():
+                near = s.admits(i, member[np.repeat(opened, size)])
+                yield np.full(len(near), i), near, s.most(i, near) / (s.n[near] + s.n[i])
+
     def run(batches):
-        for _, t in runs_of(batches, ["part", "block"]):
-            key, label, asks = (t.column(c).to_numpy() for c in ("key", "label", "asks"))
+        seen: set = set()
+        for t, begin in whole_runs(batches, ["part", "block"]):
+            part, key, label, asks = (t.column(c).to_numpy() for c in ("part", "key", "label", "asks"))
             s = Sketches(t, threshold)
-            member = np.flatnonzero(asks == 0)
-            member = member[np.argsort(label[member], kind="stable")]
-            first = np.flatnonzero(np.r_[True, label[member[1:]] != label[member[:-1]]]) if len(member) else member
-            last = np.r_[first[1:], len(member)]
-            if not len(first):
+            size = np.diff(np.r_[begin, len(key)])
+            small = (size <= SMALL) & (asks[begin] < 2)
+            found = [few(s, label, begin[small], size[small])]
+            for x, n in zip(begin[~small], size[~small]):
+                found += many(s, label, asks, np.arange(x, x + n))
+            i, j, share = (np.concatenate(c) for c in zip(*found))
+            if not len(i):
                 continue
-            of = label[member[first]]
-            union = np.maximum.reduceat(s.m[member], first, axis=0)
-            lo, hi, free = np.minimum.reduceat(s.n[member], first), np.maximum.reduceat(s.n[member], first), np.logical_or.reduceat(s.free[member], first)
-            a, b = [], []
-            for i in np.flatnonzero(asks == 1):
-                opened = np.flatnonzero(s.opens(i, union, lo, hi, free) & (of != label[i]))
-                if not len(opened):
-                    continue
-                others = np.concatenate([member[first[g] : last[g]] for g in opened])
-                for j in s.admits(i, others):
-                    a.append(min(key[i], key[j]))
-                    b.append(max(key[i], key[j]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, dtype=np.int64)), pa.array(np.array(b, dtype=np.int64))], names=["a", "b"])
-
-    cols = ["part", "block", "key", "label", "n", "sketch", F.col("asks").cast("int").alias("asks")]
-    return rows.select(*cols).repartition("part", "block").sortWithinPartitions("part", "block").mapInArrow(run, "a long, b long").distinct()
-
-
-def _grid(members: DataFrame, asks: DataFrame, block: int, columns: list[str]) -> DataFrame:
-    """part, block, columns, asks: each block of a part's members with each block of its askers."""
-    many = lambda d, n: d.groupBy("part").agg(F.ceil(F.count("*") / block).alias(n))
-    size = many(asks, "qs").join(many(members, "ms"), "part")
-    cut = lambda n: F.when(F.col(n) > 1, F.pmod(F.xxhash64("key"), F.col(n))).otherwise(F.lit(0).cast("long"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = members.join(size, "part").withColumn("m", cut("ms")).withColumn("q", every("qs")).withColumn("asks", F.lit(0))
-    right = asks.join(size, "part").withColumn("q", cut("qs")).withColumn("m", every("ms")).withColumn("asks", F.lit(1))
-    cols = ["part", (F.col("m") * (1 << 32) + F.col("q")).alias("block"), *columns, "asks"]
-    return left.select(*cols).unionByName(right.select(*cols))
+            a, b = np.minimum(key[i], key[j]), np.maximum(key[i], key[j])
+            one, two = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+            if best:
+                order = np.lexsort([b, a, -share, two, one, part[i]])
+                p, x, y = part[i][order], one[order], two[order]
+                keep = order[np.r_[True, (p[1:] != p[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]]
+            else:
+                keep = []
+                for k, pair in enumerate(zip(a.tolist(), b.tolist())):
+                    if pair not in seen:
+                        keep.append(k)
+                        if len(seen) < SEEN:
+                            seen.add(pair)
+                keep = np.array(keep, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (part[i], one, two, share, a, b)], names=["part", "one", "two", "share", "a", "b"])
+
+    cols = ["part", "block", "key", "label", "n", "sketch", "asks"]
+    return rows.select(*cols).repartition("part", "block").sortWithinPartitions("part", "block").mapInArrow(run, "part long, one long, two long, share double, a long, b long")
+
+
+def _grid(rows: DataFrame, block: int) -> DataFrame:
+    """The rows (part, key, label, largest, ...) by block, with asks as in ``open_groups``; parts of many rows as each block of members with each block of askers."""
+    ask = F.col("label") != F.col("largest")
+    small = rows.where(f"many <= {block}").withColumn("block", F.lit(0).cast("long")).withColumn("asks", F.when(ask, 1).otherwise(0))
+    large = rows.where(f"many > {block}")
+    cut = lambda n: F.pmod(F.xxhash64("key"), F.ceil(F.col(n) / block))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / block) - 1))
+    members = large.withColumn("m", cut("many")).withColumn("q", every("askers")).withColumn("asks", F.lit(0))
+    askers = large.where(ask).withColumn("q", cut("askers")).withColumn("m", every("many")).withColumn("asks", F.lit(2))
+    large = members.unionByName(askers).withColumn("block", F.col("m") * (1 << 32) + F.col("q"))
+    return small.unionByName(large.select(small.columns))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -383,10 +486,14 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: Fract
     num, den = threshold.numerator, threshold.denominator
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     rows = s.save(classes(docs, shingle, threshold))
-    held = rows.where("parts is not null").select(F.explode("parts").alias("part"), "key")
+    held = rows.where("parts is not null").select(F.posexplode("parts").alias("pos", "part"), "key", "spare", "second")
+    level = F.when(F.col("pos") < F.col("second"), 0).otherwise(1)
+    held = held.select("part", "key", level.alias("level"), F.get("spare", level).alias("spare"))
     # parts of two classes or more: the least and the greatest key differ
-    shared = held.groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("part")
-    met = s.save(held.join(s.save(shared), "part").distinct())
+    shared = held.groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("part", "c")
+    met = held.join(s.save(shared), "part").distinct()
+    common = Window.partitionBy("key", "level").orderBy(F.desc("c"), "part")
+    met = s.save(met.withColumn("r", F.row_number().over(common)).where("r > spare").select("part", "key"))
     home = rows.select("key", "n", F.col("least").alias("g"), "sketch", "doc_id").join(met.select("key").distinct(), "key", "left_semi")
     home = s.save(home.groupBy("key").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")))
 
@@ -428,24 +535,26 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: Fract
     now = s.save(components(found, s))
     matrix = unsettled(met, now)
 
-    # first choices: the leader that a class meets in most parts
-    for turn in range(CHOICES):
-        order = F.xxhash64("label", F.lit(turn))
-        leader = matrix.groupBy("part").agg(F.min(F.struct(order.alias("x"), "label", "key")).alias("first")).select("part", F.col("first.label").alias("of"), F.col("first.key").alias("leader"))
-        asks = matrix.join(leader, "part").where("label <> of").groupBy("key", "leader").agg(F.count("*").alias("times"))
-        pairs = s.save(asks.groupBy("key").agg(F.max(F.struct("times", "leader"))["leader"].alias("leader")).select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct())
-        new = s.save(linked_pairs(pairs))
-        if not new.limit(1).count():
+    def opened(matrix: DataFrame, best: bool) -> DataFrame:
+        """The pairs that the bounds admit in the matrix (part, key, label)."""
+        per = matrix.groupBy("part", "label").agg(F.count("*").alias("c")).groupBy("part")
+        per = per.agg(F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("many")).select("part", F.col("x.label").alias("largest"), "many", (F.col("many") - F.col("x.c")).alias("askers"))
+        return open_groups(_grid(matrix.join(per, "part").join(home.select("key", "n", "sketch"), "key"), block), threshold, best)
+
+    # bound and open: first the best pair of each two groups, until that merges none
+    for _ in range(MERGES):
+        admitted = s.save(opened(matrix, True))
+        pairs = admitted.groupBy("one", "two").agg(F.max(F.struct("share", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+        new = s.save(linked_pairs(s.save(pairs)))
+        merged = new.limit(1).count() > 0
+        if merged:
+            found = s.save(found.unionByName(new))
+            now = s.save(components(found, s))
+        # parts without an admitted pair are settled for good
+        matrix = unsettled(matrix.join(admitted.select("part").distinct(), "part", "left_semi"), now)
+        if not merged:
             break
-        found = s.save(found.unionByName(new))
-        now = s.save(components(found, s))
-        matrix = unsettled(matrix, now)
-
-    # bound and open: the largest group of a part only answers
-    per = matrix.groupBy("part", "label").agg(F.count("*").alias("c")).groupBy("part").agg(F.max(F.struct("c", "label"))["label"].alias("largest"))
-    wide = s.save(matrix.join(per, "part").join(home.select("key", "n", "sketch"), "key"))
-    columns = ["key", "label", "n", "sketch"]
-    pairs = s.save(open_groups(_grid(wide.select("part", *columns), wide.where("label <> largest").select("part", *columns), block, columns), threshold))
+    pairs = s.save(opened(matrix, False).select("a", "b").distinct())
     new = s.save(linked_pairs(pairs))
     if new.limit(1).count():
         now = s.save(components(s.save(found.unionByName(new)), s))
