@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import DEFAULT, EngineConfig
 from .functions.strength import current_strength
+from .functions.text import strip
 from .operators import conflict
 from .operators.embed import NullEmbedder
 from .operators.search import search
@@ -23,6 +24,7 @@ class Engine:
         self.spark, self.cfg = spark, cfg
         self.store_ = MemoryStore(spark, path, cfg)
         self.embedder = embedder or NullEmbedder()
+        self._verdicts = None
 
     def _vector(self, text: str):
         return self.embedder.embed(F.lit(text)) if self.embedder.available else None
@@ -32,29 +34,55 @@ class Engine:
         return self.store_.search_and_reinforce(hits, now) if reinforce else hits.collect()
 
     def store(self, rows: DataFrame, now: datetime) -> DataFrame:
-        """Store rows (title, summary, and optionally id, content, tags, importance, embedding); their verdicts.
+        """Store rows (title, summary, and optionally id, content, tags, importance, embedding, query_vector); their verdicts.
 
-        Rows without title or summary are an error.
+        Rows whose title or summary has only white space are an error.  A row is
+        searched with the vector of its title and summary, and stored with the
+        vector of its whole text.
         """
         given = set(rows.columns)
-        if rows.where((F.trim(F.coalesce("title", F.lit(""))) == "") | (F.trim(F.coalesce("summary", F.lit(""))) == "")).limit(1).count():
+        blank = lambda c: strip(F.coalesce(c, F.lit(""))) == ""
+        if rows.where(blank(F.col("title")) | blank(F.col("summary"))).limit(1).count():
             raise ValueError("title and summary are required")
+        full = clamped(self._filled(rows, now), self.cfg)
+        query = F.col("query_vector") if "query_vector" in given else F.lit(None)
+        if self.embedder.available:
+            query = F.coalesce(query, self.embedder.embed(F.concat_ws(" ", "title", "summary")))
+            whole = self.embedder.embed(F.concat_ws(" ", "title", "summary", "content"))
+            full = full.withColumn("_query", query.cast("array<float>")).withColumn("embedding", F.coalesce("embedding", whole).cast("array<float>"))
+        else:  # rows that bring their vectors
+            full = full.withColumn("_query", F.coalesce(query.cast("array<float>"), F.col("embedding")))
+        full = written(derived(full, self.cfg))  # ids are drawn once
+
+        def work(before):
+            before = written(before)
+            verdicts = written(conflict.classify(before, full.withColumn("query_vector", F.col("_query")), F.lit(now), self.cfg))
+            after = conflict.apply(before, full.select([f.name for f in MEMORY]), verdicts, F.lit(now), self.cfg)
+            touched = verdicts.select("id").union(verdicts.where("target is not null").select("target")).union(conflict.supersede_edges(verdicts).select("old_id")).union(verdicts.select(F.explode("hits")))
+            self._verdicts = verdicts
+            return after.join(touched.distinct(), "id", "left_semi")
+
+        self.store_.change(work)
+        return self._verdicts.drop("hits")
+
+    def _filled(self, rows: DataFrame, now: datetime) -> DataFrame:
+        """All columns of a memory, with the values that are not given."""
+        given = set(rows.columns)
         filled = {
             "id": F.uuid(), "content": F.lit(""), "tags": F.array().cast("array<string>"), "importance": F.lit(0.5), "created_at": F.lit(now), "last_accessed_at": F.lit(now),
             "base_strength": F.lit(1.0), "decay_rate": F.lit(0.1), "access_count": F.lit(0), "is_pinned": F.lit(False), "is_archived": F.lit(False), "valid_from": F.lit(now),
             "superseded_ids": F.array().cast("array<string>"), "linked_ids": F.array().cast("array<string>"),
         }
-        full = rows.select(*[(F.coalesce(f.name, filled[f.name]) if f.name in given and f.name in filled else F.col(f.name) if f.name in given else filled.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in MEMORY])
-        full = clamped(full, self.cfg)
+        value = lambda f: F.coalesce(f.name, filled[f.name]) if f.name in given and f.name in filled else F.col(f.name) if f.name in given else filled.get(f.name, F.lit(None))
+        extra = ["query_vector"] if "query_vector" in given else []
+        return rows.select(*[value(f).cast(f.dataType).alias(f.name) for f in MEMORY], *extra)
+
+    def store_unlimited(self, rows: DataFrame, now: datetime) -> None:
+        """Store rows as they are: no limits, no required fields, no search for conflicts (what a plain insert endpoint does)."""
+        full = self._filled(rows, now)
         if self.embedder.available:
-            full = full.withColumn("embedding", F.coalesce("embedding", self.embedder.embed(F.concat_ws(" ", "title", "summary", "content")))).withColumn("embedding", F.col("embedding").cast("array<float>"))
-        full = written(derived(full, self.cfg))  # ids are drawn once
-        before = written(self.store_.scan())
-        verdicts = written(conflict.classify(before, full, F.lit(now), self.cfg))
-        after = conflict.apply(before, full, verdicts, F.lit(now), self.cfg)
-        touched = verdicts.select("id").union(verdicts.where("target is not null").select("target")).union(conflict.supersede_edges(verdicts).select("old_id"))
-        self.store_.save(written(after.join(touched.distinct(), "id", "left_semi")))
-        return verdicts
+            full = full.withColumn("embedding", F.coalesce("embedding", self.embedder.embed(F.concat_ws(" ", "title", "summary", "content")).cast("array<float>")))
+        self.store_.save(written(full))  # ids are drawn once
 
     def update(self, rows: DataFrame) -> None:
         self.store_.update(rows)
@@ -69,6 +97,15 @@ class Engine:
     def stats(self, now: datetime):
         return self.store_.stats(F.lit(now)).first()
 
+    def stats_report(self, now: datetime) -> dict[str, str]:
+        """The statistics as they are shown: N/A for the dates of an empty store, the size in MB."""
+        s = self.stats(now)
+        day = lambda t: t.strftime("%Y-%m-%d %H:%M:%S") if t else "N/A"
+        return {"total": str(s.total), "average_strength": f"{s.average_strength:.2f}", "weak": str(s.weak), "oldest": day(s.oldest), "newest": day(s.newest), "size": f"{self.store_.size_bytes() / 1048576:.2f} MB"}
+
+    def close(self) -> None:
+        self.store_.close()
+
     def tag_history(self, tag: str, now: datetime, include_archived: bool = True) -> DataFrame:
         return conflict.tag_history(self.store_.scan(), tag, F.lit(now), include_archived)
 

@@ -36,15 +36,15 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.filter(grams, lambda g: g.rlike(r"(?U)\S")))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays without repeats, in single precision; 0 if one is empty."""
+def jaccard_of(both: Column, a: Column, b: Column) -> Column:
+    """Jaccard similarity by the size of the intersection and of both sets, in single precision; 0 if one is empty."""
+    share = (both.cast("double") / (a + b - both)).cast("float").cast("double")
+    return F.when((a > 0) & (b > 0), share).otherwise(0.0)
 
-    def share(p: Column) -> Column:
-        both = F.size(F.array_intersect(p["a"], p["b"])).cast("double")
-        either = F.size(p["a"]) + F.size(p["b"]) - both
-        return F.when((F.size(p["a"]) > 0) & (F.size(p["b"]) > 0), (both / either).cast("float").cast("double")).otherwise(0.0)
 
-    return bound(F.struct(a.alias("a"), b.alias("b")), share)
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays without repeats, in single precision; 0 if one is empty."""
+    return jaccard_of(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
 
 
 def is_similar(a: Column, b: Column, threshold: float = 0.3) -> Column:

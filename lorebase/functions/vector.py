@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +47,23 @@ def l2_normalized(a: Column) -> Column:
     n = norm(a)
     unit = F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
     return F.when(a.isNull(), F.array().cast("array<double>")).otherwise(unit)
+
+
+def to_bytes(v: Column) -> Column:
+    """A vector as its floats' four bytes each, the lowest first; null stays null."""
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda a: None if a is None else np.asarray(a, dtype="<f4").tobytes())
+
+    return run(v)
+
+
+def from_bytes(b: Column) -> Column:
+    """The vector of ``to_bytes``; null, or bytes that are no whole number of floats, give null."""
+
+    @F.pandas_udf("array<float>")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda a: None if a is None or len(a) % 4 else np.frombuffer(a, dtype="<f4"))
+
+    return run(b)

@@ -2,39 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
-from ..functions.strength import current_strength, is_current
+from ..functions.strength import current_strength, is_current, reinforced
 from .search import batch_search, has_tag
 
 HITS = 10
 
 
 def classify(df: DataFrame, incoming: DataFrame, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """id, action, target (the duplicate, or null), superseded (array of ids) of every incoming row.
+    """id, action, target (the duplicate, or null), superseded (array of ids), hits (array of ids) of every incoming row.
 
-    incoming: id, title, summary, embedding.  Each row is judged against the
-    state before the batch, by its ten best hits; "first" means first by
-    score.  An old memory that several rows would supersede goes to the
-    lowest id; the others then coexist.
+    incoming: id, title, summary, embedding, and optionally query_vector: the
+    vector of title and summary alone, with which a row is searched (what is
+    stored is the vector of the whole).  Each row is judged against the state
+    before the batch, by its ten best hits; "first" means first by score.  An
+    old memory that several rows would supersede goes to the lowest id; the
+    others then coexist.
     """
-    queries = incoming.select(F.col("id").alias("query_id"), F.concat_ws(" ", "title", "summary").alias("query"), F.col("embedding").alias("query_vector"))
-    hits = batch_search(df, queries, HITS, now, cfg).where("id <> query_id")
+    vector = F.col("query_vector") if "query_vector" in incoming.columns else F.col("embedding")
+    queries = incoming.select(F.col("id").alias("query_id"), F.concat_ws(" ", "title", "summary").alias("query"), vector.alias("query_vector"))
+    found = batch_search(df, queries, HITS, now, cfg).select("query_id", "id", "rank", "semantic_score", is_current().alias("current"))
+    every = found.groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("hits"))
+    hits = found.where("id <> query_id")
     sem = F.col("semantic_score")
     dup = F.min(F.when(sem >= cfg.duplicate, F.struct("rank", "id")))["id"]
     near = F.min(F.when(sem >= cfg.coexist, F.col("rank")))
     per = hits.groupBy("query_id").agg(dup.alias("target"), near.alias("near"))
-    old = hits.where((sem >= cfg.supersede) & (sem < cfg.duplicate) & is_current()).join(per.where("target is null").select("query_id"), "query_id")
-    old = old.withColumn("_turn", F.row_number().over(Window.partitionBy("id").orderBy("query_id"))).where("_turn = 1")
-    old = old.groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("superseded"))
-    out = incoming.select("id").join(per.withColumnRenamed("query_id", "id"), "id", "left").join(old.withColumnRenamed("query_id", "id"), "id", "left")
+    old = hits.where((sem >= cfg.supersede) & (sem < cfg.duplicate) & F.col("current")).join(per.where("target is null").select("query_id"), "query_id")
+    old = old.groupBy("id").agg(F.min("query_id").alias("query_id")).groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("superseded"))
+    out = incoming.select("id")
+    for part in (per, old, every):
+        out = out.join(part.withColumnRenamed("query_id", "id"), "id", "left")
     action = (
         F.when(F.col("target").isNotNull(), "ReinforcedExisting").when(F.col("superseded").isNotNull(), "StoredWithSupersede").when(F.col("near").isNotNull(), "StoredCoexist").otherwise("StoredNew")
     )
     none = F.array().cast(old.schema["superseded"].dataType)
-    return out.select("id", action.alias("action"), "target", F.coalesce("superseded", none).alias("superseded"))
+    return out.select("id", action.alias("action"), "target", F.coalesce("superseded", none).alias("superseded"), F.coalesce("hits", none).alias("hits"))
 
 
 def supersede_edges(verdicts: DataFrame) -> DataFrame:
@@ -45,22 +51,24 @@ def supersede_edges(verdicts: DataFrame) -> DataFrame:
 def apply(df: DataFrame, incoming: DataFrame, verdicts: DataFrame, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """The memories after a batch: ``df`` updated, and the incoming rows that are stored.
 
-    incoming has the columns of ``df``.  A duplicate is reinforced, and its
-    content replaced by a longer one; with ``compat_lost_update`` the
-    replacement also drops the reinforcement.
+    incoming has the columns of ``df``.  Every hit is reinforced once, as any
+    search does; a duplicate is reinforced once more, and its content replaced
+    by a longer one.  With ``compat_lost_update`` that replacement also drops
+    the reinforcements.
     """
     named = incoming.select(F.col("id").alias("_new"), F.col("content").alias("_text"))
     dups = verdicts.where("target is not null").join(named, verdicts["id"] == F.col("_new"))
-    dups = dups.groupBy(F.col("target").alias("_id")).agg(F.count("*").alias("_times"), F.max_by("_text", F.length("_text")).alias("_text"))
+    dups = dups.groupBy(F.col("target").alias("_id")).agg(F.count("*").alias("_times"), F.max_by("_text", F.struct(F.length("_text"), "_text")).alias("_text"))
+    seen = verdicts.select(F.explode("hits").alias("_hit")).groupBy("_hit").agg(F.count("*").alias("_seen"))
     gone = supersede_edges(verdicts).withColumnRenamed("old_id", "_old")
-    rows = df.join(dups, df["id"] == F.col("_id"), "left").join(gone, df["id"] == F.col("_old"), "left")
+    rows = df.join(dups, df["id"] == F.col("_id"), "left").join(seen, df["id"] == F.col("_hit"), "left").join(gone, df["id"] == F.col("_old"), "left")
     longer = F.coalesce((F.trim("_text") != "") & (F.length("_text") > F.length(F.coalesce("content", F.lit("")))), F.lit(False))
-    counted = F.col("_times").isNotNull() & ~(longer & F.lit(cfg.compat_lost_update))
-    more = F.aggregate(F.transform(F.sequence(F.col("access_count") + 1, F.col("access_count") + F.coalesce("_times", F.lit(1))), lambda k: cfg.reinforcement / F.sqrt(k)), F.lit(0.0), lambda s, x: s + x)
+    times = F.coalesce("_times", F.lit(0)) + F.coalesce("_seen", F.lit(0))
+    counted = (times > 0) & ~(longer & F.lit(cfg.compat_lost_update))
     old = F.col("_old").isNotNull()
     new = {
-        "base_strength": F.when(counted, F.col("base_strength") + more).otherwise(F.col("base_strength")),
-        "access_count": F.when(counted, F.col("access_count") + F.col("_times")).otherwise(F.col("access_count")).cast("int"),
+        "base_strength": F.when(counted, reinforced(F.col("base_strength"), F.col("access_count"), times, cfg.reinforcement)).otherwise(F.col("base_strength")),
+        "access_count": F.when(counted, F.col("access_count") + times).otherwise(F.col("access_count")).cast("int"),
         "last_accessed_at": F.when(counted, now).otherwise(F.col("last_accessed_at")),
         "content": F.when(longer, F.col("_text")).otherwise(F.col("content")),
         "valid_until": F.when(old, now).otherwise(F.col("valid_until")),

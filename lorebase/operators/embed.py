@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from typing import Protocol
 
 from pyspark.sql import Column
@@ -81,3 +83,13 @@ class OnnxEmbedder:
 
         run.func.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return run(embedding_text(text))
+
+
+def select_embedder(model_path: str | None = None, tokenizer_path: str | None = None, dimensions: int = 384, enabled: bool = True, fallback: Embedder | None = None) -> Embedder:
+    """The ONNX model if semantic search is enabled and both files and the runtime are there; else ``fallback``, by default no vectors."""
+    other = fallback or NullEmbedder()
+    if not (enabled and model_path and tokenizer_path and os.path.isfile(model_path) and os.path.isfile(tokenizer_path)):
+        return other
+    if not all(importlib.util.find_spec(m) for m in ("onnxruntime", "tokenizers")):
+        return other
+    return OnnxEmbedder(model_path, tokenizer_path, dimensions)

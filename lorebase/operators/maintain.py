@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.strength import current_strength
-from ..functions.text import normalize, searchable, trigrams
+from ..functions.text import jaccard, jaccard_of, normalize, searchable, trigrams
 from ..functions.vector import cosine
 from ..plans.scratch import written
+from .set_join import LEAST_THRESHOLD, similar_sets
 
 
 def prune(df: DataFrame, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -32,59 +33,95 @@ def decay_report(df: DataFrame, now: Column, cfg: EngineConfig = DEFAULT) -> Dat
 def similar_pairs(df: DataFrame, threshold: float, cfg: EngineConfig = DEFAULT, use_vectors: bool = False) -> DataFrame:
     """(a, b, similarity) of all pairs a < b of rows (id, content_normalized, embedding) that reach the threshold.
 
-    An exact blocking join: grams are ordered by ascending number of memories,
-    and two sets of the wanted Jaccard similarity share one of the first
-    ``n - ceil(j * n) + 1`` of each.  With vectors the blend bounds Jaccard
-    from below; a threshold that gives no bound is refused.
+    Rows with equal trigrams are one class; classes are joined exactly by the
+    parts of their trigrams (see ``set_join``), and similar classes expand to
+    their rows.  With vectors, pairs of rows that both have one are blended:
+    ``wc * cosine + wj * jaccard``.  The blend bounds Jaccard from below, which
+    may be too low for parts; such pairs are blocked by rare trigrams instead
+    (see ``_rare_pairs``), among the rows with vectors only.
     """
     wc, wj = cfg.pair_weights
-    j = threshold if not use_vectors else (threshold - wc) / wj - 1e-6
-    if j <= 0:
-        raise ValueError("this threshold does not bound the trigram similarity: no blocking is possible")
     rows = df.select("id", trigrams(F.col("content_normalized")).alias("grams"), "embedding").withColumn("n", F.size("grams")).where("n > 0")
-    rows = written(rows)
+    rows = written(rows.withColumn("class", F.sha2(F.concat_ws("\u0001", F.array_sort("grams")), 256)))
+    if not use_vectors:
+        return _class_pairs(rows, threshold).where(F.col("similarity") >= threshold)
+    known = F.col("embedding").isNotNull()
+    least = (threshold - wc) / wj - 1e-6  # of Jaccard, where the cosine is 1
+    blended = rows.where(known)
+    found = _class_pairs(blended, least) if least >= LEAST_THRESHOLD else _rare_pairs(blended, least)
+    vector = lambda c: rows.select(F.col("id").alias(c), F.col("embedding").alias(f"_{c}"))
+    both = found.join(vector("a"), "a").join(vector("b"), "b")
+    mixed = both.select("a", "b", (wc * cosine(F.col("_a"), F.col("_b")) + wj * F.col("similarity")).alias("similarity"))
+    # pairs with a row that has no vector: Jaccard alone
+    marked = rows.select("id", known.alias("_known"))
+    alone = _class_pairs(rows, threshold).join(marked.select(F.col("id").alias("a"), F.col("_known").alias("_ka")), "a").join(marked.select(F.col("id").alias("b"), F.col("_known").alias("_kb")), "b")
+    return mixed.unionByName(alone.where("not (_ka and _kb)").select("a", "b", "similarity")).where(F.col("similarity") >= threshold)
+
+
+def _class_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of rows (id, grams, n, class) that reach a Jaccard threshold."""
+    classes = written(rows.groupBy("class").agg(F.min("id").alias("id"), F.min_by("grams", "id").alias("items"), F.min("n").alias("n")))
+    near = similar_sets(classes.select("id", "items", "n"), threshold)
+    size = classes.select("id", "class", "n")
+    side = lambda c: size.select(F.col("id").alias(c), F.col("class").alias(f"_{c}"), F.col("n").alias(f"_n{c}"))
+    linked = near.join(side("a"), "a").join(side("b"), "b").select("_a", "_b", jaccard_of(F.col("both"), F.col("_na"), F.col("_nb")).alias("similarity"))
+    member = rows.select("class", "id")
+    left, right = member.select(F.col("class").alias("_a"), F.col("id").alias("x")), member.select(F.col("class").alias("_b"), F.col("id").alias("y"))
+    across = linked.join(left, "_a").join(right, "_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    one, two = member.alias("one"), member.alias("two")
+    equal = one.join(two, (F.col("one.class") == F.col("two.class")) & (F.col("one.id") < F.col("two.id")))
+    return across.unionByName(equal.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), F.lit(1.0).alias("similarity")))
+
+
+def _rare_pairs(rows: DataFrame, j: float) -> DataFrame:
+    """As ``_class_pairs`` for low thresholds: grams are ordered by ascending number of rows, and two sets of the wanted similarity share one of the first ``n - ceil(j * n) + 1`` of each; without a bound, all pairs are compared."""
     each = rows.select("id", "n", F.explode("grams").alias("gram"))
     counts = each.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = each.join(written(counts), "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("order"))
-    first = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.lit(j) * F.col("n")) + 1).cast("int"))
+    least = max(j, 0.0)
+    first = F.slice("order", F.lit(1), F.least(F.col("n"), F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))
     key = written(ranked.select("id", "n", F.explode(first).alias("x")).select("id", "n", F.col("x.gram").alias("gram")))
     a, b = key.alias("a"), key.alias("b")
     near = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id"))
-    reach = (F.least("a.n", "b.n") >= F.lit(j) * F.greatest("a.n", "b.n") - 1e-9)
+    reach = F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - 1e-9
     pairs = a.join(b, near & reach).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    left = rows.select(F.col("id").alias("a"), F.col("grams").alias("ga"), F.col("embedding").alias("ea"))
-    right = rows.select(F.col("id").alias("b"), F.col("grams").alias("gb"), F.col("embedding").alias("eb"))
-    pairs = pairs.join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("ga", "gb"))
-    jac = (both / (F.size("ga") + F.size("gb") - both)).cast("float").cast("double")
-    sim = jac if not use_vectors else F.when(F.col("ea").isNotNull() & F.col("eb").isNotNull(), wc * cosine(F.col("ea"), F.col("eb")) + wj * jac).otherwise(jac)
-    return pairs.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+    if j <= 0:  # similar vectors are enough: rows need not share a gram
+        x, y = rows.select(F.col("id").alias("a")), rows.select(F.col("id").alias("b"))
+        pairs = x.join(y, F.col("a") < F.col("b"))
+    side = lambda c: rows.select(F.col("id").alias(c), F.col("grams").alias(f"_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", jaccard(F.col("_a"), F.col("_b")).alias("similarity"))
 
 
-def leader_clusters(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def leader_clusters(pairs: DataFrame) -> DataFrame:
     """(id, leader) of all ids in ``pairs`` (a, b): greedy clusters in id order.
 
     An id leads unless a smaller neighbour leads; members join their smallest
-    leading neighbour.  Rounds settle the ids whose smaller neighbours are
-    settled; clusters are not transitive.
+    leading neighbour; clusters are not transitive.  Each round settles the ids
+    whose smaller neighbours are settled, and only edges that still matter go
+    on: those from an open id, and those of an open id whose smaller neighbour
+    leads settle it at once.  Every round settles at least the smallest open
+    id, so rounds end, however long a chain is.
     """
     edges = written(pairs.select("a", "b").distinct())
-    ids = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    state = written(ids.withColumn("leads", F.lit(None).cast("boolean")))
-    for _ in range(max_rounds):
-        seen = edges.join(state.select(F.col("id").alias("a"), "leads"), "a").groupBy("b").agg(
-            F.coalesce(F.max("leads"), F.lit(False)).alias("led"), F.count_if(F.col("leads").isNull()).alias("open")
-        )
-        rows = state.join(seen.withColumnRenamed("b", "id"), "id", "left")
-        now = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("led"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = written(rows.select("id", now.alias("leads")))
-        if not state.where("leads is null").limit(1).count():
-            break
-    else:
-        raise RuntimeError("leaders did not settle")
-    of = edges.join(state.where("leads").select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min("a").alias("leader"))
+    open_edges = edges
+    leads = None  # ids that lead
+    state = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+    todo = written(state)
+    while todo.limit(1).count():
+        # open ids without an open or leading smaller neighbour lead
+        new = written(todo.join(open_edges.select(F.col("b").alias("id")), "id", "left_anti"))
+        led = written(open_edges.join(new.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        leads = new if leads is None else leads.unionAll(new)
+        done = new.unionAll(led)
+        todo = written(todo.join(done, "id", "left_anti"))
+        # an edge matters while both ends are open
+        open_edges = written(open_edges.join(done.select(F.col("id").alias("a")), "a", "left_anti").join(done.select(F.col("id").alias("b")), "b", "left_anti"))
+    if leads is None:
+        return state.select("id", F.col("id").alias("leader"))
+    of = edges.join(leads.select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min("a").alias("leader"))
     out = state.join(of.withColumnRenamed("b", "id"), "id", "left")
-    return out.select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
+    return out.select("id", F.coalesce("leader", "id").alias("leader"))
 
 
 def consolidate(df: DataFrame, now: Column, cfg: EngineConfig = DEFAULT, use_vectors: bool = False) -> DataFrame:

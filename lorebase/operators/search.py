@@ -6,16 +6,44 @@ the semantics ask: archived memories use up candidates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.strength import current_strength, is_current, recency_score, strength_score
-from ..functions.text import bound, jaccard, normalize, share_contained, trigrams, words
+from ..functions.text import jaccard, normalize, share_contained, trigrams, words
 from ..functions.vector import normalized_cosine
 
 #: Queries that are broadcast together; more are taken in turns.
-QUERY_BATCH = 256
+QUERY_BATCH = 1024
+
+
+@dataclass(frozen=True)
+class Probe:
+    """A normalised query with what the scores need of it: literals, or columns of a table of queries."""
+
+    q: Column
+    grams: Column
+    #: Words of three, and distinct words of two characters and more.
+    long_words: Column
+    words: Column
+
+    @staticmethod
+    def columns(q: Column) -> dict[str, Column]:
+        return {"_q": q, "_grams": trigrams(q), "_long": words(q, 3), "_words": F.array_distinct(words(q, 2))}
+
+    @classmethod
+    def of_columns(cls) -> Probe:
+        return cls(*(F.col(c) for c in ("_q", "_grams", "_long", "_words")))
+
+    @classmethod
+    def literal(cls, spark: SparkSession, query: str) -> Probe:
+        """Computed once, so that a scan has constants only."""
+        row = spark.range(1).select(*[c.alias(n) for n, c in cls.columns(normalize(F.lit(query))).items()]).first()
+        many = lambda x: F.array(*[F.lit(v) for v in x]) if x else F.array().cast("array<string>")
+        return cls(F.lit(row._q), many(row._grams), many(row._long), many(row._words))
 
 
 def _low(tags: Column) -> Column:
@@ -27,13 +55,12 @@ def tag_candidate(q: Column, ws: Column) -> Column:
     return F.exists(_low(F.col("tags")), lambda t: F.contains(q, t) | F.contains(t, q) | F.exists(ws, lambda w: F.contains(t, w) | F.contains(w, t)))
 
 
-def lexical_scores(df: DataFrame, q: Column, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Adds _fuzzy, _overlap, _exact, _tag and _text_score; q is normalised."""
-    ws = words(q, 3)
-    df = df.withColumn("_fuzzy", jaccard(trigrams(q), F.col("trigrams")))
-    df = df.withColumn("_overlap", share_contained(ws, F.col("content_normalized")))
-    df = df.withColumn("_exact", F.when(F.contains(F.col("content_normalized"), q), 0.5).otherwise(0.0))
-    hit = F.exists(_low(F.col("tags")), lambda t: F.exists(ws, lambda w: F.contains(t, w)))
+def lexical_scores(df: DataFrame, p: Probe, now: Column) -> DataFrame:
+    """Adds _fuzzy, _overlap, _exact, _tag and _text_score."""
+    df = df.withColumn("_fuzzy", jaccard(p.grams, F.col("trigrams")))
+    df = df.withColumn("_overlap", share_contained(p.long_words, F.col("content_normalized")))
+    df = df.withColumn("_exact", F.when(F.contains(F.col("content_normalized"), p.q), 0.5).otherwise(0.0))
+    hit = F.exists(_low(F.col("tags")), lambda t: F.exists(p.long_words, lambda w: F.contains(t, w)))
     df = df.withColumn("_tag", F.when(hit, 0.3).otherwise(0.0))
     score = F.col("_exact") + 0.5 * F.col("_fuzzy") + 0.3 * F.col("_overlap") + F.col("_tag") + 0.2 * current_strength(now)
     return df.withColumn("_text_score", score)
@@ -43,51 +70,51 @@ def relevant() -> Column:
     return (F.col("_fuzzy") > 0.05) | (F.col("_overlap") > 0) | (F.col("_exact") > 0) | (F.col("_tag") > 0)
 
 
-def candidates(df: DataFrame, query: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """The memories that stage one may return; for three characters and more, its own filter decides alone."""
-    q = normalize(F.lit(query))
-    by_tag = tag_candidate(q, words(q, 3))
-    inside = F.contains(F.col("content_normalized"), q)
+def candidates(df: DataFrame, p: Probe, length: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """The memories that stage one may return, for a query of so many characters; for three and more, its own filter decides alone."""
+    by_tag = tag_candidate(p.q, p.long_words)
+    inside = F.contains(F.col("content_normalized"), p.q)
     if cfg.candidate_mode == "substring_or_tag":
         return df.where(inside | by_tag)
-    if len(query.strip()) >= 3:
+    if length >= 3:
         return df
-    shared = F.arrays_overlap(F.col("trigrams"), trigrams(q))
+    shared = F.arrays_overlap(F.col("trigrams"), p.grams)
     any_shared = df.agg(F.coalesce(F.max(shared), F.lit(False)).alias("_any"))  # one row
     return df.crossJoin(F.broadcast(any_shared)).where(shared | (~F.col("_any") & inside) | by_tag).drop("_any")
 
 
-def text_search(df: DataFrame, query: str | None, limit: int, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def text_search(df: DataFrame, query: str | None, limit: int, now: Column, cfg: EngineConfig = DEFAULT, probe: Probe | None = None) -> DataFrame:
     """The best ``limit`` memories by text; blank queries find nothing."""
-    if query is None or not query.strip():
-        return lexical_scores(df.limit(0), F.lit(""), now, cfg)
-    rows = lexical_scores(candidates(df, query, cfg), normalize(F.lit(query)), now, cfg).where(relevant())
+    blank = query is None or not query.strip()
+    p = probe or Probe.literal(df.sparkSession, "" if blank else query)
+    if blank:
+        return lexical_scores(df.limit(0), p, now)
+    rows = lexical_scores(candidates(df, p, len(query.strip()), cfg), p, now).where(relevant())
     return rows.orderBy(F.desc("_text_score"), "id").limit(limit)
 
 
-def fuzzy_score(q: Column) -> Column:
+def fuzzy_score(p: Probe) -> Column:
     """The strongest of: whole match, title match, first matching tag, words in title or text, trigrams."""
-    ws = F.array_distinct(words(q, 2))
     title, text = F.lower(F.col("title")), F.col("content_normalized")
     tag = F.transform(
         _low(F.col("tags")),
-        lambda t: F.when(F.contains(q, t) | F.contains(t, q), 0.9).when(F.exists(ws, lambda w: F.contains(t, w) | F.contains(w, t)), 0.8).otherwise(0.0),
+        lambda t: F.when(F.contains(p.q, t) | F.contains(t, p.q), 0.9).when(F.exists(p.words, lambda w: F.contains(t, w) | F.contains(w, t)), 0.8).otherwise(0.0),
     )
     first_tag = F.coalesce(F.get(F.filter(tag, lambda s: s > 0), F.lit(0)), F.lit(0.0))
-    by_grams = bound(jaccard(trigrams(q), F.col("trigrams")), lambda j: F.when(j > 0.05, 0.6 * j).otherwise(0.0))
+    j = jaccard(p.grams, F.col("trigrams"))
     return F.greatest(
-        F.when(F.contains(text, q), 1.0).otherwise(0.0),
-        F.when(F.contains(title, q), 0.95).otherwise(0.0),
+        F.when(F.contains(text, p.q), 1.0).otherwise(0.0),
+        F.when(F.contains(title, p.q), 0.95).otherwise(0.0),
         first_tag,
-        0.7 * share_contained(ws, title),
-        0.5 * share_contained(ws, text),
-        by_grams,
+        0.7 * share_contained(p.words, title),
+        0.5 * share_contained(p.words, text),
+        F.when(j > 0.05, 0.6 * j).otherwise(0.0),
     )
 
 
-def final_scores(df: DataFrame, q: Column, now: Column, vector: Column | None, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def final_scores(df: DataFrame, p: Probe, now: Column, vector: Column | None, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Adds fuzzy_score, strength_score, recency_score, semantic_score and score."""
-    df = df.withColumn("fuzzy_score", fuzzy_score(q))
+    df = df.withColumn("fuzzy_score", fuzzy_score(p))
     df = df.withColumn("strength_score", strength_score(current_strength(now)))
     df = df.withColumn("recency_score", recency_score(now, F.col("last_accessed_at"), cfg.recency_days))
     lw, sw = cfg.lexical_weights, cfg.semantic_weights
@@ -108,35 +135,49 @@ def has_tag(tags: list[str]) -> Column:
 
 def search(df: DataFrame, query: str | None, top_n: int, now: Column, tags: list[str] | None = None, vector: Column | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """The best ``top_n`` current memories, best first. Reads only: see ``store.search_and_reinforce``."""
-    rows = text_search(df, query, cfg.over_fetch * top_n, now, cfg)
+    p = Probe.literal(df.sparkSession, query or "")
+    rows = text_search(df, query, cfg.over_fetch * top_n, now, cfg, p)
     if tags:
         rows = rows.where(has_tag(tags))
-    rows = final_scores(rows.where(is_current()), normalize(F.lit(query or "")), now, vector, cfg)
+    rows = final_scores(rows.where(is_current()), p, now, vector, cfg)
     return rows.orderBy(F.desc("score"), "id").limit(top_n)
 
 
 def batch_search(df: DataFrame, queries: DataFrame, top_n: int, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """``search`` for every row of ``queries`` (query_id, query, query_vector), with a rank from 1.
 
-    Every memory is scored for every query, so queries are broadcast; batches
-    of QUERY_BATCH bound what is sent.  Queries have three characters or more.
+    A memory and a query that share one gram are already scored, so each scan
+    of the memories meets a broadcast batch of at most about QUERY_BATCH
+    queries, whose grams and words are computed once; only the best of each
+    task leave it.  Queries of fewer than three characters look at the shared
+    grams of all memories first, as ``candidates`` does.
     """
-    n = queries.count()
-    if n > QUERY_BATCH:
-        parts = -(-n // QUERY_BATCH)
-        # no more rows than a batch in each part
-        numbered = queries.withColumn("_part", F.ntile(parts).over(Window.orderBy("query_id")))
-        out = [batch_search(df, numbered.where(F.col("_part") == i + 1).drop("_part"), top_n, now, cfg) for i in range(parts)]
-        every = out[0]
-        for o in out[1:]:
-            every = every.unionByName(o)
-        return every
-    q = F.col("_q")
-    rows = df.crossJoin(F.broadcast(queries.withColumn("_q", normalize(F.col("query"))).where("_q <> ''")))
-    rows = lexical_scores(rows, q, now, cfg).where(relevant())
-    by = Window.partitionBy("query_id")
+    queries = queries.withColumns(Probe.columns(normalize(F.col("query")))).where("_q <> ''")
+    parts = -(-queries.count() // QUERY_BATCH)
+    if parts <= 1:
+        return _batch(df, queries, top_n, now, cfg)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    out = _batch(df, queries.where(part == 0), top_n, now, cfg)
+    for i in range(1, parts):
+        out = out.unionByName(_batch(df, queries.where(part == i), top_n, now, cfg))
+    return out
+
+
+def _batch(df: DataFrame, queries: DataFrame, top_n: int, now: Column, cfg: EngineConfig) -> DataFrame:
+    p, by = Probe.of_columns(), Window.partitionBy("query_id")
+    rows = df.crossJoin(F.broadcast(queries))
+    by_tag, inside = tag_candidate(p.q, p.long_words), F.contains(F.col("content_normalized"), p.q)
+    if cfg.candidate_mode == "substring_or_tag":
+        rows = rows.where(inside | by_tag)
+    else:
+        short = F.length(F.trim("query")) < 3
+        shared = F.arrays_overlap(F.col("trigrams"), p.grams)
+        found = df.select("trigrams").crossJoin(F.broadcast(queries.where(short))).where(shared).select("query_id").distinct()
+        rows = rows.join(F.broadcast(found.withColumn("_any", F.lit(True))), "query_id", "left")  # of the same bounded batch
+        rows = rows.where(~short | shared | (F.col("_any").isNull() & inside) | by_tag).drop("_any")
+    rows = lexical_scores(rows, p, now).where(relevant())
     rows = rows.withColumn("_r", F.row_number().over(by.orderBy(F.desc("_text_score"), "id"))).where(F.col("_r") <= cfg.over_fetch * top_n)
-    rows = final_scores(rows.where(is_current()), q, now, F.col("query_vector"), cfg)
+    rows = final_scores(rows.where(is_current()), p, now, F.col("query_vector"), cfg)
     return rows.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "id"))).where(F.col("rank") <= top_n)
 
 

@@ -302,7 +302,7 @@ def strength_score(spark, d):
 
 @query(f"{VIEW} SELECT id, round({_fuzzy(_QN)}, 6) AS fuzzy FROM m")
 def fuzzy_score(spark, d):
-    return memories(spark, d).select("id", r6(se.fuzzy_score(F.lit(Q)), "fuzzy"))
+    return memories(spark, d).select("id", r6(se.fuzzy_score(se.Probe.literal(spark, Q)), "fuzzy"))
 
 
 def _hits(df: DataFrame) -> DataFrame:
@@ -329,11 +329,11 @@ def hybrid_search_tagged(spark, d):
     return _hits(se.search(memories(spark, d), Q, TOP, now(), tags=["SRC3", "de"]))
 
 
-_BATCH_FROM = "SELECT item_id AS query_id, left(regexp_replace(text, '\\s+', ' ', 'g'), 40) AS query FROM benchmark WHERE item_id < 12"
+_BATCH_FROM = "SELECT item_id AS query_id, left(regexp_replace(text, '\\s+', ' ', 'g'), 40) AS query FROM benchmark"
 
 
 def _batch_queries(spark, d):
-    b = table(spark, d, "benchmark").where("item_id < 12").select(F.col("item_id").alias("query_id"), F.left(F.regexp_replace("text", r"\s+", " "), F.lit(40)).alias("query"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.left(F.regexp_replace("text", r"\s+", " "), F.lit(40)).alias("query"))
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return b.join(v, "query_id", "left")
 
@@ -514,9 +514,9 @@ def search_result_format(spark, d):
     return se.search(memories(spark, d), Q, TOP, now()).select("title", F.format_string("%.2f", "score").alias("score"), "id", "summary", F.array_join("tags", ", ").alias("tags"))
 
 
-@query(f"{VIEW} SELECT title, id, summary, content, array_to_string(tags, ', ') AS tags, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created, printf('%.2f', {_STRENGTH}) AS strength FROM m WHERE id < 50")
+@query(f"{VIEW} SELECT title, id, summary, content, array_to_string(tags, ', ') AS tags, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created, printf('%.2f', {_STRENGTH}) AS strength FROM m")
 def memory_detail_format(spark, d):
-    m = memories(spark, d).where("id < 50")
+    m = memories(spark, d)
     return m.select("title", "id", "summary", "content", F.array_join("tags", ", ").alias("tags"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"), F.format_string("%.2f", st.current_strength(now())).alias("strength"))
 
 

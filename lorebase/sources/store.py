@@ -1,23 +1,33 @@
-"""The memory store: an append-only Parquet log with a manifest, and its current view.
-
-Each commit is a directory of rows with a version and an operation (U or D);
-the manifest lists the committed directories and is replaced by a rename, so
-readers see whole commits only.  There is one writer at a time.  All file
-access goes through the file system of the path, local or not.
+"""The memory store: an append-only Parquet log with manifests, and its current view.
+
+Each commit is a directory of rows with a version and an operation (U or D).
+A manifest lists the committed directories.  Manifests are numbered and never
+replaced: a new one is written beside the others and then renamed to its
+number, and the newest is the state of the store.  A crash at any point leaves
+the last complete manifest in force, and readers always find one.
+
+Writes read, compute and commit under a lock; a writer in another process that
+took the number first makes the commit fail, and the write starts again from
+the newer state.  What compaction replaces stays for GRACE seconds, for readers
+that still hold it; see ``vacuum``.  All file access goes through the file
+system of the path, local or not.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import threading
+import time
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.strength import current_strength, reinforced
-from ..functions.text import searchable, trigrams
+from ..functions.text import searchable, trigrams, without_orphans
 from ..operators import maintain
 from ..plans.scratch import written
 from ..schema import ACCESS, MEMORY
@@ -73,14 +83,35 @@ def stats(df: DataFrame, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
     )
 
 
+#: Seconds that replaced commits stay for lazy readers.
+GRACE = 3600
+_NUMBERED = re.compile(r"manifest-(\d{12})\.json")
+
+
+class Conflict(Exception):
+    """Another writer committed first."""
+
+
 class MemoryStore:
-    def __init__(self, spark: SparkSession, path: str, cfg: EngineConfig = DEFAULT):
-        self.spark, self.path, self.cfg = spark, path.rstrip("/"), cfg
-        self._lock = threading.Lock()
+    def __init__(self, spark: SparkSession, path: str, cfg: EngineConfig = DEFAULT, grace: float = GRACE):
+        self.spark, self.path, self.cfg, self.grace = spark, path.rstrip("/"), cfg, grace
+        self._lock = threading.RLock()
         self._fs, self._at = self._open(self.path)
         self._fs.mkdirs(self._at)
-        self.last_run: dict[str, str] = {}
         self.running: str | None = None
+        self.closed = False
+
+    def __enter__(self) -> MemoryStore:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """No writes from here on; drops what grace no longer protects. The session stays with its owner."""
+        if not self.closed:
+            self.vacuum()
+            self.closed = True
 
     def _open(self, path: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -89,69 +120,133 @@ class MemoryStore:
     def _child(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path, name)
 
-    def _manifest(self) -> dict:
-        at = self._child("manifest.json")
-        if not self._fs.exists(at):
-            return {"version": 0, "commits": []}
-        stream = self._fs.open(at)
+    def _numbers(self) -> list[int]:
+        """The versions of all manifests, the newest first."""
+        found = (_NUMBERED.fullmatch(f.getPath().getName()) for f in self._fs.listStatus(self._at))
+        return sorted((int(m[1]) for m in found if m), reverse=True)
+
+    def _read(self, version: int) -> dict | None:
+        """A manifest; None if it is incomplete or gone."""
+        try:
+            stream = self._fs.open(self._child(f"manifest-{version:012d}.json"))
+        except Exception:  # noqa: BLE001  vacuumed between the listing and now
+            return None
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return None
         finally:
             stream.close()
 
+    def _manifest(self) -> dict:
+        for version in self._numbers():
+            if (m := self._read(version)) is not None:
+                return m
+        return {"version": 0, "commits": [], "last_run": {}}
+
     def _publish(self, manifest: dict) -> None:
-        new, at = self._child(f"manifest-{uuid.uuid4().hex}"), self._child("manifest.json")
-        stream = self._fs.create(new)
+        new, at = self._child(f"new-{uuid.uuid4().hex}"), self._child(f"manifest-{manifest['version']:012d}.json")
+        stream = self._fs.create(new, False)
         stream.write(json.dumps(manifest).encode())
         stream.close()
-        self._fs.delete(at, False)
-        self._fs.rename(new, at)
-
-    def _commit(self, rows: DataFrame, op: str, replace: bool = False) -> None:
-        m = self._manifest()
-        name = f"commit-{uuid.uuid4().hex}"
-        version = m["version"] + 1
+        jvm = self.spark.sparkContext._jvm
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:  # fails if the number is taken
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(new, at, how)
+        except Exception as e:  # noqa: BLE001
+            self._fs.delete(new, False)
+            if self._fs.exists(at):
+                raise Conflict(str(manifest["version"])) from e
+            raise
+
+    def _write(self, work, attempts: int = 20):
+        """Run ``work(rows, manifest)`` -> (result, rows to commit or None, op, replace) and commit, again if another writer was first."""
+        if self.closed:
+            raise ValueError("the store is closed")
+        with self._lock:
+            for _ in range(attempts):
+                m = self._manifest()
+                result, rows, op, replace = work(self._view(m), m)
+                if rows is None:
+                    return result
+                try:
+                    self._commit(m, rows, op, replace)
+                    return result
+                except Conflict:
+                    continue
+            raise Conflict(f"no commit in {attempts} attempts")
+
+    def _commit(self, m: dict, rows: DataFrame, op: str, replace: bool) -> None:
+        name, version = f"commit-{uuid.uuid4().hex}", m["version"] + 1
         rows.withColumn("version", F.lit(version)).withColumn("op", F.lit(op)).write.parquet(f"{self.path}/{name}")
-        old = m["commits"] if replace else []
-        self._publish({"version": version, "commits": [name] if replace else [*m["commits"], name]})
-        for o in old:
-            self._fs.delete(self._child(o), True)
-
-    def scan(self) -> DataFrame:
-        """All memories, archived ones too."""
-        m = self._manifest()
+        last = dict(m.get("last_run", {}))
+        if self.running:
+            last[self.running] = datetime.now(timezone.utc).isoformat()
+        self._publish({"version": version, "commits": [name] if replace else [*m["commits"], name], "last_run": last})
+
+    def vacuum(self, grace: float | None = None) -> int:
+        """Delete commits and manifests that the current manifest has replaced and that are older than ``grace`` seconds; how many."""
+        before = (time.time() - (self.grace if grace is None else grace)) * 1000
+        with self._lock:
+            m, gone = self._manifest(), 0
+            for f in self._fs.listStatus(self._at):
+                name = f.getPath().getName()
+                number = _NUMBERED.fullmatch(name)
+                old = int(number[1]) < m["version"] if number else name not in m["commits"]
+                if old and f.getModificationTime() <= before:
+                    gone += bool(self._fs.delete(f.getPath(), True))
+            return gone
+
+    def _view(self, m: dict) -> DataFrame:
         if not m["commits"]:
             return self.spark.createDataFrame([], MEMORY)
         schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in MEMORY)}, version int, op string"
         return latest(self.spark.read.schema(schema).parquet(*[f"{self.path}/{c}" for c in m["commits"]]))
 
+    def scan(self) -> DataFrame:
+        """All memories, archived ones too."""
+        return self._view(self._manifest())
+
     def get(self, key: str) -> DataFrame:
         return self.scan().where(F.col("id") == key).limit(1)
 
+    def _whole(self, rows: DataFrame) -> DataFrame:
+        """All columns of a memory, index columns computed."""
+        rows = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in MEMORY])
+        return derived(rows, self.cfg)
+
     def save(self, rows: DataFrame) -> None:
         """Insert or replace whole rows; index columns are computed."""
-        rows = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in MEMORY])
-        with self._lock:
-            self._commit(derived(rows, self.cfg), "U")
+        rows = self._whole(rows)
+        self._write(lambda now, m: (None, rows, "U", False))
+
+    def save_python(self, rows: list[dict]) -> None:
+        """Save rows given as Python values; unpaired surrogates, which Spark strings cannot hold, are dropped first."""
+        clean = lambda v: without_orphans(v) if isinstance(v, str) else [clean(x) for x in v] if isinstance(v, list) else v
+        names = [f.name for f in MEMORY]
+        self.save(self.spark.createDataFrame([tuple(clean(r.get(n)) for n in names) for r in rows], MEMORY))
+
+    def change(self, work) -> None:
+        """Save ``work(current rows)``, computed from the state that the commit follows."""
+        self._write(lambda now, m: (None, written(self._whole(work(now))), "U", False))
 
     def update(self, updates: DataFrame) -> None:
         """Set the given columns of existing memories; null leaves a value as it is."""
-        now = self.scan()
-        rows = merged(now.join(updates.select("id"), "id", "left_semi"), updates.join(now.select("id"), "id", "left_semi"))
-        self.save(written(rows))
+        self.change(lambda now: merged(now.join(updates.select("id"), "id", "left_semi"), updates.join(now.select("id"), "id", "left_semi")))
 
     def delete(self, ids: list[str]) -> int:
         """Delete by id; how many there were."""
-        rows = written(self.scan().where(F.col("id").isin(ids)))
-        if n := rows.count():
-            with self._lock:
-                self._commit(rows, "D")
-        return n
+
+        def work(now, m):
+            rows = written(now.where(F.col("id").isin(ids)))
+            n = rows.count()
+            return n, rows if n else None, "D", False
+
+        return self._write(work)
 
     def reinforce(self, accesses: DataFrame) -> None:
         """Apply an access log (id, at) once."""
-        rows = self.scan().join(accesses.select("id").distinct(), "id", "left_semi")
-        self.save(written(reinforce(rows, accesses, self.cfg)))
+        self.change(lambda now: reinforce(now.join(accesses.select("id").distinct(), "id", "left_semi"), accesses, self.cfg))
 
     def search_and_reinforce(self, hits: DataFrame, now) -> list:
         """The rows of ``hits`` as they were; each is then reinforced at ``now`` (a datetime)."""
@@ -170,57 +265,53 @@ class MemoryStore:
         except Exception:  # noqa: BLE001  an unreadable store has no size
             return 0
 
-    def _alone(self, name: str, work):
+    def _alone(self, name: str, work) -> dict:
         """Run one maintenance task; a busy store answers instead of waiting."""
         if not self._lock.acquire(blocking=False):
             return {"success": False, "error": "another operation is running"}
         try:
+            if self.running:  # the lock admits its own thread again
+                return {"success": False, "error": "another operation is running"}
             self.running = name
-            return {"success": True, **work()}
+            return {"success": True, **self._write(work)}
         finally:
-            self.running = None
+            if self.running == name:
+                self.running = None
             self._lock.release()
 
     def compact(self) -> dict:
         """Rewrite the current rows as one commit."""
-
-        def work():
-            before = self.size_bytes()
-            self._commit(written(self.scan()), "U", replace=True)
+        before = self.size_bytes()
+        done = self._alone("compact", lambda now, m: ({}, written(now), "U", True))
+        if done["success"]:
             after = self.size_bytes()
-            return {"before": before, "after": after, "saved_percent": maintain.saved_percent(before, after)}
-
-        return self._alone("compact", work)
+            self.vacuum()
+            done |= {"before": before, "after": after, "saved_percent": maintain.saved_percent(before, after)}
+        return done
 
     def prune(self, now: Column) -> dict:
-        def work():
-            report = maintain.decay_report(self.scan(), now, self.cfg).first().asDict()
-            gone = self.scan().where(current_strength(now) < self.cfg.prune_threshold)
-            if report["pruned"]:
-                self._commit(written(gone), "D")
-            return report
+        def work(rows, m):
+            report = maintain.decay_report(rows, now, self.cfg).first().asDict()
+            gone = rows.where(current_strength(now) < self.cfg.prune_threshold)
+            return report, written(gone) if report["pruned"] else None, "D", False
 
         return self._alone("prune", work)
 
     def consolidate(self, now: Column, use_vectors: bool = False) -> dict:
-        def work():
-            rows = self.scan()
+        def work(rows, m):
             plan = written(maintain.consolidate(rows, now, self.cfg, use_vectors))
             counts = plan.agg(F.count_distinct("cluster").alias("merged"), F.count_if(F.col("action") == "archive").alias("archived")).first().asDict()
             changed = maintain.apply_consolidation(rows.join(plan.select("id"), "id", "left_semi"), plan, now, self.cfg)
-            if counts["merged"]:
-                self._commit(written(changed), "U")
-            return counts
+            return counts, written(changed) if counts["merged"] else None, "U", False
 
         return self._alone("consolidate", work)
 
     def reindex(self, embedder=None) -> dict:
-        def work():
-            rows = written(maintain.reindex(self.scan(), embedder))
-            self._commit(rows, "U", replace=True)
-            return maintain.reindex_report(rows).first().asDict()
+        def work(rows, m):
+            rows = written(maintain.reindex(rows, embedder))
+            return maintain.reindex_report(rows).first().asDict(), rows, "U", True
 
         return self._alone("reindex", work)
 
     def status(self) -> dict:
-        return {"running": self.running is not None, "operation": self.running, "last_run": dict(self.last_run)}
+        return {"running": self.running is not None, "operation": self.running, "last_run": dict(self._manifest().get("last_run", {}))}
