@@ -6,9 +6,10 @@ documents costs one sketch per task.  Sketches decide lines that are clearly
 below or above the threshold; lines near it get an exact distinct count.
 
 DataFrame functions only.  A line that at least ``min_sites`` sites carry is
-boilerplate and leaves every document -- except documents that would lose more
-than ``max_share`` of their characters: those are copies of a page rather than
-pages with boilerplate, and are left whole for document-level dedup.
+boilerplate and leaves every document, with two exceptions, which are left
+whole for document-level dedup: documents of which nothing would be left, and
+copies of a page: documents that would lose more than ``max_share`` of their
+characters and at least ``copy_chars``, more than boilerplate comes to.
 
 Lines are what ``\\n`` separates, compared without surrounding white space;
 blank lines are neither counted nor removed.  A null source is no site.  Null
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 MIN_SITES = 8
-MAX_SHARE = 0.5
+MAX_SHARE, COPY_CHARS = 0.5, 600
 #: Sketches have 2**LG_K registers; standard error about 0.8 / sqrt(2**LG_K).
 LG_K = 10
 #: Estimates within this share of the threshold are counted exactly (over 6 standard errors).
@@ -54,8 +55,9 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return clear.unionByName(exact.select("h1", "h2"))
 
 
-def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
-    """``docs`` with n_lines, n_spread, n_removed and kept_text added."""
+def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, copy_chars: int = COPY_CHARS) -> DataFrame:
+    """``docs`` with n_lines, n_spread, n_removed and kept_text added; columns of these names are replaced."""
+    docs = docs.drop("n_lines", "n_spread", "n_removed", "kept_text")
     lines = exploded_lines(docs)
     spread = Scratch(docs.sparkSession).save(spread_lines(lines, min_sites))
     spread = spread.select(F.col("h1").alias("a"), F.col("h2").alias("b"))
@@ -71,7 +73,8 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share:
     chars = F.aggregate("_lens", F.lit(0).cast("long"), lambda s, n: s + n)
     lost = F.aggregate(F.transform("_hits", lambda x: x["len"]), F.lit(0).cast("long"), lambda s, n: s + n)
     rows = rows.withColumn("n_spread", F.coalesce(F.size("_hits"), F.lit(0)).cast("long"))
-    cut = F.col("_hits").isNotNull() & (lost <= F.lit(max_share) * chars)
+    copy = (lost > F.lit(max_share) * chars) & (lost >= copy_chars)
+    cut = F.col("_hits").isNotNull() & (F.size("_hits") < F.size("_lens")) & ~copy
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.transform("_hits", lambda x: x["pos"]))
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
     rows = rows.withColumn("_cut", cut)
@@ -90,7 +93,7 @@ t AS (SELECT doc_id, count(*) AS n_lines, sum(length(line)) AS chars, count(*) F
       coalesce(sum(length(line)) FILTER (line IN (SELECT line FROM s)), 0) AS lost,
       list(pos) FILTER (line IN (SELECT line FROM s)) AS hits FROM l GROUP BY doc_id),
 r AS (SELECT d.doc_id, d.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_spread, 0) AS n_spread,
-      coalesce(n_spread > 0 AND lost <= {MAX_SHARE} * chars, false) AS cut, hits, string_split(d.text, E'\\n') AS a
+      coalesce(n_spread > 0 AND n_spread < n_lines AND NOT (lost > {MAX_SHARE} * chars AND lost >= {COPY_CHARS}), false) AS cut, hits, string_split(d.text, E'\\n') AS a
       FROM documents d LEFT JOIN t USING (doc_id)),
 k AS (SELECT *, CASE WHEN cut THEN array_to_string([a[i + 1] FOR i IN range(len(a)) IF NOT list_contains(hits, i)], E'\\n') ELSE text END AS kept FROM r)
 SELECT doc_id, n_lines::BIGINT AS n_lines, n_spread::BIGINT AS n_spread, (CASE WHEN cut THEN n_spread ELSE 0 END)::BIGINT AS n_removed,
