@@ -35,8 +35,12 @@ from .ngram_join import runs_of
 THRESHOLD = 0.95
 #: Vectors that centres are fitted on, at most; rows of a block; centres, at most.
 SAMPLE, BLOCK, CENTRES = 20_000, 8192, 1024
-#: Vectors for each centre, about.
-PER_CELL = 8192
+#: Vectors for each centre, about; centres, at least, where there are so many vectors.
+PER_CELL, LEAST_CENTRES = 8192, 8
+#: Rows that one batch of placed vectors has, about.
+PLACED_ROWS = 65_536
+#: The rows of a component's hot key are spread over so many.
+SALTS = 16
 
 
 def _rows(column: pa.Array, kind: str) -> list[np.ndarray | None]:
@@ -95,13 +99,13 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return np.unique(c, axis=0)
 
 
-def centres_of(classes: DataFrame, n: int, kind: str) -> dict[int, np.ndarray]:
-    """For each length of vectors in bytes, its centres; fitted on at most SAMPLE classes, taken by least key."""
+def centres_of(classes: DataFrame, n: int, kind: str, cells: int | None = None) -> dict[int, np.ndarray]:
+    """For each length of vectors in bytes, its centres (``cells`` if given); fitted on at most SAMPLE classes, taken by least key."""
     rows = classes.orderBy("key").limit(SAMPLE).select("raw").toArrow().column(0).to_pylist()
     out = {}
     for d in {len(r) for r in rows}:
         x = _unit(np.array([np.frombuffer(r, dtype=kind) for r in rows if len(r) == d]))
-        k = int(min(CENTRES, max(1, n * len(x) / len(rows) / PER_CELL), len(x)))
+        k = int(min(cells or min(CENTRES, max(LEAST_CENTRES, n * len(x) / len(rows) / PER_CELL)), len(x)))
         out[d] = spherical_kmeans(x, k)
     return out
 
@@ -115,17 +119,20 @@ def placed(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float,
         for b in batches:
             lens = pa.compute.binary_length(b.column(2)).to_numpy(zero_copy_only=False)
             for d in np.unique(lens).tolist():
-                part = b.take(pa.array(np.flatnonzero(lens == d)))
-                x = _unit(_stack(part.column(2), kind))
-                c = held.value.get(d, np.zeros((1, x.shape[1])))
-                dots = x @ c.T
-                own = np.argmax(dots, axis=1)
+                at = np.flatnonzero(lens == d)
+                c = held.value.get(d, np.zeros((1, d // int(kind[2]))))
                 apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-                near = dots[np.arange(len(x)), own][:, None] - dots <= apart[own] * sine
-                near[np.arange(len(x)), own] = True
-                row, cell = np.nonzero(near)
-                out = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array([f"{d}:{i}" for i in cell]), pa.array(cell == own[row]), *out.columns], names=["cell", "home", "key", "weight", "raw"])
+                step = max(1, PLACED_ROWS // len(c))
+                for i in range(0, len(at), step):
+                    part = b.take(pa.array(at[i : i + step]))
+                    x = _unit(_stack(part.column(2), kind))
+                    dots = x @ c.T
+                    own = np.argmax(dots, axis=1)
+                    near = dots[np.arange(len(x)), own][:, None] - dots <= apart[own] * sine
+                    near[np.arange(len(x)), own] = True
+                    row, cell = np.nonzero(near)
+                    out = part.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{d}:{i}" for i in cell]), pa.array(cell == own[row]), *out.columns], names=["cell", "home", "key", "weight", "raw"])
 
     return classes.select("key", "weight", "raw").mapInArrow(run, "cell string, home boolean, key binary, weight long, raw binary")
 
@@ -176,14 +183,14 @@ def cell_links(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
     return parts.mapInArrow(run, "key binary, links long, to binary")
 
 
-def near_copies(rows: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of ``rows`` (vec_id, embedding)."""
+def near_copies(rows: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, cells: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of ``rows`` (vec_id, embedding); ``cells`` centres, if given."""
     s = Scratch(rows.sparkSession)
     kind = kind_of(rows)
     every = s.save(vector_classes(rows, kind))
     classes = every.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("raw").alias("raw"))
     classes = s.save(classes)
-    here = s.save(placed(classes, centres_of(classes, classes.count(), kind), threshold, kind))
+    here = s.save(placed(classes, centres_of(classes, classes.count(), kind, cells), threshold, kind))
     sizes = here.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("members"), F.count("*").alias("askers"))
     sizes = s.save(sizes.where("members > 0").select("cell", F.ceil(F.col("members") / block).alias("bm"), F.ceil(F.col("askers") / block).alias("ba")))
     both = here.join(sizes, "cell")
@@ -196,9 +203,12 @@ def near_copies(rows: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.where("to is not null").select(F.col("key").alias("a"), F.col("to").alias("b")), s)
     state = classes.select("key", "weight", "least").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    state = s.save(state.select("key", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "key").alias("root")))
-    least = state.groupBy("root").agg(F.min("least").alias("component_id"))
-    state = s.save(state.join(least, "root").select("key", "n_links", "component_id"))
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt")
+    state = s.save(state.select("key", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "key").alias("root"), salt))
+    # a component may have a large share of all classes, so its key is salted
+    least = state.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many")).where("many > 1")
+    least = least.select("root", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    state = s.save(state.join(least, ["root", "salt"], "left").select("key", "n_links", F.coalesce("component_id", "least").alias("component_id")))
     out = every.select("vec_id", "key").join(state, "key", "left")
     comp = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("vec_id"), F.lit(False)).alias("kept"))
