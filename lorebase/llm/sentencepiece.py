@@ -282,6 +282,11 @@ def op2_report(docs: DataFrame, p: Pieces) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_bytes long, ids_sha256 string, round_trip boolean")
 
 
+def _edge(i, j):
+    """The key of the edge from i to j, whatever the word's length."""
+    return i.cast("long") * (1 << 31) + j
+
+
 def lattice_pieces(words: DataFrame, p: Pieces, spark: SparkSession | None = None) -> DataFrame:
     """word, pieces (array of strings) of every distinct ``word``, by relational operations.
 
@@ -296,7 +301,7 @@ def lattice_pieces(words: DataFrame, p: Pieces, spark: SparkSession | None = Non
     )
     spans = words.withColumn("s", F.explode(spans)).withColumn("piece", F.substring("word", F.col("s.i") + 1, F.col("s.j") - F.col("s.i")))
     edges = spans.join(F.broadcast(table), "piece", "left").where("score is not null or s.j = s.i + 1")
-    grouped = edges.groupBy("word").agg(F.collect_list(F.struct((F.col("s.i") * 65536 + F.col("s.j")).alias("at"), F.coalesce("score", F.lit(-1e12)).alias("score"))).alias("edges"))
+    grouped = edges.groupBy("word").agg(F.collect_list(F.struct(_edge(F.col("s.i"), F.col("s.j")).alias("at"), F.coalesce("score", F.lit(-1e12)).alias("score"))).alias("edges"))
     grouped = grouped.withColumn("map", F.map_from_entries("edges"))
     low = F.lit(-1e300)
     if p.kind == "bpe":
@@ -305,7 +310,7 @@ def lattice_pieces(words: DataFrame, p: Pieces, spark: SparkSession | None = Non
         def merge(state, _):
             pairs = F.transform(
                 F.sequence(F.lit(0), F.size(state) - 3),
-                lambda k: F.struct(F.coalesce(F.try_element_at("map", F.get(state, k) * 65536 + F.get(state, k + 2)), low).alias("score"), (-k).alias("k")),
+                lambda k: F.struct(F.coalesce(F.try_element_at("map", _edge(F.get(state, k), F.get(state, k + 2))), low).alias("score"), (-k).alias("k")),
             )
             best = F.array_max(pairs)
             k = -best["k"]
@@ -320,7 +325,7 @@ def lattice_pieces(words: DataFrame, p: Pieces, spark: SparkSession | None = Non
         def step(state, j):
             ways = F.transform(
                 F.sequence(F.greatest(j - p.longest, F.lit(0)), j - 1),
-                lambda i: F.struct((F.get(state, i)["sum"] + F.coalesce(F.try_element_at("map", i * 65536 + j), low)).alias("sum"), i.alias("back")),
+                lambda i: F.struct((F.get(state, i)["sum"] + F.coalesce(F.try_element_at("map", _edge(i, j)), low)).alias("sum"), i.alias("back")),
             )
             return F.concat(state, F.array(F.array_max(ways)))
 

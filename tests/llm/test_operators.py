@@ -87,17 +87,20 @@ def test_embeddings(spark):
     x[20:40] = x[:20] + rng.normal(size=(20, 8)) * 0.2
     x[40:45] = x[0]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(70, None), (71, [0.0] * 8), (72, [math.nan] + [1.0] * 7), (73, [None] + [1.0] * 7), (74, [1.0] * 4)]
-    got = {r.vec_id: r for r in embed_dedup.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=7).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     link = u @ u.T >= 0.95
-    for i in range(60):
-        seen, todo = {i}, [i]
-        while todo:
-            new = set(np.flatnonzero(link[todo.pop()]).tolist()) - seen
-            seen |= new
-            todo += new
-        assert (got[i].n_links, got[i].component_id, got[i].kept) == (link[i].sum() - 1, min(seen), min(seen) == i)
-    assert all(got[i].n_links == 0 and got[i].kept for i in range(70, 75))
+    table_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for cells in (None, 20):
+        got = {r.vec_id: r for r in embed_dedup.near_copies(table_, block=7, cells=cells).collect()}
+        for i in range(60):
+            seen, todo = {i}, [i]
+            while todo:
+                new = set(np.flatnonzero(link[todo.pop()]).tolist()) - seen
+                seen |= new
+                todo += new
+            assert (got[i].n_links, got[i].component_id, got[i].kept) == (link[i].sum() - 1, min(seen), min(seen) == i)
+        assert all(got[i].n_links == 0 and got[i].kept for i in range(70, 75))
+    assert embed_dedup.near_copies(table_.where("false")).count() == 0
 
 
 def test_suffix_dedup(spark, docs):
@@ -158,9 +161,13 @@ def test_suffix_dedup_pieces(spark):
 
 def test_line_dedup(spark):
     rows = [(i, f"shared line\nown {i} {'text ' * 10}\n\n", f"s{i}") for i in range(10)] + [(50, "shared line", "s1"), (51, None, "s2"), (52, "", None), (53, "few\nfew " + "y" * 20, "s1")]
-    got = {r.doc_id: r for r in line_dedup.remove_spread_lines(table(spark, rows)).collect()}
+    long = ["p" * 400, "q" * 400]
+    rows += [(60 + i, "\n".join([*long, f"edit {i}"]), f"s{i}") for i in range(9)]  # copies of a page with a line of their own
+    rows += [(80, "shared line\nx", "s3")]  # mostly boilerplate, but not a page's worth
+    got = {r.doc_id: r for r in line_dedup.remove_spread_lines(table(spark, rows).withColumn("n_lines", F.lit("old"))).collect()}
     assert all(got[i].n_removed == 1 and "shared" not in got[i].kept_text for i in range(10))
     assert got[50].kept_text == "shared line" and got[51].kept_text is None and got[52].kept_text == "" and got[53].n_removed == 0
+    assert all(got[60 + i].n_removed == 0 and got[60 + i].n_spread == 2 and got[60 + i].n_lines == 3 for i in range(9)) and got[80].kept_text == "x"
     assert line_dedup.remove_spread_lines(empty(spark)).count() == 0
 
 
@@ -192,6 +199,23 @@ def test_sentencepiece(spark, docs):
         assert [x for piece in got[w] for x in sentencepiece._ids_of([piece], p)] == sentencepiece.encode_words([w], p)[0]
 
 
+def test_unigram_lattice(spark):
+    rng = random.Random(6)
+    texts = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(40)} | set("abc"))
+    score = [-rng.uniform(1, 9) for _ in texts]
+    p = sentencepiece.Pieces(texts, score, [True] * len(texts), [], "unigram")
+    value = dict(zip(texts, score))
+
+    def best(w):
+        return max((value[w[:k]] + best(w[k:]) for k in range(1, len(w) + 1) if w[:k] in value), default=0.0)
+
+    ws = ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 2, 5, 9, 12)]
+    got = {r.word: r.pieces for r in sentencepiece.lattice_pieces(spark.createDataFrame([(w,) for w in [*ws, ""]], "word string"), p).collect()}
+    assert set(got) == set(ws)
+    for w in ws:
+        assert "".join(got[w]) == w and sum(value[x] for x in got[w]) == pytest.approx(best(w))
+
+
 def test_urls(spark):
     urls = ["http://A.Example.ORG/es/1", "https://x.org", "https://x.org/", "ftp://m.com/fr/?q", "http://n.com/de/1#x", "http://example.org/en/17", "nothing", None, "", "http://z.net/en/5", "http://notexample.org/es/"]
     got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
