@@ -43,6 +43,17 @@ PLACED_ROWS = 65_536
 SALTS = 16
 
 
+#: op4 in SQL: all pairs, in double precision.
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS x FROM embeddings),
+ok AS (SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= {THRESHOLD}),
+r AS (SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)
+SELECT vec_id, (SELECT count(*) FROM e WHERE e.a = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.id = vec_id
+"""
+
+
 def _rows(column: pa.Array, kind: str) -> list[np.ndarray | None]:
     """Each row's vector, or None if it links with nothing."""
     offsets = column.offsets.to_numpy()

@@ -92,7 +92,7 @@ def schedule(targets: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
 
     total: the sum of all sizes.  Slots whose source has already had its
     target are left out; what a source still lacks at the end follows as
-    further slots.
+    further slots, one of each source in turn.
     """
     spark = targets.sparkSession
     n = -(-total // block)
@@ -102,6 +102,7 @@ def schedule(targets: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     cum = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     share = F.sum("target").over(Window.partitionBy())
     line = line.withColumn("hi", F.sum("target").over(cum) / share).withColumn("lo", F.coalesce(F.lag("hi").over(cum), F.lit(0.0)))
+    line = line.withColumn("number", F.row_number().over(cum) - 1).withColumn("sources", F.count("*").over(Window.partitionBy()))
     cells = line.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.least(F.col("hi"), F.lit(0.9999999999)) * CELLS))))
     u = F.col("slot") * F.lit(PHI)
     points = spark.range(n).withColumnRenamed("id", "slot").withColumn("u", u - F.floor(u))
@@ -117,7 +118,7 @@ def schedule(targets: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     had = ranked.groupBy("source").agg(F.count("*").alias("had")).withColumnRenamed("source", "s")
     rest = line.join(had, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("had", F.coalesce("had", F.lit(0)))
     rest = rest.where("had < slots").withColumn("rank", F.explode(F.sequence("had", F.col("slots") - 1)))
-    rest = rest.select((F.lit(n) + F.col("rank")).alias("slot"), "source", "rank")
+    rest = rest.select((F.lit(n) + F.col("rank") * F.col("sources") + F.col("number")).alias("slot"), "source", "rank")
     every = ranked.unionByName(rest)
     info = line.select(F.col("source").alias("s"), "source_size", "need", "slots")
     every = every.join(info, F.col("source").eqNullSafe(F.col("s"))).where("rank < slots")
@@ -171,11 +172,11 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: str = "mix") -> D
     """
     _, _, _, taken = mix(docs, block, seed)
     took = taken.groupBy("doc_id", "source", "text_hash", "at", "size", "round").agg(F.sum("n").alias("n"))
-    took = took.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "size", "n")
+    took = took.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), F.col("size").alias("_size"), F.col("n").alias("_taken"))
     every = docs.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_hash"])
     rows = every.join(took, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & F.col("_hash").eqNullSafe(F.col("_h")))
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("n").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("n") < F.col("size"), words).otherwise(F.col("text")))
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_taken").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("_taken") < F.col("_size"), words).otherwise(F.col("text")))
     return rows.select(*docs.columns)
 
 

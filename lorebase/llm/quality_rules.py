@@ -39,6 +39,36 @@ SCHEMA = (
 )
 
 
+def _oracle() -> str:
+    """op10 in SQL: grams as their words, lines as their text."""
+    gram = lambda n: ", ".join(["x", *(f"lead(x, {k}) OVER o" for k in range(1, n))])
+    cover = "".join(
+        f""",
+g{n} AS (SELECT doc_id, k, size, CASE WHEN k + {n - 1} <= n_words THEN md5(concat_ws(' ', {gram(n)})) END AS g FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+t{n} AS (SELECT doc_id, k, size, (g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1)::INT AS twice FROM g{n}),
+c{n} AS (SELECT doc_id, count(*) AS n, sum(size) AS chars FROM (SELECT doc_id, size, max(twice) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS hit FROM t{n}) WHERE hit = 1 GROUP BY doc_id)"""
+        for n in NGRAM_LIMITS
+    )
+    share = "".join(f", coalesce(c{n}.chars, 0)::DOUBLE / greatest(word_chars, 1) AS dup{n}_share" for n in NGRAM_LIMITS)
+    joins = "".join(f" LEFT JOIN c{n} ON c{n}.doc_id = m.doc_id" for n in NGRAM_LIMITS)
+    good = " AND ".join([f"dup_line_share <= {LINE_LIMIT}", *(f"dup{n}_share <= {x}" for n, x in NGRAM_LIMITS.items())])
+    word = r"'[^\x20\x09-\x0D]+'"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {word}) AS w FROM documents),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols FROM d),
+u AS (SELECT doc_id, len(w) AS n_words, unnest(w) AS x, unnest([length(y) FOR y IN w]) AS size, unnest(range(len(w))) + 1 AS k FROM d),
+l AS (SELECT doc_id, line, count(*) - 1 AS more, coalesce(list_sum([length(x) FOR x IN regexp_extract_all(line, {word})]), 0) AS chars FROM (SELECT doc_id, unnest(string_split(t, E'\n')) AS line FROM d) WHERE regexp_matches(line, {word}) GROUP BY doc_id, line),
+r AS (SELECT doc_id, sum(more) AS n, sum(more * chars) AS chars FROM l GROUP BY doc_id){cover},
+f AS (SELECT m.*, coalesce(r.n, 0)::BIGINT AS n_dup_lines, coalesce(c5.n, 0)::BIGINT AS n_repeat_words, coalesce(r.chars, 0)::DOUBLE / greatest(word_chars, 1) AS dup_line_share{share}
+  FROM m LEFT JOIN r ON r.doc_id = m.doc_id{joins}),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND {good} AS kept FROM b
+"""
+
+
+ORACLE = _oracle()
+
+
 def _covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
     """Which of ``total`` words lie in a window of ``n`` that starts at one of ``starts``."""
     step = np.zeros(total + 1, dtype=np.int32)

@@ -49,4 +49,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_quality_gam, op4_embed_dedup, op5_url_filter, op6_ngram_join, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_quality_rules)}
-SQL = {"op1_mixing": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+SQL = {
+    "op1_mixing": mixing.ORACLE,
+    "op4_embed_dedup": embed_dedup.ORACLE,
+    "op6_ngram_join": ngram_join.ORACLE,
+    "op7_suffix_dedup": suffix_dedup.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
+}

@@ -237,7 +237,8 @@ def _schema(docs: DataFrame) -> str:
 
 
 def encode(docs: DataFrame, p: Pieces, column: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with the array of ids of ``column`` added."""
+    """``docs`` with the array of ids of ``column`` added; a column of that name is replaced."""
+    docs = docs.drop(into)
     held = docs.sparkSession.sparkContext.broadcast(p)
     at = docs.columns.index(column)
 
@@ -250,7 +251,8 @@ def encode(docs: DataFrame, p: Pieces, column: str = "text", into: str = "ids")
 
 
 def decode(rows: DataFrame, p: Pieces, column: str = "ids", into: str = "text") -> DataFrame:
-    """``rows`` with the text of the ids in ``column`` added."""
+    """``rows`` with the text of the ids in ``column`` added; a column of that name is replaced."""
+    rows = rows.drop(into)
     held = rows.sparkSession.sparkContext.broadcast(p)
     at = rows.columns.index(column)
 

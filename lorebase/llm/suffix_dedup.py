@@ -66,6 +66,21 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+#: op7 in SQL: every window by the hash of its bytes, in hexadecimal.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS x FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {LENGTH - 1})) AS i FROM d)),
+again AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1),
+starts AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM w WHERE x IN (SELECT x FROM again)),
+runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM starts),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + {LENGTH} AS b FROM runs GROUP BY doc_id, k),
+gaps AS (SELECT s.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0))) AS before FROM spans s JOIN d USING (doc_id)),
+per AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n, max(b) AS last, string_agg(before, '' ORDER BY a) AS kept FROM gaps GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id)
+"""
+
+
 class Parsed:
     """The phrases of a piece of the corpus."""
 

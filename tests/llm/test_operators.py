@@ -2,14 +2,17 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
+from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorebase.llm import embed_dedup, line_dedup, mixing, ngram_join, quality_gam, quality_rules, sentencepiece, suffix_dedup, toxicity, url_filter
+from lorebase.llm import embed_dedup, line_dedup, mixing, ngram_join, quality_gam, quality_rules, queries, sentencepiece, suffix_dedup, toxicity, url_filter
 
 COLS = "doc_id long, text string, lang string, source string, n_chars long, key string, root string"
 
@@ -50,6 +53,27 @@ def test_mixing(spark, docs):
     assert sum(len((r.text or "").split()) for r in mixed) == sum(r.taken for r in got)
 
 
+def test_schedule(spark):
+    """Every slot and rank once, the words of each source its target, and any stretch near the shares."""
+    sizes = spark.createDataFrame([("a", 60_000), ("b", 30_000), (None, 45_000), ("c", 5_000), ("d", 0)], "source string, size long")
+    targets = mixing.source_targets(sizes)
+    block = 64
+    slots = sorted(mixing.schedule(targets, 140_000, block).collect(), key=lambda r: r.slot)
+    want = {r.source: r.target for r in targets.collect()}
+    assert want["c"] == 15_000 and sum(want.values()) == pytest.approx(140_000)  # c stops at three times its size
+    assert len({r.slot for r in slots}) == len(slots) == len({(r.source, r.rank) for r in slots})
+    took, total = dict.fromkeys(want, 0), 0
+    for r in slots:
+        took[r.source] += r.words
+        total += r.words
+        assert all(abs(took[x] - want[x] * total / 140_000) < 12 * block for x in want)
+    assert all(took[x] == round(want[x]) for x in want)
+    by = {}
+    for r in slots:  # ranks go round after round through the source's blocks
+        by.setdefault(r.source, []).append((r.rank, r.round, r.block))
+    assert all([x[0] for x in v] == list(range(len(v))) and [x[1:] for x in v] == sorted(x[1:] for x in v) for v in by.values())
+
+
 def test_jaccard_components(spark, docs):
     rows = docs.select("doc_id", "text").collect()
     sets = []
@@ -302,3 +326,116 @@ def test_pipeline_near_copies(spark):
     rows = [(1, " ".join(ws), "s"), (5, " ".join(ws), "t"), (5, "quite another text of six words", "s"), (None, edited(ws, 30), "s"), (5, "quite another text of six words", "s"), (7, "", "s"), (8, None, "s"), (None, " ", "s")]
     kept = corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()
     assert sorted((str(r.doc_id), (r.text or "")[:5]) for r in kept) == [("1", "n0 n1"), ("5", "quite"), ("7", ""), ("8", ""), ("None", " ")]
+
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    plain = lambda df: sorted((tuple(str(round(x, 9)) if isinstance(x, float) else str(x) for x in r) for r in df[sorted(df.columns)].values.tolist()), key=repr)
+    got = queries.QUERIES[name](spark, DIR).toPandas()
+    assert len(got) and plain(got) == plain(con.sql(queries.SQL[name]).df())
+
+
+def test_jaccard_chain_of_many_copies(spark):
+    """A large group of near copies whose ends are not alike, repeated ids, and near misses."""
+    rng = random.Random(12)
+    ws = [f"c{k}" for k in range(300)]
+    rows = []
+    for i in range(400):
+        own = list(ws)
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(300)] = f"e{rng.randrange(50)}"
+        rows.append((i % 390, " ".join(own), "s"))
+    chain = [f"d{k}" for k in range(200)]
+    for i in range(30):  # each step changes two words, so only neighbours are alike
+        chain[6 * i] = f"x{i}"
+        rows.append((1000 + i, " ".join(chain), "s"))
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in (t.split() for _, t, _ in rows)]
+    up = list(range(len(rows)))
+    root = lambda i: i if up[i] == i else root(up[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            if root(i) != root(j) and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, r in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), r[0]), r[0])
+    want = sorted((r[0], least[root(i)]) for i, r in enumerate(rows))
+    for block in (256, 16):
+        got = ngram_join.jaccard_components(table(spark, rows), block=block).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == want
+
+
+def test_parts_meet():
+    """Sets that reach the threshold share a part that neither leaves out, whatever the order of parts."""
+    rng = np.random.default_rng(5)
+    for threshold in (ngram_join.THRESHOLD, Fraction(4, 5)):
+        levels = ngram_join.Levels(threshold)
+        for _ in range(400):
+            n = int(rng.integers(3, 200))
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            b = a[rng.random(len(a)) >= rng.choice([0.02, 0.08, 0.15])]
+            b = np.unique(np.r_[b, rng.integers(0, 2**63, int(rng.integers(0, 2 + n // 10)), dtype=np.uint64)])
+            both = len(np.intersect1d(a, b))
+            if not len(b) or both * threshold.denominator < threshold.numerator * (len(a) + len(b) - both) or np.array_equal(a, b):
+                continue
+            kept = [set(), set()]
+            for s, k in zip((a, b), kept):
+                for parts, spare in ngram_join.part_keys(s, levels):
+                    k.update(np.sort(parts)[max(0, spare) :].tolist())  # any one order for all
+            assert kept[0] & kept[1]
+
+
+def test_clashing_columns_and_empty_tables(spark, docs):
+    clash = docs.withColumn("size", F.lit("size")).withColumn("ids", F.lit("ids")).withColumn("n_lines", F.lit(1)).withColumn("score", F.lit(2.0)).withColumn("component", F.lit(3))
+    n = docs.count()
+    assert mixing.mix_report(clash).count() == n and mixing.mixed_documents(clash).count() > 0
+    assert line_dedup.remove_spread_lines(clash).count() == n and quality_rules.repetition_rules(clash).count() == n
+    assert ngram_join.jaccard_components(clash).count() == n and suffix_dedup.op7_report(clash).count() == n
+    p = sentencepiece.read_model()
+    assert sentencepiece.op2_report(clash, p).count() == n and sentencepiece.encode(clash, p).where("size(ids) >= 0").count() <= n
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.op9_report(clash, labels).count() == n and quality_gam.op3_report(clash, labels).count() == n
+    none = empty(spark)
+    assert quality_rules.repetition_rules(none).count() == sentencepiece.op2_report(none, p).count() == toxicity.op9_report(none, labels).count() == quality_gam.op3_report(none, labels).count() == 0
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_very_long_text(spark):
+    rng = random.Random(13)
+    text = words(rng, 400_000, 5000)
+    rows = [(1, text, "s"), (2, text + " tail", "t"), (3, "short text of six words here", "s")]
+    t = table(spark, rows)
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(t).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: r.n_removed > 0 for r in suffix_dedup.op7_report(t).collect()} == {1: True, 2: True, 3: False}
+    assert quality_rules.repetition_rules(t).where("n_words >= 400000").count() == 2
+    assert sentencepiece.op2_report(t, sentencepiece.read_model()).where("round_trip").count() == 3
+    labels = spark.createDataFrame([(1, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.op9_report(t, labels).count() == 3 and mixing.mix_report(t).count() == 3
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_edges(spark, tmp_path, stage):
+    """Nulls in every column, empty texts, repeated rows, further columns and an empty table, for each stage."""
+    import corpus_pipeline
+
+    name, f = corpus_pipeline.STAGES[stage]
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(1, "some clean words here to keep", "s"), (1, "some clean words here to keep", "s"), (None, None, None), (2, "", "s"), (3, " \n ", None), (4, "other words that nobody else has", "t")]
+    t = table(spark, rows)
+    out = f(spark, t, str(tmp_path))
+    assert out.columns == (corpus_pipeline.COLUMNS if stage < 4 else ["doc_id", "lang", "source", "n_tokens", "ids"])
+    ids = [r.doc_id for r in out.collect()]
+    assert {1, 4} <= set(ids)
+    if stage in (0, 1, 4):
+        assert len(ids) == 6
+    if stage == 2:
+        assert sorted(map(str, ids)) == ["1", "2", "3", "4", "None"]
+    assert f(spark, empty(spark), str(tmp_path)).count() == 0
