@@ -44,6 +44,7 @@ class Scratch:
             root = Scratch._own
         self.root = f"{root.rstrip('/')}/lorebase-{uuid.uuid4().hex}"
         self._n = 0
+        self._live: list[DataFrame] = []
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back; ``table.path`` on the result is where it lies.
@@ -63,6 +64,7 @@ class Scratch:
                 self.spark.conf.set(CLEAN_UP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.path = path
+        self._live.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -72,11 +74,13 @@ class Scratch:
         for t in tables:
             p = jvm.org.apache.hadoop.fs.Path(t.path)
             p.getFileSystem(conf).delete(p, True)
+        gone = {t.path for t in tables}
+        self._live = [t for t in self._live if t.path not in gone]
 
-
-def hold_types(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, whatever else the table has."""
-    return df.select(*names)
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these: what an operator's lazy result still reads."""
+        kept = {t.path for t in tables}
+        self.drop(*[t for t in self._live if t.path not in kept])
 
 
 def slices(batches, column: str, limit: int = CHUNK_BYTES):

@@ -220,6 +220,7 @@ def near_copies(rows: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     least = state.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many")).where("many > 1")
     least = least.select("root", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     state = s.save(state.join(least, ["root", "salt"], "left").select("key", "n_links", F.coalesce("component_id", "least").alias("component_id")))
+    s.keep_only(every, state)
     out = every.select("vec_id", "key").join(state, "key", "left")
     comp = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("vec_id"), F.lit(False)).alias("kept"))

@@ -578,5 +578,6 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: Fract
     least = root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many")).where("many > 1")
     least = least.select("root", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     final = s.save(root.join(least, ["root", "salt"], "left").select("key", F.coalesce("component_id", "least").alias("component_id"), F.col("root").alias("component")))
+    s.keep_only(rows, final)
     out = rows.select("doc_id", "text_hash", "n", "key").join(final, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "text_hash")

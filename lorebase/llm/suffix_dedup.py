@@ -337,7 +337,7 @@ def counted_edges(rows: DataFrame, length: int, s: Scratch) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
-    """text_hash, runs: for each text with repeats, the starts (from, to) of windows that also start elsewhere.
+    """text_hash, runs: for each text with repeats, the starts (from, to) of windows that also start elsewhere; a written table.
 
     docs: text, text_hash.
     """
@@ -360,7 +360,9 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -
         edge = sorted_edges(body.join(large, "anchor", "left_anti"), length).unionByName(counted_edges(body.join(large, "anchor", "left_semi"), length, s))
     else:
         edge = sorted_edges(body, length)
-    return whole.unionByName(edge).distinct().groupBy("text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    out = s.save(whole.unionByName(edge).distinct().groupBy("text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
+    s.keep_only(out)
+    return out
 
 
 def spans_of(runs, size: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -377,7 +379,7 @@ def spans_of(runs, size: int, length: int = LENGTH) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans (array of removed (start, end)), kept (binary) of every row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    runs = Scratch(docs.sparkSession).save(repeated_runs(rows.where(F.octet_length("text") >= length).select("text", "text_hash"), length))
+    runs = repeated_runs(rows.where(F.octet_length("text") >= length).select("text", "text_hash"), length)
     both = rows.join(runs.withColumnRenamed("text_hash", "h"), F.col("text_hash") == F.col("h"), "left").select("doc_id", "text", "runs")
 
     def run(batches):
