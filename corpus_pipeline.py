@@ -81,4 +81,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        scratch.keep_only(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
