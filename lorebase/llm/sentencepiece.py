@@ -43,7 +43,7 @@ from .common import mix64, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Longer words are merged with a heap.
 LONG = 64
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")

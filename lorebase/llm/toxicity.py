@@ -57,7 +57,7 @@ WINDOW, DECAY, POWER, MAX_GAP = 10, 0.6, 2, 4
 MAX_LANDMARKS = 64
 #: Pieces that the cover may choose, and how many of them explain a text.
 MAX_PIECES, NEED = 48, 5
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: SVM values: from which a word counts, as an insult and as one of a dense piece; beyond which it is no more toxic.
 HIT, DENSE_HIT, TOP = 1.0, 0.0, 2.0
 #: The share of words from which a piece is dense.
@@ -345,6 +345,15 @@ def _first_windows(words: list[str]) -> np.ndarray:
     return win[np.r_[True, of[1:] != of[:-1]]]
 
 
+def _closest(kernel: Kernel, win: np.ndarray, n: int) -> np.ndarray:
+    """The kernel values of the n windows that are closest to a landmark, in pieces."""
+    best = np.empty((0, len(kernel.landmarks)))
+    for a in range(0, len(win), 20_000):
+        best = np.concatenate([best, kernel(win[a : a + 20_000])])
+        best = best[np.argsort(-best.max(axis=1), kind="stable")[:n]]
+    return best
+
+
 def _svm_of(positive: np.ndarray, negative: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights per landmark and the bias; positive, negative: kernel values of the examples."""
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
@@ -392,8 +401,7 @@ def fit(texts: list[tuple[str, int, bool]], share: float, counts: tuple[int, int
     model.kernel = Kernel(marks)
     stems = tuple({p[1:] for p, dense, _ in cover if dense})
     negative = sorted({w for t in count[0] for w in t if not w.startswith(stems)} - set(insults) if stems else {w for t in count[0] for w in t} - set(insults))
-    xn = model.kernel(windows(negative[:: max(1, len(negative) // CLEAN_WORDS)])[0])
-    xn = xn[np.argsort(-xn.max(axis=1), kind="stable")[:CLEAN_EXAMPLES]]
+    xn = _closest(model.kernel, windows(negative[:: max(1, len(negative) // CLEAN_WORDS)])[0], CLEAN_EXAMPLES)
     gram = model.kernel(marks)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     ok = value > 1e-6 * value.max()
