@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_made: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
@@ -23,8 +24,24 @@ def root(spark: SparkSession) -> str:
     return _own
 
 
+def folder(spark: SparkSession, kind: str) -> str:
+    """A new path for a table or store of this process; ``clear`` deletes it."""
+    path = f"{root(spark)}/{kind}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all that this process has written here; for the end of a job, when no result is read any more."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_made)
+    while _made:
+        p = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        p.getFileSystem(conf).delete(p, True)
+    return n
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written and read again: short lineage that survives the loss of executors."""
-    path = f"{root(df.sparkSession)}/plan-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, "plan")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,6 +31,7 @@ from ..functions.text import searchable, trigrams, without_orphans
 from ..operators import maintain
 from ..plans.scratch import written
 from ..schema import ACCESS, MEMORY
+from .gram_index import GramIndex
 
 
 def derived(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -192,7 +193,7 @@ class MemoryStore:
             for f in self._fs.listStatus(self._at):
                 name = f.getPath().getName()
                 number = _NUMBERED.fullmatch(name)
-                old = int(number[1]) < m["version"] if number else name not in m["commits"]
+                old = int(number[1]) < m["version"] if number else name not in (*m["commits"], f"index-{m['version']:012d}")
                 if old and f.getModificationTime() <= before:
                     gone += bool(self._fs.delete(f.getPath(), True))
             return gone
@@ -255,6 +256,16 @@ class MemoryStore:
             self.reinforce(self.spark.createDataFrame([(r.id, now) for r in rows], ACCESS))
         return rows
 
+    def index(self) -> GramIndex:
+        """The inverted index of the current state; written once for each version."""
+        m = self._manifest()
+        at = self._child(f"index-{m['version']:012d}")
+        if not self._fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")):
+            part = f"{self.path}/index-new-{uuid.uuid4().hex}"
+            GramIndex.write(self._view(m), part)
+            self._fs.rename(self._child(part.rsplit("/", 1)[1]), at)
+        return GramIndex(self.spark, f"{self.path}/{at.getName()}")
+
     def stats(self, now: Column) -> DataFrame:
         return stats(self.scan(), now, self.cfg)
 

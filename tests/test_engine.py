@@ -16,7 +16,9 @@ from lorebase.operators import maintain
 from lorebase.operators.embed import HashedTrigramEmbedder, select_embedder
 from lorebase.operators.schedule import MaintenanceLoop
 from lorebase.operators.search import search, text_search
+from lorebase.sources.gram_index import GramIndex
 from lorebase.sources.store import MemoryStore
+from lorebase.streaming.ingest import access_counts, reinforce_stream, store_stream
 
 NOW = datetime(2024, 2, 1)
 
@@ -354,3 +356,59 @@ def test_consolidation_applies(spark, tmp_path):
     assert rows["b"].access_count == 1 and rows["b"].base_strength == pytest.approx(2.1) and not rows["b"].is_archived
     assert not rows["c"].is_archived and rows["d"].superseded_by is None
     assert store.reindex()["memories"] == 4 and set(store.status()["last_run"]) == {"consolidate", "reindex"}
+
+
+def test_size_is_that_of_the_files(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "s"))
+    assert store.size_bytes() == 0
+    store.save_python(one(spark, "a") + one(spark, "b"))
+    store.save_python(one(spark, "b", "again"))
+    files = lambda: sum(f.stat().st_size for f in (tmp_path / "s").glob("commit-*/*") if not f.name.startswith("."))
+    assert store.size_bytes() == files() > 0
+    done = store.compact()
+    assert done["saved_percent"] == pytest.approx((1 - done["after"] / done["before"]) * 100)
+    store.vacuum(grace=-1)
+    assert store.size_bytes() == files() == done["after"]
+
+
+def test_index_follows_the_state(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "s"))
+    store.save_python(one(spark, "a", "Python Programming", tags=["code"]) + one(spark, "b", "Cooking", tags=["python"]))
+    first = store.index()
+    assert {r.id for r in first.probe("python").collect()} == {"a", "b"} and store.index().path == first.path
+    got = first.text_search(store.scan(), "python prog", 5, F.lit(NOW)).collect()
+    want = text_search(store.scan(), "python prog", 5, F.lit(NOW)).collect()
+    assert [(r.id, r._text_score) for r in got] == [(r.id, r._text_score) for r in want] != []
+    store.delete(["a"])
+    assert {r.id for r in store.index().probe("python").collect()} == {"b"}
+    with pytest.raises(ValueError):
+        first.text_search(store.scan(), "py", 5, F.lit(NOW))
+
+
+def test_index_reads_little(spark, tmp_path):
+    rows = spark.range(5000).select("id", text.trigrams(F.concat(F.lit("memory "), F.col("id").cast("string"))).alias("trigrams"))
+    index = GramIndex.write(rows, str(tmp_path / "i"))
+    plan = index.probe("4711")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram" in plan
+    assert index.probe("memory 4711").where("fuzzy = 1").first().id == 4711
+
+
+def test_streams(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "s"))
+    store.save_python(one(spark, "a") + one(spark, "b"))
+    late = [("a", NOW), ("a", NOW + timedelta(hours=1)), ("b", NOW + timedelta(days=1))]
+    spark.createDataFrame(late, "id string, at timestamp").write.parquet(str(tmp_path / "log"))
+    log = spark.readStream.schema("id string, at timestamp").parquet(str(tmp_path / "log"))
+    reinforce_stream(log, store, str(tmp_path / "c1"), availableNow=True).awaitTermination()
+    assert {r.id: r.access_count for r in store.scan().collect()} == {"a": 2, "b": 1}
+    reinforce_stream(log, store, str(tmp_path / "c1"), availableNow=True).awaitTermination()  # nothing new
+    assert store.get("a").first().access_count == 2
+    access_counts(log).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.id, r.n) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+    batch = access_counts(spark.read.parquet(str(tmp_path / "log")))
+    assert sorted((r.id, r.n) for r in batch.collect()) == [("a", 2), ("b", 1)]
+    new = spark.createDataFrame([("c", "title", "s")], "id string, title string, summary string")
+    new.write.parquet(str(tmp_path / "new"))
+    arriving = spark.readStream.schema(new.schema).parquet(str(tmp_path / "new"))
+    store_stream(arriving, store, str(tmp_path / "c2"), availableNow=True).awaitTermination()
+    assert store.get("c").first().content_normalized == "title s"

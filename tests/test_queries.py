@@ -12,11 +12,11 @@ from lorebase.plans.queries import QUERIES, SQL
 DIR = "/root/testdata/sf0.001"
 TABLES = "documents embeddings labels events benchmark".split()
 #: A cross-section: all queries run in the driver's own comparison.
-SOME = ["memory_scan", "upsert_merge", "text_search_topk", "text_search_short_query", "hybrid_search_semantic", "hybrid_search_tagged", "repository_stats", "reinforce_from_log", "similar_pairs", "decay_stats", "embedding_prep"]
+SOME = ["memory_scan", "upsert_merge", "text_search_topk", "text_search_short_query", "hybrid_search_semantic", "hybrid_search_tagged", "repository_stats", "reinforce_from_log", "similar_pairs", "similar_pairs_blended", "leader_clusters", "consolidation_state", "conflict_state", "conflict_classify", "batch_search", "reindex_rebuild", "surrogate_sanitize", "decay_stats", "embedding_prep"]
 
 
 def plain(df: pd.DataFrame) -> list:
-    cell = lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) or x is pd.NA else str(round(x, 6)) if isinstance(x, float) else str(x)
+    cell = lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) or x is pd.NA else f"{x:.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted((tuple(cell(x) for x in r) for r in df[sorted(df.columns)].values.tolist()), key=repr)
 
 
