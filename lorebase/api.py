@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULT, EngineConfig
+from .functions import report
 from .functions.strength import current_strength
 from .functions.text import strip
 from .operators import conflict
-from .operators.embed import NullEmbedder
+from .operators.embed import NullEmbedder, select_embedder
 from .operators.search import search
 from .plans.scratch import written
-from .schema import MEMORY
+from .schema import ACCESS, MEMORY
 from .sources.store import MemoryStore, clamped, derived
 
 
@@ -84,6 +85,36 @@ class Engine:
             full = full.withColumn("embedding", F.coalesce("embedding", self.embedder.embed(F.concat_ws(" ", "title", "summary", "content")).cast("array<float>")))
         self.store_.save(written(full))  # ids are drawn once
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, settings: str = "{}", model_path: str | None = None, tokenizer_path: str | None = None) -> Engine:
+        """An engine by its JSON settings, with the model if there is one and the vectors of hashed trigrams never: without a model, search is lexical."""
+        cfg = EngineConfig.from_json(settings)
+        return cls(spark, path, cfg, select_embedder(model_path, tokenizer_path, cfg.dimensions))
+
+    def health(self, now: datetime) -> dict[str, str]:
+        """That the store can be read, and when that was found."""
+        try:
+            self.store_.scan().limit(1).count()
+            return {"status": "healthy", "timestamp": now.isoformat()}
+        except Exception as e:  # noqa: BLE001  the answer is the report
+            return {"status": "unhealthy", "timestamp": now.isoformat(), "error": str(e).split("\n")[0]}
+
+    def search_report(self, query: str, now: datetime, top_n: int = 5, tags: list[str] | None = None) -> list:
+        """The hits as they are shown; they are reinforced."""
+        hits = self.search(query, now, top_n, tags)
+        if not hits:
+            return []
+        place = {r.id: i for i, r in enumerate(hits)}
+        shown = self.spark.createDataFrame([(r.title, r.score, r.id, r.summary, r.tags or []) for r in hits], "title string, score double, id string, summary string, tags array<string>")
+        return sorted(shown.select(*report.search_result()).collect(), key=lambda r: place[r.id])
+
+    def detail_report(self, key: str, now: datetime):
+        """A memory's details as they are shown, or None; it is reinforced."""
+        shown = self.store_.get(key).select(*report.detail(F.lit(now))).collect()
+        if shown:
+            self.store_.reinforce(self.spark.createDataFrame([(key, now)], ACCESS))
+        return shown[0] if shown else None
+
     def update(self, rows: DataFrame) -> None:
         self.store_.update(rows)
 

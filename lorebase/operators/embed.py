@@ -46,6 +46,14 @@ class HashedTrigramEmbedder:
         return l2_normalized(counts).cast("array<float>")
 
 
+def mean_pooled(hidden, mask):
+    """Unit vectors (texts x width): the mean of the token states (texts x tokens x width) that the mask (texts x tokens) admits; zeros without any."""
+    import numpy as np
+
+    mean = (hidden * mask[:, :, None]).sum(1) / np.maximum(1, mask.sum(1, keepdims=True))
+    return (mean / np.maximum(1e-12, np.linalg.norm(mean, axis=1, keepdims=True))).astype(np.float32)
+
+
 class OnnxEmbedder:
     """A sentence model with mean pooling, run by Arrow batches; needs a model and a tokenizer file."""
 
@@ -73,9 +81,7 @@ class OnnxEmbedder:
                 mask = np.array([c.attention_mask for c in codes], dtype=np.int64)
                 given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
                 hidden = session.run(None, {k: v for k, v in given.items() if k in names})[0]
-                mean = (hidden * mask[:, :, None]).sum(1) / np.maximum(1, mask.sum(1, keepdims=True))
-                unit = mean / np.maximum(1e-12, np.linalg.norm(mean, axis=1, keepdims=True))
-                yield pd.Series(list(unit.astype(np.float32)))
+                yield pd.Series(list(mean_pooled(hidden, mask)))
 
         from collections.abc import Iterator
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions import report
 from ..functions import strength as st
 from ..functions import text as tx
 from ..functions import vector as vec
@@ -581,13 +582,12 @@ def reindex_rebuild(spark, d):
     + f"SELECT title, printf('%.2f', 0.5 * fuzzy + 0.3 * least(1.0, {_STRENGTH} / 2) + 0.2 * {_RECENCY}) AS score, id, summary, array_to_string(tags, ', ') AS tags FROM f ORDER BY 0.5 * fuzzy + 0.3 * least(1.0, {_STRENGTH} / 2) + 0.2 * {_RECENCY} DESC, id LIMIT {TOP}"
 )
 def search_result_format(spark, d):
-    return se.search(memories(spark, d), Q, TOP, now()).select("title", F.format_string("%.2f", "score").alias("score"), "id", "summary", F.array_join("tags", ", ").alias("tags"))
+    return se.search(memories(spark, d), Q, TOP, now()).select(*report.search_result())
 
 
 @query(f"{VIEW} SELECT title, id, summary, content, array_to_string(tags, ', ') AS tags, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created, printf('%.2f', {_STRENGTH}) AS strength FROM m")
 def memory_detail_format(spark, d):
-    m = memories(spark, d)
-    return m.select("title", "id", "summary", "content", F.array_join("tags", ", ").alias("tags"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"), F.format_string("%.2f", st.current_strength(now())).alias("strength"))
+    return memories(spark, d).select(*report.detail(now()))
 
 
 def _stored(spark, d) -> MemoryStore:

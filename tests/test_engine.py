@@ -6,6 +6,7 @@ import threading
 import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,9 +14,9 @@ from lorebase.api import Engine
 from lorebase.config import EngineConfig
 from lorebase.functions import strength, text, vector
 from lorebase.operators import maintain
-from lorebase.operators.embed import HashedTrigramEmbedder, select_embedder
+from lorebase.operators.embed import HashedTrigramEmbedder, mean_pooled, select_embedder
 from lorebase.operators.schedule import MaintenanceLoop
-from lorebase.operators.search import search, text_search
+from lorebase.operators.search import Probe, batch_search, candidates, search, text_search
 from lorebase.sources.gram_index import GramIndex
 from lorebase.sources.store import MemoryStore
 from lorebase.streaming.ingest import access_counts, reinforce_stream, store_stream
@@ -412,3 +413,45 @@ def test_streams(spark, tmp_path):
     arriving = spark.readStream.schema(new.schema).parquet(str(tmp_path / "new"))
     store_stream(arriving, store, str(tmp_path / "c2"), availableNow=True).awaitTermination()
     assert store.get("c").first().content_normalized == "title s"
+
+
+def test_reports_and_opening(spark, tmp_path):
+    e = Engine.open(spark, str(tmp_path / "e"), '{"prune_threshold": 0.2, "candidate_mode": "trigram"}')
+    assert e.cfg.prune_threshold == 0.2 and not e.embedder.available and e.health(NOW)["status"] == "healthy"
+    with pytest.raises(ValueError):
+        Engine.open(spark, str(tmp_path / "e"), '{"unknown": 1}')
+    put(e, ("a", "Python Guide", "all of it", "text", ["code", "work"], None))
+    hit = e.search_report("python", NOW)[0]
+    assert hit.asDict() == {"title": "Python Guide", "score": hit.score, "id": "a", "summary": "all of it", "tags": "code, work"} and len(hit.score.split(".")[1]) == 2
+    got = e.detail_report("a", NOW)
+    assert (got.created, got.strength, got.content) == ("2024-02-01 00:00:00", "1.10", "text")  # once by the search
+    assert e.get("a", NOW, reinforce=False).access_count == 2 and e.detail_report("none", NOW) is None and e.search_report("  ", NOW) == []
+
+
+def test_mean_pooling():
+    hidden = np.array([[[3.0, 0.0], [1.0, 4.0], [9.0, 9.0]], [[1.0, 1.0], [1.0, 1.0], [1.0, 1.0]]])
+    got = mean_pooled(hidden, np.array([[1, 1, 0], [0, 0, 0]]))
+    assert np.allclose(got, [[2 / math.sqrt(8), 2 / math.sqrt(8)], [0, 0]])
+
+
+def test_search_edges(spark, tmp_path):
+    """The hand-made rows of the fixtures: short and repeated words, tags, a title alone, the future, archived rows that use up candidates."""
+    store = MemoryStore(spark, str(tmp_path / "s"))
+    rows = one(spark, "t", "Zebra title", tags=["Work"]) + one(spark, "f", "from the future", last_accessed_at=NOW + timedelta(days=10)) + one(spark, "y", "a year old", last_accessed_at=NOW - timedelta(days=365))
+    rows += one(spark, "e", "empty tag", tags=[""]) + [r for i in range(4) for r in one(spark, f"z{i}", f"archived zebra {i}", is_archived=True, base_strength=5.0)]
+    store.save_python(rows)
+    df, now = store.scan(), F.lit(NOW)
+    assert search(df, "zebra", 1, now).count() == 0  # three archived ones fill the candidates
+    assert [r.id for r in search(df, "zebra", 2, now).collect()] == ["t"]
+    assert [r.id for r in search(df, "work work", 5, now).collect()][0] == "t" and [r.id for r in search(df, "WORK", 5, now).collect()][0] == "t"
+    got = {r.id: r for r in search(df, "the future year old title", 10, now).collect()}
+    assert got["f"].recency_score > 1 and got["y"].recency_score == 0
+    # an empty tag is contained in every query
+    assert {r.id for r in candidates(df, Probe.literal(spark, "qqq"), 3, EngineConfig(candidate_mode="substring_or_tag")).collect()} == {"e"}
+    queries = spark.createDataFrame([("1", "zebra", None), ("2", "z", None), ("3", "  ", None)], "query_id string, query string, query_vector array<double>")
+    for cfg in (EngineConfig(), EngineConfig(candidate_mode="substring_or_tag")):
+        batch = {}
+        for r in batch_search(df, queries, 3, now, cfg).collect():
+            batch.setdefault(r.query_id, []).append((r["rank"], r.id))
+        for q, text_ in (("1", "zebra"), ("2", "z"), ("3", "  ")):
+            assert [i for _, i in sorted(batch.get(q, []))] == [r.id for r in search(df, text_, 3, now, cfg=cfg).collect()], (q, cfg.candidate_mode)
