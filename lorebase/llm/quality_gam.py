@@ -189,14 +189,15 @@ def feature_rows(docs: DataFrame, keep: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE) -> Model:
-    """Learn from the labelled rows that ``usable`` (a condition on doc_id) admits."""
+    """Learn from the labelled rows that ``usable`` (a condition on doc_id) admits; of a doc_id that repeats, the least text counts."""
     ok = labels.where("doc_id is not null and quality in (0, 1)").where(usable).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = ok.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     if not ids:
         return Model(base=0.0)
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r.doc_id, int(r.quality)) for r in ids], "id long, quality int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select(F.struct("doc_id", "quality").alias("row"), "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select(F.struct("doc_id", "quality").alias("row"), "text")
     got = sorted((r.row.doc_id, r.row.quality, *r.x) for r in feature_rows(rows, "row").collect())
     a = np.array(got, dtype=float).reshape(-1, 2 + len(FEATURES))
     return fit(a[:, 2:], a[:, 1])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 
 #: (host, beginning of the path, verdict)
 RULES = (
@@ -92,7 +92,7 @@ def count_grams(urls: DataFrame) -> DataFrame:
     """gram, a, b: every gram of ``urls`` (url, n_allow, n_block), and how often allowed and blocked ones have it."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "url"):
             if not batch.num_rows:
                 continue
             gram, of = _grams(_urls(batch.column(0)))
@@ -140,7 +140,7 @@ def grams_of(urls: DataFrame) -> DataFrame:
     """uid, gram, n, size of each gram of ``urls`` (uid, url); size: characters of the url."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "url"):
             if not batch.num_rows:
                 continue
             texts = _urls(batch.column(1))
