@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _EDGE = r"(?U)^\s+|\s+$"
+#: The characters that Unicode counts as white space.
+_BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def bound(value: Column, use) -> Column:
@@ -33,7 +35,8 @@ def trigrams(c: Column) -> Column:
     """Distinct three-character windows of the padded, normalised text; blank text has none."""
     s = F.concat(F.lit("  "), normalize(F.coalesce(c, F.lit(""))), F.lit("  "))
     grams = bound(s, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))
-    return F.array_distinct(F.filter(grams, lambda g: g.rlike(r"(?U)\S")))
+    # many grams are repeats, so the test for blank ones comes last, and trims rather than matches
+    return F.filter(F.array_distinct(grams), lambda g: F.btrim(g, F.lit(_BLANK)) != "")
 
 
 def jaccard_of(both: Column, a: Column, b: Column) -> Column:

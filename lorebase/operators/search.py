@@ -56,20 +56,28 @@ def tag_candidate(q: Column, ws: Column) -> Column:
 
 
 def lexical_scores(df: DataFrame, p: Probe, now: Column) -> DataFrame:
-    """Adds _fuzzy, _overlap, _exact, _tag and _text_score."""
+    """Adds _fuzzy, _overlap, _exact, _tag and _text_score; the score is null where nothing is relevant.
+
+    (A filter on these would be pushed below them, and compute them again.)
+    """
     df = df.withColumn("_fuzzy", jaccard(p.grams, F.col("trigrams")))
     df = df.withColumn("_overlap", share_contained(p.long_words, F.col("content_normalized")))
     df = df.withColumn("_exact", F.when(F.contains(F.col("content_normalized"), p.q), 0.5).otherwise(0.0))
     hit = F.exists(_low(F.col("tags")), lambda t: F.exists(p.long_words, lambda w: F.contains(t, w)))
     df = df.withColumn("_tag", F.when(hit, 0.3).otherwise(0.0))
     score = F.col("_exact") + 0.5 * F.col("_fuzzy") + 0.3 * F.col("_overlap") + F.col("_tag") + 0.2 * current_strength(now)
-    return df.withColumn("_text_score", score)
+    return df.withColumn("_text_score", F.when(relevant(), score))
 
 
 def relevant() -> Column:
     return (F.col("_fuzzy") > 0.05) | (F.col("_overlap") > 0) | (F.col("_exact") > 0) | (F.col("_tag") > 0)
 
 
+def best_by_text(scored: DataFrame, limit: int) -> DataFrame:
+    """The relevant rows among the first ``limit``."""
+    return scored.orderBy(F.desc_nulls_last("_text_score"), "id").limit(limit).where("_text_score is not null")
+
+
 def candidates(df: DataFrame, p: Probe, length: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """The memories that stage one may return, for a query of so many characters; for three and more, its own filter decides alone."""
     by_tag = tag_candidate(p.q, p.long_words)
@@ -89,8 +97,7 @@ def text_search(df: DataFrame, query: str | None, limit: int, now: Column, cfg:
     p = probe or Probe.literal(df.sparkSession, "" if blank else query)
     if blank:
         return lexical_scores(df.limit(0), p, now)
-    rows = lexical_scores(candidates(df, p, len(query.strip()), cfg), p, now).where(relevant())
-    return rows.orderBy(F.desc("_text_score"), "id").limit(limit)
+    return best_by_text(lexical_scores(candidates(df, p, len(query.strip()), cfg), p, now), limit)
 
 
 def fuzzy_score(p: Probe) -> Column:
@@ -144,41 +151,53 @@ def search(df: DataFrame, query: str | None, top_n: int, now: Column, tags: list
 
 
 def batch_search(df: DataFrame, queries: DataFrame, top_n: int, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """``search`` for every row of ``queries`` (query_id, query, query_vector), with a rank from 1.
+    """``search`` for every row of ``queries`` (query_id, query, query_vector), with a rank from 1; ids of ``df`` are unique.
 
     A memory and a query that share one gram are already scored, so each scan
     of the memories meets a broadcast batch of at most about QUERY_BATCH
-    queries, whose grams and words are computed once; only the best of each
-    task leave it.  Queries of fewer than three characters look at the shared
-    grams of all memories first, as ``candidates`` does.
+    queries, whose grams and words are computed once.  Only what stage one
+    needs of a memory takes part, with grams as hashes, and only the best of
+    each task leave it; the hits then get their other columns.  Queries of
+    fewer than three characters look at the shared grams of all memories
+    first, as ``candidates`` does.
     """
     queries = queries.withColumns(Probe.columns(normalize(F.col("query")))).where("_q <> ''")
     parts = -(-queries.count() // QUERY_BATCH)
-    if parts <= 1:
-        return _batch(df, queries, top_n, now, cfg)
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    out = _batch(df, queries.where(part == 0), top_n, now, cfg)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, parts)))
+    hits = _first_stage(df, queries.where(part == 0) if parts > 1 else queries, top_n, now, cfg)
     for i in range(1, parts):
-        out = out.unionByName(_batch(df, queries.where(part == i), top_n, now, cfg))
-    return out
-
-
-def _batch(df: DataFrame, queries: DataFrame, top_n: int, now: Column, cfg: EngineConfig) -> DataFrame:
-    p, by = Probe.of_columns(), Window.partitionBy("query_id")
-    rows = df.crossJoin(F.broadcast(queries))
-    by_tag, inside = tag_candidate(p.q, p.long_words), F.contains(F.col("content_normalized"), p.q)
+        hits = hits.unionByName(_first_stage(df, queries.where(part == i), top_n, now, cfg))
+    rows = df.join(hits, "id").join(queries, "query_id").where(is_current())
+    rows = final_scores(rows, Probe.of_columns(), now, F.col("query_vector"), cfg)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= top_n)
+
+
+def _first_stage(df: DataFrame, queries: DataFrame, top_n: int, now: Column, cfg: EngineConfig) -> DataFrame:
+    """query_id, id of the best candidates by text of each query."""
+    codes = lambda grams: F.transform(grams, lambda g: F.xxhash64(g))
+    lean = df.select("id", F.col("content_normalized").alias("text"), codes(F.col("trigrams")).alias("codes"), _low(F.col("tags")).alias("low"), F.array_join(_low(F.col("tags")), " ").alias("names"), current_strength(now).alias("strength"))
+    asked = queries.select("query_id", "query", "_q", "_long", codes(F.col("_grams")).alias("_codes"))
+    rows = lean.crossJoin(F.broadcast(asked))
+    ws, inside = F.col("_long"), F.contains(F.col("text"), F.col("_q"))
+    by_tag = F.exists("low", lambda t: F.contains(F.col("_q"), t) | F.contains(t, F.col("_q")) | F.exists(ws, lambda w: F.contains(t, w) | F.contains(w, t)))
     if cfg.candidate_mode == "substring_or_tag":
         rows = rows.where(inside | by_tag)
     else:
         short = F.length(F.trim("query")) < 3
-        shared = F.arrays_overlap(F.col("trigrams"), p.grams)
-        found = df.select("trigrams").crossJoin(F.broadcast(queries.where(short))).where(shared).select("query_id").distinct()
+        shared = F.arrays_overlap("codes", "_codes")
+        found = lean.select("codes").crossJoin(F.broadcast(asked.where(short))).where(shared).select("query_id").distinct()
         rows = rows.join(F.broadcast(found.withColumn("_any", F.lit(True))), "query_id", "left")  # of the same bounded batch
-        rows = rows.where(~short | shared | (F.col("_any").isNull() & inside) | by_tag).drop("_any")
-    rows = lexical_scores(rows, p, now).where(relevant())
-    rows = rows.withColumn("_r", F.row_number().over(by.orderBy(F.desc("_text_score"), "id"))).where(F.col("_r") <= cfg.over_fetch * top_n)
-    rows = final_scores(rows.where(is_current()), p, now, F.col("query_vector"), cfg)
-    return rows.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "id"))).where(F.col("rank") <= top_n)
+        rows = rows.where(~short | shared | (F.col("_any").isNull() & inside) | by_tag)
+    fuzzy = jaccard(F.col("_codes"), F.col("codes"))
+    overlap = share_contained(ws, F.col("text"))
+    exact = F.when(inside, 0.5).otherwise(0.0)
+    tag = F.when(F.exists(ws, lambda w: F.contains(F.col("names"), w)), 0.3).otherwise(0.0)  # words hold no spaces
+    # null where nothing is relevant, as in ``lexical_scores``
+    score = F.when((fuzzy > 0.05) | (overlap > 0) | (exact > 0) | (tag > 0), exact + 0.5 * fuzzy + 0.3 * overlap + tag + 0.2 * F.col("strength"))
+    rows = rows.select("query_id", "id", score.alias("_text_score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("_text_score"), "id")
+    rows = rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= cfg.over_fetch * top_n)
+    return rows.where("_text_score is not null").select("query_id", "id", "_text_score")
 
 
 def by_tags(df: DataFrame, tags: list[str], limit: int, now: Column) -> DataFrame:

@@ -6,6 +6,9 @@ least ``1 + slack`` are equal; k belongs to a level, a range of set sizes, and a
 set whose partner may be of the next level takes part in both.  Parts are far
 more selective than single elements: common elements alone bring no two sets
 together.  Each set leaves out its most frequent parts, as many as it can spare.
+A set's elements also set bits of a sketch; bits that only one of two sets has
+bound their difference from below, so most pairs that meet by chance go before
+any set is moved.
 
 Built-in functions and equi-joins only; the one range join is with the table of
 levels, of which there are at most MAX_LEVELS.
@@ -23,6 +26,8 @@ from ..plans.scratch import written
 #: Below this threshold sets may differ in so much that parts select too little.
 LEAST_THRESHOLD = 0.65
 MAX_LEVELS = 64
+#: Longs of a sketch.
+SKETCH = 8
 
 
 def levels(threshold: float) -> list[tuple[int, int, int, int, int]]:
@@ -67,9 +72,15 @@ def similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
     often = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     common = Window.partitionBy("id", "level").orderBy(F.desc("c"), "key")
     keys = keys.join(often, "key").withColumn("r", F.row_number().over(common)).where("r > spare").select("id", "n", "key")
-    keys = written(keys)
+    # bit: one of 64 * SKETCH by hash
+    word, bit = F.pmod("h", F.lit(SKETCH)), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 8), 64) as int))")
+    bits = rows.select("id", F.explode("items").alias("item")).select("id", F.xxhash64("item").alias("h"))
+    bits = bits.groupBy("id").agg(*(F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)))
+    keys = written(keys.join(bits, "id"))
     a, b = keys.alias("a"), keys.alias("b")
     reach = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
+    apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(SKETCH)), F.lit(0))
+    reach = reach & (apart <= F.floor((F.col("a.n") + F.col("b.n")) * ratio + 1e-9))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & reach).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     side = lambda c: rows.select(F.col("id").alias(c), F.col("items").alias(f"_{c}"), F.col("n").alias(f"_n{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("_a", "_b")))

@@ -27,7 +27,11 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def memories(spark: SparkSession, sf_dir: str, accessed: bool = True) -> DataFrame:
     """All documents as memories; without ``accessed``, as before the access log."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    d = table(spark, sf_dir, "documents")
+    files, cores = len(d.inputFiles()), spark.sparkContext.defaultParallelism
+    d = d.select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    if files < cores:  # a small table in few files would be one task's work
+        d = d.repartition(cores, "id")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     m = d.join(labels, "id", "left").join(vectors, "id", "left")

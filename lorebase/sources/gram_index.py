@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.text import jaccard_of, normalize
-from ..operators.search import Probe, lexical_scores, relevant
+from ..operators.search import Probe, best_by_text, lexical_scores
 
 
 class GramIndex:
@@ -47,5 +47,4 @@ class GramIndex:
         p = Probe.literal(df.sparkSession, query)
         hit = F.exists(F.transform("tags", F.lower), lambda t: F.exists(p.long_words, lambda w: F.contains(t, w)))
         ids = self.probe(query).select("id").unionByName(df.where(hit).select("id")).distinct()
-        rows = lexical_scores(df.join(ids, "id", "left_semi"), p, now).where(relevant())
-        return rows.orderBy(F.desc("_text_score"), "id").limit(limit)
+        return best_by_text(lexical_scores(df.join(ids, "id", "left_semi"), p, now), limit)
