@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts go through Python in pieces of about so many bytes.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 #: Makes Spark delete an execution's shuffle files at its end, and not when the driver collects garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
