@@ -25,14 +25,24 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold; the model learns from the labels that op9 learns from."""
+    """Documents below the toxicity threshold; the model learns from the labels that op9 learns from.
+
+    Null and empty texts are scored as texts without words, and stay.  Repeated
+    rows are scored alike and all stay or all go.  Without labels of both kinds
+    the score is the share of toxic labels.
+    """
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), toxicity.not_held_out())
     kept = toxicity.score(docs.select(COLUMNS), model, tuple(COLUMNS[1:])).where(F.col("score") < toxicity.THRESHOLD)
     return kept.select(COLUMNS)
 
 
 def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many sites carry."""
+    """All documents, without the lines that many sites carry.
+
+    Null text stays null and empty text empty; a null source is no site; a
+    document of which nothing would be left, and a copy of a page, stay whole.
+    Repeated rows all stay.
+    """
     rows = line_dedup.remove_spread_lines(docs.select(COLUMNS))
     return _documents(rows.withColumn("text", F.col("kept_text")))
 
@@ -54,12 +64,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources by weight: documents once for each round that takes of them."""
+    """The mix of sources by weight: documents once for each round that takes of them.
+
+    Rows without words take no part in a mix of words; a null source is a
+    source of its own, last in order.  Rows equal in doc_id, source and text are
+    one stretch of the line each, and interchangeable.
+    """
     return _documents(mixing.mixed_documents(docs.select(COLUMNS)))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the ids of every document."""
+    """doc_id, lang, source, n_tokens and the ids of every document.
+
+    Null text has null ids and a null n_tokens, empty text none; repeated rows each get a result.
+    """
     rows = sentencepiece.encode(docs.select(COLUMNS), sentencepiece.read_model())
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
