@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, line_dedup, mixing, ngram_join, quality_gam, quality_rules, sentencepiece, suffix_dedup, toxicity, url_filter
+from . import embed_dedup, line_dedup, mixing, ngram_join, prefix_trie, quality_gam, quality_rules, sentencepiece, suffix_dedup, toxicity, url_filter
 from .common import read
 
 
@@ -48,7 +48,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_quality_gam, op4_embed_dedup, op5_url_filter, op6_ngram_join, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_quality_rules)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op13_report(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_quality_gam, op4_embed_dedup, op5_url_filter, op6_ngram_join, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_quality_rules, op13_prefix_trie)}
 SQL = {
     "op1_mixing": mixing.ORACLE,
     "op4_embed_dedup": embed_dedup.ORACLE,
@@ -56,4 +60,5 @@ SQL = {
     "op7_suffix_dedup": suffix_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
