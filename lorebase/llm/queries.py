@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, line_dedup, mixing, ngram_join, prefix_trie, quality_gam, quality_rules, sentencepiece, suffix_dedup, toxicity, url_filter
+from . import embed_dedup, line_dedup, merkle, mixing, ngram_join, prefix_trie, quality_gam, quality_rules, sentencepiece, suffix_dedup, toxicity, url_filter
 from .common import read
 
 
@@ -48,11 +48,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op11_report(read(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.op13_report(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_quality_gam, op4_embed_dedup, op5_url_filter, op6_ngram_join, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_quality_rules, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_quality_gam, op4_embed_dedup, op5_url_filter, op6_ngram_join, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_quality_rules, op11_merkle, op13_prefix_trie)}
 SQL = {
     "op1_mixing": mixing.ORACLE,
     "op4_embed_dedup": embed_dedup.ORACLE,
@@ -60,5 +64,6 @@ SQL = {
     "op7_suffix_dedup": suffix_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_merkle": merkle.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
 }
