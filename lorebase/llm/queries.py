@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, line_dedup, merkle, mixing, ngram_join, prefix_trie, quality_gam, quality_rules, sentencepiece, suffix_dedup, toxicity, url_filter
+from . import bpe, embed_dedup, line_dedup, merkle, mixing, ngram_join, prefix_trie, quality_gam, quality_rules, sentencepiece, suffix_dedup, toxicity, url_filter
 from .common import read
 
 
@@ -52,11 +52,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op11_report(read(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op12_report(read(spark, sf_dir, "documents"), bpe.read_model())
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.op13_report(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_quality_gam, op4_embed_dedup, op5_url_filter, op6_ngram_join, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_quality_rules, op11_merkle, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_quality_gam, op4_embed_dedup, op5_url_filter, op6_ngram_join, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_quality_rules, op11_merkle, op12_bpe, op13_prefix_trie)}
 SQL = {
     "op1_mixing": mixing.ORACLE,
     "op4_embed_dedup": embed_dedup.ORACLE,
