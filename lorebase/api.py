@@ -14,7 +14,6 @@ from .functions.strength import current_strength
 from .functions.text import strip
 from .operators import conflict
 from .operators.embed import NullEmbedder, select_embedder
-from .operators.search import search
 from .plans.scratch import written
 from .schema import ACCESS, MEMORY
 from .sources.store import MemoryStore, clamped, derived
@@ -31,7 +30,7 @@ class Engine:
         return self.embedder.embed(F.lit(text)) if self.embedder.available else None
 
     def search(self, query: str, now: datetime, top_n: int = 5, tags: list[str] | None = None, reinforce: bool = True) -> list:
-        hits = search(self.store_.scan(), query, top_n, F.lit(now), tags, self._vector(query), self.cfg)
+        hits = self.store_.search(query, top_n, F.lit(now), tags, self._vector(query))
         return self.store_.search_and_reinforce(hits, now) if reinforce else hits.collect()
 
     def store(self, rows: DataFrame, now: datetime) -> DataFrame:

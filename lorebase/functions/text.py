@@ -39,6 +39,13 @@ def trigrams(c: Column) -> Column:
     return F.filter(F.array_distinct(grams), lambda g: F.btrim(g, F.lit(_BLANK)) != "")
 
 
+def inner_trigrams(c: Column) -> Column:
+    """The trigrams without padding: a text that contains ``c`` has them all. None for fewer than three characters."""
+    n = F.length(c)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
+    return F.when(n < 3, F.array().cast("array<string>")).otherwise(F.filter(F.array_distinct(grams), lambda g: F.btrim(g, F.lit(_BLANK)) != ""))
+
+
 def jaccard_of(both: Column, a: Column, b: Column) -> Column:
     """Jaccard similarity by the size of the intersection and of both sets, in single precision; 0 if one is empty."""
     share = (both.cast("double") / (a + b - both)).cast("float").cast("double")

@@ -15,10 +15,7 @@ from ..config import DEFAULT, EngineConfig
 from ..functions.strength import current_strength, is_current, recency_score, strength_score
 from ..functions.text import jaccard, normalize, share_contained, trigrams, words
 from ..functions.vector import normalized_cosine
-
-#: Queries that are broadcast together; more are taken in turns.
-QUERY_BATCH = 1024
-
+from ..plans.scratch import written
 
 @dataclass(frozen=True)
 class Probe:
@@ -50,9 +47,9 @@ def _low(tags: Column) -> Column:
     return F.transform(tags, F.lower)
 
 
-def tag_candidate(q: Column, ws: Column) -> Column:
+def candidate_by_tag(p: Probe) -> Column:
     """A tag and the query contain one another, or a tag and a word do."""
-    return F.exists(_low(F.col("tags")), lambda t: F.contains(q, t) | F.contains(t, q) | F.exists(ws, lambda w: F.contains(t, w) | F.contains(w, t)))
+    return F.exists(_low(F.col("tags")), lambda t: F.contains(p.q, t) | F.contains(t, p.q) | F.exists(p.long_words, lambda w: F.contains(t, w) | F.contains(w, t)))
 
 
 def lexical_scores(df: DataFrame, p: Probe, now: Column) -> DataFrame:
@@ -80,7 +77,7 @@ def best_by_text(scored: DataFrame, limit: int) -> DataFrame:
 
 def candidates(df: DataFrame, p: Probe, length: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """The memories that stage one may return, for a query of so many characters; for three and more, its own filter decides alone."""
-    by_tag = tag_candidate(p.q, p.long_words)
+    by_tag = candidate_by_tag(p)
     inside = F.contains(F.col("content_normalized"), p.q)
     if cfg.candidate_mode == "substring_or_tag":
         return df.where(inside | by_tag)
@@ -141,63 +138,44 @@ def has_tag(tags: list[str]) -> Column:
 
 
 def search(df: DataFrame, query: str | None, top_n: int, now: Column, tags: list[str] | None = None, vector: Column | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """The best ``top_n`` current memories, best first. Reads only: see ``store.search_and_reinforce``."""
+    """The best ``top_n`` current memories, best first, by a scan. Reads only: see ``store.search_and_reinforce``; ``store.search`` uses the index."""
     p = Probe.literal(df.sparkSession, query or "")
-    rows = text_search(df, query, cfg.over_fetch * top_n, now, cfg, p)
+    return second_stage(text_search(df, query, cfg.over_fetch * top_n, now, cfg, p), p, top_n, now, tags, vector, cfg)
+
+
+def second_stage(rows: DataFrame, p: Probe, top_n: int, now: Column, tags: list[str] | None = None, vector: Column | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """The best ``top_n`` of the candidates."""
     if tags:
         rows = rows.where(has_tag(tags))
     rows = final_scores(rows.where(is_current()), p, now, vector, cfg)
     return rows.orderBy(F.desc("score"), "id").limit(top_n)
 
 
-def batch_search(df: DataFrame, queries: DataFrame, top_n: int, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """``search`` for every row of ``queries`` (query_id, query, query_vector), with a rank from 1; ids of ``df`` are unique.
+def best_of_each(rows: DataFrame, score: str, limit: int) -> DataFrame:
+    """The best ``limit`` rows of each query_id, ties to the lower id; only the best of each task leave it."""
+    best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(score), "id")
+    return rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limit).drop("_r")
 
-    A memory and a query that share one gram are already scored, so each scan
-    of the memories meets a broadcast batch of at most about QUERY_BATCH
-    queries, whose grams and words are computed once.  Only what stage one
-    needs of a memory takes part, with grams as hashes, and only the best of
-    each task leave it; the hits then get their other columns.  Queries of
-    fewer than three characters look at the shared grams of all memories
-    first, as ``candidates`` does.
-    """
-    queries = queries.withColumns(Probe.columns(normalize(F.col("query")))).where("_q <> ''")
-    parts = -(-queries.count() // QUERY_BATCH)
-    part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, parts)))
-    hits = _first_stage(df, queries.where(part == 0) if parts > 1 else queries, top_n, now, cfg)
-    for i in range(1, parts):
-        hits = hits.unionByName(_first_stage(df, queries.where(part == i), top_n, now, cfg))
-    rows = df.join(hits, "id").join(queries, "query_id").where(is_current())
-    rows = final_scores(rows, Probe.of_columns(), now, F.col("query_vector"), cfg)
+
+def ranked_hits(rows: DataFrame, top_n: int, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Stage two for rows that are memories with the columns of their query: the best ``top_n`` current ones of each query, with a rank from 1."""
+    rows = final_scores(rows.where(is_current()), Probe.of_columns(), now, F.col("query_vector"), cfg)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= top_n)
 
 
-def _first_stage(df: DataFrame, queries: DataFrame, top_n: int, now: Column, cfg: EngineConfig) -> DataFrame:
-    """query_id, id of the best candidates by text of each query."""
-    codes = lambda grams: F.transform(grams, lambda g: F.xxhash64(g))
-    lean = df.select("id", F.col("content_normalized").alias("text"), codes(F.col("trigrams")).alias("codes"), _low(F.col("tags")).alias("low"), F.array_join(_low(F.col("tags")), " ").alias("names"), current_strength(now).alias("strength"))
-    asked = queries.select("query_id", "query", "_q", "_long", codes(F.col("_grams")).alias("_codes"))
-    rows = lean.crossJoin(F.broadcast(asked))
-    ws, inside = F.col("_long"), F.contains(F.col("text"), F.col("_q"))
-    by_tag = F.exists("low", lambda t: F.contains(F.col("_q"), t) | F.contains(t, F.col("_q")) | F.exists(ws, lambda w: F.contains(t, w) | F.contains(w, t)))
-    if cfg.candidate_mode == "substring_or_tag":
-        rows = rows.where(inside | by_tag)
-    else:
-        short = F.length(F.trim("query")) < 3
-        shared = F.arrays_overlap("codes", "_codes")
-        found = lean.select("codes").crossJoin(F.broadcast(asked.where(short))).where(shared).select("query_id").distinct()
-        rows = rows.join(F.broadcast(found.withColumn("_any", F.lit(True))), "query_id", "left")  # of the same bounded batch
-        rows = rows.where(~short | shared | (F.col("_any").isNull() & inside) | by_tag)
-    fuzzy = jaccard(F.col("_codes"), F.col("codes"))
-    overlap = share_contained(ws, F.col("text"))
-    exact = F.when(inside, 0.5).otherwise(0.0)
-    tag = F.when(F.exists(ws, lambda w: F.contains(F.col("names"), w)), 0.3).otherwise(0.0)  # words hold no spaces
-    # null where nothing is relevant, as in ``lexical_scores``
-    score = F.when((fuzzy > 0.05) | (overlap > 0) | (exact > 0) | (tag > 0), exact + 0.5 * fuzzy + 0.3 * overlap + tag + 0.2 * F.col("strength"))
-    rows = rows.select("query_id", "id", score.alias("_text_score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("_text_score"), "id")
-    rows = rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= cfg.over_fetch * top_n)
-    return rows.where("_text_score is not null").select("query_id", "id", "_text_score")
+def batch_search(df: DataFrame, queries: DataFrame, top_n: int, now: Column, cfg: EngineConfig = DEFAULT, index=None) -> DataFrame:
+    """``search`` for every row of ``queries`` (query_id, query, query_vector), with a rank from 1; ids of ``df`` are unique.
+
+    ``index`` holds the postings of ``df`` (see ``topk``); without one they are
+    written for this search.  Work follows the postings that can matter, and is
+    not memories times queries.
+    """
+    from .topk import LEAN, best_by_postings, day_of, postings
+
+    queries = written(queries.withColumns(Probe.columns(normalize(F.col("query")))).where("_q <> ''"))
+    lean = written(df.select(LEAN))  # scored more than once
+    hits = best_by_postings(index or postings(lean, day_of(now)), lambda found: lean.join(found, "id"), queries, cfg.over_fetch * top_n, now, cfg)
+    return ranked_hits(df.join(hits, "id").join(queries, "query_id"), top_n, now, cfg)
 
 
 def by_tags(df: DataFrame, tags: list[str], limit: int, now: Column) -> DataFrame:

@@ -21,6 +21,7 @@ import threading
 import time
 import uuid
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ from ..config import DEFAULT, EngineConfig
 from ..functions.strength import current_strength, reinforced
 from ..functions.text import searchable, trigrams, without_orphans
 from ..operators import maintain
-from ..plans.scratch import written
+from ..operators.search import Probe, second_stage
+from ..plans.scratch import folder, written
 from ..schema import ACCESS, MEMORY
 from .gram_index import GramIndex
 
@@ -89,6 +91,10 @@ GRACE = 3600
 _NUMBERED = re.compile(r"manifest-(\d{12})\.json")
 
 
+#: Up to so many ids are looked up by a filter.
+LOOKUP = 256
+
+
 class Conflict(Exception):
     """Another writer committed first."""
 
@@ -190,10 +196,11 @@ class MemoryStore:
         before = (time.time() - (self.grace if grace is None else grace)) * 1000
         with self._lock:
             m, gone = self._manifest(), 0
+            live = {*m["commits"], *(f"index-{c}" for c in m["commits"])}
             for f in self._fs.listStatus(self._at):
                 name = f.getPath().getName()
                 number = _NUMBERED.fullmatch(name)
-                old = int(number[1]) < m["version"] if number else name not in (*m["commits"], f"index-{m['version']:012d}")
+                old = int(number[1]) < m["version"] if number else name not in live
                 if old and f.getModificationTime() <= before:
                     gone += bool(self._fs.delete(f.getPath(), True))
             return gone
@@ -201,8 +208,12 @@ class MemoryStore:
     def _view(self, m: dict) -> DataFrame:
         if not m["commits"]:
             return self.spark.createDataFrame([], MEMORY)
+        return latest(self._commits(m["commits"]))
+
+    def _commits(self, names: list[str]) -> DataFrame:
+        """All rows of commits, with version and op."""
         schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in MEMORY)}, version int, op string"
-        return latest(self.spark.read.schema(schema).parquet(*[f"{self.path}/{c}" for c in m["commits"]]))
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{c}" for c in names])
 
     def scan(self) -> DataFrame:
         """All memories, archived ones too."""
@@ -257,14 +268,42 @@ class MemoryStore:
         return rows
 
     def index(self) -> GramIndex:
-        """The inverted index of the current state; written once for each version."""
-        m = self._manifest()
-        at = self._child(f"index-{m['version']:012d}")
-        if not self._fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")):
-            part = f"{self.path}/index-new-{uuid.uuid4().hex}"
-            GramIndex.write(self._view(m), part)
-            self._fs.rename(self._child(part.rsplit("/", 1)[1]), at)
-        return GramIndex(self.spark, f"{self.path}/{at.getName()}")
+        """The inverted index of the current state; each commit's part is written once, when it is first asked for."""
+        m, paths, later = self._manifest(), [], []
+        for k, name in enumerate(m["commits"]):
+            rows = self._commits([name])
+            if k:
+                later.append(rows.select("id", F.lit(len(paths)).alias("k")))
+            at = self._child(f"index-{name}")
+            if not self._fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, "classes/_SUCCESS")):
+                new = f"index-new-{uuid.uuid4().hex}"
+                GramIndex.write(rows.where("op <> 'D'"), f"{self.path}/{new}")
+                if not self._fs.rename(self._child(new), at):  # another reader was first
+                    self._fs.delete(self._child(new), True)
+            paths.append(f"{self.path}/index-{name}")
+        if not paths:
+            paths = [folder(self.spark, "index")]
+            GramIndex.write(self._view(m), paths[0])
+        return GramIndex(self.spark, paths, reduce(DataFrame.unionAll, later).groupBy("id").agg(F.max("k").alias("k")) if later else None)
+
+    def fetch(self, found: DataFrame) -> DataFrame:
+        """``found`` (id, ...) with the memories' columns.
+
+        A few ids are a filter that reaches the files, and only the versions of
+        the ids asked for are compared.
+        """
+        commits = self._manifest()["commits"]
+        if not commits:
+            return self.scan().join(found, "id")
+        log = self._commits(commits)
+        few = [r.id for r in found.select("id").distinct().limit(LOOKUP + 1).collect()]
+        log = log.where(F.col("id").isin(few)) if len(few) <= LOOKUP else log.join(found.select("id").distinct(), "id", "left_semi")
+        return latest(log).join(found, "id")
+
+    def search(self, query: str | None, top_n: int, now: Column, tags: list[str] | None = None, vector: Column | None = None) -> DataFrame:
+        """``search.search`` over the current state, by the index."""
+        hits = written(self.index().best(self.fetch, query, self.cfg.over_fetch * top_n, now, self.cfg))
+        return second_stage(self.fetch(hits), Probe.literal(self.spark, query or ""), top_n, now, tags, vector, self.cfg)
 
     def stats(self, now: Column) -> DataFrame:
         return stats(self.scan(), now, self.cfg)

@@ -1,5 +1,7 @@
 """The store, search and maintenance, after the expectations in FIXTURES.md."""
 
+import glob
+import hashlib
 import math
 import random
 import threading
@@ -7,6 +9,7 @@ import time
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,22 +379,84 @@ def test_index_follows_the_state(spark, tmp_path):
     store = MemoryStore(spark, str(tmp_path / "s"))
     store.save_python(one(spark, "a", "Python Programming", tags=["code"]) + one(spark, "b", "Cooking", tags=["python"]))
     first = store.index()
-    assert {r.id for r in first.probe("python").collect()} == {"a", "b"} and store.index().path == first.path
+    assert {r.id for r in first.probe("python").collect()} == {"a", "b"} and store.index().paths == first.paths
     got = first.text_search(store.scan(), "python prog", 5, F.lit(NOW)).collect()
     want = text_search(store.scan(), "python prog", 5, F.lit(NOW)).collect()
     assert [(r.id, r._text_score) for r in got] == [(r.id, r._text_score) for r in want] != []
     store.delete(["a"])
     assert {r.id for r in store.index().probe("python").collect()} == {"b"}
-    with pytest.raises(ValueError):
-        first.text_search(store.scan(), "py", 5, F.lit(NOW))
+    for query in ("py", "o", "", "cook python"):
+        got = store.index().text_search(store.scan(), query, 5, F.lit(NOW)).collect()
+        assert [(r.id, r._text_score) for r in got] == [(r.id, r._text_score) for r in text_search(store.scan(), query, 5, F.lit(NOW)).collect()], query
+
+
+def many(spark, n, text_of):
+    """Memories with what stage one reads, their texts by an expression over id."""
+    rows = spark.range(n).select("id", text_of.alias("content_normalized"), F.array(F.concat(F.lit("tag"), F.col("id") % 7)).alias("tags"), F.lit(NOW).alias("last_accessed_at"))
+    rows = rows.withColumns({"trigrams": text.trigrams(F.col("content_normalized")), "title": F.col("content_normalized"), "importance": F.lit(0.5), "decay_rate": F.lit(0.1), "is_pinned": F.col("id") % 50 == 0})
+    return rows.withColumn("base_strength", 1 + (F.col("id") % 13) / 10).withColumn("is_archived", F.lit(False)).withColumn("valid_until", F.lit(None).cast("timestamp"))
 
 
 def test_index_reads_little(spark, tmp_path):
-    rows = spark.range(5000).select("id", text.trigrams(F.concat(F.lit("memory "), F.col("id").cast("string"))).alias("trigrams"))
-    index = GramIndex.write(rows, str(tmp_path / "i"))
-    plan = index.probe("4711")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [In(gram" in plan
-    assert index.probe("memory 4711").where("fuzzy = 1").first().id == 4711
+    """Equal to the scan; few row groups of the postings can hold the query's grams, and few memories are fetched."""
+    rows = many(spark, 4000, F.concat(F.lit("m "), F.md5(F.col("id").cast("string")), F.lit(" tag"), F.col("id") % 7)).cache()
+    spark.conf.set("parquet.block.size", 1 << 16)
+    try:
+        index = GramIndex.write(rows, str(tmp_path / "i"))
+    finally:
+        spark.conf.unset("parquet.block.size")
+    query = hashlib.md5(b"4711").hexdigest()[:9] + " " + hashlib.md5(b"17").hexdigest()
+    fetched = []
+
+    def fetch(found):
+        fetched.append(found.select("id").distinct().count())
+        return rows.join(found, "id")
+
+    got = index.best(fetch, query, 5, F.lit(NOW)).orderBy(F.desc("_text_score"), "id").collect()
+    want = text_search(rows, query, 5, F.lit(NOW)).collect()
+    assert [(r.id, r._text_score) for r in got] == [(r.id, r._text_score) for r in want] and want[0].id == 17
+    assert sum(fetched) < 1000
+    grams, groups, read = set(index._query(query)[1]), 0, 0
+    for f in glob.glob(str(tmp_path / "i" / "grams" / "*.parquet")):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            st = meta.row_group(g).column(0).statistics
+            groups, read = groups + 1, read + any(st.min <= x <= st.max for x in grams)
+    assert groups > 20 and read < groups / 2
+    assert index.probe(query).orderBy(F.desc("fuzzy")).first().id == 17
+
+
+def test_index_parts(spark, tmp_path):
+    """Each commit brings its part; what later commits replace does not count, and compaction leaves one part."""
+    store = MemoryStore(spark, str(tmp_path / "s"))
+    store.save_python(one(spark, "a", "Red harbour", tags=["boats"]) + one(spark, "b", "Blue harbour") + one(spark, "c", "Green mill"))
+    parts = len(store.index().paths)
+    store.save_python(one(spark, "b", "Yellow mill"))
+    store.reinforce(spark.createDataFrame([("c", NOW)], "id string, at timestamp"))
+    store.delete(["a"])
+    assert parts == 1 and len(store.index().paths) == 4
+    for query in ("harbour", "mill", "boats", "yellow mill", "mi"):
+        scan = search(store.scan(), query, 3, F.lit(NOW)).collect()
+        assert [(r.id, r.score) for r in store.search(query, 3, F.lit(NOW)).collect()] == [(r.id, r.score) for r in scan], query
+    store.compact()
+    assert len(store.index().paths) == 1 and store.search("mill", 3, F.lit(NOW)).count() == 2
+
+
+@pytest.mark.parametrize("mode", ["trigram", "substring_or_tag"])
+def test_batch_search_is_the_scan(spark, mode):
+    """Many queries of many kinds over postings, against one scan each."""
+    cfg = EngineConfig(candidate_mode=mode)
+    names = F.array(*[F.lit(w) for w in ("harbour", "mill", "stone", "river", "a", "ox", "lantern")])
+    word = lambda k: F.get(names, (F.col("id") * k % 7).cast("int"))
+    rows = many(spark, 400, F.concat_ws(" ", word(3), word(5), F.concat(F.lit("n"), F.col("id")), word(11))).withColumn("embedding", F.lit(None).cast("array<float>")).cache()
+    asked = ["harbour mill", "ston", "tag3 river", "ox", "q", "lantern lantern tag", "n3 n33 n333", "", "\t\t\tx"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string").withColumn("query_vector", F.lit(None).cast("array<float>"))
+    got: dict = {}
+    for r in batch_search(rows, queries, 4, F.lit(NOW + timedelta(days=9)), cfg).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, round(r.score, 12)))
+    for k, query in enumerate(asked):
+        want = [(r.id, round(r.score, 12)) for r in search(rows, query, 4, F.lit(NOW + timedelta(days=9)), cfg=cfg).collect()]
+        assert got.get(k, []) == want, query
 
 
 def test_streams(spark, tmp_path):
