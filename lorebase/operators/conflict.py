@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.strength import current_strength, is_current, reinforced
+from ..plans.scratch import written
 from .search import batch_search, has_tag
 
 HITS = 10
@@ -88,3 +89,41 @@ def tag_history(df: DataFrame, tag: str, now: Column, include_archived: bool = T
     status = F.when(is_current(), "CURRENT").otherwise("Superseded")
     validity = F.concat(day("valid_from"), F.lit(" to "), F.coalesce(day("valid_until"), F.lit("present")))
     return rows.orderBy(F.desc("valid_from"), "id").select("id", "title", status.alias("status"), validity.alias("validity"), "superseded_by", current_strength(now).alias("strength"))
+
+
+def supersede_chains(df: DataFrame, with_path: bool = False) -> DataFrame:
+    """id, head, depth, cyclic (and path) of all memories (id, superseded_by): where the chain of supersessions from each one ends.
+
+    A memory that nothing supersedes is its own head, at depth 0; a pointer to
+    no memory counts as none.  Memories on a cycle, or with one ahead, have no
+    head and no depth.  ``path`` has the ids from the memory to its head, and so
+    grows with the chain; it is null with the head.
+
+    Each round doubles how far pointers reach, so a chain of length n takes
+    log n joins, and only memories that are not at a head yet take part.  A
+    round in which none arrives leaves nothing but cycles.
+    """
+    ids = df.select(F.col("id").alias("superseded_by"))
+    known = df.select("id", "superseded_by").join(ids, "superseded_by", "left_semi").withColumn("_old", F.lit(True))
+    at = df.select("id").join(known, "id", "left").select("id", F.coalesce("superseded_by", "id").alias("to"), F.when(F.col("_old"), 1).otherwise(0).cast("long").alias("depth"), F.col("_old").isNull().alias("head"))
+    at = at.withColumn("path", F.when(F.col("head"), F.array("id")).otherwise(F.array("id", "to"))) if with_path else at
+    at = written(at)
+    ends = at.where("head").select(F.col("id").alias("to"), F.lit(True).alias("_end"))
+    at = written(at.join(ends, "to", "left").withColumn("head", F.coalesce("_end", F.lit(False))).drop("_end"))
+    settled, going = at.where("head"), at.where("not head")
+    left = going.count()
+    while left:
+        ahead = at.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("depth").alias("_depth"), F.col("head").alias("_head"), *([F.col("path").alias("_path")] if with_path else []))
+        path = [F.concat("path", F.slice("_path", F.lit(2), F.size("_path"))).alias("path")] if with_path else []
+        going = written(going.join(ahead, "to").select("id", F.col("_to").alias("to"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_head").alias("head"), *path))
+        arrived = going.where("head")
+        still = going.where("not head")
+        n = still.count()
+        settled = settled.unionByName(arrived)
+        at, going = settled.unionByName(still), still
+        if n == left:
+            break
+        left = n
+    none = F.when(F.col("head"), F.col("to"))
+    extra = [F.when(F.col("head"), F.col("path")).alias("path")] if with_path else []
+    return at.select("id", none.alias("head_id"), F.when(F.col("head"), F.col("depth")).alias("depth"), (~F.col("head")).alias("cyclic"), *extra).withColumnRenamed("head_id", "head")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
@@ -41,8 +41,7 @@ def similar_pairs(df: DataFrame, threshold: float, cfg: EngineConfig = DEFAULT,
     (see ``_rare_pairs``), among the rows with vectors only.
     """
     wc, wj = cfg.pair_weights
-    rows = df.select("id", trigrams(F.col("content_normalized")).alias("grams"), "embedding").withColumn("n", F.size("grams")).where("n > 0")
-    rows = written(rows.withColumn("class", F.sha2(F.concat_ws("\u0001", F.array_sort("grams")), 256)))
+    rows = _classed(df)
     if not use_vectors:
         return _class_pairs(rows, threshold).where(F.col("similarity") >= threshold)
     known = F.col("embedding").isNotNull()
@@ -58,13 +57,25 @@ def similar_pairs(df: DataFrame, threshold: float, cfg: EngineConfig = DEFAULT,
     return mixed.unionByName(alone.where("not (_ka and _kb)").select("a", "b", "similarity")).where(F.col("similarity") >= threshold)
 
 
+def _classed(df: DataFrame) -> DataFrame:
+    """id, grams, embedding, n, class of the rows with trigrams; equal trigrams are one class."""
+    rows = df.select("id", trigrams(F.col("content_normalized")).alias("grams"), "embedding").withColumn("n", F.size("grams")).where("n > 0")
+    return written(rows.withColumn("class", F.sha2(F.concat_ws("\u0001", F.array_sort("grams")), 256)))
+
+
+def _linked_classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs) of rows (id, grams, n, class): class, id (the least), items, n, members; and a < b (least ids of classes) with the similarity that reaches a Jaccard threshold."""
+    classes = written(rows.groupBy("class").agg(F.min("id").alias("id"), F.min_by("grams", "id").alias("items"), F.min("n").alias("n"), F.count("*").alias("members")))
+    near = similar_sets(classes.select("id", "items", "n"), threshold)
+    size = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"_n{c}"))
+    return classes, near.join(size("a"), "a").join(size("b"), "b").select("a", "b", jaccard_of(F.col("both"), F.col("_na"), F.col("_nb")).alias("similarity"))
+
+
 def _class_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of rows (id, grams, n, class) that reach a Jaccard threshold."""
-    classes = written(rows.groupBy("class").agg(F.min("id").alias("id"), F.min_by("grams", "id").alias("items"), F.min("n").alias("n")))
-    near = similar_sets(classes.select("id", "items", "n"), threshold)
-    size = classes.select("id", "class", "n")
-    side = lambda c: size.select(F.col("id").alias(c), F.col("class").alias(f"_{c}"), F.col("n").alias(f"_n{c}"))
-    linked = near.join(side("a"), "a").join(side("b"), "b").select("_a", "_b", jaccard_of(F.col("both"), F.col("_na"), F.col("_nb")).alias("similarity"))
+    classes, near = _linked_classes(rows, threshold)
+    of = lambda c: classes.select(F.col("id").alias(c), F.col("class").alias(f"_{c}"))
+    linked = near.join(of("a"), "a").join(of("b"), "b").select("_a", "_b", "similarity")
     member = rows.select("class", "id")
     left, right = member.select(F.col("class").alias("_a"), F.col("id").alias("x")), member.select(F.col("class").alias("_b"), F.col("id").alias("y"))
     across = linked.join(left, "_a").join(right, "_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
@@ -124,6 +135,23 @@ def leader_clusters(pairs: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("leader", "id").alias("leader"))
 
 
+def similar_clusters(df: DataFrame, threshold: float, cfg: EngineConfig = DEFAULT, use_vectors: bool = False) -> DataFrame:
+    """(id, leader) as ``leader_clusters(similar_pairs(...))`` gives them, without a pair for every two rows of a class.
+
+    Rows of a class have the same neighbours and are neighbours themselves.  So
+    none but the least of them can lead: if it does, the others join it, and if
+    a smaller neighbour does, that is theirs too.  Leaders are found among the
+    least rows of classes, and the others follow.
+    """
+    if use_vectors:
+        return leader_clusters(similar_pairs(df, threshold, cfg, True))
+    rows = _classed(df)
+    classes, near = _linked_classes(rows, threshold)
+    led = leader_clusters(near.where(F.col("similarity") >= threshold)).withColumnRenamed("id", "least")
+    of = classes.select("class", F.col("id").alias("least"), "members").join(led, "least", "left").where("members > 1 or leader is not null")
+    return rows.select("id", "class").join(of.select("class", F.coalesce("leader", "least").alias("leader")), "class").select("id", "leader")
+
+
 def consolidate(df: DataFrame, now: Column, cfg: EngineConfig = DEFAULT, use_vectors: bool = False) -> DataFrame:
     """id, cluster, survivor, action (keep: reinforced once; archive) of the memories in clusters of two and more.
 
@@ -131,12 +159,11 @@ def consolidate(df: DataFrame, now: Column, cfg: EngineConfig = DEFAULT, use_vec
     others are archived with superseded_by, and keep an open validity.
     """
     live = df.where(~F.col("is_archived"))
-    found = leader_clusters(similar_pairs(live, cfg.consolidate_threshold, cfg, use_vectors))
-    rows = live.join(found, "id").withColumn("strength", current_strength(now))
-    by = Window.partitionBy("leader").orderBy(F.desc("strength"), "id")
-    rows = rows.withColumn("survivor", F.first("id").over(by)).withColumn("members", F.count("*").over(Window.partitionBy("leader")))
+    found = similar_clusters(live, cfg.consolidate_threshold, cfg, use_vectors)
+    rows = written(live.select("id", current_strength(now).alias("strength")).join(found, "id"))
+    best = rows.groupBy("leader").agg(F.min(F.struct((-F.col("strength")).alias("s"), "id"))["id"].alias("survivor"), F.count("*").alias("members")).where("members > 1")
     action = F.when(F.col("id") == F.col("survivor"), "keep").otherwise("archive")
-    return rows.where("members > 1").select("id", F.col("leader").alias("cluster"), "survivor", action.alias("action"))
+    return rows.join(best, "leader").select("id", F.col("leader").alias("cluster"), "survivor", action.alias("action"))
 
 
 def apply_consolidation(df: DataFrame, plan: DataFrame, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:

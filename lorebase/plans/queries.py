@@ -480,6 +480,21 @@ def conflict_state(spark, d):
     return after.select("id", F.col("access_count").cast("long").alias("access_count"), r6(F.col("base_strength"), "base_strength"), "is_archived", "superseded_by", F.length("content").cast("long").alias("chars"), F.size("superseded_ids").cast("long").alias("n_superseded"))
 
 
+_NEXT = "CASE WHEN doc_id % 50 = 49 THEN doc_id - 2 WHEN doc_id % 7 <> 3 THEN doc_id + 1 + doc_id % 3 END"
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT doc_id AS id, {_NEXT} AS next FROM documents), e AS (SELECT p.id, p.next FROM p JOIN p q ON q.id = p.next),
+walk AS (SELECT id, id AS at, [id] AS path FROM p UNION ALL SELECT w.id, e.next, list_append(path, e.next) FROM walk w JOIN e ON e.id = w.at WHERE NOT list_contains(path, e.next)),
+ends AS (SELECT w.* FROM walk w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id = w.at))
+SELECT p.id, ends.at AS head, len(path) - 1 AS depth, ends.id IS NULL AS cyclic, array_to_string(path, '>') AS path FROM p LEFT JOIN ends USING (id)"""
+)
+def supersede_chains(spark, d):
+    """Every document as a memory that a later one supersedes, with cycles here and there."""
+    rows = table(spark, d, "documents").selectExpr("doc_id AS id", f"{_NEXT} AS superseded_by")
+    return conflict.supersede_chains(rows, with_path=True).withColumn("path", F.array_join("path", ">"))
+
+
 @query(
     f"""{VIEW} SELECT id, title, CASE WHEN {_CURRENT} THEN 'CURRENT' ELSE 'Superseded' END AS status, superseded_by,
 strftime(valid_from, '%Y-%m-%d') || ' to ' || coalesce(strftime(valid_until, '%Y-%m-%d'), 'present') AS validity FROM m WHERE list_contains(tags, '{TAG}')"""
@@ -520,7 +535,7 @@ led AS (SELECT n.id, CASE WHEN list_contains(leaders, n.id) THEN n.id ELSE list_
 
 @query(f"{_LEADERS} SELECT id, leader FROM led")
 def leader_clusters(spark, d):
-    return maintain.leader_clusters(maintain.similar_pairs(memories(spark, d).where("not is_archived"), 0.8))
+    return maintain.similar_clusters(memories(spark, d).where("not is_archived"), 0.8)
 
 
 _CONSOLIDATED = f"""{_LEADERS}, c AS (SELECT led.id, leader, {_STRENGTH} AS s FROM led JOIN m ON m.id = led.id),

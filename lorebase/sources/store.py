@@ -166,30 +166,37 @@ class MemoryStore:
                 raise Conflict(str(manifest["version"])) from e
             raise
 
-    def _write(self, work, attempts: int = 20):
-        """Run ``work(rows, manifest)`` -> (result, rows to commit or None, op, replace) and commit, again if another writer was first."""
+    def _write(self, work, attempts: int = 20, once: tuple[str, int] | None = None):
+        """Run ``work(rows, manifest)`` -> (result, rows to commit or None, op, replace) and commit, again if another writer was first.
+
+        ``once``: a stream and the number of its batch. The manifest of the
+        commit says so, and a batch that it has is not done again.
+        """
         if self.closed:
             raise ValueError("the store is closed")
         with self._lock:
             for _ in range(attempts):
                 m = self._manifest()
+                if once and m.get("ledger", {}).get(once[0], -1) >= once[1]:
+                    return None
                 result, rows, op, replace = work(self._view(m), m)
                 if rows is None:
                     return result
                 try:
-                    self._commit(m, rows, op, replace)
+                    self._commit(m, rows, op, replace, once)
                     return result
                 except Conflict:
                     continue
             raise Conflict(f"no commit in {attempts} attempts")
 
-    def _commit(self, m: dict, rows: DataFrame, op: str, replace: bool) -> None:
+    def _commit(self, m: dict, rows: DataFrame, op: str, replace: bool, once: tuple[str, int] | None = None) -> None:
         name, version = f"commit-{uuid.uuid4().hex}", m["version"] + 1
         rows.withColumn("version", F.lit(version)).withColumn("op", F.lit(op)).write.parquet(f"{self.path}/{name}")
         last = dict(m.get("last_run", {}))
         if self.running:
             last[self.running] = datetime.now(timezone.utc).isoformat()
-        self._publish({"version": version, "commits": [name] if replace else [*m["commits"], name], "last_run": last})
+        ledger = m.get("ledger", {}) | (dict([once]) if once else {})
+        self._publish({"version": version, "commits": [name] if replace else [*m["commits"], name], "last_run": last, "ledger": ledger})
 
     def vacuum(self, grace: float | None = None) -> int:
         """Delete commits and manifests that the current manifest has replaced and that are older than ``grace`` seconds; how many."""
@@ -227,10 +234,10 @@ class MemoryStore:
         rows = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in MEMORY])
         return derived(rows, self.cfg)
 
-    def save(self, rows: DataFrame) -> None:
+    def save(self, rows: DataFrame, once: tuple[str, int] | None = None) -> None:
         """Insert or replace whole rows; index columns are computed."""
         rows = self._whole(rows)
-        self._write(lambda now, m: (None, rows, "U", False))
+        self._write(lambda now, m: (None, rows, "U", False), once=once)
 
     def save_python(self, rows: list[dict]) -> None:
         """Save rows given as Python values; unpaired surrogates, which Spark strings cannot hold, are dropped first."""
@@ -238,9 +245,9 @@ class MemoryStore:
         names = [f.name for f in MEMORY]
         self.save(self.spark.createDataFrame([tuple(clean(r.get(n)) for n in names) for r in rows], MEMORY))
 
-    def change(self, work) -> None:
+    def change(self, work, once: tuple[str, int] | None = None) -> None:
         """Save ``work(current rows)``, computed from the state that the commit follows."""
-        self._write(lambda now, m: (None, written(self._whole(work(now))), "U", False))
+        self._write(lambda now, m: (None, written(self._whole(work(now))), "U", False), once=once)
 
     def update(self, updates: DataFrame) -> None:
         """Set the given columns of existing memories; null leaves a value as it is."""
@@ -256,9 +263,9 @@ class MemoryStore:
 
         return self._write(work)
 
-    def reinforce(self, accesses: DataFrame) -> None:
-        """Apply an access log (id, at) once."""
-        self.change(lambda now: reinforce(now.join(accesses.select("id").distinct(), "id", "left_semi"), accesses, self.cfg))
+    def reinforce(self, accesses: DataFrame, once: tuple[str, int] | None = None) -> None:
+        """Apply an access log (id, at) once; ``once``: see ``_write``."""
+        self.change(lambda now: reinforce(now.join(accesses.select("id").distinct(), "id", "left_semi"), accesses, self.cfg), once)
 
     def search_and_reinforce(self, hits: DataFrame, now) -> list:
         """The rows of ``hits`` as they were; each is then reinforced at ``now`` (a datetime)."""

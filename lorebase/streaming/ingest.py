@@ -15,13 +15,17 @@ def access_counts(accesses: DataFrame, every: str = "1 day", late: str = "2 days
     return per.select("id", F.col("window.start").alias("day"), "n", "last")
 
 
-def store_stream(memories: DataFrame, store: MemoryStore, checkpoint: str, **trigger):
-    """Save each arriving batch of memories; a started query. A batch that is run again replaces its own rows, so none is stored twice."""
-    out = memories.writeStream.foreachBatch(lambda rows, _: store.save(rows)).option("checkpointLocation", checkpoint)
+def _started(rows: DataFrame, apply, checkpoint: str, trigger: dict):
+    """Each batch is applied with its number, under the name of its checkpoint, where the numbers count from: see ``MemoryStore._write``."""
+    out = rows.writeStream.foreachBatch(lambda batch, number: apply(batch, (checkpoint, number))).option("checkpointLocation", checkpoint)
     return (out.trigger(**trigger) if trigger else out).start()
 
 
+def store_stream(memories: DataFrame, store: MemoryStore, checkpoint: str, **trigger):
+    """Save each arriving batch of memories; a started query. A batch that is run again is not stored again."""
+    return _started(memories, store.save, checkpoint, trigger)
+
+
 def reinforce_stream(accesses: DataFrame, store: MemoryStore, checkpoint: str, **trigger):
-    """Apply each arriving batch of an access log (id, at); a started query."""
-    out = accesses.writeStream.foreachBatch(lambda rows, _: store.reinforce(rows)).option("checkpointLocation", checkpoint)
-    return (out.trigger(**trigger) if trigger else out).start()
+    """Apply each arriving batch of an access log (id, at); a started query. A batch that is run again reinforces nothing."""
+    return _started(accesses, store.reinforce, checkpoint, trigger)
