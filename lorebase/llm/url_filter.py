@@ -45,7 +45,10 @@ VERDICTS = ("allow", "block")
 #: Symbols: bytes, and one mark in front of the url; so many bits hold one.
 _ALPHABET, _BITS = 257, 9
 #: Scores are added up as whole numbers of this part, so that no order of adding matters.
-_PART = 1e-12
+#: A url has fewer than 2 ** 31 characters and a logarithm is below 40, so no sum reaches 2 ** 63.
+_PART = 1e-8
+#: Urls go through numpy in pieces of about so many bytes.
+PIECE = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,6 +87,29 @@ def _grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, of
 
 
+def _pieces(urls: list[bytes], size: int | None = None):
+    """The grams of ``urls`` and the number of each one's url, in pieces; a long url is cut, with the ORDER characters before each cut."""
+    size = size or PIECE
+    parts = ((i, u[max(a - ORDER, 0) : a + size], min(a, ORDER)) for i, u in enumerate(urls) for a in range(0, len(u), size))
+
+    def grams(held):
+        gram, of = _grams([part for _, part, _ in held])
+        own, skip = (np.array([x[k] for x in held], dtype=np.int64) for k in (0, 2))
+        starts = np.cumsum([0, *(len(part) for _, part, _ in held[:-1])])
+        new = np.arange(len(gram)) - starts[of] >= skip[of]
+        return gram[new], own[of[new]]
+
+    held, total = [], 0
+    for part in parts:
+        held.append(part)
+        total += len(part[1])
+        if total >= size:
+            yield grams(held)
+            held, total = [], 0
+    if held:
+        yield grams(held)
+
+
 def _urls(column: pa.Array) -> list[bytes]:
     return [(u or "").lower().encode() for u in column.to_pylist()]
 
@@ -95,12 +121,12 @@ def count_grams(urls: DataFrame) -> DataFrame:
         for batch in slices(batches, "url"):
             if not batch.num_rows:
                 continue
-            gram, of = _grams(_urls(batch.column(0)))
-            seen, place = np.unique(gram, return_inverse=True)
-            n = [np.zeros(len(seen), dtype=np.int64) for _ in VERDICTS]
-            for i, sums in enumerate(n):
-                np.add.at(sums, place, batch.column(1 + i).to_numpy()[of])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, *n)], names=["gram", "a", "b"])
+            for gram, of in _pieces(_urls(batch.column(0))):
+                seen, place = np.unique(gram, return_inverse=True)
+                n = [np.zeros(len(seen), dtype=np.int64) for _ in VERDICTS]
+                for i, sums in enumerate(n):
+                    np.add.at(sums, place, batch.column(1 + i).to_numpy()[of])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, *n)], names=["gram", "a", "b"])
 
     part = urls.select("url", "n_allow", "n_block").mapInArrow(run, "gram long, a long, b long")
     return part.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
@@ -137,21 +163,21 @@ def gram_values(grams: DataFrame) -> DataFrame:
 
 
 def grams_of(urls: DataFrame) -> DataFrame:
-    """uid, gram, n, size of each gram of ``urls`` (uid, url); size: characters of the url."""
+    """uid, gram, n, size of each gram of ``urls`` (uid, url); size: characters of the url. A long url's gram may have several rows."""
 
     def run(batches):
         for batch in slices(batches, "url"):
             if not batch.num_rows:
                 continue
             texts = _urls(batch.column(1))
-            gram, of = _grams(texts)
-            order = np.lexsort((gram, of))
-            gram, of = gram[order], of[order]
-            new = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])][: len(gram)])
-            n = np.diff(np.r_[new, len(gram)])
             size = np.array([len(t) for t in texts], dtype=np.int64)
             uid = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid[of[new]], gram[new], n.astype(np.int64), size[of[new]])], names=["uid", "gram", "n", "size"])
+            for gram, of in _pieces(texts):
+                order = np.lexsort((gram, of))
+                gram, of = gram[order], of[order]
+                new = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])][: len(gram)])
+                n = np.diff(np.r_[new, len(gram)])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid[of[new]], gram[new], n.astype(np.int64), size[of[new]])], names=["uid", "gram", "n", "size"])
 
     return urls.select("uid", "url").mapInArrow(run, "uid long, gram long, n long, size long")
 
