@@ -57,7 +57,10 @@ WINDOW, DECAY, POWER, MAX_GAP = 10, 0.6, 2, 4
 MAX_LANDMARKS = 64
 #: Pieces that the cover may choose, and how many of them explain a text.
 MAX_PIECES, NEED = 48, 5
-CACHE_WORDS = 300_000
+#: Words that are kept with their values, and their characters.
+CACHE_WORDS, CACHE_CHARS = 300_000, 12 << 20
+#: Windows whose kernel values are computed together, and that are held together.
+KERNEL_ROWS, WINDOW_ROWS = 5_000, 20_000
 #: SVM values: from which a word counts, as an insult and as one of a dense piece; beyond which it is no more toxic.
 HIT, DENSE_HIT, TOP = 1.0, 0.0, 2.0
 #: The share of words from which a piece is dense.
@@ -100,15 +103,23 @@ def words_of(text: str | None) -> list[str]:
     return words
 
 
+def word_codes(word: str) -> list[int]:
+    return char_codes(word.strip(".,;:!?\"'()[]{}*#&%~_-|<>+=/\\"))
+
+
 def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of every window (rows of WINDOW, 0 behind the end) and the number of each one's word."""
-    codes = [char_codes(w.strip(".,;:!?\"'()[]{}*#&%~_-|<>+=/\\")) for w in words]
+    return windows_of([word_codes(w) for w in words])
+
+
+def windows_of(codes: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``windows``, for words as codes."""
     lens = np.array([len(c) for c in codes], dtype=np.int64)
     flat = np.zeros(int(lens.sum()) + WINDOW, dtype=np.int64)
     flat[: len(flat) - WINDOW] = np.fromiter((x for c in codes for x in c), dtype=np.int64, count=int(lens.sum()))
     ends = np.cumsum(lens)
     many = np.maximum(1, lens - WINDOW + 1)
-    of = np.repeat(np.arange(len(words)), many)
+    of = np.repeat(np.arange(len(codes)), many)
     first = np.repeat(ends - lens, many) + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
     at = first[:, None] + np.arange(WINDOW)
     return np.where(at < ends[of][:, None], flat[at], 0), of
@@ -158,8 +169,8 @@ class Kernel:
     def __call__(self, win: np.ndarray) -> np.ndarray:
         """(rows x landmarks) kernel values."""
         out = np.zeros((len(win), len(self.landmarks)))
-        for a in range(0, len(win), 20_000):
-            codes, weights = subsequences(win[a : a + 20_000])
+        for a in range(0, len(win), KERNEL_ROWS):
+            codes, weights = subsequences(win[a : a + KERNEL_ROWS])
             slots = np.where(codes >= 0, self.slot[codes], -1)
             rows, cols = np.nonzero(slots >= 0)
             k = np.zeros((len(codes), len(self.landmarks)), dtype=np.float32)
@@ -219,23 +230,41 @@ class Model:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.value = np.empty((0, 2), dtype=np.float32)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """(words x 2) the highest SVM values of each word's windows."""
-        win, of = windows(words)
-        f = self.kernel(win) @ self.alpha + self.bias
-        return np.maximum.reduceat(f, np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), axis=0)
+        out = np.full((len(words), 2), -np.inf)
+
+        def take(held):
+            win, of = windows_of([c for _, c in held])
+            f = self.kernel(win) @ self.alpha + self.bias
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            np.maximum.at(out, np.array([i for i, _ in held])[of[first]], np.maximum.reduceat(f, first, axis=0))
+
+        held, rows = [], 0
+        for i, w in enumerate(words):
+            codes = word_codes(w)
+            for a in range(0, max(1, len(codes) - WINDOW + 1), WINDOW_ROWS):  # a long word's windows, in pieces
+                held.append((i, codes[a : a + WINDOW_ROWS + WINDOW - 1]))
+                rows += max(1, len(held[-1][1]) - WINDOW + 1)
+                if rows >= WINDOW_ROWS:
+                    take(held)
+                    held, rows = [], 0
+        if held:
+            take(held)
+        return out
 
     def features(self, texts: list[list[str]]) -> np.ndarray:
         """For each text, given as words: highest insult value, log of the words above HIT, log of the share of dense words after the first."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.forget()
         new = list({w for t in texts for w in t}.difference(self.known))
         if new:
-            parts = [self.word_scores(new[a : a + 50_000]) for a in range(0, len(new), 50_000)]
+            self.value = np.concatenate([self.value, self.word_scores(new).astype(np.float32)])
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.value = np.concatenate([self.value, *(p.astype(np.float32) for p in parts)])
+            self.chars += sum(map(len, new))
         out = np.zeros((len(texts), 3))
         for i, t in enumerate(texts):
             if not t:
@@ -441,8 +470,8 @@ def train(docs: DataFrame, labels: DataFrame, usable, at_most: tuple[int, int] =
         got, size = [], 0
         for b in batches:
             for text, toxic, later in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
-                size += len(text)
-                if size <= SAMPLE_CHARS:
+                if size + len(text) <= SAMPLE_CHARS:  # a text that does not fit leaves room for others
+                    size += len(text)
                     got.append((text, toxic, later))
         m = fit(got, share, (n0, n1))
         if m.kernel is not None:
