@@ -43,7 +43,7 @@ from .common import mix64, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_WORDS = 250_000
+CACHE_WORDS, CACHE_BYTES = 250_000, 12 << 20
 #: Longer words are merged with a heap.
 LONG = 64
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
@@ -63,6 +63,7 @@ class Pieces:
     rank: dict[str, int] = field(init=False)
     longest: int = field(init=False)
     _cache: dict = field(default_factory=dict)
+    _held: int = 0
 
     def __post_init__(self):
         order = sorted((i for i, n in enumerate(self.normal) if n), key=lambda i: (-self.score[i], i))
@@ -216,12 +217,15 @@ def encode_texts(texts: list[str | None], p: Pieces) -> list[np.ndarray | None]:
     """The ids of each text, as the model's own library gives them."""
     units = [None if t is None else _UNIT.findall((SPACE + t.replace(" ", SPACE)) if t else "") for t in texts]
     cache = p._cache
-    if len(cache) > CACHE_WORDS:
+    if len(cache) > CACHE_WORDS or p._held > CACHE_BYTES:
         cache.clear()
+        p._held = 0
     new = list({u for us in units if us for u in us}.difference(cache))
     for a in range(0, len(new), 40_000):
         part = new[a : a + 40_000]
-        cache.update(zip(part, (np.array(x, dtype=np.int32).tobytes() for x in encode_words(part, p))))
+        coded = [np.array(x, dtype=np.int32).tobytes() for x in encode_words(part, p)]
+        cache.update(zip(part, coded))
+        p._held += sum(map(len, part)) + sum(map(len, coded))
     get = cache.__getitem__
     return [None if us is None else np.frombuffer(b"".join(map(get, us)), dtype=np.int32) for us in units]
 
