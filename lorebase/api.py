@@ -14,7 +14,7 @@ from .functions.strength import current_strength
 from .functions.text import strip
 from .operators import conflict
 from .operators.embed import NullEmbedder, select_embedder
-from .plans.scratch import written
+from .plans.scratch import dropped_after, written
 from .schema import ACCESS, MEMORY
 from .sources.store import MemoryStore, clamped, derived
 
@@ -30,8 +30,9 @@ class Engine:
         return self.embedder.embed(F.lit(text)) if self.embedder.available else None
 
     def search(self, query: str, now: datetime, top_n: int = 5, tags: list[str] | None = None, reinforce: bool = True) -> list:
-        hits = self.store_.search(query, top_n, F.lit(now), tags, self._vector(query))
-        return self.store_.search_and_reinforce(hits, now) if reinforce else hits.collect()
+        with dropped_after(self.spark):
+            hits = self.store_.search(query, top_n, F.lit(now), tags, self._vector(query))
+            return self.store_.search_and_reinforce(hits, now) if reinforce else hits.collect()
 
     def store(self, rows: DataFrame, now: datetime) -> DataFrame:
         """Store rows (title, summary, and optionally id, content, tags, importance, embedding, query_vector); their verdicts.
@@ -40,6 +41,11 @@ class Engine:
         searched with the vector of its title and summary, and stored with the
         vector of its whole text.
         """
+        with dropped_after(self.spark) as kept:
+            kept.append(self._stored(rows, now))
+            return kept[0].drop("hits")
+
+    def _stored(self, rows: DataFrame, now: datetime) -> DataFrame:
         given = set(rows.columns)
         blank = lambda c: strip(F.coalesce(c, F.lit(""))) == ""
         if rows.where(blank(F.col("title")) | blank(F.col("summary"))).limit(1).count():
@@ -55,15 +61,15 @@ class Engine:
         full = written(derived(full, self.cfg))  # ids are drawn once
 
         def work(before):
-            before = written(before)
-            verdicts = written(conflict.classify(before, full.withColumn("query_vector", F.col("_query")), F.lit(now), self.cfg))
-            after = conflict.apply(before, full.select([f.name for f in MEMORY]), verdicts, F.lit(now), self.cfg)
-            touched = verdicts.select("id").union(verdicts.where("target is not null").select("target")).union(conflict.supersede_edges(verdicts).select("old_id")).union(verdicts.select(F.explode("hits")))
+            judged = full.withColumn("query_vector", F.col("_query"))
+            verdicts = written(conflict.classify(before, judged, F.lit(now), self.cfg, self.store_.index().postings(), self.store_.fetch))
+            touched = verdicts.where("target is not null").select("target").union(conflict.supersede_edges(verdicts).select("old_id")).union(verdicts.select(F.explode("hits")))
             self._verdicts = verdicts
-            return after.join(touched.distinct(), "id", "left_semi")
+            some = written(before.join(touched.select(F.col("target").alias("id")).distinct(), "id", "left_semi"))
+            return conflict.apply(some, full.select([f.name for f in MEMORY]), verdicts, F.lit(now), self.cfg)
 
         self.store_.change(work)
-        return self._verdicts.drop("hits")
+        return self._verdicts
 
     def _filled(self, rows: DataFrame, now: datetime) -> DataFrame:
         """All columns of a memory, with the values that are not given."""

@@ -13,7 +13,7 @@ from .search import batch_search, has_tag
 HITS = 10
 
 
-def classify(df: DataFrame, incoming: DataFrame, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def classify(df: DataFrame, incoming: DataFrame, now: Column, cfg: EngineConfig = DEFAULT, index=None, fetch=None) -> DataFrame:
     """id, action, target (the duplicate, or null), superseded (array of ids), hits (array of ids) of every incoming row.
 
     incoming: id, title, summary, embedding, and optionally query_vector: the
@@ -21,11 +21,11 @@ def classify(df: DataFrame, incoming: DataFrame, now: Column, cfg: EngineConfig
     stored is the vector of the whole).  Each row is judged against the state
     before the batch, by its ten best hits; "first" means first by score.  An
     old memory that several rows would supersede goes to the lowest id; the
-    others then coexist.
+    others then coexist.  index, fetch: see ``batch_search``.
     """
     vector = F.col("query_vector") if "query_vector" in incoming.columns else F.col("embedding")
     queries = incoming.select(F.col("id").alias("query_id"), F.concat_ws(" ", "title", "summary").alias("query"), vector.alias("query_vector"))
-    found = batch_search(df, queries, HITS, now, cfg).select("query_id", "id", "rank", "semantic_score", is_current().alias("current"))
+    found = batch_search(df, queries, HITS, now, cfg, index, fetch).select("query_id", "id", "rank", "semantic_score", is_current().alias("current"))
     every = found.groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("hits"))
     hits = found.where("id <> query_id")
     sem = F.col("semantic_score")

@@ -163,19 +163,25 @@ def ranked_hits(rows: DataFrame, top_n: int, now: Column, cfg: EngineConfig = DE
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= top_n)
 
 
-def batch_search(df: DataFrame, queries: DataFrame, top_n: int, now: Column, cfg: EngineConfig = DEFAULT, index=None) -> DataFrame:
+def batch_search(df: DataFrame, queries: DataFrame, top_n: int, now: Column, cfg: EngineConfig = DEFAULT, index=None, fetch=None) -> DataFrame:
     """``search`` for every row of ``queries`` (query_id, query, query_vector), with a rank from 1; ids of ``df`` are unique.
 
-    ``index`` holds the postings of ``df`` (see ``topk``); without one they are
-    written for this search.  Work follows the postings that can matter, and is
+    ``index`` holds the postings of ``df`` (see ``topk``), and ``fetch`` gives
+    rows with an id the columns of ``df``; without them they are written for
+    this search.  Work follows the postings that can matter, and is
     not memories times queries.
     """
     from .topk import LEAN, best_by_postings, day_of, postings
 
     queries = written(queries.withColumns(Probe.columns(normalize(F.col("query")))).where("_q <> ''"))
-    lean = written(df.select(LEAN))  # scored more than once
-    hits = best_by_postings(index or postings(lean, day_of(now)), lambda found: lean.join(found, "id"), queries, cfg.over_fetch * top_n, now, cfg)
-    return ranked_hits(df.join(hits, "id").join(queries, "query_id"), top_n, now, cfg)
+    limit = cfg.over_fetch * top_n
+    if index is None:
+        lean = written(df.select(LEAN))  # scored more than once
+        hits = best_by_postings(postings(lean, day_of(now)), lambda found: lean.join(found, "id"), queries, limit, now, cfg)
+    else:
+        hits = written(best_by_postings(index, fetch, queries, limit, now, cfg))
+    rows = fetch(hits) if fetch else df.join(hits, "id")
+    return ranked_hits(rows.join(queries, "query_id"), top_n, now, cfg)
 
 
 def by_tags(df: DataFrame, tags: list[str], limit: int, now: Column) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 _made: list[str] = []
+_spans = threading.local()
 
 
 def root(spark: SparkSession) -> str:
@@ -28,20 +31,43 @@ def folder(spark: SparkSession, kind: str) -> str:
     """A new path for a table or store of this process; ``clear`` deletes it."""
     path = f"{root(spark)}/{kind}-{uuid.uuid4().hex}"
     _made.append(path)
+    for span in getattr(_spans, "open", []):
+        span.append(path)
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete all that this process has written here; for the end of a job, when no result is read any more."""
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_made)
+    n = len(_made)
     while _made:
-        p = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        p.getFileSystem(conf).delete(p, True)
+        _delete(spark, _made.pop())
     return n
 
 
+@contextmanager
+def dropped_after(spark: SparkSession):
+    """What this thread writes inside is deleted at the end, but for the tables added to the list that is given: results that are still read."""
+    span, kept = [], []
+    _spans.open = [*getattr(_spans, "open", []), span]
+    try:
+        yield kept
+    finally:
+        _spans.open = _spans.open[:-1]
+        for path in span:
+            if path in _made and path not in {getattr(t, "path", None) for t in kept}:
+                _made.remove(path)
+                _delete(spark, path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written and read again: short lineage that survives the loss of executors."""
     path = folder(df.sparkSession, "plan")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.path = path
+    return out

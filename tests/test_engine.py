@@ -34,11 +34,11 @@ def py_trigrams(s):
 
 
 def test_trigrams_and_jaccard(spark):
-    texts = ["", "   ", "py", "C#", "a\n\n\nb", "Python Programming", " tab\there "]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.trigrams(F.col("t")).alias("g"), text.jaccard(text.trigrams(F.col("t")), text.trigrams(F.lit("python"))).alias("j"))
+    texts = ["", "   ", "br", "Ø#", "a\n\n\nb", "Stone Bridge Toll", " tab\there "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.trigrams(F.col("t")).alias("g"), text.jaccard(text.trigrams(F.col("t")), text.trigrams(F.lit("bridge"))).alias("j"))
     for r in rows.collect():
         assert set(r.g) == py_trigrams(r.t) and len(r.g) == len(set(r.g))
-        a, b = py_trigrams(r.t), py_trigrams("python")
+        a, b = py_trigrams(r.t), py_trigrams("bridge")
         assert r.j == pytest.approx(len(a & b) / len(a | b) if a else 0, abs=1e-7)
 
 
@@ -67,20 +67,20 @@ def engine(spark, tmp_path):
 
 
 def test_store_search_and_history(spark, engine):
-    rows = [("1", "Python Programming", "a guide", ["work", "code"], [1.0, 0.0]), ("2", "JavaScript Guide", "for the web", ["code"], [0.0, 1.0]), ("3", "Apple", "Fruit content", [], None)]
+    rows = [("1", "Kiln temperatures", "glaze by glaze", ["ledger", "clay"], [1.0, 0.0]), ("2", "Wheel", "centring a lump", ["clay"], [0.0, 1.0]), ("3", "Tides", "moon and sea", [], None)]
     df = spark.createDataFrame(rows, "id string, title string, summary string, tags array<string>, embedding array<float>")
     assert {r.action for r in engine.store(df, NOW).collect()} == {"StoredNew"}
-    assert [r.id for r in engine.search("Python programming", NOW, reinforce=False)][0] == "1"
+    assert [r.id for r in engine.search("kiln temper", NOW, reinforce=False)][0] == "1"
     assert engine.search("   ", NOW) == []
     all_rows = engine.store_.scan()
-    # 2 of 38 trigrams are shared: kept by the trigram rule, not by the substring rule
-    assert [r.id for r in text_search(all_rows.where("id = '3'"), "xyznonexistent123", 5, F.lit(NOW)).collect()] == ["3"]
-    assert text_search(all_rows, "xyznonexistent123", 5, F.lit(NOW), EngineConfig(candidate_mode="substring_or_tag")).count() == 0
-    assert {r.id for r in search(all_rows, "guide", 5, F.lit(NOW), tags=["CODE"]).collect()} == {"1", "2"}
+    # three trigrams are shared: kept by the trigram rule, not by the substring rule
+    assert [r.id for r in text_search(all_rows.where("id = '3'"), "moonshot", 5, F.lit(NOW)).collect()] == ["3"]
+    assert text_search(all_rows, "moonshot", 5, F.lit(NOW), EngineConfig(candidate_mode="substring_or_tag")).count() == 0
+    assert {r.id for r in search(all_rows, "clay", 5, F.lit(NOW), tags=["CLAY"]).collect()} == {"1", "2"}
     assert engine.get("1", NOW).access_count == 0 and engine.get("1", NOW, reinforce=False).access_count == 1
-    engine.update(spark.createDataFrame([("2", "TypeScript Guide")], "id string, title string"))
-    assert engine.get("2", NOW, reinforce=False).title == "TypeScript Guide"
-    assert engine.tag_history("WORK", NOW).first().status == "CURRENT"
+    engine.update(spark.createDataFrame([("2", "Coil building")], "id string, title string"))
+    assert engine.get("2", NOW, reinforce=False).title == "Coil building"
+    assert engine.tag_history("LEDGER", NOW).first().status == "CURRENT"
     assert engine.delete(["3", "none"]) == 1 and engine.get("3", NOW) is None
     with pytest.raises(ValueError):
         engine.store(spark.createDataFrame([("", "x")], "title string, summary string"), NOW)
@@ -208,61 +208,61 @@ def put(engine, *rows, days=0):
 
 
 def test_conflict_verdicts(spark, engine):
-    tags = ["employment", "current"]
-    assert put(engine, ("a", "Current Job", "software developer at TechCorp", "C#", tags, [1.0, 0.0]))["a"].action == "StoredNew"
+    tags = ["harbour", "staff"]
+    assert put(engine, ("a", "Night watch", "Ines keeps the log", "on paper", tags, [1.0, 0.0]))["a"].action == "StoredNew"
     # between 0.8 and 0.95: supersedes
-    v = put(engine, ("b", "Current Job", "senior software developer at TechCorp", "C# still", tags, vectors(0.9)), days=1)["b"]
+    v = put(engine, ("b", "Night watch", "Ines and Tom keep the log", "on paper still", tags, vectors(0.9)), days=1)["b"]
     assert (v.action, v.superseded) == ("StoredWithSupersede", ["a"])
     a, b = engine.get("a", NOW, reinforce=False), engine.get("b", NOW, reinforce=False)
     assert a.is_archived and a.superseded_by == "b" and a.valid_until == NOW + timedelta(days=1) and b.superseded_ids == ["a"] and not b.is_archived
     # the old one was a hit of the search, so it was reinforced before it was archived
     assert a.access_count == 1 and a.base_strength == pytest.approx(1.1)
-    history = {r.id: r.status for r in engine.tag_history("EMPLOYMENT", NOW + timedelta(days=1)).collect()}
+    history = {r.id: r.status for r in engine.tag_history("HARBOUR", NOW + timedelta(days=1)).collect()}
     assert history == {"a": "Superseded", "b": "CURRENT"}
-    assert [r.id for r in engine.tag_history("employment", NOW, include_archived=False).collect()] == ["b"]
+    assert [r.id for r in engine.tag_history("harbour", NOW, include_archived=False).collect()] == ["b"]
 
 
 def test_conflict_duplicate(spark, engine):
-    put(engine, ("a", "Project Status", "Project Alpha is in development", "Started in Q1", [], [1.0, 0.0]))
-    v = put(engine, ("b", "Project Status", "Project Alpha is in development", "Started in Q1. Team of 5, microservices.", [], vectors(0.99)))["b"]
+    put(engine, ("a", "Ferry", "Boats leave on the hour", "since May", [], [1.0, 0.0]))
+    v = put(engine, ("b", "Ferry", "Boats leave on the hour", "since May, with four boats and two crews", [], vectors(0.99)))["b"]
     assert (v.action, v.target) == ("ReinforcedExisting", "a") and engine.get("b", NOW) is None
     a = engine.get("a", NOW, reinforce=False)
     # once as a hit and once as a duplicate, and the longer content stays
-    assert a.access_count == 2 and a.base_strength == pytest.approx(1 + 0.1 + 0.1 / math.sqrt(2)) and "microservices" in a.content
-    shorter = put(engine, ("c", "Project Status", "Project Alpha is in development", "x", [], [1.0, 0.0]))["c"]
-    assert shorter.target == "a" and "microservices" in engine.get("a", NOW, reinforce=False).content
+    assert a.access_count == 2 and a.base_strength == pytest.approx(1 + 0.1 + 0.1 / math.sqrt(2)) and "crews" in a.content
+    shorter = put(engine, ("c", "Ferry", "Boats leave on the hour", "x", [], [1.0, 0.0]))["c"]
+    assert shorter.target == "a" and "crews" in engine.get("a", NOW, reinforce=False).content
 
 
 def test_conflict_coexist_and_new(spark, engine):
-    put(engine, ("a", "Python Basics", "variables and loops", "", [], [1.0, 0.0]))
-    assert put(engine, ("b", "Python Advanced", "decorators", "", [], vectors(0.7)))["b"].action == "StoredCoexist"
-    assert put(engine, ("c", "Rust Language", "python no more", "", [], [-1.0, 0.0]))["c"].action == "StoredNew"
+    put(engine, ("a", "Knots for ropes", "bowline and hitch", "", [], [1.0, 0.0]))
+    assert put(engine, ("b", "Ropes", "splices", "", [], vectors(0.7)))["b"].action == "StoredCoexist"
+    assert put(engine, ("c", "Oars", "no ropes on board", "", [], [-1.0, 0.0]))["c"].action == "StoredNew"
     assert not any(engine.get(k, NOW, reinforce=False).is_archived for k in "abc")
 
 
 def test_conflict_chain_and_batch(spark, engine):
-    put(engine, ("1", "API Version", "API is at version 1.0", "", [], [1.0, 0.0]))
+    put(engine, ("1", "Bridge toll", "The toll is two crowns", "", [], [1.0, 0.0]))
     # two rows of one batch would supersede the same memory: the lower id does, the other coexists
-    v = put(engine, ("2", "API Version", "API is at version 2.0", "", [], vectors(0.9)), ("3", "API Version", "API is at version 3.0", "", [], vectors(0.85)))
+    v = put(engine, ("2", "Bridge toll", "The toll is three crowns", "", [], vectors(0.9)), ("3", "Bridge toll", "The toll is four crowns", "", [], vectors(0.85)))
     assert (v["2"].action, v["2"].superseded, v["3"].action) == ("StoredWithSupersede", ["1"], "StoredCoexist")
     current = {r.id for r in engine.store_.scan().where("not is_archived").collect()}
     assert current == {"2", "3"}
 
 
 def test_query_vector_is_of_title_and_summary(spark, engine):
-    put(engine, ("a", "Team", "Development team", "five members", [], [1.0, 0.0], [1.0, 0.0]))
+    put(engine, ("a", "Choir", "Sings on feast days", "five voices", [], [1.0, 0.0], [1.0, 0.0]))
     # by its stored vector it would be a duplicate, by its query vector it is unrelated
-    v = put(engine, ("b", "Team", "Development team", "eight", [], [1.0, 0.0], [-1.0, 0.0]))["b"]
+    v = put(engine, ("b", "Choir", "Sings on feast days", "eight", [], [1.0, 0.0], [-1.0, 0.0]))["b"]
     assert v.action == "StoredNew"
 
 
 def test_embedder_end_to_end(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "e"), EngineConfig(), HashedTrigramEmbedder(64))
-    rows = spark.createDataFrame([("a", "Python Programming Guide", "a versatile language", "")], "id string, title string, summary string, content string")
+    rows = spark.createDataFrame([("a", "Lighthouse Keeper Manual", "lamps and lenses", "")], "id string, title string, summary string, content string")
     assert e.store(rows, NOW).first().action == "StoredNew"
     again = e.store(rows.withColumn("id", F.lit("b")), NOW).first()
     assert (again.action, again.target) == ("ReinforcedExisting", "a")
-    assert e.search("python guide", NOW, reinforce=False)[0].semantic_score > 0.5
+    assert e.search("lighthouse manual", NOW, reinforce=False)[0].semantic_score > 0.5
 
 
 def test_required_fields_and_unlimited(spark, engine):
@@ -377,15 +377,15 @@ def test_size_is_that_of_the_files(spark, tmp_path):
 
 def test_index_follows_the_state(spark, tmp_path):
     store = MemoryStore(spark, str(tmp_path / "s"))
-    store.save_python(one(spark, "a", "Python Programming", tags=["code"]) + one(spark, "b", "Cooking", tags=["python"]))
+    store.save_python(one(spark, "a", "Copper Kettle", tags=["tin"]) + one(spark, "b", "Tea", tags=["copper"]))
     first = store.index()
-    assert {r.id for r in first.probe("python").collect()} == {"a", "b"} and store.index().paths == first.paths
-    got = first.text_search(store.scan(), "python prog", 5, F.lit(NOW)).collect()
-    want = text_search(store.scan(), "python prog", 5, F.lit(NOW)).collect()
+    assert {r.id for r in first.probe("copper").collect()} == {"a", "b"} and store.index().paths == first.paths
+    got = first.text_search(store.scan(), "copper kett", 5, F.lit(NOW)).collect()
+    want = text_search(store.scan(), "copper kett", 5, F.lit(NOW)).collect()
     assert [(r.id, r._text_score) for r in got] == [(r.id, r._text_score) for r in want] != []
     store.delete(["a"])
-    assert {r.id for r in store.index().probe("python").collect()} == {"b"}
-    for query in ("py", "o", "", "cook python"):
+    assert {r.id for r in store.index().probe("copper").collect()} == {"b"}
+    for query in ("co", "e", "", "tea copper"):
         got = store.index().text_search(store.scan(), query, 5, F.lit(NOW)).collect()
         assert [(r.id, r._text_score) for r in got] == [(r.id, r._text_score) for r in text_search(store.scan(), query, 5, F.lit(NOW)).collect()], query
 
@@ -485,9 +485,9 @@ def test_reports_and_opening(spark, tmp_path):
     assert e.cfg.prune_threshold == 0.2 and not e.embedder.available and e.health(NOW)["status"] == "healthy"
     with pytest.raises(ValueError):
         Engine.open(spark, str(tmp_path / "e"), '{"unknown": 1}')
-    put(e, ("a", "Python Guide", "all of it", "text", ["code", "work"], None))
-    hit = e.search_report("python", NOW)[0]
-    assert hit.asDict() == {"title": "Python Guide", "score": hit.score, "id": "a", "summary": "all of it", "tags": "code, work"} and len(hit.score.split(".")[1]) == 2
+    put(e, ("a", "Copper Guide", "all of it", "text", ["code", "work"], None))
+    hit = e.search_report("copper", NOW)[0]
+    assert hit.asDict() == {"title": "Copper Guide", "score": hit.score, "id": "a", "summary": "all of it", "tags": "code, work"} and len(hit.score.split(".")[1]) == 2
     got = e.detail_report("a", NOW)
     assert (got.created, got.strength, got.content) == ("2024-02-01 00:00:00", "1.10", "text")  # once by the search
     assert e.get("a", NOW, reinforce=False).access_count == 2 and e.detail_report("none", NOW) is None and e.search_report("  ", NOW) == []
