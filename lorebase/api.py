@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from .config import DEFAULT, EngineConfig
 from .functions import report
-from .functions.strength import current_strength
 from .functions.text import strip
 from .operators import conflict
 from .operators.embed import NullEmbedder, select_embedder
@@ -146,7 +145,7 @@ class Engine:
         return conflict.tag_history(self.store_.scan(), tag, F.lit(now), include_archived)
 
     def weak(self, threshold: float, now: datetime, limit: int = 100) -> DataFrame:
-        return self.store_.scan().withColumn("strength", current_strength(F.lit(now))).where(F.col("strength") < threshold).orderBy("strength", "id").limit(limit)
+        return self.store_.weak(threshold, limit, F.lit(now))
 
     @staticmethod
     def new_id() -> str:

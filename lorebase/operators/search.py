@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
-from ..functions.strength import current_strength, is_current, recency_score, strength_score
+from ..functions.strength import current_strength, day_of, is_current, recency_score, strength_score
 from ..functions.text import jaccard, normalize, share_contained, trigrams, words
 from ..functions.vector import normalized_cosine
 from ..plans.scratch import written
@@ -171,7 +171,7 @@ def batch_search(df: DataFrame, queries: DataFrame, top_n: int, now: Column, cfg
     this search.  Work follows the postings that can matter, and is
     not memories times queries.
     """
-    from .topk import LEAN, best_by_postings, day_of, postings
+    from .topk import LEAN, best_by_postings, postings
 
     queries = written(queries.withColumns(Probe.columns(normalize(F.col("query")))).where("_q <> ''"))
     limit = cfg.over_fetch * top_n

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
-from ..functions.strength import days_between
+from ..functions.strength import day_of
 from ..functions.text import inner_trigrams, strip
 from ..plans.scratch import written
 from .search import Probe, best_of_each, candidate_by_tag, lexical_scores
@@ -63,10 +63,6 @@ class Postings:
         return Postings(self.grams.where(F.col("gram").isin(grams)), self.tags, self.sizes.where(F.col("gram").isin(grams)), self.classes)
 
 
-def day_of(t: Column) -> Column:
-    return days_between(t, F.lit("1970-01-01").cast("timestamp"))
-
-
 def _with_class(df: DataFrame, at: Column) -> DataFrame:
     """id, n, ls, rate, cls, trigrams, tags."""
     rate = F.when(F.col("is_pinned"), 0.0).otherwise(F.col("decay_rate") * (1 - F.col("importance") * 0.5))

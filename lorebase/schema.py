@@ -26,6 +26,8 @@ MEMORY = T.StructType(
         T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("content_normalized", T.StringType()),
         T.StructField("trigrams", T.ArrayType(T.StringType())),
+        T.StructField("prune_day", T.DoubleType()),
+        T.StructField("weak_day", T.DoubleType()),
     ]
 )
 

@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
+from ..functions.strength import day_of
 from ..functions.text import jaccard_of, normalize
 from ..operators.search import Probe
-from ..operators.topk import Postings, best_by_postings, classes_of, day_of, posting_rows, sizes_of
+from ..operators.topk import Postings, best_by_postings, classes_of, posting_rows, sizes_of
 from ..plans.scratch import written
 
 _PARTS = ("grams", "tags", "sizes", "classes")

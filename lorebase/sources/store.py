@@ -27,19 +27,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
-from ..functions.strength import current_strength, reinforced
+from ..functions.strength import below, crossing_day, current_strength, reinforced
 from ..functions.text import searchable, trigrams, without_orphans
 from ..operators import maintain
-from ..operators.search import Probe, second_stage
+from ..operators.search import Probe, second_stage, weak
 from ..plans.scratch import folder, written
 from ..schema import ACCESS, MEMORY
 from .gram_index import GramIndex
 
 
 def derived(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Index text and trigrams, as every write computes them."""
+    """Index text, trigrams and the days from which on a memory is weak or to be pruned, as every write computes them."""
     df = df.withColumn("content_normalized", searchable(F.col("title"), F.col("summary"), F.col("tags"), cfg.index_chars))
-    return df.withColumn("trigrams", trigrams(F.col("content_normalized")))
+    df = df.withColumn("trigrams", trigrams(F.col("content_normalized")))
+    return df.withColumn("prune_day", crossing_day(cfg.prune_threshold)).withColumn("weak_day", crossing_day(cfg.weak_threshold))
 
 
 def clamped(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -191,12 +192,17 @@ class MemoryStore:
 
     def _commit(self, m: dict, rows: DataFrame, op: str, replace: bool, once: tuple[str, int] | None = None) -> None:
         name, version = f"commit-{uuid.uuid4().hex}", m["version"] + 1
+        if replace:  # clustered by the month in which memories fade, then by id, for ranges and look-ups
+            order = [F.floor(F.col("prune_day") / 30), F.col("id")]
+            rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
         rows.withColumn("version", F.lit(version)).withColumn("op", F.lit(op)).write.parquet(f"{self.path}/{name}")
         last = dict(m.get("last_run", {}))
         if self.running:
             last[self.running] = datetime.now(timezone.utc).isoformat()
         ledger = m.get("ledger", {}) | (dict([once]) if once else {})
-        self._publish({"version": version, "commits": [name] if replace else [*m["commits"], name], "last_run": last, "ledger": ledger})
+        # what replaces everything is the view of everything: one row for each id
+        base = name if replace else m.get("base")
+        self._publish({"version": version, "commits": [name] if replace else [*m["commits"], name], "base": base, "last_run": last, "ledger": ledger})
 
     def vacuum(self, grace: float | None = None) -> int:
         """Delete commits and manifests that the current manifest has replaced and that are older than ``grace`` seconds; how many."""
@@ -215,7 +221,15 @@ class MemoryStore:
     def _view(self, m: dict) -> DataFrame:
         if not m["commits"]:
             return self.spark.createDataFrame([], MEMORY)
-        return latest(self._commits(m["commits"]))
+        names, base = m["commits"], m.get("base")
+        if base != names[0]:
+            return latest(self._commits(names))
+        # rows of a base are one for each id: only what came after it is compared by version
+        rows = self._commits([base]).drop("version", "op")
+        if len(names) == 1:
+            return rows
+        log = self._commits(names[1:])
+        return rows.join(log.select("id").distinct(), "id", "left_anti").unionByName(latest(log))
 
     def _commits(self, names: list[str]) -> DataFrame:
         """All rows of commits, with version and op."""
@@ -315,6 +329,13 @@ class MemoryStore:
     def stats(self, now: Column) -> DataFrame:
         return stats(self.scan(), now, self.cfg)
 
+    def weak(self, threshold: float, limit: int, now: Column) -> DataFrame:
+        """``search.weak`` over the current state; up to the threshold that memories are weak from, by the stored day."""
+        rows = self.scan()
+        if threshold <= self.cfg.weak_threshold:
+            rows = rows.where(below(threshold, now, "weak_day"))
+        return weak(rows, threshold, limit, now)
+
     def size_bytes(self) -> int:
         """Bytes of the committed files; 0 if they cannot be read."""
         try:
@@ -349,7 +370,7 @@ class MemoryStore:
     def prune(self, now: Column) -> dict:
         def work(rows, m):
             report = maintain.decay_report(rows, now, self.cfg).first().asDict()
-            gone = rows.where(current_strength(now) < self.cfg.prune_threshold)
+            gone = rows.where(below(self.cfg.prune_threshold, now, "prune_day"))
             return report, written(gone) if report["pruned"] else None, "D", False
 
         return self._alone("prune", work)

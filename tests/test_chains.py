@@ -1,13 +1,15 @@
 """Chains of supersessions, clusters by classes, and batches that are run again."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from lorebase.api import Engine
+from lorebase.functions import strength
 from lorebase.operators import maintain
 from lorebase.operators.conflict import supersede_chains
+from lorebase.operators.search import weak
 from lorebase.plans import scratch
 from lorebase.sources.store import MemoryStore
 from lorebase.streaming.ingest import reinforce_stream
@@ -99,3 +101,34 @@ def test_no_scratch_is_left(spark, tmp_path):
         verdicts = engine.store(rows, NOW)
         assert engine.search("ferry", NOW, reinforce=False)[0].title == "Ferry"
     assert verdicts.count() == 1 and len(scratch._made) - made == 2
+
+
+def memory(key, **more):
+    row = {"id": key, "title": key, "summary": "s", "tags": [], "created_at": NOW, "last_accessed_at": NOW, "base_strength": 1.0, "decay_rate": 0.1, "importance": 0.5, "access_count": 0, "is_pinned": False, "is_archived": False}
+    return row | more
+
+
+def test_reads_after_compaction(spark, tmp_path):
+    """A base needs no comparison of versions; later commits replace and delete its rows; decay is a range over the stored days."""
+    rng = random.Random(5)
+    store = MemoryStore(spark, str(tmp_path / "s"))
+    rows = [memory(f"m{i}", base_strength=rng.choice([0.05, 0.5, 1.0, 3.0]), importance=rng.random(), is_pinned=i % 9 == 0, decay_rate=rng.choice([0.0, 0.1, 0.2]), last_accessed_at=NOW - timedelta(days=rng.randrange(60))) for i in range(80)]
+    store.save_python(rows)
+    store.save_python([memory("m3", title="later")])
+    store.compact()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan(store.scan()) and "Exchange" not in plan(store.scan()) and store.scan().count() == 80
+    assert "prune_day" in plan(store.scan().where(strength.below(0.1, F.lit(NOW), "prune_day"))).split("PushedFilters")[1]
+    store.save_python([memory("m4", title="last"), memory("new")])
+    store.delete(["m5"])
+    now = {r.id: r.title for r in store.scan().collect()}
+    assert len(now) == 80 and (now["m3"], now["m4"], now["new"]) == ("later", "last", "new") and "m5" not in now
+    assert store.get("m4").first().title == "last" and store.get("m5").count() == 0
+    assert {r.id: r.title for r in store.fetch(spark.createDataFrame([("m3",), ("m4",), ("m5",)], "id string")).collect()} == {"m3": "later", "m4": "last"}
+    for days in (-40, 0, 13, 400):
+        at = F.lit(NOW + timedelta(days=days))
+        for threshold in (0.1, 0.3, 0.9):
+            assert [r.id for r in store.weak(threshold, 100, at).collect()] == [r.id for r in weak(store.scan(), threshold, 100, at).collect()]
+    want = {r.id for r in maintain.prune(store.scan(), F.lit(NOW)).collect()}
+    store.prune(F.lit(NOW))
+    assert {r.id for r in store.scan().collect()} == want and 0 < len(want) < 80
