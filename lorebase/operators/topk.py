@@ -34,7 +34,7 @@ from ..plans.scratch import written
 from .search import Probe, best_of_each, candidate_by_tag, lexical_scores
 
 #: Seeds of a class, as a multiple of the places, and the most that a single gram may bring.
-SEEDS, SEED_GRAM = 4, 4096
+SEEDS, SEED_GRAM = 1, 4096
 #: Of the grams that a memory need not have in its rarest, the share that is not read: more is less reading and looser bounds.
 UNREAD = 0.5
 #: Classes: nine of strength, pinned or not, and eleven of size.
