@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, EngineConfig
 from ..functions.strength import current_strength
 from ..functions.text import jaccard, jaccard_of, normalize, searchable, trigrams
-from ..functions.vector import cosine
+from ..functions.vector import cosine, norm
 from ..plans.scratch import written
-from .set_join import LEAST_THRESHOLD, similar_sets
+from .set_join import LEAST_THRESHOLD, may_be_similar, similar_sets, sketches
+from .vector_join import equal_vector, near_vectors
 
 
 def prune(df: DataFrame, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -36,18 +37,15 @@ def similar_pairs(df: DataFrame, threshold: float, cfg: EngineConfig = DEFAULT,
     Rows with equal trigrams are one class; classes are joined exactly by the
     parts of their trigrams (see ``set_join``), and similar classes expand to
     their rows.  With vectors, pairs of rows that both have one are blended:
-    ``wc * cosine + wj * jaccard``.  The blend bounds Jaccard from below, which
-    may be too low for parts; such pairs are blocked by rare trigrams instead
-    (see ``_rare_pairs``), among the rows with vectors only.
+    ``wc * cosine + wj * jaccard`` (see ``_blended_pairs``).
     """
     wc, wj = cfg.pair_weights
     rows = _classed(df)
     if not use_vectors:
         return _class_pairs(rows, threshold).where(F.col("similarity") >= threshold)
     known = F.col("embedding").isNotNull()
-    least = (threshold - wc) / wj - 1e-6  # of Jaccard, where the cosine is 1
     blended = rows.where(known)
-    found = _class_pairs(blended, least) if least >= LEAST_THRESHOLD else _rare_pairs(blended, least)
+    found = _blended_pairs(blended, threshold, cfg)
     vector = lambda c: rows.select(F.col("id").alias(c), F.col("embedding").alias(f"_{c}"))
     both = found.join(vector("a"), "a").join(vector("b"), "b")
     mixed = both.select("a", "b", (wc * cosine(F.col("_a"), F.col("_b")) + wj * F.col("similarity")).alias("similarity"))
@@ -84,24 +82,27 @@ def _class_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return across.unionByName(equal.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
-def _rare_pairs(rows: DataFrame, j: float) -> DataFrame:
-    """As ``_class_pairs`` for low thresholds: grams are ordered by ascending number of rows, and two sets of the wanted similarity share one of the first ``n - ceil(j * n) + 1`` of each; without a bound, all pairs are compared."""
-    each = rows.select("id", "n", F.explode("grams").alias("gram"))
-    counts = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = each.join(written(counts), "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("order"))
-    least = max(j, 0.0)
-    first = F.slice("order", F.lit(1), F.least(F.col("n"), F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))
-    key = written(ranked.select("id", "n", F.explode(first).alias("x")).select("id", "n", F.col("x.gram").alias("gram")))
-    a, b = key.alias("a"), key.alias("b")
-    near = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id"))
-    reach = F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - 1e-9
-    pairs = a.join(b, near & reach).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    if j <= 0:  # similar vectors are enough: rows need not share a gram
-        x, y = rows.select(F.col("id").alias("a")), rows.select(F.col("id").alias("b"))
-        pairs = x.join(y, F.col("a") < F.col("b"))
+def _blended_pairs(rows: DataFrame, threshold: float, cfg: EngineConfig) -> DataFrame:
+    """(a, b, similarity): pairs of rows (id, grams, embedding, n, class), all with vectors, that may reach the blended threshold, with their Jaccard similarity.
+
+    A blend of parts bounds each by the other: sets of a Jaccard similarity of
+    at least ``split`` meet in the parts of their trigrams, and all others need
+    a cosine so high that they meet in the cells of their vectors.
+    """
+    wc, wj = cfg.pair_weights
+    least = (threshold - wc) / wj - 1e-6  # of Jaccard, where the cosine is 1
+    split = max(least, LEAST_THRESHOLD)
+    found = _class_pairs(rows, split)
+    if least >= LEAST_THRESHOLD:
+        return found
+    least = max(least, 0.0)
+    ratio = (1 - least) / (1 + least)
+    drawn = rows.join(sketches(rows.select("id", F.col("grams").alias("items"))), "id").drop("grams", "class")
+    like = lambda a, b: (F.least(f"{a}.n", f"{b}.n") >= least * F.greatest(f"{a}.n", f"{b}.n") - 1e-9) & may_be_similar(a, b, ratio)
+    near = near_vectors(drawn, (threshold - wj * split) / wc - 1e-6, like)
     side = lambda c: rows.select(F.col("id").alias(c), F.col("grams").alias(f"_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", jaccard(F.col("_a"), F.col("_b")).alias("similarity"))
+    near = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", jaccard(F.col("_a"), F.col("_b")).alias("similarity"))
+    return found.unionByName(near).dropDuplicates(["a", "b"])
 
 
 def leader_clusters(pairs: DataFrame) -> DataFrame:
@@ -141,10 +142,18 @@ def similar_clusters(df: DataFrame, threshold: float, cfg: EngineConfig = DEFAUL
     Rows of a class have the same neighbours and are neighbours themselves.  So
     none but the least of them can lead: if it does, the others join it, and if
     a smaller neighbour does, that is theirs too.  Leaders are found among the
-    least rows of classes, and the others follow.
+    least rows of classes, and the others follow.  With vectors, rows of a class
+    have equal vectors too, or none; those with a zero vector are classes of
+    their own, for they are not like each other.
     """
     if use_vectors:
-        return leader_clusters(similar_pairs(df, threshold, cfg, True))
+        rows = _classed(df)
+        vector = F.when(F.col("embedding").isNull() | (norm(F.col("embedding")) > 0), equal_vector(F.col("embedding"))).otherwise(F.concat(F.lit("of "), F.col("id").cast("string")))
+        rows = written(rows.select("id", F.sha2(F.concat_ws("\u0001", "class", vector), 256).alias("class")))
+        classes = written(rows.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("members")))
+        led = leader_clusters(similar_pairs(df.join(classes.select(F.col("least").alias("id")), "id", "left_semi"), threshold, cfg, True)).withColumnRenamed("id", "least")
+        of = classes.join(led, "least", "left").where("members > 1 or leader is not null")
+        return rows.join(of.select("class", F.coalesce("leader", "least").alias("leader")), "class").select("id", "leader")
     rows = _classed(df)
     classes, near = _linked_classes(rows, threshold)
     led = leader_clusters(near.where(F.col("similarity") >= threshold)).withColumnRenamed("id", "least")

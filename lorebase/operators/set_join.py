@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import written
@@ -44,6 +44,19 @@ def levels(threshold: float) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+def sketches(rows: DataFrame) -> DataFrame:
+    """id, s0, s1, ...: of rows (id, items), a bit of 64 * SKETCH for each item by its hash."""
+    word, bit = F.pmod("h", F.lit(SKETCH)), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 8), 64) as int))")
+    bits = rows.select("id", F.explode("items").alias("item")).select("id", F.xxhash64("item").alias("h"))
+    return bits.groupBy("id").agg(*(F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)))
+
+
+def may_be_similar(a: str, b: str, ratio: float) -> Column:
+    """Whether the sketches of two sets admit that they differ in at most ``ratio`` times the sum of their sizes."""
+    apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
+    return apart <= F.floor((F.col(f"{a}.n") + F.col(f"{b}.n")) * ratio + 1e-9)
+
+
 def similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, both): all pairs a < b of rows (id, items, n) whose sets reach the Jaccard threshold, and what they share.
 
@@ -72,15 +85,10 @@ def similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
     often = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     common = Window.partitionBy("id", "level").orderBy(F.desc("c"), "key")
     keys = keys.join(often, "key").withColumn("r", F.row_number().over(common)).where("r > spare").select("id", "n", "key")
-    # bit: one of 64 * SKETCH by hash
-    word, bit = F.pmod("h", F.lit(SKETCH)), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 8), 64) as int))")
-    bits = rows.select("id", F.explode("items").alias("item")).select("id", F.xxhash64("item").alias("h"))
-    bits = bits.groupBy("id").agg(*(F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)))
-    keys = written(keys.join(bits, "id"))
+    keys = written(keys.join(sketches(rows), "id"))
     a, b = keys.alias("a"), keys.alias("b")
     reach = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
-    apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(SKETCH)), F.lit(0))
-    reach = reach & (apart <= F.floor((F.col("a.n") + F.col("b.n")) * ratio + 1e-9))
+    reach = reach & may_be_similar("a", "b", ratio)
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & reach).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     side = lambda c: rows.select(F.col("id").alias(c), F.col("items").alias(f"_{c}"), F.col("n").alias(f"_n{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("_a", "_b")))

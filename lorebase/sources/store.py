@@ -375,7 +375,9 @@ class MemoryStore:
 
         return self._alone("prune", work)
 
-    def consolidate(self, now: Column, use_vectors: bool = False) -> dict:
+    def consolidate(self, now: Column, use_vectors: bool = True) -> dict:
+        """Merge similar memories, by text and vectors where both have one."""
+
         def work(rows, m):
             plan = written(maintain.consolidate(rows, now, self.cfg, use_vectors))
             counts = plan.agg(F.count_distinct("cluster").alias("merged"), F.count_if(F.col("action") == "archive").alias("archived")).first().asDict()
