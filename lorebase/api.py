@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,8 @@ class Engine:
 
         Rows whose title or summary has only white space are an error.  A row is
         searched with the vector of its title and summary, and stored with the
-        vector of its whole text.
+        vector of its whole text.  Rows are stored as one by one in the order of
+        their ids, in as few rounds as that takes; each round is a commit.
         """
         with dropped_after(self.spark) as kept:
             kept.append(self._stored(rows, now))
@@ -59,16 +61,28 @@ class Engine:
             full = full.withColumn("_query", F.coalesce(query.cast("array<float>"), F.col("embedding")))
         full = written(derived(full, self.cfg))  # ids are drawn once
 
+        left, done = full, []
+        single = full.limit(2).count() < 2
+
         def work(before):
-            judged = full.withColumn("query_vector", F.col("_query"))
+            judged = left.withColumn("query_vector", F.col("_query"))
             verdicts = written(conflict.classify(before, judged, F.lit(now), self.cfg, self.store_.index().postings(), self.store_.fetch))
+            if not single:
+                verdicts = written(conflict.settled(judged, verdicts, F.lit(now), self.cfg))
             touched = verdicts.where("target is not null").select("target").union(conflict.supersede_edges(verdicts).select("old_id")).union(verdicts.select(F.explode("hits")))
             self._verdicts = verdicts
             some = written(before.join(touched.select(F.col("target").alias("id")).distinct(), "id", "left_semi"))
-            return conflict.apply(some, full.select([f.name for f in MEMORY]), verdicts, F.lit(now), self.cfg)
-
-        self.store_.change(work)
-        return self._verdicts
+            rows = left.join(verdicts.select("id"), "id", "left_semi").select([f.name for f in MEMORY])
+            return conflict.apply(some, rows, verdicts, F.lit(now), self.cfg)
+
+        while True:  # a round for each link of the longest chain of rows that wait for one another
+            self.store_.change(work)
+            done.append(self._verdicts)
+            if single:
+                return done[0]
+            left = written(left.join(self._verdicts.select("id"), "id", "left_anti"))
+            if not left.limit(1).count():
+                return done[0] if len(done) == 1 else written(reduce(DataFrame.unionByName, done))
 
     def _filled(self, rows: DataFrame, now: datetime) -> DataFrame:
         """All columns of a memory, with the values that are not given."""

@@ -22,6 +22,8 @@ class EngineConfig:
     supersede: float = 0.8
     coexist: float = 0.6
     is_similar: float = 0.3
+    #: rows of a batch this similar are stored one after another; with 0, all that find each other by text
+    batch_order: float = 0.6
     recency_days: float = 365.0
     reinforcement: float = 0.1
     #: semantic, fuzzy, strength, recency with a query vector; fuzzy, strength, recency without

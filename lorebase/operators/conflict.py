@@ -11,6 +11,8 @@ from ..plans.scratch import written
 from .search import batch_search, has_tag
 
 HITS = 10
+#: The rows of its batch that a row is compared with at a time; rows with more wait longer, see ``settled``.
+NEIGHBOURS = 50
 
 
 def classify(df: DataFrame, incoming: DataFrame, now: Column, cfg: EngineConfig = DEFAULT, index=None, fetch=None) -> DataFrame:
@@ -18,14 +20,12 @@ def classify(df: DataFrame, incoming: DataFrame, now: Column, cfg: EngineConfig
 
     incoming: id, title, summary, embedding, and optionally query_vector: the
     vector of title and summary alone, with which a row is searched (what is
-    stored is the vector of the whole).  Each row is judged against the state
-    before the batch, by its ten best hits; "first" means first by score.  An
+    stored is the vector of the whole).  Each row is judged against ``df``
+    alone (see ``settled`` for rows of one batch), by its ten best hits; "first" means first by score.  An
     old memory that several rows would supersede goes to the lowest id; the
     others then coexist.  index, fetch: see ``batch_search``.
     """
-    vector = F.col("query_vector") if "query_vector" in incoming.columns else F.col("embedding")
-    queries = incoming.select(F.col("id").alias("query_id"), F.concat_ws(" ", "title", "summary").alias("query"), vector.alias("query_vector"))
-    found = batch_search(df, queries, HITS, now, cfg, index, fetch).select("query_id", "id", "rank", "semantic_score", is_current().alias("current"))
+    found = batch_search(df, _queries(incoming), HITS, now, cfg, index, fetch).select("query_id", "id", "rank", "semantic_score", is_current().alias("current"))
     every = found.groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("hits"))
     hits = found.where("id <> query_id")
     sem = F.col("semantic_score")
@@ -44,6 +44,36 @@ def classify(df: DataFrame, incoming: DataFrame, now: Column, cfg: EngineConfig
     return out.select("id", action.alias("action"), "target", F.coalesce("superseded", none).alias("superseded"), F.coalesce("hits", none).alias("hits"))
 
 
+def _queries(incoming: DataFrame) -> DataFrame:
+    """query_id, query, query_vector: what each incoming row is searched with."""
+    vector = F.col("query_vector") if "query_vector" in incoming.columns else F.col("embedding")
+    return incoming.select(F.col("id").alias("query_id"), F.concat_ws(" ", "title", "summary").alias("query"), vector.alias("query_vector"))
+
+
+def settled(incoming: DataFrame, verdicts: DataFrame, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Those verdicts of ``classify`` that storing the rows of a batch one by one, by id, would reach as well; the others wait for a later state.
+
+    A row waits for the rows before it that would supersede one of its hits, and
+    for those before it that would be stored and be as similar to it as
+    ``cfg.batch_order``.  Rows that only reinforce store nothing, so no row
+    waits for them, unless they wait for a superseding one themselves: all
+    copies of a memory settle together.  A row whose NEIGHBOURS most similar
+    rows come after it may have others before it, and waits until it is first.
+    The first row never waits, so rounds end.
+    """
+    gone = supersede_edges(verdicts).select("old_id", F.col("new_id").alias("by"))
+    waits = written(verdicts.select("id", F.explode("hits").alias("old_id")).join(gone, "old_id").where("by < id").select("id").distinct())
+    if cfg.batch_order > 0 and not _queries(incoming).where("query_vector is not null").limit(1).count():
+        return verdicts.join(waits, "id", "left_anti")  # without vectors nothing is similar
+    open_rows = verdicts.where("target is null").select("id").unionByName(waits).distinct()
+    unsure = written(incoming.drop("query_vector").join(open_rows, "id", "left_semi"))
+    near = batch_search(unsure, _queries(incoming), NEIGHBOURS + 1, now, cfg).where((F.col("id") != F.col("query_id")) & (F.col("semantic_score") >= cfg.batch_order))
+    near = near.groupBy(F.col("query_id").alias("id")).agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    first = incoming.agg(F.min("id").alias("id")).withColumn("first", F.lit(True))
+    held = near.join(first, "id", "left").where((F.col("least") < F.col("id")) | ((F.col("n") >= NEIGHBOURS) & F.col("first").isNull()))
+    return verdicts.join(waits.unionByName(held.select("id")), "id", "left_anti")
+
+
 def supersede_edges(verdicts: DataFrame) -> DataFrame:
     """(old_id, new_id) of all supersessions."""
     return verdicts.select(F.explode("superseded").alias("old_id"), F.col("id").alias("new_id"))
@@ -59,7 +89,7 @@ def apply(df: DataFrame, incoming: DataFrame, verdicts: DataFrame, now: Column,
     """
     named = incoming.select(F.col("id").alias("_new"), F.col("content").alias("_text"))
     dups = verdicts.where("target is not null").join(named, verdicts["id"] == F.col("_new"))
-    dups = dups.groupBy(F.col("target").alias("_id")).agg(F.count("*").alias("_times"), F.max_by("_text", F.struct(F.length("_text"), "_text")).alias("_text"))
+    dups = dups.groupBy(F.col("target").alias("_id")).agg(F.count("*").alias("_times"), F.min_by("_text", F.struct((-F.length("_text")).alias("n"), "_new")).alias("_text"))
     seen = verdicts.select(F.explode("hits").alias("_hit")).groupBy("_hit").agg(F.count("*").alias("_seen"))
     gone = supersede_edges(verdicts).withColumnRenamed("old_id", "_old")
     rows = df.join(dups, df["id"] == F.col("_id"), "left").join(seen, df["id"] == F.col("_hit"), "left").join(gone, df["id"] == F.col("_old"), "left")

@@ -242,11 +242,42 @@ def test_conflict_coexist_and_new(spark, engine):
 
 def test_conflict_chain_and_batch(spark, engine):
     put(engine, ("1", "Bridge toll", "The toll is two crowns", "", [], [1.0, 0.0]))
-    # two rows of one batch would supersede the same memory: the lower id does, the other coexists
+    # two rows of one batch would supersede the same memory: the lower id does, and the other is a duplicate of it
     v = put(engine, ("2", "Bridge toll", "The toll is three crowns", "", [], vectors(0.9)), ("3", "Bridge toll", "The toll is four crowns", "", [], vectors(0.85)))
-    assert (v["2"].action, v["2"].superseded, v["3"].action) == ("StoredWithSupersede", ["1"], "StoredCoexist")
+    assert (v["2"].action, v["2"].superseded, v["3"].action, v["3"].target) == ("StoredWithSupersede", ["1"], "ReinforcedExisting", "2")
     current = {r.id for r in engine.store_.scan().where("not is_archived").collect()}
-    assert current == {"2", "3"}
+    assert current == {"2"}
+
+
+def test_a_batch_is_stored_as_one_by_one(spark, tmp_path):
+    """A row that supersedes, one that is then a duplicate of it, a copy of that, and one that is related to all."""
+    old = [("o1", "Mill race", "The gate is shut", "kept", ["water"], [1.0, 0.0])]
+    new = [("r1", "Mill race", "The gate is open", "seen", [], vectors(0.9)), ("r2", "Mill race", "The gate is open now", "seen twice", [], vectors(0.91)), ("r3", "Mill race", "The gate is open now", "seen", [], vectors(0.91)), ("r4", "Eel trap", "Near the gate", "", ["water"], vectors(0.3))]
+
+    def state(e):
+        rows = e.store_.scan().collect()
+        return {r.id: (r.access_count, round(r.base_strength, 9), r.is_archived, r.superseded_by, r.content, r.superseded_ids) for r in rows}
+
+    cfg = EngineConfig(batch_order=0.0)
+    one, whole = Engine(spark, str(tmp_path / "one"), cfg), Engine(spark, str(tmp_path / "whole"), cfg)
+    full = [(*r, r[-1]) for r in old]
+    for e in (one, whole):
+        e.store_unlimited(spark.createDataFrame(full, FIELDS), NOW)
+    single = {}
+    for r in new:
+        single |= put(one, r)
+    batch = put(whole, *new)
+    plain = lambda v: {k: (x.action, x.target, x.superseded) for k, x in v.items()}
+    assert plain(batch) == plain(single) and state(whole) == state(one)
+    assert {x.action for x in batch.values()} == {"StoredWithSupersede", "ReinforcedExisting", "StoredCoexist"}
+
+
+def test_copies_of_a_batch_settle_together(spark, engine):
+    rows = [(f"{i:03}", "Weir", "Sluice times", "x", [], [1.0, 0.0]) for i in range(60)]
+    v = put(engine, *rows)
+    assert v["000"].action == "StoredNew" and {(x.action, x.target) for k, x in v.items() if k != "000"} == {("ReinforcedExisting", "000")}
+    assert [r.id for r in engine.store_.scan().collect()] == ["000"] and engine.get("000", NOW, reinforce=False).access_count == 118
+    assert len(engine.store_._manifest()["commits"]) == 2
 
 
 def test_query_vector_is_of_title_and_summary(spark, engine):
