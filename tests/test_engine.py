@@ -42,6 +42,16 @@ def test_trigrams_and_jaccard(spark):
         assert r.j == pytest.approx(len(a & b) / len(a | b) if a else 0, abs=1e-7)
 
 
+def test_trigrams_of_long_texts_take_linear_time(spark):
+    words = ["stone", "Bridge", "\U0001f680", "ß\u00a0\u2003 x", "toll\n\n\n", "a" * 7]
+    rng = random.Random(3)
+    long = " ".join(rng.choice(words) + str(rng.randint(0, 99)) for _ in range(60_000))
+    start = time.time()
+    got = spark.createDataFrame([(long,)], "t string").select(text.trigrams(F.col("t")).alias("g")).first().g
+    assert time.time() - start < 20  # by the square of its length, a text like this takes minutes
+    assert set(got) == py_trigrams(long) and len(got) == len(set(got))
+
+
 def test_surrogates():
     assert text.without_orphans("ok 🚀 \ud83d x \ude00") == "ok 🚀  x "
 
