@@ -52,6 +52,16 @@ def test_trigrams_of_long_texts_take_linear_time(spark):
     assert set(got) == py_trigrams(long) and len(got) == len(set(got))
 
 
+def test_embedding_text_reads_long_words_once_and_long_texts_in_part(spark):
+    head = "  Mail a.b@c.de!!! or www.x.yz,,  then\tmore  "
+    texts = ["w" * 400_000, head + "é x" * 3000, "y" * 3000 + " " + head, head * 200]
+    start = time.time()
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.embedding_text(F.col("t"))).collect()]
+    assert time.time() - start < 20  # tried from each letter, the long word takes minutes
+    once = "Mail [EMAIL] ! or [URL] then more"
+    assert got == ["w" * 1024, (once + " " + " ".join(["x"] * 3000))[:1024], "y" * 1024, " ".join([once] * 200)[:1024]]
+
+
 def test_surrogates():
     assert text.without_orphans("ok 🚀 \ud83d x \ude00") == "ok 🚀  x "
 
