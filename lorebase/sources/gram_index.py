@@ -22,7 +22,7 @@ from ..config import DEFAULT, EngineConfig
 from ..functions.strength import day_of
 from ..functions.text import jaccard_of, normalize
 from ..operators.search import Probe
-from ..operators.topk import Postings, best_by_postings, classes_of, posting_rows, sizes_of
+from ..operators.topk import LEAN, Postings, best_by_postings, classes_of, posting_rows, sizes_of
 from ..plans.scratch import written
 
 _PARTS = ("grams", "tags", "sizes", "classes")
@@ -38,6 +38,7 @@ class GramIndex:
     def write(cls, memories: DataFrame, path: str) -> GramIndex:
         """The index of rows (id, trigrams, tags and what strength needs). A common gram's postings are cut into ranges of ids, so none is one task's."""
         spark = memories.sparkSession
+        memories = written(memories.select(LEAN))  # read by each table, and by the samples of its ranges
         last = memories.agg(F.max("last_accessed_at").alias("t")).first().t
         at = F.coalesce(day_of(F.lit(last).cast("timestamp")), F.lit(0.0))
         rows, grams, tags = posting_rows(memories, at)

@@ -62,6 +62,23 @@ def test_embedding_text_reads_long_words_once_and_long_texts_in_part(spark):
     assert got == ["w" * 1024, (once + " " + " ".join(["x"] * 3000))[:1024], "y" * 1024, " ".join([once] * 200)[:1024]]
 
 
+def counted(rows, spark, column):
+    """``rows`` with a column that passes through Python, and how many of its values did."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    return rows.withColumn(column, F.udf(look, rows.schema[column].dataType)(column)), seen
+
+
+def test_index_computes_its_memories_once(spark, tmp_path):
+    rows, seen = counted(many(spark, 40, F.lit("stone bridge")), spark, "trigrams")
+    GramIndex.write(rows, str(tmp_path / "index"))
+    assert seen.value == 40
+
+
 def test_surrogates():
     assert text.without_orphans("ok 🚀 \ud83d x \ude00") == "ok 🚀  x "
 
