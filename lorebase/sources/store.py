@@ -194,7 +194,8 @@ class MemoryStore:
         name, version = f"commit-{uuid.uuid4().hex}", m["version"] + 1
         if replace:  # clustered by the month in which memories fade, then by id, for ranges and look-ups
             order = [F.floor(F.col("prune_day") / 30), F.col("id")]
-            rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+            # index text and trigrams are computed behind the shuffles, as for every write: they are half of a row's bytes
+            rows = self._whole(rows.drop("content_normalized", "trigrams").repartitionByRange(*order).sortWithinPartitions(*order))
         rows.withColumn("version", F.lit(version)).withColumn("op", F.lit(op)).write.parquet(f"{self.path}/{name}")
         last = dict(m.get("last_run", {}))
         if self.running:
@@ -360,7 +361,7 @@ class MemoryStore:
     def compact(self) -> dict:
         """Rewrite the current rows as one commit."""
         before = self.size_bytes()
-        done = self._alone("compact", lambda now, m: ({}, written(now), "U", True))
+        done = self._alone("compact", lambda now, m: ({}, now, "U", True))  # the view reads commits only, and ``_commit`` shuffles it once
         if done["success"]:
             after = self.size_bytes()
             self.vacuum()

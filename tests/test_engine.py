@@ -79,6 +79,18 @@ def test_index_computes_its_memories_once(spark, tmp_path):
     assert seen.value == 40
 
 
+def test_compaction_shuffles_and_writes_once(spark, tmp_path, monkeypatch):
+    from lorebase.sources import store as module
+
+    store, seen = MemoryStore(spark, str(tmp_path)), []
+    store.save(many(spark, 40, F.lit("stone bridge")))
+    store.save(many(spark, 10, F.lit("mill")))
+    want = {r.id: (r.title, sorted(r.trigrams), r.content_normalized) for r in store.scan().collect()}
+    monkeypatch.setattr(module, "written", lambda df: seen.append(df) or df)
+    assert store.compact()["success"] and not seen
+    assert {r.id: (r.title, sorted(r.trigrams), r.content_normalized) for r in store.scan().collect()} == want and len(want) == 40
+
+
 def test_surrogates():
     assert text.without_orphans("ok 🚀 \ud83d x \ude00") == "ok 🚀  x "
 
