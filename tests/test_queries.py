@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lorebase.plans.queries import QUERIES, SQL
@@ -27,3 +28,15 @@ def test_matches_sql(spark, name):
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     assert plain(QUERIES[name](spark, DIR).toPandas()) == plain(con.sql(SQL[name]).df())
+
+
+def test_surrogates_in_few_rows_at_a_time_and_null_texts(spark, tmp_path):
+    from lorebase.plans.queries import FEW, few_rows
+
+    n = 3 * FEW + 1
+    rows = [(k, None if k % 50 == 7 else f"text {k} \U0001f680") for k in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert plain(QUERIES["surrogate_sanitize"](spark, str(tmp_path)).toPandas()) == plain(con.sql(SQL["surrogate_sanitize"]).df())
+    assert [p.num_rows for p in few_rows(pa.RecordBatch.from_pydict({"id": list(range(n))}))] == [FEW, FEW, FEW, 1]
