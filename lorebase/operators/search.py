@@ -177,10 +177,12 @@ def batch_search(df: DataFrame, queries: DataFrame, top_n: int, now: Column, cfg
     limit = cfg.over_fetch * top_n
     if index is None:
         lean = written(df.select(LEAN))  # scored more than once
-        hits = best_by_postings(postings(lean, day_of(now)), lambda found: lean.join(found, "id"), queries, limit, now, cfg)
+        hits = written(best_by_postings(postings(lean, day_of(now)), lambda found: lean.join(found, "id"), queries, limit, now, cfg))
+        # the lean rows have what is dear to compute, so the memories give the rest only
+        rows = df.drop(*LEAN[1:]).join(hits, "id").join(lean, "id").select(*df.columns, *[c for c in hits.columns if c != "id"])
     else:
         hits = written(best_by_postings(index, fetch, queries, limit, now, cfg))
-    rows = fetch(hits) if fetch else df.join(hits, "id")
+        rows = fetch(hits) if fetch else df.join(hits, "id")
     return ranked_hits(rows.join(queries, "query_id"), top_n, now, cfg)
 
 

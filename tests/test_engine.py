@@ -79,6 +79,13 @@ def test_index_computes_its_memories_once(spark, tmp_path):
     assert seen.value == 40
 
 
+def test_batch_search_computes_its_memories_once(spark):
+    rows, seen = counted(many(spark, 40, F.lit("stone bridge")).withColumn("embedding", F.lit(None).cast("array<float>")), spark, "trigrams")
+    queries = spark.createDataFrame([(1, "stone")], "query_id int, query string").withColumn("query_vector", F.lit(None).cast("array<float>"))
+    assert batch_search(rows, queries, 4, F.lit(NOW)).count() == 4
+    assert seen.value == 40
+
+
 def test_compaction_shuffles_and_writes_once(spark, tmp_path, monkeypatch):
     from lorebase.sources import store as module
 
