@@ -85,24 +85,25 @@ def _class_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 def _blended_pairs(rows: DataFrame, threshold: float, cfg: EngineConfig) -> DataFrame:
     """(a, b, similarity): pairs of rows (id, grams, embedding, n, class), all with vectors, that may reach the blended threshold, with their Jaccard similarity.
 
-    A blend of parts bounds each by the other: sets of a Jaccard similarity of
-    at least ``split`` meet in the parts of their trigrams, and all others need
-    a cosine so high that they meet in the cells of their vectors.
+    A blend of parts bounds each by the other: however equal the sets are, the
+    vectors must be so near that they meet in the cells (see ``vector_join``),
+    and the sizes and sketches of the sets must admit what the vectors lack.
+    Only where the threshold asks nothing of the vectors, sets of a Jaccard
+    similarity of at least ``split`` meet in the parts of their trigrams.
     """
     wc, wj = cfg.pair_weights
-    least = (threshold - wc) / wj - 1e-6  # of Jaccard, where the cosine is 1
-    split = max(least, LEAST_THRESHOLD)
-    found = _class_pairs(rows, split)
-    if least >= LEAST_THRESHOLD:
-        return found
-    least = max(least, 0.0)
+    least = max((threshold - wc) / wj - 1e-6, 0.0)  # of Jaccard, where the cosine is 1
+    cosine_least, found = (threshold - wj) / wc - 1e-6, None
+    if cosine_least <= 0:
+        split = max(least, LEAST_THRESHOLD)
+        cosine_least, found = (threshold - wj * split) / wc - 1e-6, _class_pairs(rows, split)
     ratio = (1 - least) / (1 + least)
     drawn = rows.join(sketches(rows.select("id", F.col("grams").alias("items"))), "id").drop("grams", "class")
     like = lambda a, b: (F.least(f"{a}.n", f"{b}.n") >= least * F.greatest(f"{a}.n", f"{b}.n") - 1e-9) & may_be_similar(a, b, ratio)
-    near = near_vectors(drawn, (threshold - wj * split) / wc - 1e-6, like)
+    near = near_vectors(drawn, cosine_least, like)
     side = lambda c: rows.select(F.col("id").alias(c), F.col("grams").alias(f"_{c}"))
     near = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", jaccard(F.col("_a"), F.col("_b")).alias("similarity"))
-    return found.unionByName(near).dropDuplicates(["a", "b"])
+    return near if found is None else found.unionByName(near).dropDuplicates(["a", "b"])
 
 
 def leader_clusters(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,11 @@ vector need only ask the cells whose border is no farther away than that: a
 pair is met once, where one of the two asks the cell of the other.  Pivots are a
 bounded sample, which decides how much work is saved, never what is found.
 
-Equi-joins on (cell, salt): a full cell is cut by salts and asked salt by salt.
+Cells, two by two, are one group each: of two cells one asks the other, so what
+is sent is half of what all would ask.  There the vectors are multiplied in blocks,
+in single precision; what comes near the bound is computed again in double.
+There are only as many cells as give each one block, for every vector may have
+to ask half of them; full cells and askers are cut by salts.
 """
 
 from __future__ import annotations
@@ -14,31 +18,53 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot, l2_normalized, norm
 from ..plans.scratch import written
 
-#: The pivots are the square root of the number of vectors, up to this many: what is broadcast is bounded.
+#: Pivots, at most: what is broadcast is bounded.
 MAX_PIVOTS = 512
-#: Vectors of a cell that share a salt.
-BLOCK = 4096
+#: Vectors of a cell that share a salt; a pivot for so many.
+BLOCK = 8192
+#: Blocks of askers that share a salt, and rows of one product.
+ASKERS, CHUNK = 4, 2048
+#: What single precision may be off by, for vectors of length 1.
+SLACK = 1e-4
 
 
 def _pivots(rows: DataFrame, dim: int, n: int) -> np.ndarray:
     """Distinct vectors of a length, by the hash of their ids."""
-    count = min(MAX_PIVOTS, max(1, math.isqrt(n)))
+    count = min(MAX_PIVOTS, max(1, n // BLOCK))
     found = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").select("unit").limit(count).collect()
     return np.unique(np.array([r.unit for r in found]), axis=0)
 
 
+def _met(askers: pd.DataFrame, members: pd.DataFrame, least: float) -> pd.DataFrame:
+    """(x, y, same): askers and members of one group whose cosine is at least ``least``."""
+    xs, ys, same = [], [], []
+    if len(askers) and len(members):
+        a, b = np.stack(askers["unit"].to_numpy()), np.stack(members["unit"].to_numpy())
+        b32 = b.astype(np.float32).T
+        for k in range(0, len(a), CHUNK):
+            i, j = np.nonzero(a[k : k + CHUNK].astype(np.float32) @ b32 >= least - SLACK)
+            for at in range(0, len(i), 1 << 16):
+                p, q = i[at : at + (1 << 16)] + k, j[at : at + (1 << 16)]
+                near = np.einsum("ij,ij->i", a[p], b[q]) >= least - 1e-9
+                xs.append(askers["id"].to_numpy()[p[near]])
+                ys.append(members["id"].to_numpy()[q[near]])
+                same.append(askers["own"].to_numpy()[p[near]] == members["cell"].to_numpy()[q[near]])
+    join = lambda parts, of: np.concatenate(parts) if parts else of.to_numpy()[:0]
+    return pd.DataFrame({"x": join(xs, askers["id"]), "y": join(ys, members["id"]), "same": np.concatenate(same) if same else np.zeros(0, bool)})
+
+
 def near_vectors(rows: DataFrame, least: float, also) -> DataFrame:
     """(a, b) of rows (id, embedding, ...), a < b, whose vectors have a cosine of at least ``least`` > 0.
 
-    also(a, b): a cheap condition on the further columns of rows aliased so,
-    which pairs must meet besides; it is tested before the vectors are.  Null,
-    empty and zero vectors, and vectors of different lengths, are near nothing;
+    also(a, b): a condition on the further columns of rows aliased so, which
+    pairs must meet besides; the vectors are tested first.  Null, empty and zero vectors, and vectors of different lengths, are near nothing;
     ids are unique.
     """
     if not 0 < least:
@@ -61,15 +87,27 @@ def near_vectors(rows: DataFrame, least: float, also) -> DataFrame:
     within = lambda i: F.get("dots", F.col("own")) - F.get("dots", i) <= reach * F.get(border, i) + 1e-9
     asks = F.when(usual, F.filter(F.sequence(F.lit(0), F.lit(len(pivots) - 1)), within)).otherwise(F.array(-F.col("dim")))
     # vectors of an unusual length have one cell for each length
-    at = written(at.withColumn("asks", asks).withColumn("cell", F.coalesce("own", -F.col("dim"))).drop("pivots", "apart", "dots", "own"))
-    salts = at.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))  # a row for each pivot and length
-    salts = F.broadcast(salts)
-    members = at.drop("asks").join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
-    askers = at.drop("cell").withColumn("cell", F.explode("asks")).drop("asks").join(salts, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    a, b = askers.alias("a"), members.alias("b")
-    met = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.dim") == F.col("b.dim"))
-    pairs = a.join(b, met & also("a", "b")).where(dot(F.col("a.unit"), F.col("b.unit")) >= least - 1e-9)
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    at = at.withColumn("asks", asks).withColumn("own", F.coalesce("own", -F.col("dim"))).select("id", "unit", "own", "asks")
+    at = written(at)
+    n = len(pivots)
+    # of two cells the one asks that is at most half the round before the other; two that face each other, the lesser
+    ahead = lambda i: F.pmod(i - F.col("own"), F.lit(n))
+    asked = F.filter("asks", lambda i: (i < 0) | (2 * ahead(i) < n) | ((2 * ahead(i) == n) & (F.col("own") < i)))
+    salts = F.broadcast(at.groupBy("own").agg(F.ceil(F.count("*") / BLOCK).alias("salts")).withColumnRenamed("own", "cell"))  # a row for each pivot and length
+    sides = -(-at.count() // (ASKERS * BLOCK)) or 1
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
+    members = at.toDF(*at.columns).select("id", "unit", F.col("own").alias("cell")).join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
+    members = members.select("id", "unit", "cell", "salt", every(F.lit(sides).cast("long")).alias("side"))
+    askers = at.select("id", "unit", "own", F.explode(asked).alias("cell"), F.pmod(F.xxhash64("id", F.lit("side")), F.lit(sides).cast("long")).alias("side"))
+    askers = askers.join(salts, "cell").select("id", "unit", "own", "cell", "side", every(F.col("salts")).alias("salt"))
+    kind = rows.schema["id"].dataType.simpleString()
+    by = ["cell", "salt", "side"]
+    met = askers.groupBy(*by).cogroup(members.groupBy(*by)).applyInPandas(lambda a, b: _met(a, b, least), f"x {kind}, y {kind}, same boolean")
+    pairs = met.where("not same or x < y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    further = known.drop("unit", "dim")
+    a, b = further.alias("a"), further.alias("b")
+    pairs = pairs.join(a, F.col("x") == F.col("a.id")).join(b, F.col("y") == F.col("b.id")).where(also("a", "b"))
+    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def equal_vector(c: Column) -> Column:

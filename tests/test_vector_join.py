@@ -63,3 +63,23 @@ def test_very_many_equal_memories_with_vectors(spark):
     df = df.withColumns({"is_archived": F.lit(False), "is_pinned": F.lit(False), "base_strength": F.when(F.col("id") == 777, 2.0).otherwise(1.0), "decay_rate": F.lit(0.1), "importance": F.lit(0.5)})
     got = maintain.consolidate(df, F.lit(NOW), use_vectors=True).groupBy("cluster", "survivor", "action").count().collect()
     assert {tuple(r) for r in got} == {(0, 777, "keep", 1), (0, 777, "archive", 49_999)}
+
+
+def test_blended_pairs_meet_by_vectors_alone(spark, monkeypatch):
+    """At 0.8 no pair without near vectors is blended, so sets of rows with vectors are not joined at lower thresholds."""
+    asked, whole = [], maintain.similar_sets
+    monkeypatch.setattr(maintain, "similar_sets", lambda rows, threshold: asked.append(threshold) or whole(rows, threshold))
+    rng = np.random.default_rng(6)
+    text = "the quick brown fox jumps over the lazy dog by the river"
+    x = rng.normal(size=(30, 8))
+    rows = [(i, text[: 56 - i % 15], x[i // 2].tolist() if i % 5 else None) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, content_normalized string, embedding array<double>")
+    got = {(r.a, r.b) for r in maintain.similar_pairs(df, 0.8, use_vectors=True).collect()}
+    grams = lambda t: {f"  {t.strip()}  "[i : i + 3] for i in range(len(t.strip()) + 2)}
+    want = set()
+    for a, s, u in rows:
+        for b, t, v in rows[a + 1 :]:
+            j = len(grams(s) & grams(t)) / len(grams(s) | grams(t))
+            c = float(np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v)) if u and v else None
+            want |= {(a, b)} if (j if c is None else 0.6 * c + 0.4 * j) >= 0.8 else set()
+    assert asked == [0.8] and got == want and got
