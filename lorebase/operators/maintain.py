@@ -10,7 +10,7 @@ from ..functions.strength import current_strength
 from ..functions.text import jaccard, jaccard_of, normalize, searchable, trigrams
 from ..functions.vector import cosine, norm
 from ..plans.scratch import written
-from .set_join import LEAST_THRESHOLD, may_be_similar, similar_sets, sketches
+from .set_join import LEAST_THRESHOLD, first_met, may_be_similar, met, shared, signatures, similar_sets, sketches
 from .vector_join import equal_vector, near_vectors
 
 
@@ -61,9 +61,14 @@ def _classed(df: DataFrame) -> DataFrame:
     return written(rows.withColumn("class", F.sha2(F.concat_ws("\u0001", F.array_sort("grams")), 256)))
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """class, id (the least), items, n, members of rows (id, grams, n, class)."""
+    return written(rows.groupBy("class").agg(F.min("id").alias("id"), F.min_by("grams", "id").alias("items"), F.min("n").alias("n"), F.count("*").alias("members")))
+
+
 def _linked_classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs) of rows (id, grams, n, class): class, id (the least), items, n, members; and a < b (least ids of classes) with the similarity that reaches a Jaccard threshold."""
-    classes = written(rows.groupBy("class").agg(F.min("id").alias("id"), F.min_by("grams", "id").alias("items"), F.min("n").alias("n"), F.count("*").alias("members")))
+    """(classes, pairs) of rows (id, grams, n, class): the classes, and a < b (least ids of classes) with the similarity that reaches a Jaccard threshold."""
+    classes = _classes(rows)
     near = similar_sets(classes.select("id", "items", "n"), threshold)
     size = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"_n{c}"))
     return classes, near.join(size("a"), "a").join(size("b"), "b").select("a", "b", jaccard_of(F.col("both"), F.col("_na"), F.col("_nb")).alias("similarity"))
@@ -137,6 +142,38 @@ def leader_clusters(pairs: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("leader", "id").alias("leader"))
 
 
+def set_leaders(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, leader) of rows (id, items, n), as ``leader_clusters`` gives them of all similar pairs, without all of these.
+
+    Copies with small changes are all similar to each other, so their pairs
+    grow with the square of their number.  Hubs are sets that others find as
+    the least with a signature of theirs; all that is similar to hubs is found.
+    A hub without a smaller neighbour leads, so its neighbours do not, and no
+    pair of two of these says anything about leaders.  What is left is joined
+    with itself, and what leads of it with those neighbours.
+    """
+    near = lambda pairs: shared(pairs, sets, threshold).where(jaccard_of(F.col("both"), F.col("_na"), F.col("_nb")) >= threshold).select("a", "b")
+    named = lambda df, c: df.select(F.col(c).alias("id")).distinct()
+    keys = signatures(sets, threshold)
+    hubs = written(named(near(first_met(keys, threshold)).groupBy("b").agg(F.min("a").alias("a")), "a"))
+    around = written(near(met(keys.join(hubs, "id", "left_semi"), keys, threshold)))
+    first = written(hubs.join(named(around, "b"), "id", "left_anti"))
+    sure = written(around.join(first.select(F.col("id").alias("a")), "a", "left_semi"))
+    led = written(named(sure, "b"))
+    rest = written(keys.join(first, "id", "left_anti").join(led, "id", "left_anti"))
+    a, b = rest.alias("a"), rest.toDF(*rest.columns).alias("b")
+    among = leader_clusters(near(met(a, b, threshold)))
+    among = written(among)
+    behind = rest.join(among.where("id <> leader").select("id"), "id", "left_anti")
+    later = written(near(met(behind, keys.join(led, "id", "left_semi"), threshold)))
+    # an end that is not led leads
+    edges = sure.unionAll(later.join(led.select(F.col("id").alias("b")), "b", "left_semi").join(led.select(F.col("id").alias("a")), "a", "left_anti").select("a", "b"))
+    of = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+    alone = first.unionAll(named(later.select("a").unionAll(later.select(F.col("b").alias("a"))), "a").join(led, "id", "left_anti"))
+    alone = alone.join(among.select("id"), "id", "left_anti").distinct()
+    return of.unionAll(among).unionAll(alone.select("id", F.col("id").alias("leader")))
+
+
 def similar_clusters(df: DataFrame, threshold: float, cfg: EngineConfig = DEFAULT, use_vectors: bool = False) -> DataFrame:
     """(id, leader) as ``leader_clusters(similar_pairs(...))`` gives them, without a pair for every two rows of a class.
 
@@ -156,8 +193,8 @@ def similar_clusters(df: DataFrame, threshold: float, cfg: EngineConfig = DEFAUL
         of = classes.join(led, "least", "left").where("members > 1 or leader is not null")
         return rows.join(of.select("class", F.coalesce("leader", "least").alias("leader")), "class").select("id", "leader")
     rows = _classed(df)
-    classes, near = _linked_classes(rows, threshold)
-    led = leader_clusters(near.where(F.col("similarity") >= threshold)).withColumnRenamed("id", "least")
+    classes = _classes(rows)
+    led = set_leaders(classes.select("id", "items", "n"), threshold).withColumnRenamed("id", "least")
     of = classes.select("class", F.col("id").alias("least"), "members").join(led, "least", "left").where("members > 1 or leader is not null")
     return rows.select("id", "class").join(of.select("class", F.coalesce("leader", "least").alias("leader")), "class").select("id", "leader")
 

@@ -1,23 +1,28 @@
-"""An exact Jaccard self-join of sets, by parts that similar sets must share.
-
-The elements of a set fall into ``k`` parts by hash.  Two sets that reach the
-threshold differ in at most H elements, so of ``k = H + 1 + slack`` parts at
-least ``1 + slack`` are equal; k belongs to a level, a range of set sizes, and a
-set whose partner may be of the next level takes part in both.  Parts are far
-more selective than single elements: common elements alone bring no two sets
-together.  Each set leaves out its most frequent parts, as many as it can spare.
-A set's elements also set bits of a sketch; bits that only one of two sets has
-bound their difference from below, so most pairs that meet by chance go before
-any set is moved.
-
-Built-in functions and equi-joins only; the one range join is with the table of
-levels, of which there are at most MAX_LEVELS.
+"""An exact Jaccard self-join of sets, by signatures that similar sets must share.
+
+The elements of a set fall into ``k`` parts by hash, and those of a part into
+three.  Two sets that reach the threshold differ in at most H elements.  A part
+has three signatures, each of two of its thirds: a part without a difference
+shares three, one with a single difference shares one.  So sets that differ in D
+elements share ``3k - 2D`` signatures, or ``2k - D`` where D is above k, and
+``k = H // 2 + 1 + slack`` parts are enough; a signature covers about twice the
+elements that one of H + 1 parts has, so few sets meet by chance.  k belongs to a
+level, a range of set sizes, and a set whose partner may be of the next level
+takes part in both.  Each set leaves out its most frequent signatures, as many as
+it can spare.  A set's elements also set bits of a sketch; bits that only one of
+two sets has bound their difference from below, so most pairs that meet by chance
+go before any set is moved.
+
+Signatures are computed a set at a time, without a shuffle of elements; what
+meets is found by equi-joins.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,25 +30,70 @@ from ..plans.scratch import written
 
 #: Below this threshold sets may differ in so much that parts select too little.
 LEAST_THRESHOLD = 0.65
-MAX_LEVELS = 64
+#: Enough for sets of 2e9 elements.
+MAX_LEVELS = 96
 #: Longs of a sketch.
 SKETCH = 8
+#: Sets whose signatures one batch has.
+FEW = 512
 
 
-def levels(threshold: float) -> list[tuple[int, int, int, int, int]]:
-    """(level, least size that takes part, size that no longer does, parts, slack) of all levels, by size."""
+def levels(threshold: float) -> list[tuple[int, int, int, int]]:
+    """(level, least size that takes part, size that no longer does, parts) of all levels, by size."""
     differ = lambda n: math.floor(n * (1 - threshold) / (1 + threshold) + 1e-9)
-    growth, low, out = max(1.5, 1 / threshold + 1e-9), 1, []
+    growth, low, out = max(1.25, 1 / threshold + 1e-9), 1, []
     while len(out) < MAX_LEVELS:
         high = max(low + 1, math.ceil(low * growth))
         most = differ(2 * (high - 1))
-        empty = math.exp(-threshold * low / (1.1 * most)) if most else 0.0
-        slack = 2 + math.ceil(1.5 * most * empty)
-        out.append((len(out), math.ceil(threshold * low - 1e-9), high, most + 1 + slack if most else 1, slack if most else 0))
+        out.append((len(out), math.ceil(threshold * low - 1e-9), high, most // 2 + 1 + most // 12))
         low = high
     return out
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection that spreads 64 bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _signatures(threshold: float):
+    """Batches (id, n, hashes) to (id, n, level, guest, spare, keys): a row for each set and level; guests are too small to be of the level but for their partners."""
+    table = levels(threshold)
+    least, high, parts = (np.array([t[i] for t in table]) for i in (1, 2, 3))
+    low = np.concatenate([[0], high[:-1]])
+    ratio = (1 - threshold) / (1 + threshold)
+
+    def run(batches):
+        for whole in batches:
+            for b in (whole.slice(i, FEW) for i in range(0, whole.num_rows, FEW)):
+                n = b.column(1).to_numpy()
+                lists = b.column(2)
+                hashes = lists.flatten().to_numpy().view(np.uint64)
+                start = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                row, level = np.nonzero((n[:, None] >= least) & (n[:, None] < high))
+                k = parts[level]
+                cell = np.concatenate([[0], np.cumsum(3 * k)])
+                size = start[row + 1] - start[row]
+                at = np.repeat(np.arange(len(row)), size)
+                h = hashes[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + start[row][at]]
+                sums = np.zeros(cell[-1], np.uint64)
+                mixed = _mixed(h)
+                np.add.at(sums, cell[at] + (mixed % (3 * k[at]).astype(np.uint64)).astype(np.int64), _mixed(mixed + np.uint64(1)))
+                place = np.arange(cell[-1]) - np.repeat(cell[:-1], 3 * k)
+                left_out = np.repeat(sums.reshape(-1, 3).sum(axis=1, dtype=np.uint64), 3) - sums
+                slot = np.repeat(level, 3 * k).astype(np.uint64) << np.uint64(40) | place.astype(np.uint64)
+                keys = _mixed(left_out ^ _mixed(slot + np.uint64(1))).view(np.int64)
+                partner = np.minimum(np.floor(n[row] / threshold + 1e-9), high[level] - 1)
+                most = np.floor((n[row] + partner) * ratio + 1e-9).astype(np.int64)
+                shared = np.where(most <= k, 3 * k - 2 * most, 2 * k - most)
+                spare = np.maximum(shared - 1, 0)
+                out = [b.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(level), pa.array(n[row] < low[level]), pa.array(spare), pa.ListArray.from_arrays(pa.array(cell, pa.int32()), pa.array(keys))]
+                yield pa.RecordBatch.from_arrays(out, names=["id", "n", "level", "guest", "spare", "keys"])
+
+    return run
+
+
 def sketches(rows: DataFrame) -> DataFrame:
     """id, s0, s1, ...: of rows (id, items), a bit of 64 * SKETCH for each item by its hash."""
     word, bit = F.pmod("h", F.lit(SKETCH)), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 8), 64) as int))")
@@ -57,39 +107,55 @@ def may_be_similar(a: str, b: str, ratio: float) -> Column:
     return apart <= F.floor((F.col(f"{a}.n") + F.col(f"{b}.n")) * ratio + 1e-9)
 
 
-def similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, both): all pairs a < b of rows (id, items, n) whose sets reach the Jaccard threshold, and what they share.
+def signatures(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, guest, key, s0, ...): what sets of rows (id, items, n) have to meet by, but for keys that only one has.
 
     items are distinct strings, n > 0 is their number; ids are unique.
     """
     if threshold < LEAST_THRESHOLD:
         raise ValueError(f"thresholds below {LEAST_THRESHOLD} need another join")
-    spark = rows.sparkSession
-    table = spark.createDataFrame(levels(threshold), "level int, least long, high long, k long, slack long")
-    near = (F.col("n") >= F.col("least")) & (F.col("n") < F.col("high"))
-    at = rows.select("id", "n", "items").join(F.broadcast(table), near)  # MAX_LEVELS rows
-    item = at.select("id", "n", "level", "high", "k", "slack", F.explode("items").alias("item")).withColumn("h", F.xxhash64("item"))
-    # a set's elements lie side by side, so each part is complete before the shuffle
-    parts = item.groupBy("id", "n", "level", "high", "k", "slack", F.pmod(F.shiftright("h", 17), F.col("k")).alias("part")).agg(F.bit_xor("h").alias("x"), F.count("*").alias("c"))
-    parts = written(parts.select("id", "n", "level", "high", "k", "slack", "part", F.xxhash64("level", "part", "x", "c").alias("key")))
-    per = parts.groupBy("id", "n", "level", "high", "k", "slack").agg(F.count("*").alias("full"))
-    ratio = (1 - threshold) / (1 + threshold)
-    partner = F.least(F.floor(F.col("n") / threshold + 1e-9), F.col("high") - 1)
-    spare = F.col("full") - 1 - F.floor((F.col("n") + partner) * ratio + 1e-9)
-    per = per.withColumn("sparse", F.col("k") - F.col("full") > F.col("slack")).withColumn("spare", F.when(F.col("sparse"), 0).otherwise(F.greatest(F.lit(0), spare)))
-    # sets with more empty parts than the slack also meet in those
-    every = per.where("sparse").select("id", "n", "level", "spare", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("part"))
-    empty = every.join(parts.select("id", "level", "part"), ["id", "level", "part"], "left_anti")
-    empty = empty.select("id", "n", "level", "spare", F.xxhash64("level", "part", F.lit("empty")).alias("key"))
-    keys = parts.join(per.select("id", "level", "spare"), ["id", "level"]).select("id", "n", "level", "spare", "key").unionByName(empty)
+    hashed = rows.select("id", F.col("n").cast("long").alias("n"), F.transform("items", lambda x: F.xxhash64(x)).alias("h"))
+    kind = rows.schema["id"].dataType.simpleString()
+    signed = written(hashed.mapInArrow(_signatures(threshold), f"id {kind}, n long, level long, guest boolean, spare long, keys array<long>"))
+    keys = signed.select("id", "n", "level", "guest", "spare", F.explode("keys").alias("key"))
     often = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     common = Window.partitionBy("id", "level").orderBy(F.desc("c"), "key")
-    keys = keys.join(often, "key").withColumn("r", F.row_number().over(common)).where("r > spare").select("id", "n", "key")
-    keys = written(keys.join(sketches(rows), "id"))
-    a, b = keys.alias("a"), keys.alias("b")
-    reach = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
-    reach = reach & may_be_similar("a", "b", ratio)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & reach).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    keys = keys.join(often, "key").withColumn("r", F.row_number().over(common)).where("r > spare").select("id", "n", "guest", "key")
+    return written(keys.join(sketches(rows), "id"))
+
+
+def may_meet(a: str, b: str, threshold: float) -> Column:
+    """Whether two rows of ``signatures`` with one key may be similar; guests of a level meet in their own."""
+    reach = F.least(f"{a}.n", f"{b}.n") >= threshold * F.greatest(f"{a}.n", f"{b}.n") - 1e-9
+    return ~(F.col(f"{a}.guest") & F.col(f"{b}.guest")) & reach & may_be_similar(a, b, (1 - threshold) / (1 + threshold))
+
+
+def met(some: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, each once: sets of ``some`` and of ``others``, both rows of ``signatures``, that may be similar."""
+    a, b = some.alias("a"), others.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & may_meet("a", "b", threshold))
+    return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
+
+def first_met(keys: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, each once: each set with the least of all that have a key of its, where they may be similar."""
+    columns = [c for c in keys.columns if c != "key"]
+    least = keys.groupBy("key").agg(F.min(F.struct("id", *(c for c in columns if c != "id"))).alias("of")).select("key", "of.*")
+    a, b = least.alias("a"), keys.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & may_meet("a", "b", threshold))
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def shared(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, both, _na, _nb) of the pairs that reach the threshold: what they share, and their sizes."""
     side = lambda c: rows.select(F.col("id").alias(c), F.col("items").alias(f"_{c}"), F.col("n").alias(f"_n{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("_a", "_b")))
-    return both.where(F.col("both") >= threshold * (F.col("_na") + F.col("_nb") - F.col("both")) - 1e-6).select("a", "b", "both")
+    return both.where(F.col("both") >= threshold * (F.col("_na") + F.col("_nb") - F.col("both")) - 1e-6).select("a", "b", "both", "_na", "_nb")
+
+
+def similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, both): all pairs a < b of rows (id, items, n) whose sets reach the Jaccard threshold, and what they share."""
+    keys = signatures(rows, threshold)
+    a, b = keys.alias("a"), keys.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & may_meet("a", "b", threshold))
+    return shared(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), rows, threshold).select("a", "b", "both")

@@ -132,3 +132,41 @@ def test_reads_after_compaction(spark, tmp_path):
     want = {r.id for r in maintain.prune(store.scan(), F.lit(NOW)).collect()}
     store.prune(F.lit(NOW))
     assert {r.id for r in store.scan().collect()} == want and 0 < len(want) < 80
+
+
+def test_leaders_of_very_many_near_copies(spark, monkeypatch):
+    """As the clusters of all pairs, but few of the pairs of 300 near copies are looked at."""
+    rng = random.Random(11)
+    texts = []
+    for base in ("".join(rng.choice("abcdefghij ") for _ in range(240)) for _ in range(3)):
+        for _ in range(100):
+            t = list(base)
+            for _ in range(rng.choice([1, 2, 4, 6, 9])):
+                t[rng.randrange(240)] = rng.choice("xyz")
+            texts.append("".join(t))
+    rng.shuffle(texts)
+    df = rows_of(spark, texts).cache()
+    plain = lambda rows: sorted((r.id, r.leader) for r in rows.collect())
+    whole, seen = maintain.leader_clusters, []
+    pairs = maintain.similar_pairs(df, 0.8)
+    want = plain(whole(pairs))
+    monkeypatch.setattr(maintain, "leader_clusters", lambda pairs: seen.append(pairs.count()) or whole(pairs))
+    assert plain(maintain.similar_clusters(df, 0.8)) == want
+    assert pairs.count() > 5000 and sum(seen) < 1000
+
+
+def test_each_set_has_a_chance_to_meet(spark):
+    """Sets at the very edge of the threshold, of all sizes, on both sides of each level."""
+    from lorebase.operators.set_join import similar_sets
+
+    rows, want = [], set()
+    for i, n in enumerate([1, 2, 4, 5, 9, 10, 18, 20, 36, 40, 99, 100, 160, 200, 212, 250, 320, 400]):
+        for t, cut in ((0, 0), (1, n // 5), (2, -(-n // 10))):  # whole; four fifths of it; a tenth exchanged
+            items = [f"{i} {k}" for k in range(cut, n)] + ([f"{i} new {k}" for k in range(cut)] if t == 2 else [])
+            rows.append((3 * i + t, items, len(items)))
+    for i, (a, x, _) in enumerate(rows):
+        for b, y, _ in rows[i + 1 :]:
+            both = len(set(x) & set(y))
+            want |= {(a, b, both)} if both >= 0.8 * (len(x) + len(y) - both) - 1e-6 else set()
+    got = similar_sets(spark.createDataFrame(rows, "id long, items array<string>, n int"), 0.8).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
