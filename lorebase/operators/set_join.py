@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ MAX_LEVELS = 96
 SKETCH = 8
 #: Sets whose signatures one batch has.
 FEW = 512
+#: Homes of so many sets are compared in blocks, of about so many sets.
+LARGE, BLOCK = 32, 1024
 
 
 def levels(threshold: float) -> list[tuple[int, int, int, int]]:
@@ -153,9 +156,50 @@ def shared(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.col("both") >= threshold * (F.col("_na") + F.col("_nb") - F.col("both")) - 1e-6).select("a", "b", "both", "_na", "_nb")
 
 
+def _group_pairs(threshold: float):
+    """One group (id, items, block, low, high) to (x, y, both): its pairs that reach the threshold, within a block or between two."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = rows["items"].map(len).to_numpy()
+        codes, _ = pd.factorize(np.concatenate(rows["items"].to_numpy()))
+        has = np.zeros((len(rows), codes.max() + 1), np.float32)
+        has[np.repeat(np.arange(len(rows)), counts), codes] = 1
+        one = rows["low"].iloc[0] == rows["high"].iloc[0]
+        left = np.arange(len(rows)) if one else np.nonzero((rows["block"] == rows["low"]).to_numpy())[0]
+        right = left if one else np.nonzero((rows["block"] == rows["high"]).to_numpy())[0]
+        both = has[left] @ has[right].T  # whole numbers below 2^24
+        i, j = np.nonzero(both >= threshold * (counts[left][:, None] + counts[right][None, :] - both) - 1e-6)
+        if one:
+            i, j = i[i < j], j[i < j]
+        ids = rows["id"].to_numpy()
+        return pd.DataFrame({"x": ids[left[i]], "y": ids[right[j]], "both": both[i, j].astype(np.int32)})
+
+    return run
+
+
 def similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, both): all pairs a < b of rows (id, items, n) whose sets reach the Jaccard threshold, and what they share."""
+    """(a, b, both): all pairs a < b of rows (id, items, n) whose sets reach the Jaccard threshold, and what they share.
+
+    Near copies share nearly all signatures, so they would meet many times.
+    Each set's home is the least similar set among those that are first with a
+    signature of its.  Sets of one large home are compared with each other in
+    blocks, each pair once; all others meet by their signatures.
+    """
     keys = signatures(rows, threshold)
+    home = written(shared(first_met(keys, threshold), rows, threshold).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("home")))
+    hubs = home.select(F.col("home").alias("id")).distinct().join(home, "id", "left_anti")
+    home = home.unionByName(hubs.select("id", F.col("id").alias("home")))
+    large = home.groupBy("home").agg(F.count("*").alias("c")).where(F.col("c") >= LARGE)
+    home = written(home.join(large, "home").select("id", "home", F.ceil(F.col("c") / BLOCK).alias("blocks")))
+    at = rows.select("id", "items").join(home, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    at = at.select("id", "items", "home", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    kind = rows.schema["id"].dataType.simpleString()
+    inside = at.groupBy("home", "low", "high").applyInPandas(_group_pairs(threshold), f"x {kind}, y {kind}, both int")
+    inside = inside.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "both")
+    keys = keys.join(home.select("id", "home"), "id", "left")
     a, b = keys.alias("a"), keys.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & may_meet("a", "b", threshold))
-    return shared(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), rows, threshold).select("a", "b", "both")
+    apart = F.col("a.home").isNull() | F.col("b.home").isNull() | (F.col("a.home") != F.col("b.home"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & apart & may_meet("a", "b", threshold))
+    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return shared(pairs, rows, threshold).select("a", "b", "both").unionByName(inside)

@@ -170,3 +170,20 @@ def test_each_set_has_a_chance_to_meet(spark):
             want |= {(a, b, both)} if both >= 0.8 * (len(x) + len(y) - both) - 1e-6 else set()
     got = similar_sets(spark.createDataFrame(rows, "id long, items array<string>, n int"), 0.8).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_near_copies_are_compared_in_blocks(spark, monkeypatch):
+    """All pairs of 90 near copies and some others, of which few move their sets pair by pair."""
+    from lorebase.operators import set_join
+
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(150)]
+    sets = [{*rng.sample(base, 150 - rng.randrange(12)), *(f"v{rng.randrange(900)}" for _ in range(rng.randrange(6)))} for _ in range(90)]
+    sets += [{f"o{i // 2} {k}" for k in range(40 - i % 2)} for i in range(10)]
+    want = {(i, j, len(x & y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and len(x & y) >= 0.8 * len(x | y) - 1e-6}
+    rows = spark.createDataFrame([(i, sorted(x), len(x)) for i, x in enumerate(sets)], "id long, items array<string>, n int")
+    whole, moved = set_join.shared, []
+    monkeypatch.setattr(set_join, "BLOCK", 20)
+    monkeypatch.setattr(set_join, "shared", lambda pairs, *of: moved.append(pairs.count()) or whole(pairs, *of))
+    got = set_join.similar_sets(rows, 0.8).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 2000 and sum(moved) < 1000
