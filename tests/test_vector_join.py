@@ -83,3 +83,21 @@ def test_blended_pairs_meet_by_vectors_alone(spark, monkeypatch):
             c = float(np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v)) if u and v else None
             want |= {(a, b)} if (j if c is None else 0.6 * c + 0.4 * j) >= 0.8 else set()
     assert asked == [0.8] and got == want and got
+
+
+def test_products_take_turns(spark, monkeypatch):
+    """The same pairs where one shuffle may send few rows, and where the test of further columns is in the products."""
+    monkeypatch.setattr(vector_join, "BLOCK", 16)
+    monkeypatch.setattr(vector_join, "SENT_AT_ONCE", 700)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(6, 10))
+    rows = [(i, (centres[i % 6] + 0.3 * rng.normal(size=10)).tolist(), i % 4) for i in range(150)]
+    df = spark.createDataFrame(rows, SCHEMA + ", n long")
+    want = brute([r[:2] for r in rows], 0.8)
+    made, whole = [], vector_join.written
+    monkeypatch.setattr(vector_join, "written", lambda df: made.append(df.columns) or whole(df))
+    may = lambda one, p, other, q: one["n"].to_numpy()[p] == other["n"].to_numpy()[q]
+    found = [(r.a, r.b) for r in near_vectors(df, 0.8).collect()]
+    assert set(found) == want and len(found) == len(want) and made.count(["x", "y"]) > 1
+    found = [(r.a, r.b) for r in near_vectors(df, 0.8, may=may).collect()]
+    assert set(found) == {(a, b) for a, b in want if a % 4 == b % 4} and len(found) == len(set(found)) > 0
