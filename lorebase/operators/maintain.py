@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.strength import current_strength
-from ..functions.text import jaccard, jaccard_of, normalize, searchable, trigrams
+from ..functions.text import jaccard_of, normalize, searchable, trigrams
 from ..functions.vector import cosine, norm
-from ..plans.scratch import written
-from .set_join import LEAST_THRESHOLD, first_met, may_be_similar, met, shared, signatures, similar_sets, sketches
+from ..plans.scratch import dropped_after, written
+from .set_join import LEAST_THRESHOLD, by_shares, first_met, met, met_within, shared, signatures, similar_sets, sketches, sketches_admit
 from .vector_join import equal_vector, near_vectors
 
 
@@ -40,51 +40,56 @@ def similar_pairs(df: DataFrame, threshold: float, cfg: EngineConfig = DEFAULT,
     ``wc * cosine + wj * jaccard`` (see ``_blended_pairs``).
     """
     wc, wj = cfg.pair_weights
-    rows = _classed(df)
+    rows = _classed(df, use_vectors)
     if not use_vectors:
         return _class_pairs(rows, threshold).where(F.col("similarity") >= threshold)
-    known = F.col("embedding").isNotNull()
-    blended = rows.where(known)
-    found = _blended_pairs(blended, threshold, cfg)
-    vector = lambda c: rows.select(F.col("id").alias(c), F.col("embedding").alias(f"_{c}"))
-    both = found.join(vector("a"), "a").join(vector("b"), "b")
-    mixed = both.select("a", "b", (wc * cosine(F.col("_a"), F.col("_b")) + wj * F.col("similarity")).alias("similarity"))
+    blended = rows.where("known")
+    found = written(_blended_pairs(blended, threshold, cfg))
+    vector = lambda some, c: some.select(F.col("id").alias(c), F.col("embedding").alias(f"_{c}"))
+
+    def mixed(pairs, left):
+        both = pairs.join(vector(left, "a"), "a").join(vector(blended, "b"), "b")
+        return both.select("a", "b", (wc * cosine(F.col("_a"), F.col("_b")) + wj * F.col("similarity")).alias("similarity")).where(F.col("similarity") >= threshold)
+
     # pairs with a row that has no vector: Jaccard alone
-    marked = rows.select("id", known.alias("_known"))
-    alone = _class_pairs(rows, threshold).join(marked.select(F.col("id").alias("a"), F.col("_known").alias("_ka")), "a").join(marked.select(F.col("id").alias("b"), F.col("_known").alias("_kb")), "b")
-    return mixed.unionByName(alone.where("not (_ka and _kb)").select("a", "b", "similarity")).where(F.col("similarity") >= threshold)
+    return by_shares(found, blended, mixed).unionByName(_class_pairs(rows, threshold, alone=True).where(F.col("similarity") >= threshold))
 
 
-def _classed(df: DataFrame) -> DataFrame:
-    """id, grams, embedding, n, class of the rows with trigrams; equal trigrams are one class."""
-    rows = df.select("id", trigrams(F.col("content_normalized")).alias("grams"), "embedding").withColumn("n", F.size("grams")).where("n > 0")
-    return written(rows.withColumn("class", F.sha2(F.concat_ws("\u0001", F.array_sort("grams")), 256)))
+def _classed(df: DataFrame, vectors: bool = False) -> DataFrame:
+    """id, grams, n, class of the rows with trigrams, and with ``vectors`` embedding and known; rows of a class have equal trigrams, and with ``vectors`` all have one or none.
+
+    A trigram is the number that its three code points make, of 21 bits each.
+    """
+    char = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("long")
+    number = lambda g: F.shiftleft(char(g, 1), 42).bitwiseOR(F.shiftleft(char(g, 2), 21)).bitwiseOR(char(g, 3))
+    rows = df.select("id", F.transform(trigrams(F.col("content_normalized")), number).alias("grams"), *(["embedding"] if vectors else []))
+    rows = rows.withColumn("n", F.size("grams")).where("n > 0").withColumn("known", F.col("embedding").isNotNull() if vectors else F.lit(False))
+    return written(rows.withColumn("class", F.unhex(F.sha2(F.concat_ws(",", F.array_sort("grams").cast("array<string>"), F.col("known").cast("string")), 256))))
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """class, id (the least), items, n, members of rows (id, grams, n, class)."""
-    return written(rows.groupBy("class").agg(F.min("id").alias("id"), F.min_by("grams", "id").alias("items"), F.min("n").alias("n"), F.count("*").alias("members")))
+    """class, id (the least), items, n, members, known of rows (id, grams, n, class, known)."""
+    least = [F.min("id").alias("id"), F.min_by("grams", "id").alias("items"), F.min("n").alias("n"), F.count("*").alias("members"), F.min("known").alias("known")]
+    return written(rows.groupBy("class").agg(*least))
 
 
-def _linked_classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs) of rows (id, grams, n, class): the classes, and a < b (least ids of classes) with the similarity that reaches a Jaccard threshold."""
+def _class_pairs(rows: DataFrame, threshold: float, alone: bool = False) -> DataFrame:
+    """(a, b, similarity) of rows (id, grams, n, class, known) that reach a Jaccard threshold; ``alone``: but for pairs of two that are known."""
     classes = _classes(rows)
-    near = similar_sets(classes.select("id", "items", "n"), threshold)
-    size = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"_n{c}"))
-    return classes, near.join(size("a"), "a").join(size("b"), "b").select("a", "b", jaccard_of(F.col("both"), F.col("_na"), F.col("_nb")).alias("similarity"))
-
-
-def _class_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of rows (id, grams, n, class) that reach a Jaccard threshold."""
-    classes, near = _linked_classes(rows, threshold)
-    of = lambda c: classes.select(F.col("id").alias(c), F.col("class").alias(f"_{c}"))
-    linked = near.join(of("a"), "a").join(of("b"), "b").select("_a", "_b", "similarity")
-    member = rows.select("class", "id")
-    left, right = member.select(F.col("class").alias("_a"), F.col("id").alias("x")), member.select(F.col("class").alias("_b"), F.col("id").alias("y"))
-    across = linked.join(left, "_a").join(right, "_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    one, two = member.alias("one"), member.alias("two")
-    equal = one.join(two, (F.col("one.class") == F.col("two.class")) & (F.col("one.id") < F.col("two.id")))
-    return across.unionByName(equal.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), F.lit(1.0).alias("similarity")))
+    near = similar_sets(classes.select("id", "items", "n", (2 * F.col("members") + F.col("known").cast("long")).alias("mark")), threshold)
+    if alone:
+        near = near.where("_ma % 2 = 0 or _mb % 2 = 0")
+    near = near.select("a", "b", jaccard_of(F.col("both"), F.col("_na"), F.col("_nb")).alias("similarity"), ((F.col("_ma") > 3) | (F.col("_mb") > 3)).alias("several"))
+    # only classes of several rows are expanded
+    member = written(rows.select("class", "id").join(classes.where("members > 1").select("class", F.col("id").alias("least"), "known"), "class").select("least", "id", "known"))
+    left, right = member.select(F.col("least").alias("a"), F.col("id").alias("x")), member.select(F.col("least").alias("b"), F.col("id").alias("y"))
+    several = near.where("several").join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "similarity")
+    across = several.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    equals = member.where("not known") if alone else member
+    one, two = equals.alias("one"), equals.toDF(*equals.columns).alias("two")
+    equal = one.join(two, (F.col("one.least") == F.col("two.least")) & (F.col("one.id") < F.col("two.id")))
+    equal = equal.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), F.lit(1.0).alias("similarity"))
+    return near.where("not several").select("a", "b", "similarity").unionByName(across).unionByName(equal)
 
 
 def _blended_pairs(rows: DataFrame, threshold: float, cfg: EngineConfig) -> DataFrame:
@@ -102,12 +107,10 @@ def _blended_pairs(rows: DataFrame, threshold: float, cfg: EngineConfig) -> Data
     if cosine_least <= 0:
         split = max(least, LEAST_THRESHOLD)
         cosine_least, found = (threshold - wj * split) / wc - 1e-6, _class_pairs(rows, split)
-    ratio = (1 - least) / (1 + least)
-    drawn = rows.join(sketches(rows.select("id", F.col("grams").alias("items"))), "id").drop("grams", "class")
-    like = lambda a, b: (F.least(f"{a}.n", f"{b}.n") >= least * F.greatest(f"{a}.n", f"{b}.n") - 1e-9) & may_be_similar(a, b, ratio)
-    near = near_vectors(drawn, cosine_least, like)
-    side = lambda c: rows.select(F.col("id").alias(c), F.col("grams").alias(f"_{c}"))
-    near = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", jaccard(F.col("_a"), F.col("_b")).alias("similarity"))
+    drawn = rows.select("id", "embedding", "n").join(sketches(rows.select("id", F.col("grams").alias("items"), "n")), "id")
+    sets = rows.select("id", F.col("grams").alias("items"), "n")
+    near = shared(near_vectors(drawn, cosine_least, may=sketches_admit(least)), sets, least)
+    near = near.select("a", "b", jaccard_of(F.col("both"), F.col("_na"), F.col("_nb")).alias("similarity"))
     return near if found is None else found.unionByName(near).dropDuplicates(["a", "b"])
 
 
@@ -185,9 +188,9 @@ def similar_clusters(df: DataFrame, threshold: float, cfg: EngineConfig = DEFAUL
     their own, for they are not like each other.
     """
     if use_vectors:
-        rows = _classed(df)
+        rows = _classed(df, True)
         vector = F.when(F.col("embedding").isNull() | (norm(F.col("embedding")) > 0), equal_vector(F.col("embedding"))).otherwise(F.concat(F.lit("of "), F.col("id").cast("string")))
-        rows = written(rows.select("id", F.sha2(F.concat_ws("\u0001", "class", vector), 256).alias("class")))
+        rows = written(rows.select("id", F.sha2(F.concat_ws("\u0001", F.hex("class"), vector), 256).alias("class")))
         classes = written(rows.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("members")))
         led = leader_clusters(similar_pairs(df.join(classes.select(F.col("least").alias("id")), "id", "left_semi"), threshold, cfg, True)).withColumnRenamed("id", "least")
         of = classes.join(led, "least", "left").where("members > 1 or leader is not null")
