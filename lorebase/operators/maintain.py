@@ -157,24 +157,25 @@ def set_leaders(sets: DataFrame, threshold: float) -> DataFrame:
     """
     near = lambda pairs: shared(pairs, sets, threshold).where(jaccard_of(F.col("both"), F.col("_na"), F.col("_nb")) >= threshold).select("a", "b")
     named = lambda df, c: df.select(F.col(c).alias("id")).distinct()
-    keys = signatures(sets, threshold)
-    hubs = written(named(near(first_met(keys, threshold)).groupBy("b").agg(F.min("a").alias("a")), "a"))
-    around = written(near(met(keys.join(hubs, "id", "left_semi"), keys, threshold)))
-    first = written(hubs.join(named(around, "b"), "id", "left_anti"))
-    sure = written(around.join(first.select(F.col("id").alias("a")), "a", "left_semi"))
-    led = written(named(sure, "b"))
-    rest = written(keys.join(first, "id", "left_anti").join(led, "id", "left_anti"))
-    a, b = rest.alias("a"), rest.toDF(*rest.columns).alias("b")
-    among = leader_clusters(near(met(a, b, threshold)))
-    among = written(among)
-    behind = rest.join(among.where("id <> leader").select("id"), "id", "left_anti")
-    later = written(near(met(behind, keys.join(led, "id", "left_semi"), threshold)))
-    # an end that is not led leads
-    edges = sure.unionAll(later.join(led.select(F.col("id").alias("b")), "b", "left_semi").join(led.select(F.col("id").alias("a")), "a", "left_anti").select("a", "b"))
-    of = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
-    alone = first.unionAll(named(later.select("a").unionAll(later.select(F.col("b").alias("a"))), "a").join(led, "id", "left_anti"))
-    alone = alone.join(among.select("id"), "id", "left_anti").distinct()
-    return of.unionAll(among).unionAll(alone.select("id", F.col("id").alias("leader")))
+    with dropped_after(sets.sparkSession) as kept:
+        keys = signatures(sets, threshold)
+        hubs = written(named(near(first_met(keys, threshold)).groupBy("b").agg(F.min("a").alias("a")), "a"))
+        around = written(near(met(keys.join(hubs, "id", "left_semi"), keys, threshold)))
+        first = written(hubs.join(named(around, "b"), "id", "left_anti"))
+        sure = written(around.join(first.select(F.col("id").alias("a")), "a", "left_semi"))
+        led = written(named(sure, "b"))
+        rest = written(keys.join(first, "id", "left_anti").join(led, "id", "left_anti"))
+        among = leader_clusters(near(met_within(rest, threshold)))
+        among = written(among)
+        behind = rest.join(among.where("id <> leader").select("id"), "id", "left_anti")
+        later = written(near(met(behind, keys.join(led, "id", "left_semi"), threshold)))
+        # an end that is not led leads
+        edges = sure.unionAll(later.join(led.select(F.col("id").alias("b")), "b", "left_semi").join(led.select(F.col("id").alias("a")), "a", "left_anti").select("a", "b"))
+        of = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+        alone = first.unionAll(named(later.select("a").unionAll(later.select(F.col("b").alias("a"))), "a").join(led, "id", "left_anti"))
+        alone = alone.join(among.select("id"), "id", "left_anti").distinct()
+        kept.append(written(of.unionAll(among).unionAll(alone.select("id", F.col("id").alias("leader")))))
+    return kept[0]
 
 
 def similar_clusters(df: DataFrame, threshold: float, cfg: EngineConfig = DEFAULT, use_vectors: bool = False) -> DataFrame:
@@ -195,11 +196,13 @@ def similar_clusters(df: DataFrame, threshold: float, cfg: EngineConfig = DEFAUL
         led = leader_clusters(similar_pairs(df.join(classes.select(F.col("least").alias("id")), "id", "left_semi"), threshold, cfg, True)).withColumnRenamed("id", "least")
         of = classes.join(led, "least", "left").where("members > 1 or leader is not null")
         return rows.join(of.select("class", F.coalesce("leader", "least").alias("leader")), "class").select("id", "leader")
-    rows = _classed(df)
-    classes = _classes(rows)
-    led = set_leaders(classes.select("id", "items", "n"), threshold).withColumnRenamed("id", "least")
-    of = classes.select("class", F.col("id").alias("least"), "members").join(led, "least", "left").where("members > 1 or leader is not null")
-    return rows.select("id", "class").join(of.select("class", F.coalesce("leader", "least").alias("leader")), "class").select("id", "leader")
+    with dropped_after(df.sparkSession) as kept:
+        rows = _classed(df)
+        classes = _classes(rows)
+        led = set_leaders(classes.select("id", "items", "n"), threshold).withColumnRenamed("id", "least")
+        of = classes.select("class", F.col("id").alias("least"), "members").join(led, "least", "left").where("members > 1 or leader is not null")
+        kept.append(written(rows.select("id", "class").join(of.select("class", F.coalesce("leader", "least").alias("leader")), "class").select("id", "leader")))
+    return kept[0]
 
 
 def consolidate(df: DataFrame, now: Column, cfg: EngineConfig = DEFAULT, use_vectors: bool = False) -> DataFrame:

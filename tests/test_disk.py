@@ -54,6 +54,17 @@ def test_sets_meet_in_turns(spark, monkeypatch):
     assert len(scratch._made) - before <= 2
 
 
+def test_leaders_leave_one_table(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "KEYS_AT_ONCE", 3000)
+    monkeypatch.setattr(set_join, "PAIRS_AT_ONCE", 100)
+    df = rows_of(spark, near_copies(150)).cache()
+    want = sorted(tuple(r) for r in maintain.leader_clusters(maintain.similar_pairs(df, 0.8)).collect())
+    before = len(scratch._made)
+    found = maintain.similar_clusters(df, 0.8)
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 100
+    assert len(scratch._made) - before <= 1
+
+
 def test_memories_are_joined_without_whole_texts(spark):
     """Texts are not shuffled where only what is indexed of them is read."""
     plan = memories(spark, DIR).select("id", "content_normalized")._jdf.queryExecution().optimizedPlan().toString().splitlines()
